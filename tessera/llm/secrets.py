@@ -106,8 +106,6 @@ def op4_secret_ledger(spark, sf_dir: str) -> DataFrame:
     return got.withColumn("base_sha256", F.sha2(F.col("spans").cast("binary"), 256))
 
 
-_REST = "'(?s)(.*?)(?:' || {0} || ')'"
-
 # DuckDB: gaps and matches alternate, so starts are running sums of their lengths
 OP4_SQL = r"""
 WITH rules(kind, k, gap_re, grp, least) AS (VALUES
