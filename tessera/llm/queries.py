@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import media, packing, secrets
+from tessera.llm import langid, media, packing, secrets, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_media": media.op1_media,
+        "op2_language_id": langid.op2_language_id,
         "op4_secret_ledger": secrets.op4_secret_ledger,
+        "op5_warc": warc.op5_warc,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_ledger": secrets.OP4_SQL}
+    return {"op4_secret_ledger": secrets.OP4_SQL, "op5_warc": warc.OP5_SQL}
