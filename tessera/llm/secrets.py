@@ -84,10 +84,9 @@ def scan_incremental(versions: DataFrame, ledger: str, rule_version: str = RULE_
         first = first.join(seen.select("blob"), "blob", "left_anti")
     unseen = keyed.join(first.select("row", F.col("blob").alias("first_blob")).hint("shuffle_hash"), "row", "left_semi").select("blob", "text")
     fresh = unseen.mapInArrow(_scan, schema)
-    C.stored(fresh, "ledger", at)
     # repeated rows of one path may have scanned a blob twice: findings are equal, one is kept
-    known = spark.read.schema(schema).parquet(at).groupBy("blob").agg(F.max("found").alias("found"))
-    return rows.select("path", "blob").join(known, "blob")
+    C.stored(fresh.groupBy("blob").agg(F.first("found").alias("found")), "ledger", at)
+    return rows.select("path", "blob").join(spark.read.schema(schema).parquet(at).hint("merge"), "blob")
 
 
 def digest(found, kinds: list[str]):
