@@ -71,28 +71,36 @@ class Model:
     def __init__(self, rows: list[tuple[int, str, str, int]], totals: dict[tuple[int, str], int], order: int):
         self.order, self.langs = order, sorted({lang for _, lang in totals})
         at = {lang: k for k, lang in enumerate(self.langs)}
-        self.tables: list[dict[str, np.ndarray]] = []
-        for kind in (0, 1):
+        self.words, self.chars = ({}, {})  #: row of each known word, of each known n-gram
+        self.tables = []
+        for kind, index in ((0, self.words), (1, self.chars)):
             counts: dict[str, np.ndarray] = {}
             for k, lang, item, n in rows:
                 if k == kind:
                     counts.setdefault(item, np.zeros(len(at)))[at[lang]] += n
             total = np.array([totals.get((kind, lang), 0) for lang in self.langs], float)
-            self.tables.append({x: np.log((c + 0.5) / (total + 0.5 * (len(counts) + 1))) for x, c in counts.items()})
-        self.floor = np.zeros(len(at))
+            index.update((x, k) for k, x in enumerate(counts))
+            table = np.array(list(counts.values())).reshape(len(counts), len(at))
+            table = np.log((table + 0.5) / (total + 0.5 * (len(counts) + 1)))
+            if kind:  # n-grams overlap: each counts by its length
+                table /= np.fromiter(map(len, index), float, len(index))[:, None]
+            self.tables.append(table.astype(np.float32))
+
+    def backoff(self, w: str) -> list[int]:
+        """Rows of the longest known n-gram at each position of an unseen word."""
+        w, out, get, order = f"^{w}$", [], self.chars.get, self.order
+        for k in range(len(w)):
+            for n in range(order, 0, -1):
+                row = get(w[k : k + n])
+                if row is not None:
+                    out.append(row)
+                    break
+        return out
 
     def word(self, w: str) -> np.ndarray:
         """Evidence of one word for each language."""
-        known = self.tables[0].get(w)
-        if known is not None:
-            return known
-        total, chars = self.floor, self.tables[1]
-        for at in grams(w, self.order):
-            for g in at:  # the longest known n-gram at this position
-                if (v := chars.get(g)) is not None:
-                    total = total + v / len(g)
-                    break
-        return total
+        row = self.words.get(w)
+        return self.tables[0][row] if row is not None else self.tables[1][self.backoff(w)].sum(axis=0)
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS, n_grams: int = GRAMS, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -115,25 +123,34 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS, n
 
 
 class _Seen(dict):
-    """Row of each word's evidence in ``table``, for words met lately."""
+    """Row of each word's evidence in ``table``: the known words, and unseen words met lately."""
 
-    LIMIT = 300_000
+    LIMIT = 800_000
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.table = model, np.zeros((self.LIMIT, len(model.langs)), np.float32)
+        super().__init__(model.words)
+        self.model, self.table, self.new = model, np.zeros((self.LIMIT, len(model.langs)), np.float32), []
+        self.table[: len(model.words)] = model.tables[0]
 
     def __missing__(self, w: str) -> int:
         k = self[w] = len(self)
-        self.table[k] = self.model.word(w)
+        self.new.append(w)
         return k
 
     def score(self, found: Counter) -> np.ndarray:
         if len(self) + len(found) > self.LIMIT:
             self.clear()
-            if len(found) > self.LIMIT:
+            self.update(self.model.words)
+            if len(self) + len(found) > self.LIMIT:
                 return sum(n * self.model.word(w) for w, n in found.items())
         rows = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        if self.new:
+            parts = [self.model.backoff(w) for w in self.new]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            sums = np.vstack([np.zeros((1, self.table.shape[1])), self.model.tables[1][np.fromiter((r for p in parts for r in p), np.int64, sizes.sum())].cumsum(axis=0, dtype=np.float64)])
+            ends = sizes.cumsum()
+            self.table[len(self) - len(parts) : len(self)] = sums[ends] - sums[ends - sizes]
+            self.new.clear()
         return np.fromiter(found.values(), np.float64, len(found)) @ self.table[rows]
 
 
