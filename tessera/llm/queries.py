@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import langid, media, packing, secrets, warc
+from tessera.llm import langid, media, packing, secrets, substring, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -13,9 +13,10 @@ def queries() -> dict[str, Callable]:
         "op2_language_id": langid.op2_language_id,
         "op4_secret_ledger": secrets.op4_secret_ledger,
         "op5_warc": warc.op5_warc,
+        "op7_substring_dedup": substring.op7_substring_dedup,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_ledger": secrets.OP4_SQL, "op5_warc": warc.OP5_SQL}
+    return {"op4_secret_ledger": secrets.OP4_SQL, "op5_warc": warc.OP5_SQL, "op7_substring_dedup": substring.OP7_SQL}
