@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import langid, media, packing, secrets, substring, warc
+from tessera.llm import classlm, langid, media, packing, secrets, substring, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable]:
         "op4_secret_ledger": secrets.op4_secret_ledger,
         "op5_warc": warc.op5_warc,
         "op7_substring_dedup": substring.op7_substring_dedup,
+        "op8_class_lm": classlm.op8_class_lm,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
 
