@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import classlm, langid, media, packing, secrets, substring, warc
+from tessera.llm import classlm, langid, media, neardup, packing, secrets, substring, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -16,8 +16,9 @@ def queries() -> dict[str, Callable]:
         "op7_substring_dedup": substring.op7_substring_dedup,
         "op8_class_lm": classlm.op8_class_lm,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_minhash_neardup": neardup.op10_minhash_neardup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_ledger": secrets.OP4_SQL, "op5_warc": warc.OP5_SQL, "op7_substring_dedup": substring.OP7_SQL}
+    return {"op4_secret_ledger": secrets.OP4_SQL, "op5_warc": warc.OP5_SQL, "op7_substring_dedup": substring.OP7_SQL, "op10_minhash_neardup": neardup.OP10_SQL}
