@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import classlm, langid, media, neardup, packing, secrets, substring, warc
+from tessera.llm import classlm, decontam, langid, media, neardup, packing, secrets, substring, warc
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_media": media.op1_media,
         "op2_language_id": langid.op2_language_id,
+        "op3_decontamination": decontam.op3_decontamination,
         "op4_secret_ledger": secrets.op4_secret_ledger,
         "op5_warc": warc.op5_warc,
         "op7_substring_dedup": substring.op7_substring_dedup,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_ledger": secrets.OP4_SQL, "op5_warc": warc.OP5_SQL, "op7_substring_dedup": substring.OP7_SQL, "op10_minhash_neardup": neardup.OP10_SQL}
+    return {"op3_decontamination": decontam.OP3_SQL, "op4_secret_ledger": secrets.OP4_SQL, "op5_warc": warc.OP5_SQL, "op7_substring_dedup": substring.OP7_SQL, "op10_minhash_neardup": neardup.OP10_SQL}
