@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import classlm, decontam, langid, media, neardup, packing, secrets, substring, warc
+from tessera.llm import classlm, decontam, langid, media, neardup, packing, pii, secrets, substring, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable]:
         "op3_decontamination": decontam.op3_decontamination,
         "op4_secret_ledger": secrets.op4_secret_ledger,
         "op5_warc": warc.op5_warc,
+        "op6_pii": pii.op6_pii,
         "op7_substring_dedup": substring.op7_substring_dedup,
         "op8_class_lm": classlm.op8_class_lm,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
