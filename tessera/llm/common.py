@@ -29,9 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors."""
+FILE_BYTES, LEAST_FILES = 8 << 20, 12
+
+
+def files(docs: DataFrame) -> int:
+    """How many files an intermediate table of these documents takes at most: in proportion to their stored bytes."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return min(1 << 30, max(LEAST_FILES, -(-size // FILE_BYTES)))
+
+
+def stored(df: DataFrame, name: str, at: str | None = None, most: int | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    ``most`` bounds the number of files: many partitions of few rows become few files.
+    """
     spark = df.sparkSession
+    df = df.coalesce(most) if most else df
     path = at or f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.mode("append" if at else "error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

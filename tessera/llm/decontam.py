@@ -77,8 +77,9 @@ def _limited(df: DataFrame, rows: int) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, window_start, similarity, distance): best window of each contaminated document for each item; positions in words."""
     d = C.id_text(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
-    items = C.stored(_items(benchmark), "decontam-items")
-    keys = C.stored(items.select("item_id", "k", "need", "w", F.explode(F.array_distinct("hashes")).alias("h")).groupBy("h", "k").agg(F.collect_set(F.struct("item_id", "need", "w")).alias("of")), "decontam-keys")
+    most, few = C.files(d), C.files(benchmark)
+    items = C.stored(_items(benchmark), "decontam-items", most=few)
+    keys = C.stored(items.select("item_id", "k", "need", "w", F.explode(F.array_distinct("hashes")).alias("h")).groupBy("h", "k").agg(F.collect_set(F.struct("item_id", "need", "w")).alias("of")), "decontam-keys", most=few)
     sizes = {r["k"]: r["n"] for r in keys.groupBy("k").agg(F.count("*").alias("n")).collect()}
     spark = docs.sparkSession
     if not sizes:
@@ -93,7 +94,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # starts from which enough hits lie within the window: the need-th hit from there is less than w places away
     lists = hits.groupBy("row", "item_id", "need", "w").agg(F.sort_array(F.collect_set("pos")).alias("p")).filter("size(p) >= need")
     starts = lists.select("row", "item_id", F.expr("transform(filter(sequence(0, size(p) - need), i -> p[i + need - 1] - p[i] < w), i -> p[i])").alias("starts")).filter("size(starts) > 0")
-    starts = C.stored(starts, "decontam-starts")
+    starts = C.stored(starts, "decontam-starts", most=most)
     n = starts.agg(F.sum(F.size("starts"))).first()[0] or 0
 
     # the texts once more, for rows that have such windows
@@ -103,7 +104,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     at = at.select("doc_id", "ws", F.col("i.item_id").alias("item_id"), F.explode("i.starts").alias("start")).join(_limited(items.select("item_id", "k", "w"), sum(sizes.values())), "item_id")
     end = "least(start + w, size(ws) - k + 1) - 1"
     cases = "CASE k " + " ".join(f"WHEN {k} THEN {_run('ws', 'start', end, k)}" for k in sizes) + " END"
-    windows = C.stored(at.select("doc_id", "item_id", "start", F.expr(cases).alias("window")).distinct(), "decontam-windows")
+    windows = C.stored(at.select("doc_id", "item_id", "start", F.expr(cases).alias("window")).distinct(), "decontam-windows", most=most)
 
     # multi-index: blocks of the windows meet the items' blocks and all their neighbours within two bits
     bits = "shiftrightunsigned(simhash, 8 * b) & 255L"
@@ -130,7 +131,7 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates (columns as they are)."""
-    bad = C.stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "decontam-bad")
+    bad = C.stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "decontam-bad", most=C.files(docs))
     return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
 
 

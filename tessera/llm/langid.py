@@ -113,12 +113,13 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS, n
         share = F.when(F.col("lang") == lang, min(1.0, (1.3 * per_language + 20) / n)).otherwise(share)
     some = d.filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)) if sizes else d
     some = some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= per_language)
-    counted = C.stored(some.select("lang", "text").mapInArrow(_count(order), "kind int, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n")), "langid")
+    counted = some.select("lang", "text").mapInArrow(_count(order), "kind int, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n")).persist()  # bounded by the sample; lost blocks are counted again
     totals = {(r["kind"], r["lang"]): r["n"] for r in counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
     rows: list = []
     for kind, most in ((0, words), (1, n_grams)):
         top = counted.filter(F.col("kind") == kind).orderBy(F.desc("n"), "item", "lang").limit(most)
         rows += [(r["kind"], r["lang"], r["item"], r["n"]) for r in top.collect()]
+    counted.unpersist()
     return Model(rows, totals, order)
 
 

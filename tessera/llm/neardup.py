@@ -88,22 +88,22 @@ def _sign(rows):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(name, pa.binary()), lists], ["doc_id", "n_shingles", "name", "bands"])
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """(node, root): the smallest node reachable over undirected (a, b), for nodes that have a link.
 
     Alternates large-star and small-star steps; each round is written to the shared folder.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    e = C.stored(e, name)
+    e = C.stored(e, name, most=most)
     before = None
     while True:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = C.stored(large, name)
+        large = C.stored(large, name, most=most)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low.hint("merge"), "a").select("a", "b", "m")
-        e = C.stored(small.select("a", F.col("m").alias("b")).union(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), name)
+        e = C.stored(small.select("a", F.col("m").alias("b")).union(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), name, most=most)
         # all stars: no node is both a leaf and a centre, and each leaf has one centre
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
@@ -209,23 +209,24 @@ def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row."""
     d = C.id_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(C.NO_ID)))
-    signs = C.stored(d.mapInArrow(_sign, "doc_id long, n_shingles long, name binary, bands array<long>"), "neardup-signs")
+    most = C.files(d)
+    signs = C.stored(d.mapInArrow(_sign, "doc_id long, n_shingles long, name binary, bands array<long>"), "neardup-signs", most=most)
     # one row for each set: its class's smallest id
     first = signs.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"))
     reps = signs.select("doc_id", "name", "bands").join(first.select(F.col("rep").alias("doc_id"), "name").hint("shuffle_hash"), ["doc_id", "name"], "left_semi")
     banded = reps.select("doc_id", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
     edges = banded.join(shared.hint("merge"), "band").filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    groups = components(edges, "neardup-candidates")
+    groups = components(edges, "neardup-candidates", most)
     # numbers within a group, without sorting it in one task: chunks by a hash of the id
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
     dealt = groups.join(sizes.hint("merge"), "root").select(F.col("node").alias("doc_id"), "root", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(chunk))).cast("int").alias("chunk"), (F.col("n") > chunk).alias("large"))
-    dealt = C.stored(dealt, "neardup-dealt")
+    dealt = C.stored(dealt, "neardup-dealt", most=most)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # repeated rows of an id: one of them (the representative's set has that id)
     texts = _fetch(d, dealt.select("doc_id", "root", "chunk")).dropDuplicates(["doc_id", "root", "chunk"]) if _repeats(signs) else _fetch(d, dealt.select("doc_id", "root", "chunk"))
     laid = texts.repartition(n, "root", "chunk").sortWithinPartitions("root", "chunk", "doc_id").select("root", "chunk", "doc_id", "text")
-    parts = C.stored(laid.mapInArrow(_first_round, "root long, chunk int, doc_id long, part long"), "neardup-parts")
+    parts = C.stored(laid.mapInArrow(_first_round, "root long, chunk int, doc_id long, part long"), "neardup-parts", most=most)
     large = dealt.filter("large").select("root").distinct()
     links = parts.filter("doc_id <> part").select(F.col("doc_id").alias("node"), F.col("part").alias("root"))
     if large.limit(1).count():
@@ -240,9 +241,9 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK, id_col: str = "doc_id",
         meet = _fetch(d.dropDuplicates(["doc_id"]) if _repeats(signs) else d, guests.unionByName(hosts))
         laid = meet.repartition(n, "root", "chunk", "block").sortWithinPartitions("root", "chunk", "block", "doc_id").select("root", "chunk", "block", "doc_id", "part", "guest", "text")
         more = laid.mapInArrow(_second_round, "a long, b long")
-        links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "neardup-links")
+        links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "neardup-links", most)
     # classes take their representative's component; the classes' rows are pre-aggregated, the join's hot names are split
-    named = C.stored(first.join(links.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left").select("name", F.coalesce("root", "rep").alias("component_id")), "neardup-names")
+    named = C.stored(first.join(links.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left").select("name", F.coalesce("root", "rep").alias("component_id")), "neardup-names", most=most)
     got = signs.select("doc_id", "n_shingles", "name").join(named.hint("merge"), "name", "left")
     null_id = lambda c: F.when(F.col(c) != C.NO_ID, F.col(c))
     got = got.withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -261,7 +262,7 @@ def op10_minhash_neardup(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document stands for its component (columns as they are)."""
     kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    kept = C.stored(kept.distinct(), "neardup-kept")
+    kept = C.stored(kept.distinct(), "neardup-kept", most=C.files(docs))
     return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
 
 

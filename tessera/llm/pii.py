@@ -115,18 +115,18 @@ def _candidates(scanned: DataFrame) -> DataFrame:
     return t.select("row", "pattern", "instance", "start", "end", F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))).alias("seed"))
 
 
-def bootstrap(candidates: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def bootstrap(candidates: DataFrame, most: int | None = None, support: int = SUPPORT, confident: float = CONFIDENT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(patterns, instances) that are confident after the rounds: (pattern, confidence) and (instance, score)."""
     edges = candidates.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed"))
     # a pattern with fewer distinct instances than the support can never be used
     wide = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("s")).filter((F.col("n") >= support) & (F.col("s") > 0))
-    edges = C.stored(edges.join(wide.select("pattern").hint("merge"), "pattern", "left_semi"), "pii-edges")
+    edges = C.stored(edges.join(wide.select("pattern").hint("merge"), "pattern", "left_semi"), "pii-edges", most=most)
     known = edges.groupBy("instance").agg(F.max("seed").alias("score"))
     for _ in range(rounds):
-        known = C.stored(known, "pii-known")
+        known = C.stored(known, "pii-known", most=most)
         scored = edges.join(known.hint("merge"), "instance")
         patterns = scored.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum((F.col("score") >= confident).cast("int")).alias("n")).filter((F.col("n") >= support) & (F.col("confidence") >= confident))
-        patterns = C.stored(patterns.select("pattern", "confidence"), "pii-patterns")
+        patterns = C.stored(patterns.select("pattern", "confidence"), "pii-patterns", most=most)
         lifted = edges.join(patterns.hint("merge"), "pattern", "left").groupBy("instance").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("confidence", F.lit(0.0))))))).alias("score"))
         known = lifted.select("instance", F.greatest("seed", "score").alias("score"))
     return patterns, known.filter(F.col("score") >= confident)
@@ -134,9 +134,10 @@ def bootstrap(candidates: DataFrame, support: int = SUPPORT, confident: float =
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, base, spans) for each row of ``docs``: base spans and all spans; row is xxhash64 of id and text."""
-    scanned = C.stored(_scan(C.id_text(docs, id_col, text_col)), "pii-scan")
-    candidates = C.stored(_candidates(scanned), "pii-candidates")
-    patterns, instances = bootstrap(candidates)
+    most = C.files(docs)
+    scanned = C.stored(_scan(C.id_text(docs, id_col, text_col)), "pii-scan", most=most)
+    candidates = C.stored(_candidates(scanned), "pii-candidates", most=most)
+    patterns, instances = bootstrap(candidates, most)
     found = candidates.filter("NOT seed").join(patterns.select("pattern").hint("merge"), "pattern", "left_semi").join(instances.select("instance").hint("merge"), "instance", "left_semi")
     added = found.groupBy("row").agg(F.array_distinct(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.lit(KINDS.index("context")).alias("kind"), F.col("end").cast("int").alias("end")))).alias("added"))
     got = scanned.select("row", "doc_id", "base").join(added.hint("merge"), "row", "left")
@@ -172,7 +173,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with the found spans of ``text`` replaced; all other columns and all rows as they are."""
-    found = C.stored(find(docs).filter(F.size("spans") > 0).select(F.col("row").alias("found_row"), F.col("spans").alias("found_spans")).dropDuplicates(["found_row"]), "pii-found")
+    found = C.stored(find(docs).filter(F.size("spans") > 0).select(F.col("row").alias("found_row"), F.col("spans").alias("found_spans")).dropDuplicates(["found_row"]), "pii-found", most=C.files(docs))
     row = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
     got = docs.join(found.hint("shuffle_hash"), row == F.col("found_row"), "left")
     new = F.when(F.col("found_spans").isNull(), docs["text"]).otherwise(redacted(docs["text"], F.col("found_spans")))

@@ -85,7 +85,7 @@ def scan_incremental(versions: DataFrame, ledger: str, rule_version: str = RULE_
     unseen = keyed.join(first.select("row", F.col("blob").alias("first_blob")).hint("shuffle_hash"), "row", "left_semi").select("blob", "text")
     fresh = unseen.mapInArrow(_scan, schema)
     # repeated rows of one path may have scanned a blob twice: findings are equal, one is kept
-    C.stored(fresh.groupBy("blob").agg(F.first("found").alias("found")), "ledger", at)
+    C.stored(fresh.groupBy("blob").agg(F.first("found").alias("found")), "ledger", at, C.files(versions))
     return rows.select("path", "blob").join(spark.read.schema(schema).parquet(at).hint("merge"), "blob")
 
 

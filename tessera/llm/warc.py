@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYT
     first = named.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
     revisits = named.join(first, "digest").filter(F.col("page_id") != F.col("refers_to")).distinct()
     rows = p.join(revisits.hint("shuffle_hash"), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
-    return C.stored(rows.mapInArrow(_write(archive_bytes), ARCHIVES), "warc", f"{root}/archives")
+    return C.stored(rows.coalesce(C.files(pages)).mapInArrow(_write(archive_bytes), ARCHIVES), "warc", f"{root}/archives")
 
 
 def _block(rows):
@@ -153,7 +153,7 @@ def build_index(archives: DataFrame, root: str) -> DataFrame:
     e = archives.select("archive", F.explode("entries").alias("e")).select("e.key", "e.page_id", "archive", "e.offset", "e.length")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = e.repartitionByRange(n, "key", "page_id", "archive", "offset").sortWithinPartitions("key", "page_id", "archive", "offset")
-    return C.stored(ordered.mapInArrow(_block, BLOCKS), "warc-index", f"{root}/index")
+    return C.stored(ordered.mapInArrow(_block, BLOCKS), "warc-index", f"{root}/index", C.files(archives))
 
 
 def lookup(spark: SparkSession, root: str, url: str) -> list[dict]:
