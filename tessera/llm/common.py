@@ -34,7 +34,7 @@ FILE_BYTES, LEAST_FILES = 8 << 20, 12
 
 def files(docs: DataFrame) -> int:
     """How many files an intermediate table of these documents takes at most: in proportion to their stored bytes."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return min(1 << 30, max(LEAST_FILES, -(-size // FILE_BYTES)))
 
 
