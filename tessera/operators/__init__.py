@@ -1,0 +1 @@
+"""Operators; importing this package registers their queries."""
