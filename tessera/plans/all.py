@@ -1,3 +1,4 @@
 """Imports every operator module, so that its queries are registered."""
 
 from tessera.operators import records  # noqa: F401
+from tessera.operators import pixels  # noqa: F401
