@@ -82,10 +82,11 @@ def r06(spark, sf, top_k: int = 150):
     return d.agg(F.min("dice").alias("worst"), F.count("*").alias("n")).crossJoin(med).crossJoin(top).select(F.round("worst", 6).alias("worst"), F.round("upper_median", 6).alias("upper_median"), F.round("top_mean", 6).alias("top_mean"), "n")
 
 
-@query("r07_dice_audit_queue", duck("pred", f"WITH {DICE} SELECT row_number() OVER (ORDER BY dice, pid) AS rank, pid, round(dice, 6) AS dice FROM dice WHERE dice IS NOT NULL ORDER BY dice, pid LIMIT 150"))
+@query("r07_dice_audit_queue", duck("pred", f"WITH {DICE}, q AS (SELECT pid, round(dice, 6) AS dice FROM dice WHERE dice IS NOT NULL) SELECT row_number() OVER (ORDER BY dice, pid) AS rank, pid, dice FROM q ORDER BY dice, pid LIMIT 150"))
 def r07(spark, sf, top_k: int = 150):
-    top = patch_dice(view(spark, sf, "pred")).filter("dice IS NOT NULL").orderBy("dice", "pid").limit(top_k)
-    return top.select(F.row_number().over(W.orderBy("dice", "pid")).cast("long").alias("rank"), "pid", F.round("dice", 6).alias("dice"))
+    # ranked as exported: rounded values, ties by id
+    top = patch_dice(view(spark, sf, "pred")).filter("dice IS NOT NULL").select("pid", F.round("dice", 6).alias("dice")).orderBy("dice", "pid").limit(top_k)
+    return top.select(F.row_number().over(W.orderBy("dice", "pid")).cast("long").alias("rank"), "pid", "dice")
 
 
 @query("r09_filter_by_mosaic", duck("record", "SELECT patch_id FROM fx_record WHERE contains(patch_id, 'src1')"))

@@ -2,3 +2,4 @@
 
 from tessera.operators import records  # noqa: F401
 from tessera.operators import pixels  # noqa: F401
+from tessera.operators import geo, metrics  # noqa: F401
