@@ -95,7 +95,6 @@ def components(edges: DataFrame, name: str, most: int | None = None) -> DataFram
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     e = C.stored(e, name, most=most)
-    before = None
     while True:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -104,11 +103,11 @@ def components(edges: DataFrame, name: str, most: int | None = None) -> DataFram
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low.hint("merge"), "a").select("a", "b", "m")
         e = C.stored(small.select("a", F.col("m").alias("b")).union(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), name, most=most)
-        # all stars: no node is both a leaf and a centre, and each leaf has one centre
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        # done when all are stars: no node is both a leaf and a centre, and each leaf has one centre
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(e.select("b", F.lit(0), F.lit(1)))
+        bad = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).filter("leaf > 1 OR leaf + centre > 1")
+        if not bad.agg(F.count("*")).first()[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = tuple(now)
 
 
 def _alike(one: np.ndarray, sizes: np.ndarray, hits: np.ndarray) -> np.ndarray:
