@@ -59,3 +59,39 @@ def blur(px: str, sigma: float, n: int = PS, radius: int | None = None) -> str:
     """Separable Gaussian: rows, then columns."""
     taps = gauss(sigma, radius)
     return weighted(weighted(px, [(0, k, w) for k, w in taps], n), [(k, 0, w) for k, w in taps], n)
+
+
+def bound(body: str, **values: str) -> str:
+    """``body`` over q.name, where each value is evaluated once per row."""
+    fields = ", ".join(f"'{k}', {v}" for k, v in values.items())
+    return f"transform(array(named_struct({fields})), q -> {body})[0]"
+
+
+def mean(a: str) -> str:
+    """Mean of an array's values; null if it is empty."""
+    return bound("aggregate(q.a, 0D, (s, v) -> s + v) / nullif(size(q.a), 0)", a=f"transform({a}, v -> CAST(v AS DOUBLE))")
+
+
+def spread(a: str) -> str:
+    """Population standard deviation of an array's values; null if it is empty."""
+    return bound("sqrt(aggregate(q.a, 0D, (s, v) -> s + (v - q.m) * (v - q.m)) / nullif(size(q.a), 0))", a=f"transform({a}, v -> CAST(v AS DOUBLE))", m=mean(a))
+
+
+def quantile(a: str, q: str | float) -> str:
+    """Linearly interpolated quantile of an array's values; null if it is empty."""
+    at_ = bound("q.s[CAST(floor(q.h) AS INT)] + (q.h - floor(q.h)) * (q.s[CAST(ceil(q.h) AS INT)] - q.s[CAST(floor(q.h) AS INT)])", s="q.s", h="(size(q.s) - 1) * q.at")
+    return bound(f"CASE WHEN size(q.s) > 0 THEN {at_} END", s=f"array_sort(transform({a}, v -> CAST(v AS DOUBLE)))", at=f"CAST({q} AS DOUBLE)")
+
+
+def ellipse(radius: int) -> list[tuple[int, int]]:
+    """Offsets of an elliptical structuring element of side 2 * radius + 1."""
+    out = []
+    for dy in range(-radius, radius + 1):
+        half = round(math.sqrt(radius * radius - dy * dy))
+        out += [(dy, dx) for dx in range(-half, half + 1)]
+    return out
+
+
+def disc(radius: int) -> list[tuple[int, int]]:
+    """Offsets within ``radius`` of the centre."""
+    return [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
