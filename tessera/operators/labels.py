@@ -123,7 +123,7 @@ def thresholded(p: DataFrame, c: Settings = BASE) -> DataFrame:
     p = p.withColumn("d", F.expr(f"{unit(f'{frac} / {c.dense_fraction}D')} * (1 - {unit(f'(noise - {c.noise_low}D) / {c.noise_span}D')})"))
     p = p.withColumn("eff", F.expr(f"{c.score}D - d * {c.score - c.dense_score}D"))
     p = p.withColumn("at", F.expr(S.quantile("pos", f"({c.percentiles[1]}D - d * {c.percentiles[1] - c.percentiles[0]}D) / 100")))
-    return p.withColumn("thr", F.expr(f"CASE WHEN size(pos) > {c.least_positive} THEN round(eff + (1 - d) * greatest(0D, at - eff), 6) ELSE {c.score}D END"))
+    return p.withColumn("thr", F.expr(f"CASE WHEN size(pos) > {c.least_positive} THEN round(eff + (1 - d) * greatest(0D, at - eff), 9) ELSE {c.score}D END"))
 
 
 _TR = (
@@ -133,13 +133,13 @@ _TR = (
     f"ef AS (SELECT *, {BASE.score} - d * {BASE.score - BASE.dense_score} AS eff, (np - 1) * ({BASE.percentiles[1]} - d * {BASE.percentiles[1] - BASE.percentiles[0]}) / 100 AS h FROM de), "
     "po AS (SELECT pid, v, row_number() OVER (PARTITION BY pid ORDER BY v) - 1 AS k FROM sc WHERE v > 0), "
     "pa AS (SELECT ef.pid, max(CASE WHEN k = floor(h) THEN v END) AS lo, max(CASE WHEN k = ceil(h) THEN v END) AS hi FROM ef JOIN po ON po.pid = ef.pid GROUP BY ef.pid), "
-    f"tr AS (SELECT ef.pid, d, np, CASE WHEN np > {BASE.least_positive} THEN round(eff + (1 - d) * greatest(0, lo + (h - floor(h)) * (hi - lo) - eff), 6) ELSE {BASE.score} END AS thr FROM ef LEFT JOIN pa ON pa.pid = ef.pid)"
+    f"tr AS (SELECT ef.pid, d, np, CASE WHEN np > {BASE.least_positive} THEN round(eff + (1 - d) * greatest(0, lo + (h - floor(h)) * (hi - lo) - eff), 9) ELSE {BASE.score} END AS thr FROM ef LEFT JOIN pa ON pa.pid = ef.pid)"
 )
 
 
-@query("l07_adaptive_threshold", duck("gray", f"WITH {_TR} SELECT pid, np AS n_positive, round(d, 5) AS density, thr AS threshold FROM tr"))
+@query("l07_adaptive_threshold", duck("gray", f"WITH {_TR} SELECT pid, np AS n_positive, round(d, 5) AS density, round(thr, 7) AS threshold FROM tr"))
 def l07(spark, sf):
-    return thresholded(patches(spark, sf)).select("pid", F.size("pos").cast("bigint").alias("n_positive"), F.round("d", 5).alias("density"), F.col("thr").alias("threshold"))
+    return thresholded(patches(spark, sf)).select("pid", F.size("pos").cast("bigint").alias("n_positive"), F.round("d", 5).alias("density"), F.round("thr", 7).alias("threshold"))
 
 
 def cleaned(p: DataFrame, c: Settings = BASE, close: int = 2, open_: int = 1) -> DataFrame:
