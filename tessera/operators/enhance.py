@@ -42,8 +42,8 @@ def filled(border: int) -> str:
     return S.bound(f"transform(q.px, g -> CASE WHEN g > {border} THEN CAST(g AS DOUBLE) ELSE q.m END)", px="px", m=S.mean(f"filter(px, g -> g > {border})"))
 
 
-def duck_filled(border: int) -> str:
-    return f"st AS (SELECT pid, avg(g) FILTER (g > {border}) AS vm, stddev_pop(g) FILTER (g > {border}) AS vs, count(*) FILTER (g > {border}) AS nv FROM fx_gray GROUP BY pid), fi AS (SELECT q.pid, q.y, q.x, CASE WHEN q.g > {border} THEN q.g ELSE st.vm END AS g FROM fx_gray q JOIN st ON st.pid = q.pid)"
+def duck_filled(border: int, st: str = "st") -> str:
+    return f"{st} AS (SELECT pid, avg(g) FILTER (g > {border}) AS vm, stddev_pop(g) FILTER (g > {border}) AS vs, count(*) FILTER (g > {border}) AS nv FROM fx_gray GROUP BY pid), fi AS (SELECT q.pid, q.y, q.x, CASE WHEN q.g > {border} THEN q.g ELSE {st}.vm END AS g FROM fx_gray q JOIN {st} ON {st}.pid = q.pid)"
 
 
 # ---- filter chain
