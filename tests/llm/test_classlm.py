@@ -42,3 +42,50 @@ def test_model_is_a_distribution():
 
 def test_empty(spark):
     assert classlm.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_every_training_word_has_a_class(spark):
+    import numpy as np
+
+    # more words than are clustered as frequent ones; rare x stand where an a does, rare y where a b does
+    word = lambda k, j: f"{'xy'[j % 2]}{k}q{j}" if j % 5 == 4 else f"{'ab'[j % 2]}{(k * 7 + j * j) % 10}"
+    rows = [(k, " ".join(word(k, j) for j in range(60))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = classlm.fit(docs)
+    train = {w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.encode().split()}
+    k = len(fitted["model"].classes)
+    of, placed = dict(zip(fitted["model"].keys, fitted["model"].of.tolist())), {}
+    for r in fitted["table"].collect():
+        placed.update(zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["classes"], np.uint16).tolist()))
+    of.update(placed)
+    key = {w: classlm.xxhash.xxh3_64_intdigest(w) for w in train}
+    assert len(train) > 600 and set(of) == set(key.values()) and max(of.values()) < k - 2
+    # what a rare word stands between decides its class
+    kinds = [{of[key[w]] for w in train if w[:1] == c and key[w] in placed} for c in (b"x", b"y")]
+    assert kinds[0] and kinds[1] and not kinds[0] & kinds[1]
+    assert classlm.n_classes(10**6) > classlm.n_classes(10**5) > classlm.n_classes(10)
+
+
+def test_placing_by_the_gain_of_the_likelihood():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    g = rng.integers(0, 30, (6, 6))
+    total = lambda m: classlm._xlogx(m).sum() - classlm._xlogx(m.sum(axis=0)).sum() - classlm._xlogx(m.sum(axis=1)).sum()
+    for _ in range(20):
+        q, r = np.zeros(6), np.zeros(6)
+        np.add.at(q, rng.integers(0, 6, 12), 1)
+        np.add.at(r, rng.integers(0, 6, 12), 1)
+        gains, whole = [], g.astype(float)
+        whole[4] += r  # class 4 holds the word before it is placed
+        whole[:, 4] += q
+        for c in range(4):
+            m = whole.copy()
+            m[4] -= r
+            m[:, 4] -= q
+            m[c] += r
+            m[:, c] += q
+            gains.append(total(m))
+        both = np.r_[q, r].astype(int)
+        at = np.flatnonzero(both)
+        assert classlm.Placing(whole).of(np.array([0]), at, both[at])[0] == int(np.argmax(gains))
