@@ -56,12 +56,16 @@ _window = np.hanning(FRAME).astype(np.float32)
 _edges = np.linspace(1, FRAME // 2 + 1, BANDS + 1).astype(int)
 
 
+def framed(samples: bytes) -> np.ndarray:
+    """Frames of all samples; silence around them, so that the window's ends, which are zero, hide no sample."""
+    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
+    x = np.pad(x, (HOP, HOP + -len(x) % HOP))
+    return np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+
+
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Frames and bins of the spectral peaks, by time: in each block of frames the loudest bin of each band."""
-    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    frames = framed(samples)
     at, bins = [], []
     for k in range(0, len(frames), CHUNK):
         power = np.abs(np.fft.rfft(frames[k : k + CHUNK] * _window, axis=1))
