@@ -1,10 +1,10 @@
 """Personal data by base patterns and bootstrapped contextual extraction, with DataFrame functions alone.
 
-Base: four kinds found by patterns in every whole text. Bootstrapping: tokens with a digit
-or an @ are candidate instances, the two words before a candidate are its lexical
-pattern. Instances that lie in base spans are seeds. Rounds over the graph of distinct (pattern,
-instance) pairs score a pattern by the mean score of its instances, if at least SUPPORT
-of them are known, and an unknown instance by the noisy-or of its confident patterns. After ROUNDS
+Base: four kinds found by patterns in every whole text. Bootstrapping: whole base spans are the
+seeds, other tokens with a digit or an @ are candidate instances; the two words before an instance, whatever they
+hold, are its lexical pattern, with digits as 0. Rounds over the graph of distinct (pattern,
+instance) pairs score a pattern with F known ones of N instances by F / N * log2(F), as a share of what
+SUPPORT known instances alone give, and an unknown instance by the noisy-or of its confident patterns. After ROUNDS
 rounds, unknown candidates behind a confident pattern whose own score reaches CONFIDENT are
 added as spans of kind ``context``. Base spans always stay.
 
@@ -23,6 +23,8 @@ kinds keep their listed order; empty tables give no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,23 +43,27 @@ PATTERNS = {
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
 SUPPORT, CONFIDENT, ROUNDS = 3, 0.8, 3
-CONTEXT = 64  #: characters before a candidate in which its two words are sought
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-_BEFORE = r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$"
+_TWO = r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)?)"  # of a text from its end
 _CORE = r"[A-Za-z0-9](?:.*[A-Za-z0-9])?"
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+SAID = "array<struct<start:int,kind:int,end:int,m:string>>"
+TOKENS = "array<struct<start:int,end:int,m:string,words:string>>"
+
 
+def _pairs(text: Column, pattern: str) -> Column:
+    """array<struct<m, g>>: the matches in order; g is the text between a match and the one before."""
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    return F.filter(pairs, lambda x: x["m"].isNotNull())
 
-def _matches(text: Column, pattern: str, sign: str, before: bool = False) -> Column:
-    """array<struct<start, end, m, gap>>: the matches in order; gap is the text between a match and the one before."""
-    p = F.lit(pattern)
-    pairs = F.zip_with(F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    kept = F.filter(pairs, lambda x: x["m"].isNotNull())
-    item = lambda a, x: F.struct((a["at"] + F.length(x["g"])).alias("start"), (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("m"), (x["g"] if before else F.lit("")).alias("gap"))
-    kind = "array<struct<start:int,end:int,m:string,gap:string>>"
+
+def _matches(text: Column, pattern: str, sign: str) -> Column:
+    """array<struct<start, end, m>>: the matches in order."""
+    item = lambda a, x: F.struct((a["at"] + F.length(x["g"])).alias("start"), (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("m"))
+    kind = "array<struct<start:int,end:int,m:string>>"
     got = F.aggregate(
-        kept,
+        _pairs(text, pattern),
         F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
         lambda a, x: F.struct((a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(item(a, x)).cast(kind)).alias("out")),
         lambda a: a["out"],
@@ -65,6 +71,24 @@ def _matches(text: Column, pattern: str, sign: str, before: bool = False) -> Col
     return F.when(text.rlike(sign), got).otherwise(F.array().cast(kind))
 
 
+def _tokens(text: Column) -> Column:
+    """TOKENS: tokens with a digit or @, each with the words before it (two, unless the text begins), the nearer first and from their ends."""
+    two = lambda c: F.regexp_extract(c, _TWO, 1)
+    before = lambda a, x: two(F.concat_ws(" ", two(F.reverse(x["g"])), a["tail"]))
+    item = lambda a, x: F.struct((a["at"] + F.length(x["g"])).alias("start"), (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("m"), before(a, x).alias("words"))
+    got = F.aggregate(
+        _pairs(text, _TOKEN),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(TOKENS).alias("out")),
+        lambda a, x: F.struct(
+            (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
+            two(F.concat_ws(" ", F.reverse(x["m"]), before(a, x))).alias("tail"),
+            F.concat(a["out"], F.array(item(a, x)).cast(TOKENS)).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+    return F.when(text.rlike("[0-9@]"), got).otherwise(F.array().cast(TOKENS))
+
+
 def _luhn(m: Column) -> Column:
     """Whether the digits' checksum is a multiple of ten; every second digit from the right is doubled."""
     digits = F.reverse(F.regexp_replace(m, "[^0-9]", ""))
@@ -89,30 +113,34 @@ _VALID = {
 }
 
 
-def base_spans(text: Column) -> Column:
-    """Base spans of a text by start, then kind."""
+def _said(text: Column) -> Column:
+    """Base spans of a text and what they hold, by start, then kind."""
     found = []
     for kind, (pattern, sign) in PATTERNS.items():
         ok, rank = _VALID[kind], F.lit(KINDS.index(kind))
         valid = F.filter(_matches(text, pattern, sign), lambda x: ok(x["m"]))  # noqa: B023
-        found.append(F.transform(valid, lambda x: F.struct(x["start"].alias("start"), rank.alias("kind"), x["end"].alias("end"))))  # noqa: B023
-    return F.array_sort(F.concat(*found)).cast(SPAN)
+        found.append(F.transform(valid, lambda x: F.struct(x["start"].alias("start"), rank.alias("kind"), x["end"].alias("end"), x["m"].alias("m"))))  # noqa: B023
+    return F.array_sort(F.concat(*found)).cast(SAID)
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base, candidates of every text."""
+    """row, doc_id, said (base spans with their texts), tokens of every text."""
     d = docs.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("text", F.coalesce("text", F.lit("")))
-    return d.select("row", "doc_id", base_spans(F.col("text")).alias("base"), _matches(F.col("text"), _TOKEN, "[0-9@]", before=True).alias("tokens"))
+    return d.select("row", "doc_id", _said(F.col("text")).alias("said"), _tokens(F.col("text")).alias("tokens"))
 
 
 def _candidates(scanned: DataFrame) -> DataFrame:
-    """row, pattern, instance, start, end, seed of the tokens that look like identifiers."""
-    t = scanned.select("row", "base", F.explode("tokens").alias("t"))
-    t = t.select("row", "base", F.col("t.start").alias("at"), F.col("t.m").alias("m"), F.regexp_extract(F.lower(F.substring("t.gap", -CONTEXT, CONTEXT)), _BEFORE, 1).alias("words"))
-    t = t.filter("words <> ''").withColumn("instance", F.regexp_extract("m", _CORE, 0)).withColumn("pattern", F.regexp_replace("words", C.WS, " "))
+    """row, pattern, instance, start, end, seed of the base spans and of the other tokens that look like identifiers."""
+    t = scanned.select("row", "said", F.explode("tokens").alias("t")).select("row", "said", "t.*").filter(F.col("words").rlike(C.WS))
+    t = t.withColumn("pattern", F.regexp_replace(F.regexp_replace(F.lower(F.reverse("words")), C.WS, " "), "[0-9]", "0"))
+    # every base span starts in a token: its first word, or the whole of it, holds a digit or an @
+    begun = F.filter("said", lambda s: (s["start"] >= F.col("start")) & (s["start"] < F.col("end")))
+    seeds = t.select("row", "pattern", F.explode(begun).alias("s")).select("row", "pattern", F.col("s.m").alias("instance"), "s.start", "s.end", F.lit(True).alias("seed"))
+    t = t.withColumn("instance", F.regexp_extract("m", _CORE, 0))
     t = t.filter((F.length("instance").between(6, 64)) & (F.contains("instance", F.lit("@")) | (_n_digits(F.col("instance")) >= 4)))
-    t = t.withColumn("start", F.col("at") + F.expr("instr(m, instance)") - 1).withColumn("end", F.col("start") + F.length("instance"))
-    return t.select("row", "pattern", "instance", "start", "end", F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))).alias("seed"))
+    t = t.withColumn("start", F.col("start") + F.expr("instr(m, instance)") - 1).withColumn("end", F.col("start") + F.length("instance"))
+    others = t.filter(~F.exists("said", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
+    return seeds.unionByName(others.select("row", "pattern", "instance", "start", "end", F.lit(False).alias("seed")))
 
 
 def bootstrap(candidates: DataFrame, most: int | None = None, support: int = SUPPORT, confident: float = CONFIDENT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +153,9 @@ def bootstrap(candidates: DataFrame, most: int | None = None, support: int = SUP
     for _ in range(rounds):
         known = C.stored(known, "pii-known", most=most)
         scored = edges.join(known.hint("merge"), "instance")
-        patterns = scored.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum((F.col("score") >= confident).cast("int")).alias("n")).filter((F.col("n") >= support) & (F.col("confidence") >= confident))
+        patterns = scored.groupBy("pattern").agg(F.count("*").alias("all"), F.sum((F.col("score") >= confident).cast("int")).alias("n"))
+        share = F.least(F.lit(1.0), F.col("n") / F.col("all") * F.log2("n") / math.log2(support))
+        patterns = patterns.filter(F.col("n") >= support).withColumn("confidence", share).filter(F.col("confidence") >= confident)
         patterns = C.stored(patterns.select("pattern", "confidence"), "pii-patterns", most=most)
         lifted = edges.join(patterns.hint("merge"), "pattern", "left").groupBy("instance").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.coalesce("confidence", F.lit(0.0))))))).alias("score"))
         known = lifted.select("instance", F.greatest("seed", "score").alias("score"))
@@ -140,7 +170,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     patterns, instances = bootstrap(candidates, most)
     found = candidates.filter("NOT seed").join(patterns.select("pattern").hint("merge"), "pattern", "left_semi").join(instances.select("instance").hint("merge"), "instance", "left_semi")
     added = found.groupBy("row").agg(F.array_distinct(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.lit(KINDS.index("context")).alias("kind"), F.col("end").cast("int").alias("end")))).alias("added"))
-    got = scanned.select("row", "doc_id", "base").join(added.hint("merge"), "row", "left")
+    got = scanned.select("row", "doc_id", F.transform("said", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))).cast(SPAN).alias("base")).join(added.hint("merge"), "row", "left")
     return got.select("row", "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPAN)))).alias("spans"))
 
 

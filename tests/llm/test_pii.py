@@ -57,3 +57,36 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[50] == "context:24:36" and got[51] == ""
     out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[50] == "Patient reachable under [CONTEXT], she said" and out[51] == rows[-1][1] and "[EMAIL]" in out[3] and "@" not in out[3]
+
+
+def _context(spark, seed_rows, rows):
+    docs = spark.createDataFrame([*enumerate(seed_rows), *((1000 + k, t) for k, t in enumerate(rows))], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.op6_text(docs).collect()}
+    return [[x for x in got[1000 + k].split(",") if x.startswith("context")] for k in range(len(rows))]
+
+
+def test_contexts_hold_digits_and_long_words(spark):
+    long = "reachable" * 12
+    seeds = [f"Some patient {k} under u{k}@mail{k}.example and {long} by v{k}@mail.example too" for k in range(12)]
+    assert _context(spark, seeds, ["patient 7 under XK-99-4711-B", f"all {long} by XK-99-4712-B", f"all x{long} by XK-99-4713-B"]) == [["context:16:28"], [f"context:{8 + len(long)}:{20 + len(long)}"], []]
+
+
+def test_lists_of_identifiers(spark):
+    seeds = [f"ids known as u{k}@mail.example 4417{k:02d}9 end" for k in range(12)]
+    got = _context(spark, seeds, ["ids known as XK-99-4711-B XK-99-4712-B"])
+    assert got[0][:1] == ["context:13:25"]
+
+
+def test_whole_phones_and_cards_are_seeds(spark):
+    phones = [f"Please call me on +1 (743) 555-{3800 + k} soon" for k in range(9)]
+    numbers = [f"4111 1111 1111 {k}" for k in range(1000, 1100) if luhn(f"411111111111{k}")]
+    cards = [f"They paid with card {c} and rest" for c in numbers]
+    assert _context(spark, phones + cards, ["Please call me on 7435553824 soon", "They paid with card AB-1234-5678 now"]) == [["context:18:28"], ["context:20:32"]]
+
+
+def test_patterns_are_scored_by_their_support(spark):
+    seeds = [f"we are reachable under u{k}@mail.example" for k in range(12)]
+    unknown = [f"we are reachable under XK-99-47{k}-B" for k in range(10, 18)]
+    assert all(_context(spark, seeds, unknown))
+    few = [f"we are reachable under u{k}@mail.example" for k in range(3)]
+    assert not any(_context(spark, few, unknown))
