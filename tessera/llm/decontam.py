@@ -61,11 +61,12 @@ def _simhash(hashes: str) -> str:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, k, w, need, hashes, simhash of each item with words."""
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
+    """item_id, name, k, w, need, hashes, simhash of each item with words; item_id is a key of the row, never null, name the item's own id."""
+    name, text = F.col("item_id").cast("long"), F.col("text").cast("string")
+    b = benchmark.select(F.xxhash64(name, text).alias("item_id"), name.alias("name"), words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
     b = b.withColumn("k", F.least(F.lit(SHINGLE), F.size("ws"))).withColumn("w", F.size("ws") - F.col("k") + 1)
     hashes = "CASE k " + " ".join(f"WHEN {k} THEN {_run('ws', '0', 'w - 1', k)}" for k in range(1, SHINGLE + 1)) + " END"
-    b = b.select("item_id", "k", "w", F.expr("cast(ceil(3 * w / 4) as int)").alias("need"), F.expr(hashes).alias("hashes"))
+    b = b.select("item_id", "name", "k", "w", F.expr("cast(ceil(3 * w / 4) as int)").alias("need"), F.expr(hashes).alias("hashes"))
     return b.withColumn("simhash", F.expr(_simhash("hashes")))
 
 
@@ -116,11 +117,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     near_ones = near_ones.select("doc_id", "item_id", "start", "distance").distinct()
 
     both = near_ones.withColumnRenamed("doc_id", "d").join(windows.withColumnRenamed("doc_id", "d2"), F.col("d").eqNullSafe(F.col("d2")) & (near_ones["item_id"] == windows["item_id"]) & (near_ones["start"] == windows["start"]))
-    both = both.select(F.col("d").alias("doc_id"), near_ones["item_id"], near_ones["start"], "distance", "window").join(_limited(items.select("item_id", "hashes"), sum(sizes.values())), "item_id")
+    both = both.select(F.col("d").alias("doc_id"), near_ones["item_id"], near_ones["start"], "distance", "window").join(_limited(items.select("item_id", "name", "hashes"), sum(sizes.values())), "item_id")
     common = "aggregate(array_distinct(window), 0, (n, h) -> n + least(size(filter(window, x -> x = h)), size(filter(hashes, x -> x = h))))"
     both = both.withColumn("common", F.expr(common)).withColumn("similarity", F.expr("common / (size(window) + size(hashes) - common)"))
-    best = both.filter(F.col("similarity") >= SIMILARITY).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "distance")).alias("m"))
-    return best.select("doc_id", "item_id", (-F.col("m")["col2"]).cast("int").alias("window_start"), F.col("m.similarity").alias("similarity"), F.col("m.distance").alias("distance"))
+    best = both.filter(F.col("similarity") >= SIMILARITY).groupBy("doc_id", "name").agg(F.max(F.struct("similarity", -F.col("start"), "distance")).alias("m"))
+    return best.select("doc_id", F.col("name").alias("item_id"), (-F.col("m")["col2"]).cast("int").alias("window_start"), F.col("m.similarity").alias("similarity"), F.col("m.distance").alias("distance"))
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
