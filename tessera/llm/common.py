@@ -20,12 +20,13 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, one of our own, in local mode alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
-        base = _fallback.setdefault(app, "") or tempfile.mkdtemp(prefix="tessera-")
-        _fallback[app] = base
+        base = _fallback.get(app) or _fallback.setdefault(app, tempfile.mkdtemp(prefix="tessera-"))
     return base.rstrip("/")
 
 
@@ -50,6 +51,26 @@ def stored(df: DataFrame, name: str, at: str | None = None, most: int | None = N
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(*columns):
+    """A key of the whole row, null or not: rows that share an id keep their own texts."""
+    return F.xxhash64(*columns)
+
+
+BROADCAST_ROWS, SALTS = 200_000, 16
+
+
+def looked_up(left: DataFrame, table: DataFrame, key: str, salt, how: str = "inner") -> DataFrame:
+    """``left`` joined with a table of one row per ``key`` which may be hot in ``left``.
+
+    A table of at most BROADCAST_ROWS rows (counted) is broadcast; beyond that its rows are repeated for
+    SALTS salts and a hot key's rows are dealt by ``salt``, a hash of the row.
+    """
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(table), key, how)
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.withColumn("salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [key, "salt"], how).drop("salt")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 2,000 rows: texts are long, and a batch is held whole on both sides."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

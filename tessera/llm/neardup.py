@@ -5,22 +5,27 @@ document's shingles, so half the hash evaluations make a signature. ROWS values
 band; documents that share a band are candidates. With 64 permutations and bands of
 four, a pair at a similarity of 0.75 shares no band with a probability of about 5e-6.
 
-1. One pass over the texts makes set size, a 128-bit name of the set, and bands.
-   Documents with equal sets form a class; its smallest id stands for it.
-2. Bands shared by two or more representatives link each to the smallest; small-star
-   and large-star rounds over these links, each written to the shared folder, give
-   candidate groups. No pair within a band is listed.
-3. Every group is dealt out in chunks of at most CHUNK documents. A chunk's task grows
-   each component from a member: all documents not yet placed are compared on full sets
-   with what was placed last, so a chunk of near copies costs little more than one comparison
-   each. A group of several chunks has a second round: its chunks meet, block by block,
-   the documents outside the component most of them are in, so that every pair of different
-   components is compared; then the components' links are contracted.
+1. One pass over the texts makes set size, a 128-bit name of the set, bands and a sketch
+   (a byte of each signature value). Rows with equal sets form a class; its row with the
+   smallest id stands for it.
+2. Representatives that share a band form a bucket; buckets of the same members are one. A
+   bucket's task links its members by sketches that agree in LIKELY of 128 places at least (a pair at
+   0.75 agrees in 96, with a deviation of about 5 to 7) and gives a spanning forest of them,
+   never all pairs. So groups are closed over likely links, not over chance bands. A bucket larger than
+   BUCKET is dealt out by hash, and its parts' trees are all tied together.
+3. Star rounds over the forests, each written to the shared folder, give candidate groups.
+   Every group is dealt out in chunks of at most CHUNK documents and about CHUNK_SHINGLES
+   shingles. A chunk's task grows each component from a member: all documents not yet placed
+   are compared on full sets with what was placed last, so a chunk of near copies costs little more
+   than one comparison each. A group of several chunks has a second round: its chunks meet,
+   block by block, the documents outside the component most of them are in, so that every pair of
+   different components is compared; then the components' links are contracted.
 
 Defined cases: no words or null text is an empty set, linked with nothing; fewer words
-than a shingle make one shingle of them all; repeated rows of an id and equal texts share
-a component; a null id counts as the smallest id; empty tables give no rows.
-Shingles are told apart by 64-bit hashes.
+than a shingle make one shingle of them all; rows are told apart by id and text, so that an
+id with several texts, or several null ids, lose no link; equal texts share a component; a null id
+counts as the smallest id; ``keep_one`` keeps one of several equal rows; empty tables give no rows.
+Shingles and rows are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +41,8 @@ from tessera.llm import common as C
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
 SIMILAR = (75, 100)  #: linked if 100 * intersection >= 75 * union
-CHUNK = 2000
+CHUNK, CHUNK_SHINGLES = 2000, 2_000_000
+BUCKET, LIKELY = 2000, 56
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,15 +83,44 @@ def bands(sig: np.ndarray) -> np.ndarray:
 def _sign(rows):
     known = C.WordHash()
     for b in C.cut(rows, 5000, 8 << 20):
-        size, name, found = [], [], []
-        for text in C.texts(b.column(1)):
+        size, name, found, sketch = [], [], [], []
+        for text in C.texts(b.column(2)):
             s = shingles(text, known)
+            sig = signature(s) if len(s) else None
             size.append(len(s))
             name.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            found.append(bands(signature(s)) if len(s) else np.zeros(0, np.uint64))
+            found.append(bands(sig) if len(s) else np.zeros(0, np.uint64))
+            sketch.append(sig.astype(np.uint8).tobytes() if len(s) else None)
         ends = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(name, pa.binary()), lists], ["doc_id", "n_shingles", "name", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(name, pa.binary()), lists, pa.array(sketch, pa.binary())], ["doc_id", "row", "n_shingles", "name", "bands", "sketch"])
+
+
+def forest(sketches: np.ndarray, likely: int = LIKELY) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges that span the components of likely links among sketches, and each component's first member."""
+    edges, seeds, rest = [], [], np.arange(len(sketches))
+    while len(rest):
+        seeds.append(int(rest[0]))
+        front, rest = [int(rest[0])], rest[1:]
+        while front and len(rest):
+            one = front.pop()
+            near = (sketches[rest] == sketches[one]).sum(axis=1) >= likely
+            found = rest[near].tolist()
+            edges += [(one, k) for k in found]
+            front += found
+            rest = rest[~near]
+    return edges, seeds
+
+
+def _forests(rows):
+    for _, t in _sorted_runs(rows, ["band", "part"]):
+        keys, hub, split = (t.column(c).to_pylist() for c in ("row", "hub", "split"))
+        edges, seeds = forest(np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(keys), -1))
+        out = [(keys[a], keys[b]) for a, b in edges]
+        if split[0]:
+            out += [(keys[k], hub[0]) for k in seeds]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
 
 
 def components(edges: DataFrame, name: str, most: int | None = None) -> DataFrame:
@@ -178,19 +213,17 @@ def _sorted_runs(rows, keys: list[str]):
 def _first_round(rows):
     known = C.WordHash()
     for _, t in _sorted_runs(rows, ["root", "chunk"]):
-        docs = t.column("doc_id").to_pylist()
+        keys = t.column("row").to_pylist()
         sets = Sets([shingles(x, known) for x in C.texts(t.column("text").combine_chunks())])
-        of = grow(sets)
-        root = [docs[k] for k in of]  # rows are sorted by id, so the first member is the smallest
-        yield pa.RecordBatch.from_arrays([t.column("root").combine_chunks(), t.column("chunk").combine_chunks(), pa.array(docs, pa.int64()), pa.array(root, pa.int64())], ["root", "chunk", "doc_id", "part"])
+        part = [keys[k] for k in grow(sets)]
+        yield pa.RecordBatch.from_arrays([t.column("root").combine_chunks(), t.column("chunk").combine_chunks(), pa.array(keys, pa.int64()), pa.array(part, pa.int64())], ["root", "chunk", "row", "part"])
 
 
 def _second_round(rows):
     known = C.WordHash()
     for _, t in _sorted_runs(rows, ["root", "chunk", "block"]):
-        docs, part, guest = (t.column(c).to_pylist() for c in ("doc_id", "part", "guest"))
+        part, guest = (np.array(t.column(c).to_pylist()) for c in ("part", "guest"))
         sets = Sets([shingles(x, known) for x in C.texts(t.column("text").combine_chunks())])
-        part, guest = np.array(part), np.array(guest, bool)
         here, out = np.flatnonzero(~guest), set()
         for g in np.flatnonzero(guest):
             among = here[part[here] != part[g]]
@@ -200,69 +233,88 @@ def _second_round(rows):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _fetch(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of the wanted ids, one row an id."""
-    return texts.join(wanted.hint("shuffle_hash"), "doc_id")
-
-
-def near_duplicates(docs: DataFrame, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row."""
-    d = C.id_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(C.NO_ID)))
-    most = C.files(d)
-    signs = C.stored(d.mapInArrow(_sign, "doc_id long, n_shingles long, name binary, bands array<long>"), "neardup-signs", most=most)
-    # one row for each set: its class's smallest id
-    first = signs.filter("name is not null").groupBy("name").agg(F.min("doc_id").alias("rep"))
-    reps = signs.select("doc_id", "name", "bands").join(first.select(F.col("rep").alias("doc_id"), "name").hint("shuffle_hash"), ["doc_id", "name"], "left_semi")
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
-    edges = banded.join(shared.hint("merge"), "band").filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    groups = components(edges, "neardup-candidates", most)
-    # numbers within a group, without sorting it in one task: chunks by a hash of the id
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    dealt = groups.join(sizes.hint("merge"), "root").select(F.col("node").alias("doc_id"), "root", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(chunk))).cast("int").alias("chunk"), (F.col("n") > chunk).alias("large"))
+def _candidates(reps: DataFrame, n: int) -> DataFrame:
+    """(a, b): spanning forests of the likely links within every bucket of ``reps`` (row, bands, sketch)."""
+    banded = reps.select("row", F.explode("bands").alias("band"))
+    tag = F.xxhash64("row")
+    shared = banded.groupBy("band").agg(F.min("row").alias("hub"), F.max("row").alias("top"), F.count("*").alias("n"), F.sum(F.shiftright(tag, 32)).alias("s1"), F.sum(tag.bitwiseAND(0xFFFFFFFF)).alias("s2")).filter("hub <> top")
+    buckets = shared.groupBy("hub", "top", "n", "s1", "s2").agg(F.min("band").alias("band"))
+    parts = F.ceil(F.col("n") / BUCKET)
+    members = banded.join(buckets.select("band", "hub", "n").hint("merge"), "band").select("band", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part"), "row", "hub", (parts > 1).alias("split"))
+    laid = reps.select("row", "sketch").join(members.hint("shuffle_hash"), "row").repartition(n, "band", "part").sortWithinPartitions("band", "part", "row")
+    return laid.select("band", "part", "row", "hub", "split", "sketch").mapInArrow(_forests, "a long, b long")
+
+
+def _components(docs: DataFrame, chunk: int, chunk_shingles: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(doc_id, row, n_shingles, component) for each row, component being the (doc_id, row) that stands for it; and whether rows repeat."""
+    d = C.id_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(C.NO_ID))).withColumn("row", C.row_key("doc_id", "text"))
+    most, n = C.files(d), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signs = C.stored(d.select("doc_id", "row", "text").mapInArrow(_sign, "doc_id long, row long, n_shingles long, name binary, bands array<long>, sketch binary"), "neardup-signs", most=most)
+    repeats = signs.groupBy("row").count().filter("count > 1").limit(1).count() > 0
+    single = lambda df: df.dropDuplicates(["row"]) if repeats else df
+    # one row for each set: its class's smallest
+    first = signs.filter("name is not null").groupBy("name").agg(F.min(F.struct("doc_id", "row")).alias("of")).select("name", "of", F.col("of.row").alias("row"))
+    reps = single(signs).select("row", "name", "n_shingles", "bands", "sketch").join(first.select("row", "name").hint("shuffle_hash"), ["row", "name"], "left_semi")
+    groups = components(_candidates(reps, n), "neardup-candidates", most)
+    # groups of more than a chunk are dealt by a hash of the row, without sorting or numbering them in one task
+    sized = groups.join(reps.select(F.col("row").alias("node"), "n_shingles").hint("shuffle_hash"), "node")
+    sizes = sized.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n_shingles") / chunk_shingles)).cast("int").alias("chunks")).filter("chunks > 1")
+    large = C.stored(sizes, "neardup-large", most=most)
+    dealt = C.looked_up(groups, large, "root", F.xxhash64("node"), "left").select(F.col("node").alias("row"), "root", F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int").alias("chunk"))
     dealt = C.stored(dealt, "neardup-dealt", most=most)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # repeated rows of an id: one of them (the representative's set has that id)
-    texts = _fetch(d, dealt.select("doc_id", "root", "chunk")).dropDuplicates(["doc_id", "root", "chunk"]) if _repeats(signs) else _fetch(d, dealt.select("doc_id", "root", "chunk"))
-    laid = texts.repartition(n, "root", "chunk").sortWithinPartitions("root", "chunk", "doc_id").select("root", "chunk", "doc_id", "text")
-    parts = C.stored(laid.mapInArrow(_first_round, "root long, chunk int, doc_id long, part long"), "neardup-parts", most=most)
-    large = dealt.filter("large").select("root").distinct()
-    links = parts.filter("doc_id <> part").select(F.col("doc_id").alias("node"), F.col("part").alias("root"))
+    texts = single(d.select("row", "text"))
+    laid = texts.join(dealt.hint("shuffle_hash"), "row").repartition(n, "root", "chunk").sortWithinPartitions("root", "chunk", "row").select("root", "chunk", "row", "text")
+    parts = C.stored(laid.mapInArrow(_first_round, "root long, chunk int, row long, part long"), "neardup-parts", most=most)
+    links = parts.filter("row <> part").select(F.col("row").alias("node"), F.col("part").alias("root"))
     if large.limit(1).count():
-        mine = parts.join(large.hint("merge"), "root")
+        mine = C.looked_up(parts, large, "root", F.xxhash64("row"))
         size = mine.groupBy("root", "part").agg(F.count("*").alias("n"))
-        main = size.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"))
-        guests = mine.join(main.hint("merge"), "root").filter("part <> main").select("root", "doc_id", "part", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("all") / chunk) - 1).cast("int"))).alias("chunk"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("h"))
+        main = size.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+        guests = C.looked_up(mine, main, "root", F.xxhash64("row")).filter("part <> main").select("root", "row", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
         total = guests.groupBy("root", "chunk").agg(F.count("*").alias("g"))
-        guests = guests.join(total.hint("merge"), ["root", "chunk"]).select("root", "chunk", F.pmod("h", F.ceil(F.col("g") / chunk)).cast("int").alias("block"), "doc_id", "part", F.lit(True).alias("guest"))
+        guests = guests.join(total.hint("merge"), ["root", "chunk"]).select("root", "chunk", F.pmod(F.xxhash64("row"), F.ceil(F.col("g") / chunk)).cast("int").alias("block"), "row", "part", F.lit(True).alias("guest"))
         blocks = guests.select("root", "chunk", "block").distinct()
-        hosts = mine.select("root", "chunk", "doc_id", "part").join(blocks.hint("merge"), ["root", "chunk"]).select("root", "chunk", "block", "doc_id", "part", F.lit(False).alias("guest"))
-        meet = _fetch(d.dropDuplicates(["doc_id"]) if _repeats(signs) else d, guests.unionByName(hosts))
-        laid = meet.repartition(n, "root", "chunk", "block").sortWithinPartitions("root", "chunk", "block", "doc_id").select("root", "chunk", "block", "doc_id", "part", "guest", "text")
-        more = laid.mapInArrow(_second_round, "a long, b long")
+        hosts = mine.select("root", "chunk", "row", "part").join(blocks.hint("merge"), ["root", "chunk"]).select("root", "chunk", "block", "row", "part", F.lit(False).alias("guest"))
+        laid = texts.join(guests.unionByName(hosts).hint("shuffle_hash"), "row").repartition(n, "root", "chunk", "block").sortWithinPartitions("root", "chunk", "block", "row")
+        more = laid.select("root", "chunk", "block", "part", "guest", "text").mapInArrow(_second_round, "a long, b long")
         links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "neardup-links", most)
+    # centres of stars are nodes of their own in the second case, not in the first
+    ends = links.union(links.select("root", "root")).distinct()
+    linked = C.stored(first.join(ends.withColumnRenamed("node", "row").hint("merge"), "row").select("name", "of", "root"), "neardup-linked", most=most)
+    found = C.looked_up(linked.select("name", "root"), linked.groupBy("root").agg(F.min("of").alias("component")), "root", F.xxhash64("name")).select("name", "component")
     # classes take their representative's component; the classes' rows are pre-aggregated, the join's hot names are split
-    named = C.stored(first.join(links.select(F.col("node").alias("rep"), "root").hint("merge"), "rep", "left").select("name", F.coalesce("root", "rep").alias("component_id")), "neardup-names", most=most)
-    got = signs.select("doc_id", "n_shingles", "name").join(named.hint("merge"), "name", "left")
-    null_id = lambda c: F.when(F.col(c) != C.NO_ID, F.col(c))
-    got = got.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return got.select(null_id("doc_id").alias("doc_id"), "n_shingles", null_id("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    named = C.stored(first.join(found.hint("merge"), "name", "left").select("name", F.coalesce("component", "of").alias("component")), "neardup-names", most=most)
+    got = signs.select("doc_id", "row", "n_shingles", "name").join(named.hint("merge"), "name", "left")
+    return got.select("doc_id", "row", "n_shingles", F.coalesce("component", F.struct("doc_id", "row")).alias("component")), repeats
 
 
-def _repeats(signs: DataFrame) -> bool:
-    """Whether an id has several rows."""
-    return signs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+def near_duplicates(docs: DataFrame, chunk: int = CHUNK, chunk_shingles: int = CHUNK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row."""
+    got, _ = _components(docs, chunk, chunk_shingles, id_col, text_col)
+    null_id = lambda c: F.when(F.col(c) != C.NO_ID, F.col(c))
+    got = got.select("doc_id", "n_shingles", F.col("component.doc_id").alias("component_id"))
+    return got.select(null_id("doc_id").alias("doc_id"), "n_shingles", null_id("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def op10_minhash_neardup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``documents``.
+
+    Null or empty text is linked with nothing; null ids come first and stay null; rows of one id are rows of their own;
+    an empty table gives no rows; other columns are not read.
+    """
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its component (columns as they are)."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    kept = C.stored(kept.distinct(), "neardup-kept", most=C.files(docs))
-    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows of ``docs`` that stand for their component (columns as they are), equal rows once."""
+    got, repeats = _components(docs, CHUNK, CHUNK_SHINGLES, "doc_id", "text")
+    kept = got.filter(F.col("row") == F.col("component.row")).select(F.col("row").alias("kept_row")).distinct()
+    kept = C.stored(kept, "neardup-kept", most=C.files(docs))
+    key = C.row_key(F.coalesce(docs["doc_id"].cast("long"), F.lit(C.NO_ID)), docs["text"].cast("string"))
+    if repeats:
+        docs = docs.withColumn("__row_key", key).dropDuplicates(["__row_key"]).drop("__row_key")
+        key = C.row_key(F.coalesce(docs["doc_id"].cast("long"), F.lit(C.NO_ID)), docs["text"].cast("string"))
+    return docs.join(kept.hint("shuffle_hash"), key == kept["kept_row"], "left_semi")
 
 
 OP10_SQL = r"""
