@@ -5,23 +5,27 @@ A document is contaminated by an item if one of its windows of W shingles (the l
 be cut off by the end of the document) has a weighted similarity, the sum of smaller over the
 sum of larger shingle counts, of at least 0.75.
 
-1. Windows that share no shingle with the item cannot qualify, and a window that qualifies
-   holds at least 3/4 of W places whose shingle the item has; moving a window's start to
-   the next such place loses none. So all windows that can qualify start at such a place
-   with enough others inside. They are found by an equi-join of all shingles of all texts.
-2. SimHash fingerprints (64 bits) of these windows meet those of the items in a multi-index:
-   eight blocks of eight bits, each probed with all values within two bits. Eight blocks
-   that all differ by three bits or more differ by 24, so every pair within RADIUS = 23 is found.
-   At a similarity of 0.75 the expected distance is 11 with a deviation of 3.
+1. Item-sized windows: a window that qualifies for some item of W shingles holds at least
+   3/4 of W places whose shingle occurs in items of that size, and moving its start to the
+   next such place loses none. So all windows that can qualify start at such a place with
+   enough others inside. An equi-join of all shingles of all texts with the distinct
+   shingles of the benchmark, each with the window sizes it occurs under, finds them. It does not
+   say which item: a shingle has at most as many entries as there are sizes, however many items share it.
+2. SimHash fingerprints (64 bits) of these windows are looked up among those of all items of
+   their size in a multi-index: eight blocks of eight bits, each probed with all values
+   within two bits. Eight blocks that all differ by three bits or more differ by 24, so every pair
+   within RADIUS = 23 is found. At a similarity of 0.75 the expected distance is 11 with a
+   deviation of 3.
 3. Exact weighted similarity decides.
 
-The shingles of the benchmark are broadcast while they are few (BROADCAST_ROWS, counted
+The shingles of the benchmark are broadcast while their entries are few (BROADCAST_ROWS, counted
 first); beyond that the same joins shuffle. A document's own hits are grouped by document
-and item: such a group is as large as one document at most.
+and size: such a group is as large as one document at most.
 
-Defined cases: null or empty texts match nothing, nor do items without words; several rows of
-one id are reported once; null ids are reported as null; of several best windows the
-first is reported; extra columns are not read; empty tables give no rows.
+Defined cases: null or empty texts match nothing, nor do items without words; rows are told
+apart by id and text, equal rows are reported once, as is an id with several texts for one
+item; null ids are reported as null; of several best windows the first is reported; extra columns
+are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -77,11 +81,11 @@ def _limited(df: DataFrame, rows: int) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, window_start, similarity, distance): best window of each contaminated document for each item; positions in words."""
-    d = C.id_text(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
+    d = C.id_text(docs, id_col, text_col).withColumn("row", C.row_key("doc_id", "text"))
     most, few = C.files(d), C.files(benchmark)
     items = C.stored(_items(benchmark), "decontam-items", most=few)
-    keys = C.stored(items.select("item_id", "k", "need", "w", F.explode(F.array_distinct("hashes")).alias("h")).groupBy("h", "k").agg(F.collect_set(F.struct("item_id", "need", "w")).alias("of")), "decontam-keys", most=few)
-    sizes = {r["k"]: r["n"] for r in keys.groupBy("k").agg(F.count("*").alias("n")).collect()}
+    keys = C.stored(items.select("k", "need", "w", F.explode(F.array_distinct("hashes")).alias("h")).groupBy("h", "k").agg(F.collect_set(F.struct("need", "w")).alias("of")), "decontam-keys", most=few)
+    sizes = {r["k"]: r["n"] for r in keys.groupBy("k").agg(F.sum(F.size("of")).alias("n")).collect()}
     spark = docs.sparkSession
     if not sizes:
         return spark.createDataFrame([], "doc_id long, item_id long, window_start int, similarity double, distance int")
@@ -90,34 +94,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k, n in sorted(sizes.items()):
         every = split.select("row", "ws", F.posexplode("ws").alias("pos", "word")).filter(F.expr(f"pos + {k} <= size(ws)"))
         every = every.select("row", "pos", F.expr(_hash("ws", "pos", k)).alias("h"))
-        found = every.join(_limited(keys.filter(F.col("k") == k).select("h", "of"), n), "h").select("row", "pos", F.explode("of").alias("i")).select("row", "pos", "i.item_id", "i.need", "i.w")
+        found = every.join(_limited(keys.filter(F.col("k") == k).select("h", "of"), n), "h").select("row", "pos", F.explode("of").alias("i")).select("row", "pos", F.lit(k).alias("k"), "i.need", "i.w")
         hits = found if hits is None else hits.unionByName(found)
     # starts from which enough hits lie within the window: the need-th hit from there is less than w places away
-    lists = hits.groupBy("row", "item_id", "need", "w").agg(F.sort_array(F.collect_set("pos")).alias("p")).filter("size(p) >= need")
-    starts = lists.select("row", "item_id", F.expr("transform(filter(sequence(0, size(p) - need), i -> p[i + need - 1] - p[i] < w), i -> p[i])").alias("starts")).filter("size(starts) > 0")
+    lists = hits.groupBy("row", "k", "need", "w").agg(F.sort_array(F.collect_set("pos")).alias("p")).filter("size(p) >= need")
+    starts = lists.select("row", "k", "w", F.expr("transform(filter(sequence(0, size(p) - need), i -> p[i + need - 1] - p[i] < w), i -> p[i])").alias("starts")).filter("size(starts) > 0")
     starts = C.stored(starts, "decontam-starts", most=most)
     n = starts.agg(F.sum(F.size("starts"))).first()[0] or 0
 
-    # the texts once more, for rows that have such windows
-    by_row = starts.groupBy("row").agg(F.collect_list(F.struct("item_id", "starts")).alias("items"))
+    # the texts once more, for rows that have such windows; equal rows give equal windows, each once
+    by_row = starts.groupBy("row").agg(F.collect_list(F.struct("k", "w", "starts")).alias("sizes"))
     side = F.broadcast(by_row) if n <= BROADCAST_ROWS else by_row.hint("shuffle_hash")
-    at = d.select("row", "doc_id", "text").join(side, "row").select("doc_id", words(F.col("text")).alias("ws"), F.explode("items").alias("i"))
-    at = at.select("doc_id", "ws", F.col("i.item_id").alias("item_id"), F.explode("i.starts").alias("start")).join(_limited(items.select("item_id", "k", "w"), sum(sizes.values())), "item_id")
+    at = d.select("row", "doc_id", "text").join(side, "row").select("row", "doc_id", words(F.col("text")).alias("ws"), F.explode("sizes").alias("i"))
+    at = at.select("row", "doc_id", "ws", F.col("i.k").alias("k"), F.col("i.w").alias("w"), F.explode("i.starts").alias("start"))
     end = "least(start + w, size(ws) - k + 1) - 1"
     cases = "CASE k " + " ".join(f"WHEN {k} THEN {_run('ws', 'start', end, k)}" for k in sizes) + " END"
-    windows = C.stored(at.select("doc_id", "item_id", "start", F.expr(cases).alias("window")).distinct(), "decontam-windows", most=most)
+    windows = C.stored(at.select("row", "doc_id", "k", "w", "start", F.expr(cases).alias("window")).distinct().withColumn("simhash", F.expr(_simhash("window"))), "decontam-windows", most=most)
 
-    # multi-index: blocks of the windows meet the items' blocks and all their neighbours within two bits
+    # multi-index: blocks of the windows meet the blocks of all items of their size and all neighbours within two bits
     bits = "shiftrightunsigned(simhash, 8 * b) & 255L"
     near = [v for v in range(256) if v.bit_count() <= RADIUS // BLOCKS]
-    probes = items.select("item_id", "simhash", F.explode(F.expr(f"sequence(0, {BLOCKS - 1})")).alias("b")).select("item_id", F.col("simhash").alias("item_simhash"), "b", F.explode(F.array(*map(F.lit, near))).alias("x")).select("item_id", "item_simhash", "b", F.expr(f"({bits.replace('simhash', 'item_simhash')}) ^ cast(x as bigint)").alias("v"))
-    printed = windows.withColumn("simhash", F.expr(_simhash("window")))
-    keyed = printed.select("doc_id", "item_id", "start", "simhash", F.explode(F.expr(f"sequence(0, {BLOCKS - 1})")).alias("b")).withColumn("v", F.expr(bits))
-    near_ones = keyed.join(probes.hint("merge"), ["item_id", "b", "v"]).withColumn("distance", F.expr("cast(bit_count(simhash ^ item_simhash) as int)")).filter(F.col("distance") <= RADIUS)
-    near_ones = near_ones.select("doc_id", "item_id", "start", "distance").distinct()
-
-    both = near_ones.withColumnRenamed("doc_id", "d").join(windows.withColumnRenamed("doc_id", "d2"), F.col("d").eqNullSafe(F.col("d2")) & (near_ones["item_id"] == windows["item_id"]) & (near_ones["start"] == windows["start"]))
-    both = both.select(F.col("d").alias("doc_id"), near_ones["item_id"], near_ones["start"], "distance", "window").join(_limited(items.select("item_id", "name", "hashes"), sum(sizes.values())), "item_id")
+    blocks = F.explode(F.expr(f"sequence(0, {BLOCKS - 1})")).alias("b")
+    probes = items.select("item_id", "k", "w", "simhash", blocks).select("item_id", "k", "w", F.col("simhash").alias("item_simhash"), "b", F.explode(F.array(*map(F.lit, near))).alias("x"))
+    probes = probes.select("item_id", "k", "w", "item_simhash", "b", F.expr(f"({bits.replace('simhash', 'item_simhash')}) ^ cast(x as bigint)").alias("v"))
+    keyed = windows.select("row", "start", "k", "w", "simhash", blocks).withColumn("v", F.expr(bits))
+    found = keyed.join(probes.hint("merge"), ["k", "w", "b", "v"]).withColumn("distance", F.expr("cast(bit_count(simhash ^ item_simhash) as int)")).filter(F.col("distance") <= RADIUS)
+    found = found.select("row", "k", "w", "start", "item_id", "distance").distinct()
+
+    both = found.join(windows.drop("simhash"), ["row", "k", "w", "start"]).select("doc_id", "start", "item_id", "distance", "window").join(_limited(items.select("item_id", "name", "hashes"), sum(sizes.values())), "item_id")
     common = "aggregate(array_distinct(window), 0, (n, h) -> n + least(size(filter(window, x -> x = h)), size(filter(hashes, x -> x = h))))"
     both = both.withColumn("common", F.expr(common)).withColumn("similarity", F.expr("common / (size(window) + size(hashes) - common)"))
     best = both.filter(F.col("similarity") >= SIMILARITY).groupBy("doc_id", "name").agg(F.max(F.struct("similarity", -F.col("start"), "distance")).alias("m"))
@@ -125,15 +129,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
-    """One row for each contaminated document and item."""
+    """One row for each contaminated document and item: doc_id, item_id, window_start, similarity.
+
+    Null texts and items without words match nothing; null ids stay null; ties go to the first window; empty tables give no rows.
+    """
     got = contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return got.select("doc_id", "item_id", "window_start", F.round("similarity", 6).alias("similarity"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates (columns as they are)."""
+    """The rows of ``docs`` whose id has no text that an item contaminates (columns as they are); null ids are one id."""
     bad = C.stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct(), "decontam-bad", most=C.files(docs))
-    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]), "left_anti")
 
 
 OP3_SQL = r"""
