@@ -4,10 +4,10 @@ Known words score by their per-language log frequency; an unseen word falls back
 character n-grams, from the longest down to single characters.
 
 The model is fitted on a bounded sample of labelled rows: at most PER_LANGUAGE documents
-of each label, chosen by a hash of the id, with at most WORDS words and GRAMS n-grams
-kept by frequency. All three bounds are parameters; the model's size follows them alone,
-so it can be sent to every executor. Prediction covers every whole text and reads
-nothing but the text.
+of each label, chosen by a hash of the id. All words and n-grams that the sample holds at
+least LEAST times, over all languages, are known with their counts in every language; rarer
+words are what the backoff is for. The model's size follows the sample alone, so it can be
+sent to every executor. Prediction covers every whole text and reads nothing but the text.
 
 Defined cases: null text, or text without letters: ``und`` with score 0; no labelled
 rows at all: ``und``; ties go to the label that sorts first; equal texts get equal
@@ -22,13 +22,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.llm import common as C
 
-PER_LANGUAGE, WORDS, GRAMS, ORDER = 1500, 40_000, 60_000, 5
+PER_LANGUAGE, LEAST, ORDER = 1500, 2, 5
 FOLDS, HELD_OUT = 4, 2
 UND = "und"
 
@@ -68,22 +69,23 @@ def _count(order: int):
 class Model:
     """Log probabilities: a row for each known word and n-gram, a column for each language."""
 
-    def __init__(self, rows: list[tuple[int, str, str, int]], totals: dict[tuple[int, str], int], order: int):
+    def __init__(self, counts: pa.Table, totals: dict[tuple[int, str], int], order: int):
+        """``counts``: kind (0 word, 1 n-gram), lang, item, n; one row each."""
         self.order, self.langs = order, sorted({lang for _, lang in totals})
         at = {lang: k for k, lang in enumerate(self.langs)}
         self.words, self.chars = ({}, {})  #: row of each known word, of each known n-gram
         self.tables = []
         for kind, index in ((0, self.words), (1, self.chars)):
-            counts: dict[str, np.ndarray] = {}
-            for k, lang, item, n in rows:
-                if k == kind:
-                    counts.setdefault(item, np.zeros(len(at)))[at[lang]] += n
-            total = np.array([totals.get((kind, lang), 0) for lang in self.langs], float)
-            index.update((x, k) for k, x in enumerate(counts))
-            table = np.array(list(counts.values())).reshape(len(counts), len(at))
-            table = np.log((table + 0.5) / (total + 0.5 * (len(counts) + 1)))
+            some = counts.filter(pc.equal(counts.column("kind"), kind))
+            items = some.column("item").combine_chunks().dictionary_encode()
+            items = items if isinstance(items, pa.DictionaryArray) else items.combine_chunks()
+            index.update((x, k) for k, x in enumerate(items.dictionary.to_pylist()))
+            table = np.zeros((len(index), len(at)), np.float32)
+            table[items.indices.to_numpy(), [at[x] for x in some.column("lang").to_pylist()]] = some.column("n").to_numpy()
+            total = np.array([totals.get((kind, lang), 0) for lang in self.langs], np.float32)
+            table = np.log((table + np.float32(0.5)) / (total + np.float32(0.5) * (len(index) + 1)))
             if kind:  # n-grams overlap: each counts by its length
-                table /= np.fromiter(map(len, index), float, len(index))[:, None]
+                table /= np.fromiter(map(len, index), np.float32, len(index))[:, None]
             self.tables.append(table.astype(np.float32))
 
     def backoff(self, w: str) -> list[int]:
@@ -103,7 +105,7 @@ class Model:
         return self.tables[0][row] if row is not None else self.tables[1][self.backoff(w)].sum(axis=0)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS, n_grams: int = GRAMS, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, least: int = LEAST, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits on rows with a label whose fold is not held out, at most ``per_language`` of each label."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     d = d.filter(F.col("lang").isNotNull() & (C.fold(F.col("doc_id"), FOLDS) != HELD_OUT)).withColumn("h", F.xxhash64("doc_id"))
@@ -115,21 +117,21 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS, n
     some = some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= per_language)
     counted = some.select("lang", "text").mapInArrow(_count(order), "kind int, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n")).persist()  # bounded by the sample; lost blocks are counted again
     totals = {(r["kind"], r["lang"]): r["n"] for r in counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
-    rows: list = []
-    for kind, most in ((0, words), (1, n_grams)):
-        top = counted.filter(F.col("kind") == kind).orderBy(F.desc("n"), "item", "lang").limit(most)
-        rows += [(r["kind"], r["lang"], r["item"], r["n"]) for r in top.collect()]
+    often = counted.groupBy("kind", "item").agg(F.sum("n").alias("all")).filter(F.col("all") >= least).select("kind", "item")
+    # the sample bounds this table
+    table = counted.join(often, ["kind", "item"], "left_semi").orderBy("kind", "item", "lang").select("kind", "lang", "item", "n").toArrow()
     counted.unpersist()
-    return Model(rows, totals, order)
+    return Model(table, totals, order)
 
 
 class _Seen(dict):
     """Row of each word's evidence in ``table``: the known words, and unseen words met lately."""
 
-    LIMIT = 800_000
+    NEW, FLOATS = 400_000, 4 << 20  #: unseen words held at most, and their evidence
 
     def __init__(self, model: Model):
         super().__init__(model.words)
+        self.LIMIT = len(model.words) + max(1000, min(self.NEW, self.FLOATS // max(1, len(model.langs))))
         self.model, self.table, self.new = model, np.zeros((self.LIMIT, len(model.langs)), np.float32), []
         self.table[: len(model.words)] = model.tables[0]
 
@@ -183,6 +185,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row of ``documents``, the model fitted on its other folds.
+
+    Null text or text without letters: ``und``, 0; null ids are kept and count as empty text in the fold; ties go
+    to the label that sorts first; an empty table gives no rows; other columns are not read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = predict(docs, fit(docs))
     return got.select("doc_id", (C.fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
@@ -197,8 +204,9 @@ def _keep(shared, least):
         for b in C.cut(rows, 2000, 16 << 20):
             names = b.schema.names
             part = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(names.index("text"))], ["doc_id", "text"])
-            for got in predict_rows(iter([part])):
-                ok = [lang != UND and score >= least for lang, score in zip(got.column(1).to_pylist(), got.column(2).to_pylist())]
+            ok: list[bool] = []
+            for got in predict_rows(iter([part])):  # a slice may come back in several pieces
+                ok += [lang != UND and score >= least for lang, score in zip(got.column(1).to_pylist(), got.column(2).to_pylist())]
             yield b.filter(pa.array(ok, pa.bool_()))
 
     return run
