@@ -1,8 +1,9 @@
 """Personal data by base patterns and bootstrapped contextual extraction, with DataFrame functions alone.
 
 Base: four kinds found by patterns in every whole text. Bootstrapping: whole base spans are the
-seeds, other tokens with a digit or an @ are candidate instances; the two words before an instance, whatever they
-hold, are its lexical pattern, with digits as 0. Rounds over the graph of distinct (pattern,
+seeds, other tokens with a digit or an @ are candidate instances. An instance has up to three lexical patterns,
+with digits as 0: the two words before it, the two after it, and the word on either side, whatever these words
+hold and however long they are. Rounds over the graph of distinct (pattern,
 instance) pairs score a pattern with F known ones of N instances by F / N * log2(F), as a share of what
 SUPPORT known instances alone give, and an unknown instance by the noisy-or of its confident patterns. After ROUNDS
 rounds, unknown candidates behind a confident pattern whose own score reaches CONFIDENT are
@@ -12,6 +13,8 @@ The patterns are rewritten so that a text is read once whatever it holds: posses
 where no giving back can help, and a start only at the start of a run of its characters or where
 the match before ended.
 
+Positions are running sums of match lengths, made block by block, so that work grows in proportion to the matches.
+
 The text is never shuffled while finding: a scan leaves spans and candidates, the
 graph is pre-aggregated to distinct pairs, and found instances return by equi-joins on their
 own row key, each text's spans being grouped by that key alone.
@@ -44,49 +47,67 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
 SUPPORT, CONFIDENT, ROUNDS = 3, 0.8, 3
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-_TWO = r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)?)"  # of a text from its end
+_WORD = r"[^\x20\x09-\x0D]++"
+_BEFORE = rf"(?:^|(?<=[\x20\x09-\x0D]))({_WORD}[\x20\x09-\x0D]++)?({_WORD})[\x20\x09-\x0D]*+$"
+_AFTER = rf"^[\x20\x09-\x0D]++({_WORD})(?:[\x20\x09-\x0D]++({_WORD}))?"
 _CORE = r"[A-Za-z0-9](?:.*[A-Za-z0-9])?"
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 SAID = "array<struct<start:int,kind:int,end:int,m:string>>"
-TOKENS = "array<struct<start:int,end:int,m:string,words:string>>"
+BLOCK = 128  #: places of a running sum that are copied at once
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the lambdas inside read it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, op) -> Column:
+    """Running sums (or maxima) of an int array: within blocks first, then over the blocks' last values."""
+    ints = F.array().cast("array<int>")
+    state = lambda at, out: F.struct(at.cast("int").alias("at"), out.alias("out"))
+
+    def of(a: Column) -> Column:
+        step = lambda s, x: state(op(s["at"], x), F.concat(s["out"], F.array(op(s["at"], x).cast("int"))))
+        block = lambda b: F.aggregate(F.slice(a, b * BLOCK + 1, BLOCK), state(F.lit(0), ints), step, lambda s: s["out"])
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(a) - 1) / BLOCK).cast("int")), block)
+        join = lambda s, b: state(op(s["at"], F.element_at(b, -1)), F.concat(s["out"], F.array(F.transform(b, lambda x: op(s["at"], x).cast("int")))))
+        return F.flatten(F.aggregate(blocks, state(F.lit(0), F.array().cast("array<array<int>>")), join, lambda s: s["out"]))
 
+    return let(values, lambda a: F.when(F.size(a) > 0, of(a)).otherwise(ints))
 
-def _pairs(text: Column, pattern: str) -> Column:
-    """array<struct<m, g>>: the matches in order; g is the text between a match and the one before."""
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    return F.filter(pairs, lambda x: x["m"].isNotNull())
+
+def _found(text: Column, pattern: str, gaps: bool) -> Column:
+    """array<struct<start, end, m>>: the matches in order; with ``gaps`` also the text between the last two matches and each
+    (``before``), and between it and the next two (``after``)."""
+    ms, gs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def item(p: Column, ends: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            end, at = F.get(ends, i), lambda k, f: F.coalesce(F.get(p[f], i + k), F.lit(""))
+            got = [(end - F.length(m)).alias("start"), end.alias("end"), m.alias("m")]
+            if gaps:
+                got.append(F.concat(at(-2, "m"), at(-1, "g"), at(-1, "m"), at(0, "g")).alias("before"))
+                got.append(F.concat(at(1, "g"), at(1, "m"), at(2, "g"), at(2, "m")).alias("after"))
+            return F.struct(*got)
+
+        return F.transform(p["m"], one)
+
+    lengths = lambda p: F.zip_with(p["m"], F.slice(p["g"], 1, F.size(p["m"])), lambda m, g: F.length(m) + F.length(g))
+    return let(F.struct(ms.alias("m"), gs.alias("g")), lambda p: let(running(lengths(p), lambda a, b: a + b), lambda ends: item(p, ends)))
 
 
 def _matches(text: Column, pattern: str, sign: str) -> Column:
     """array<struct<start, end, m>>: the matches in order."""
-    item = lambda a, x: F.struct((a["at"] + F.length(x["g"])).alias("start"), (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("m"))
-    kind = "array<struct<start:int,end:int,m:string>>"
-    got = F.aggregate(
-        _pairs(text, pattern),
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda a, x: F.struct((a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(item(a, x)).cast(kind)).alias("out")),
-        lambda a: a["out"],
-    )
-    return F.when(text.rlike(sign), got).otherwise(F.array().cast(kind))
+    return F.when(text.rlike(sign), _found(text, pattern, False)).otherwise(F.array().cast("array<struct<start:int,end:int,m:string>>"))
 
 
 def _tokens(text: Column) -> Column:
-    """TOKENS: tokens with a digit or @, each with the words before it (two, unless the text begins), the nearer first and from their ends."""
-    two = lambda c: F.regexp_extract(c, _TWO, 1)
-    before = lambda a, x: two(F.concat_ws(" ", two(F.reverse(x["g"])), a["tail"]))
-    item = lambda a, x: F.struct((a["at"] + F.length(x["g"])).alias("start"), (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("m"), before(a, x).alias("words"))
-    got = F.aggregate(
-        _pairs(text, _TOKEN),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(TOKENS).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            two(F.concat_ws(" ", F.reverse(x["m"]), before(a, x))).alias("tail"),
-            F.concat(a["out"], F.array(item(a, x)).cast(TOKENS)).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(text.rlike("[0-9@]"), got).otherwise(F.array().cast(TOKENS))
+    """Tokens with a digit or @ and the words around them: start, end, m, l2, l1 (the nearer), r1 (the nearer), r2."""
+    word = lambda c, pattern, k: F.regexp_extract(c, pattern, k)
+    item = lambda x: F.struct(x["start"], x["end"], x["m"], F.rtrim(word(x["before"], _BEFORE, 1)).alias("l2"), word(x["before"], _BEFORE, 2).alias("l1"), word(x["after"], _AFTER, 1).alias("r1"), word(x["after"], _AFTER, 2).alias("r2"))
+    kind = "array<struct<start:int,end:int,m:string,l2:string,l1:string,r1:string,r2:string>>"
+    return F.when(text.rlike("[0-9@]"), F.transform(_found(text, _TOKEN, True), item).cast(kind)).otherwise(F.array().cast(kind))
 
 
 def _luhn(m: Column) -> Column:
@@ -129,18 +150,36 @@ def _scan(docs: DataFrame) -> DataFrame:
     return d.select("row", "doc_id", _said(F.col("text")).alias("said"), _tokens(F.col("text")).alias("tokens"))
 
 
+def _patterns(left: bool, right: bool) -> Column:
+    """The patterns of a token's row that lie on the given sides: array<string>."""
+    c = F.col
+    both = lambda a, b: (c(a) != "") & (c(b) != "")
+    out = []
+    if left:
+        out.append(F.when(both("l2", "l1"), F.concat(c("l2"), F.lit(" "), c("l1"), F.lit(" _"))))
+    if right:
+        out.append(F.when(both("r1", "r2"), F.concat(F.lit("_ "), c("r1"), F.lit(" "), c("r2"))))
+    if left and right:
+        out.append(F.when(both("l1", "r1"), F.concat(c("l1"), F.lit(" _ "), c("r1"))))
+    return F.transform(F.array_compact(F.array(*out)), lambda p: F.regexp_replace(F.lower(p), "[0-9]", "0"))
+
+
 def _candidates(scanned: DataFrame) -> DataFrame:
     """row, pattern, instance, start, end, seed of the base spans and of the other tokens that look like identifiers."""
-    t = scanned.select("row", "said", F.explode("tokens").alias("t")).select("row", "said", "t.*").filter(F.col("words").rlike(C.WS))
-    t = t.withColumn("pattern", F.regexp_replace(F.regexp_replace(F.lower(F.reverse("words")), C.WS, " "), "[0-9]", "0"))
-    # every base span starts in a token: its first word, or the whole of it, holds a digit or an @
-    begun = F.filter("said", lambda s: (s["start"] >= F.col("start")) & (s["start"] < F.col("end")))
-    seeds = t.select("row", "pattern", F.explode(begun).alias("s")).select("row", "pattern", F.col("s.m").alias("instance"), "s.start", "s.end", F.lit(True).alias("seed"))
-    t = t.withColumn("instance", F.regexp_extract("m", _CORE, 0))
-    t = t.filter((F.length("instance").between(6, 64)) & (F.contains("instance", F.lit("@")) | (_n_digits(F.col("instance")) >= 4)))
+    t = scanned.select("row", "said", F.explode("tokens").alias("t")).select("row", "said", "t.*")
+    # every base span starts in a token: its first word, or the whole of it, holds a digit or an @; it ends in one, too
+    starts = lambda s: (s["start"] >= F.col("start")) & (s["start"] < F.col("end"))
+    ends = lambda s: (s["end"] > F.col("start")) & (s["end"] <= F.col("end"))
+    seeds = None
+    for sides, fits in (((True, True), lambda s: starts(s) & ends(s)), ((True, False), lambda s: starts(s) & ~ends(s)), ((False, True), lambda s: ends(s) & ~starts(s))):
+        some = t.select("row", F.explode(F.filter("said", fits)).alias("s"), _patterns(*sides).alias("patterns"))
+        seeds = some if seeds is None else seeds.unionByName(some)
+    seeds = seeds.select("row", F.explode("patterns").alias("pattern"), F.col("s.m").alias("instance"), "s.start", "s.end", F.lit(True).alias("seed"))
+    t = t.withColumn("patterns", _patterns(True, True)).withColumn("instance", F.regexp_extract("m", _CORE, 0))
+    t = t.filter((F.length("instance") >= 6) & (F.contains("instance", F.lit("@")) | (_n_digits(F.col("instance")) >= 4)))
     t = t.withColumn("start", F.col("start") + F.expr("instr(m, instance)") - 1).withColumn("end", F.col("start") + F.length("instance"))
     others = t.filter(~F.exists("said", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
-    return seeds.unionByName(others.select("row", "pattern", "instance", "start", "end", F.lit(False).alias("seed")))
+    return seeds.unionByName(others.select("row", F.explode("patterns").alias("pattern"), "instance", "start", "end", F.lit(False).alias("seed")))
 
 
 def bootstrap(candidates: DataFrame, most: int | None = None, support: int = SUPPORT, confident: float = CONFIDENT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -188,23 +227,38 @@ def op6_text(docs: DataFrame) -> DataFrame:
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row of ``documents``.
+
+    Null text is empty; null ids stay null; rows repeat as they came; an empty table gives no rows.
+    """
     return op6_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+MANY = 32  #: spans from which a text is cut up by characters once, rather than read from its start for each
+
+
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans share the first one's mark."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(
-        F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"])), F.when(s["start"] >= a["at"], F.element_at(names, s["kind"] + 1)).otherwise("")).alias("out"))
-    )
-    return F.aggregate(spans, state, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+    def filled(cut, s: Column, ends: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+            mark = F.when(x["start"] >= at, F.element_at(names, x["kind"] + 1)).otherwise("")
+            return F.when(x["end"] <= at, "").otherwise(F.concat(cut(at, F.greatest(F.lit(0), x["start"] - at)), mark))
+
+        return F.concat(F.array_join(F.transform(s, piece), ""), cut(F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)), F.length(text)))
+
+    slow = lambda s, ends: filled(lambda at, n: F.substring(text, at + 1, n), s, ends)
+    fast = lambda s, ends: let(F.split(text, ""), lambda chars: filled(lambda at, n: F.array_join(F.slice(chars, at + 1, n), ""), s, ends))
+    highest = lambda s: running(F.transform(s, lambda x: x["end"]), F.greatest)
+    return let(spans, lambda s: let(highest(s), lambda ends: F.when(F.size(s) < MANY, slow(s, ends)).otherwise(fast(s, ends))))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with the found spans of ``text`` replaced; all other columns and all rows as they are."""
+    """``docs`` with the found spans of ``text`` replaced; all other columns and all rows as they are, null texts null."""
     found = C.stored(find(docs).filter(F.size("spans") > 0).select(F.col("row").alias("found_row"), F.col("spans").alias("found_spans")).dropDuplicates(["found_row"]), "pii-found", most=C.files(docs))
     row = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    got = docs.join(found.hint("shuffle_hash"), row == F.col("found_row"), "left")
-    new = F.when(F.col("found_spans").isNull(), docs["text"]).otherwise(redacted(docs["text"], F.col("found_spans")))
+    got = docs.join(found.hint("shuffle_hash"), row == found["found_row"], "left")
+    new = F.when(found["found_spans"].isNull(), docs["text"]).otherwise(redacted(docs["text"], found["found_spans"]))
     return got.select(*[new.alias("text") if c == "text" else docs[c] for c in docs.columns])

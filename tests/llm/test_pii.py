@@ -90,3 +90,32 @@ def test_patterns_are_scored_by_their_support(spark):
     assert all(_context(spark, seeds, unknown))
     few = [f"we are reachable under u{k}@mail.example" for k in range(3)]
     assert not any(_context(spark, few, unknown))
+
+
+def test_contexts_on_the_right_and_around(spark):
+    right = [f"Write u{k}@mail.example for a refund, number {k}" for k in range(12)]
+    around = [f"The {'abcdefghijkl'[k]} of account u{k}@bank.example belongs {'mnopqrstuvwx'[k]} now" for k in range(12)]
+    got = _context(spark, right + around, ["XK-99-4711-B for a treat", "my account XK-99-4712-B belongs here", "XK-99-4713-B for the treat", "account XK-99-4714-B was"])
+    assert got == [["context:0:12"], ["context:11:23"], [], []]
+
+
+def test_long_identifiers_and_many_matches(spark):
+    long = "XK-" + "99-4711-" * 9 + "B"
+    seeds = [f"we are reachable under u{k}@mail.example" for k in range(12)]
+    assert _context(spark, seeds, [f"reachable under {long}"]) == [[f"context:16:{16 + len(long)}"]]
+    text = "😀 " + " ".join(f"u{k}@mail.example, 10.0.{k % 256}.7" for k in range(700))
+    row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).withColumn("d", pii.digest("base")).first()
+    assert row.d.split(",") == brute(text)
+    out = pii.redact(spark.createDataFrame([(1, text), (2, text[:300]), (2, None)], "doc_id long, text string")).collect()
+    want = "😀 " + " ".join(["[EMAIL], [IP]"] * 700)
+    assert sorted((r.doc_id, (r.text or "")[:11]) for r in out) == [(1, want[:11]), (2, ""), (2, want[:11])] and {r.text for r in out if r.doc_id == 1} == {want}
+
+
+def test_running_sums_across_blocks(spark):
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, pii.BLOCK, pii.BLOCK + 1, 3 * pii.BLOCK + 7):
+        values = [(7 * k) % 11 for k in range(n)]
+        df = spark.createDataFrame([(values,)], "a array<int>")
+        got = df.select(pii.running(F.col("a"), lambda x, y: x + y).alias("s"), pii.running(F.col("a"), F.greatest).alias("m")).first()
+        assert got.s == [sum(values[: k + 1]) for k in range(n)] and got.m == [max(values[: k + 1]) for k in range(n)]
