@@ -3,7 +3,8 @@
 A fixed number of open bins; the free spaces in use are bits of one integer, so the
 tightest bin for a piece is the lowest set bit at or above its length. When all bins
 are open the fullest closes first. Each task packs its own partition: no shuffle, no
-group in one task, and a lost task packs the same rows again.
+group in one task, and a lost task packs the same rows again. The bins left open at the end of
+neighbouring tasks are then emptied and their pieces, the longest first, packed by best fit; no text moves.
 
 Defined cases: null or empty text is the end id alone; a document longer than a
 sequence is cut into full sequences and its first piece takes the rest; repeated
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm import common as C
 
@@ -95,12 +97,19 @@ def pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((k, capacity) for k in range(first, n, capacity))]
 
 
+OPEN = -1  #: ``piece`` of the rows that tell of a task's open bins
+
+
 def _pack(path: str, capacity: int, most: int, end_id: int):
+    """Pieces of the task's documents, then a row (piece OPEN) for each bin left open."""
+
     def run(rows):
         encode, bins = encoder(path).encode, Bins(capacity, most)
         base = TaskContext.get().partitionId() << 40
+        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], COLUMNS)
         for b in C.cut(rows, 1000, 8 << 20):
-            out: list[list] = [[], [], [], [], [], [], []]
+            out: list[list] = [[] for _ in COLUMNS]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 got = encode(text, allowed_special="all") if text else []
                 got.append(end_id)
@@ -110,21 +119,58 @@ def _pack(path: str, capacity: int, most: int, end_id: int):
                     row = (doc_id, k, start, length, zlib.crc32(raw[start : start + length]), base + bin_id, offset)
                     for column, value in zip(out, row):
                         column.append(value)
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield made(out)
+        left = [base + bin_id for stack in bins.at for bin_id in stack]
+        if left:
+            n = [0] * len(left)
+            yield made([[None] * len(left), [OPEN] * len(left), n, n, n, left, n])
+
+    return run
+
+
+COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+TASKS = 32  #: tasks whose open bins are emptied and packed together
+SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+
+def repacked(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
+    """Bin and place of each piece by best fit, the longest first."""
+    bins, out = Bins(capacity, len(lengths)), [(0, 0)] * len(lengths)
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        out[k] = bins.put(lengths[k])
+    return out
+
+
+def _repack(capacity: int):
+    def run(table: pa.Table) -> pa.Table:
+        to = repacked(table.column("length").to_pylist(), capacity)
+        base = (table.column("near")[0].as_py() * TASKS << 40) + (1 << 39)  # beyond the bins that a task makes
+        new = {"sequence_id": pa.array([base + k for k, _ in to], pa.int64()), "offset": pa.array([at for _, at in to], pa.int64())}
+        return pa.table({c: new.get(c, table.column(c)) for c in COLUMNS})
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = SEQUENCE, open_bins: int = OPEN_BINS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Tasks pack their own documents; the pieces in the bins that TASKS neighbouring tasks leave open are then packed once more.
+    """
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path(TOKENIZER)
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return C.id_text(docs, id_col, text_col).mapInArrow(_pack(tokenizer_path, capacity, open_bins, end_id), schema)
+    d = C.id_text(docs, id_col, text_col)
+    made = C.stored(d.coalesce(C.files(d)).mapInArrow(_pack(tokenizer_path, capacity, open_bins, end_id), SCHEMA), "packing-pieces")
+    left = made.filter(F.col("piece") == OPEN).select("sequence_id", (F.shiftright("sequence_id", 40) / TASKS).cast("long").alias("near"))
+    placed = C.looked_up(made.filter(F.col("piece") != OPEN), left, "sequence_id", F.xxhash64("doc_id", "piece"), "left")
+    again = placed.filter("near IS NOT NULL").groupBy("near").applyInArrow(_repack(capacity), SCHEMA)
+    return placed.filter("near IS NULL").select(*COLUMNS).unionByName(again)
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """One row per piece of every row of ``documents``: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null text is the end id alone; null ids stay null; rows repeat as they came; an empty table gives no rows.
+    """
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
