@@ -86,7 +86,9 @@ def scan_incremental(versions: DataFrame, ledger: str, rule_version: str = RULE_
     fresh = unseen.mapInArrow(_scan, schema)
     # repeated rows of one path may have scanned a blob twice: findings are equal, one is kept
     C.stored(fresh.groupBy("blob").agg(F.first("found").alias("found")), "ledger", at, C.files(versions))
-    return rows.select("path", "blob").join(spark.read.schema(schema).parquet(at).hint("merge"), "blob")
+    # scans at the same time may both have added a blob: again one is kept
+    known = spark.read.schema(schema).parquet(at).groupBy("blob").agg(F.first("found").alias("found"))
+    return rows.select("path", "blob").join(known.hint("merge"), "blob")
 
 
 def digest(found, kinds: list[str]):
@@ -96,10 +98,16 @@ def digest(found, kinds: list[str]):
 
 
 def op4_secret_ledger(spark, sf_dir: str) -> DataFrame:
-    """The whole table as one batch against a new ledger."""
-    docs = C.id_text(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and blob of every row of ``documents``, by a ledger filled in two deliveries.
+
+    First the labelled rows come, then the whole table, of which only the blobs not yet in the ledger are scanned; the
+    result is the ledger's. Null text is empty; null ids stay null; rows repeat as they came; an empty table gives no rows.
+    """
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ledger = f"{C.shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
-    got = scan_incremental(docs.withColumnRenamed("doc_id", "path"), ledger).withColumnRenamed("path", "doc_id")
+    versions = lambda docs: C.id_text(docs).withColumnRenamed("doc_id", "path")
+    scan_incremental(versions(table.filter("lang IS NOT NULL")), ledger)
+    got = scan_incremental(versions(table), ledger).withColumnRenamed("path", "doc_id")
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     got = got.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], digest(F.col("found"), KINDS).alias("spans"), F.hex("blob").alias("blob"))
     return got.withColumn("base_sha256", F.sha2(F.col("spans").cast("binary"), 256))
