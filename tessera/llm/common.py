@@ -33,10 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 FILE_BYTES, LEAST_FILES = 8 << 20, 12
 
 
-def files(docs: DataFrame) -> int:
+def files(docs: DataFrame, file_bytes: int = FILE_BYTES) -> int:
     """How many files an intermediate table of these documents takes at most: in proportion to their stored bytes."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(1 << 30, max(LEAST_FILES, -(-size // FILE_BYTES)))
+    return min(1 << 30, max(LEAST_FILES, -(-size // file_bytes)))
 
 
 def stored(df: DataFrame, name: str, at: str | None = None, most: int | None = None) -> DataFrame:

@@ -6,10 +6,12 @@ task leaves no half-written file. A payload of at least LEAST bytes that was cap
 under a smaller page id is written as a revisit: its record keeps the HTTP header
 (with the payload's length), the payload digest and the id of the record it refers to.
 
-Index: entries sorted by reversed-host key are cut into compressed blocks (level one);
-a sparse directory holds each block's first and last key (level two). A lookup searches
-the directory by bisection, opens the blocks found, and reads byte ranges of archives.
-``read_all`` goes the same way for all entries at once.
+Index: entries sorted by reversed-host key are cut into compressed blocks (level one),
+numbered in key order; a sparse directory (level two) holds the first and last key, cut to KEY
+characters, of each stretch of neighbouring blocks. Stretches are as long as it takes for the
+directory to have at most DIRECTORY_ROWS entries, so it can be sent to every task. A lookup searches
+the directory by bisection, opens the blocks of the stretches found, searches these by their first keys,
+and reads byte ranges of archives. ``captures`` does so for a table of keys, ``lookup`` for one url.
 
 Defined cases: null html is an empty payload; a null or odd url keeps a key of its own
 text; null page ids are responses; repeated rows (same id, same payload) are all
@@ -35,19 +37,21 @@ LEAST = 100
 ARCHIVE_BYTES = 2 << 20
 BLOCK = 256  #: entries of an index block
 DATE = "2020-01-01T00:00:00Z"
-DIRECTORY_ROWS = 1_000_000  #: the largest directory held in the driver for bisection
+DIRECTORY_ROWS, KEY = 100_000, 64
+FILE_BYTES = 4 << 20  #: stored pages behind a task that writes archives
 
 ARCHIVES = "archive string, content binary, entries array<struct<key:string,page_id:long,offset:long,length:long>>"
-BLOCKS = "first string, last string, n int, block binary"
+BLOCKS = "part int, seq int, first string, last string, n int, block binary"
 
 _url = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^#]*)")
 
 
 def url_key(url: str | None) -> str:
     """Reversed host, then path and query: http://a.b.org/x?y is ``org,b,a)/x?y``."""
-    m = _url.match(url or "")
+    url = (url or "").replace("\n", "%0A")
+    m = _url.match(url)
     if not m:
-        return url or ""
+        return url
     host = m[1].rpartition("@")[2].lower()
     name, colon, port = host.partition(":")
     return ",".join(reversed(name.split("."))) + colon + port + ")" + (m[2] or "/")
@@ -117,23 +121,23 @@ def write_archives(pages: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYT
     first = named.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
     revisits = named.join(first, "digest").filter(F.col("page_id") != F.col("refers_to")).distinct()
     rows = p.join(revisits.hint("shuffle_hash"), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
-    return C.stored(rows.coalesce(C.files(pages)).mapInArrow(_write(archive_bytes), ARCHIVES), "warc", f"{root}/archives")
+    return C.stored(rows.coalesce(C.files(pages, FILE_BYTES)).mapInArrow(_write(archive_bytes), ARCHIVES), "warc", f"{root}/archives")
 
 
 def _block(rows):
-    keys, lines = [], []
+    part, seq, keys, lines = TaskContext.get().partitionId(), 0, [], []
 
     def full():
         block = zlib.compress("\n".join(lines).encode(), 6)
-        return pa.RecordBatch.from_arrays([pa.array([keys[0]]), pa.array([keys[-1]]), pa.array([len(keys)], pa.int32()), pa.array([block], pa.binary())], ["first", "last", "n", "block"])
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([keys[0]]), pa.array([keys[-1]]), pa.array([len(keys)], pa.int32()), pa.array([block], pa.binary())], ["part", "seq", "first", "last", "n", "block"])
 
     for b in C.batches(rows):
         for key, page_id, archive, offset, length in zip(*(c.to_pylist() for c in b.columns)):
             keys.append(key)
-            lines.append(f"{archive}\t{offset}\t{length}\t{'' if page_id is None else page_id}\t" + key.replace("\n", "%0A"))
+            lines.append(f"{archive}\t{offset}\t{length}\t{'' if page_id is None else page_id}\t{key}")
             if len(keys) == BLOCK:
                 yield full()
-                keys, lines = [], []
+                seq, keys, lines = seq + 1, [], []
     if keys:
         yield full()
 
@@ -148,41 +152,96 @@ def entries_of(block: bytes) -> list[tuple[str, int, int, int | None, str]]:
 
 
 def build_index(archives: DataFrame, root: str) -> DataFrame:
-    """Writes ``root/index``: sorted entries in compressed blocks, each row with the block's first and last key."""
+    """Writes ``root/index``: sorted entries in compressed blocks, each row with its place in key order and its first and last key."""
     spark = archives.sparkSession
     e = archives.select("archive", F.explode("entries").alias("e")).select("e.key", "e.page_id", "archive", "e.offset", "e.length")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), C.files(archives))
     ordered = e.repartitionByRange(n, "key", "page_id", "archive", "offset").sortWithinPartitions("key", "page_id", "archive", "offset")
-    return C.stored(ordered.mapInArrow(_block, BLOCKS), "warc-index", f"{root}/index", C.files(archives))
+    return C.stored(ordered.mapInArrow(_block, BLOCKS), "warc-index", f"{root}/index")
+
+
+class Directory:
+    """First and last keys of the stretches of blocks, in key order; a stretch is (part, seq // blocks)."""
+
+    def __init__(self, index: DataFrame, most: int = DIRECTORY_ROWS):
+        self.blocks = max(1, -(-index.count() // most))
+        stretch = (F.col("seq") / self.blocks).cast("int").alias("stretch")
+        rows = index.groupBy("part", stretch).agg(F.substring(F.min("first"), 1, KEY).alias("first"), F.substring(F.max("last"), 1, KEY).alias("last")).collect()
+        rows.sort(key=lambda r: (r["first"], r["last"], r["part"], r["stretch"]))
+        self.firsts, self.lasts = [r["first"] for r in rows], [r["last"] for r in rows]
+        self.places = [(r["part"], r["stretch"]) for r in rows]
+
+    def find(self, key: str) -> list[tuple[int, int]]:
+        """The stretches that can hold a key."""
+        key = key[:KEY]
+        return self.places[bisect.bisect_left(self.lasts, key) : bisect.bisect_right(self.firsts, key)]
 
 
 def lookup(spark: SparkSession, root: str, url: str) -> list[dict]:
-    """Records captured for a url: directory, then blocks, then byte ranges."""
-    key = url_key(url).replace("\n", "%0A")
-    index = spark.read.schema(BLOCKS).parquet(f"{root}/index")
-    directory = index.select("first", "last").orderBy("first", "last").limit(DIRECTORY_ROWS + 1).collect()
-    if len(directory) <= DIRECTORY_ROWS:
-        firsts, lasts = [r["first"] for r in directory], [r["last"] for r in directory]
-        lo, hi = bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)
-        if lo >= hi:
-            return []
-        found = index.filter((F.col("first") <= firsts[hi - 1]) & (F.col("last") >= lasts[lo]))
-    else:  # the same test, pushed down to the sorted files
-        found = index.filter((F.col("first") <= key) & (F.col("last") >= key))
-    places = [e for r in found.select("block").collect() for e in entries_of(r["block"]) if e[4] == key]
-    archives = spark.read.schema(ARCHIVES).parquet(f"{root}/archives").select("archive", "content")
-    out = []
-    for archive, offset, length, _, _ in sorted(places):
-        got = archives.filter(F.col("archive") == archive).select(F.expr(f"substring(content, {offset + 1}, {length})").alias("m")).collect()
-        out += [parse(gzip.decompress(r["m"])) for r in got]
-    return out
+    """Records captured for a url: directory, then blocks, then byte ranges, read by one job."""
+    key, index = url_key(url), spark.read.schema(BLOCKS).parquet(f"{root}/index")
+    directory = Directory(index)
+    places = directory.find(key)
+    if not places:
+        return []
+    inside = F.lit(False)
+    for part in {p for p, _ in places}:
+        seqs = [s * directory.blocks for p, s in places if p == part]
+        inside |= (F.col("part") == part) & F.col("seq").between(min(seqs), max(seqs) + directory.blocks - 1)
+    blocks = index.filter(inside & (F.col("first") <= key) & (F.col("last") >= key)).select("block").collect()
+    found = sorted(e[:3] for r in blocks for e in entries_of(r["block"]) if e[4] == key)
+    ranges = spark.createDataFrame(found, "archive string, offset int, length int")
+    archives = spark.read.schema(ARCHIVES).parquet(f"{root}/archives").filter(F.col("archive").isin(sorted({e[0] for e in found}))).select("archive", "content")
+    got = archives.join(F.broadcast(ranges), "archive").select("archive", "offset", F.expr("substring(content, offset + 1, length)").alias("m")).collect()
+    return [parse(gzip.decompress(r["m"])) for r in sorted(got, key=lambda r: (r["archive"], r["offset"]))]
+
+
+def _keys(rows):
+    for b in C.batches(rows):
+        yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], ["key"])
+
+
+def keys_of(urls: DataFrame) -> DataFrame:
+    """The distinct index keys of a table's one column of urls."""
+    return urls.distinct().mapInArrow(_keys, "key string").distinct()
+
+
+_ASK = "part int, stretch int, kind int, at string, last string, block binary"
+
+
+def _seek(shared):
+    """The directory's answer for each key."""
+
+    def run(rows):
+        for b in C.batches(rows):
+            out = [(*place, key) for key in b.column(0).to_pylist() for place in shared.value.find(key)]
+            n = len(out)
+            part, stretch, key = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(stretch, pa.int32()), pa.array([1] * n, pa.int32()), pa.array(key, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())], ["part", "stretch", "kind", "at", "last", "block"])
+
+    return run
 
 
 def _open(rows):
+    """Rows by stretch, its blocks first, then the keys asked for, both in key order: the places of the captures found."""
+    now, blocks, opened, entries = None, [], -1, []
     for b in C.batches(rows):
-        for block in b.column(0).to_pylist():
-            e = entries_of(block)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in e]), pa.array([x[1] for x in e], pa.int64()), pa.array([x[2] for x in e], pa.int64())], ["archive", "offset", "length"])
+        found = []
+        for part, stretch, kind, at, last, block in zip(*(c.to_pylist() for c in b.columns)):
+            if (part, stretch) != now:
+                now, blocks, opened = (part, stretch), [], -1
+            if kind == 0:
+                blocks.append((at, last, block))
+                continue
+            k = bisect.bisect_left(blocks, at, key=lambda x: x[1])
+            while k < len(blocks) and blocks[k][0] <= at:
+                if opened != k:
+                    opened, entries = k, entries_of(blocks[k][2])
+                lo, hi = bisect.bisect_left(entries, at, key=lambda e: e[4]), bisect.bisect_right(entries, at, key=lambda e: e[4])
+                found += [e[:3] for e in entries[lo:hi]]
+                k += 1
+        archive, offset, length = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(archive, pa.string()), pa.array(offset, pa.int64()), pa.array(length, pa.int64())], ["archive", "offset", "length"])
 
 
 _fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
@@ -195,22 +254,33 @@ def _ranges(rows):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in _fields], [k for k, _ in _fields])
 
 
-def read_all(spark: SparkSession, root: str) -> DataFrame:
-    """Every capture of the index, read from its byte range: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    blocks = spark.read.schema(BLOCKS).parquet(f"{root}/index").select("block")
+def captures(spark: SparkSession, root: str, keys: DataFrame, directory_rows: int = DIRECTORY_ROWS) -> DataFrame:
+    """All captures of the distinct ``keys`` (one column): page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    index = spark.read.schema(BLOCKS).parquet(f"{root}/index")
+    directory = Directory(index, directory_rows)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = keys.mapInArrow(_seek(spark.sparkContext.broadcast(directory)), _ASK)
+    held = index.select("part", (F.col("seq") / directory.blocks).cast("int").alias("stretch"), F.lit(0).alias("kind"), F.col("first").alias("at"), "last", "block")
+    # a stretch has a bounded number of blocks, and no more keys that it holds than these have entries
+    laid = held.unionByName(asked).repartition(n, "part", "stretch").sortWithinPartitions("part", "stretch", "kind", "at", "last")
+    places = laid.mapInArrow(_open, "archive string, offset long, length long")
     # an archive holds a bounded number of records, so its list of ranges is bounded too
-    places = blocks.mapInArrow(_open, "archive string, offset long, length long").groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
+    places = places.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
     archives = spark.read.schema(ARCHIVES).parquet(f"{root}/archives").select("archive", "content")
     joined = archives.join(places.hint("shuffle_hash"), "archive").select("content", "places")
     return joined.mapInArrow(_ranges, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every row of ``pages``, read back by the keys of its urls.
+
+    Null html is an empty payload; null urls share a key; null page ids are responses; an empty table gives no rows.
+    """
     import uuid
 
-    root = f"{C.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    build_index(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), root), root)
-    return read_all(spark, root)
+    root, pages = f"{C.shared_dir(spark)}/warc-{uuid.uuid4().hex}", spark.read.parquet(f"{sf_dir}/pages.parquet")
+    build_index(write_archives(pages, root), root)
+    return captures(spark, root, keys_of(pages.select(F.col("url").cast("string"))))
 
 
 OP5_SQL = """

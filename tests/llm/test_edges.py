@@ -140,7 +140,7 @@ def test_warc_round_trip_and_lookup(spark, tmp_path):
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, digest int")
     root = str(tmp_path / "warc")
     warc.build_index(warc.write_archives(df, root, archive_bytes=300), root)
-    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_all(spark, root).collect())
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.captures(spark, root, warc.keys_of(df.select("url"))).collect())
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     assert got == Counter((i, len(t or ""), sha(t), "revisit" if i == 2 else "response", 1 if i == 2 else None) for i, _, t in pages)
     found = warc.lookup(spark, root, "http://a.example.org/x?q=1")
