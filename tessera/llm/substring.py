@@ -14,9 +14,13 @@ stage by id, compressed, and meet the flags of their own document only.
 Hashes have 64 bits; the groups' leading bits are part of them. Two different windows
 of a corpus of n windows are confused with a probability of about n^2 / 2^65.
 
+Documents are told apart by their ids. Where an id has several texts (nulls count as one id), the
+distinct rows are numbered in order first, over ranges of rows, and go by their numbers.
+
 Defined cases: null or empty text has no words, its kept text is empty; documents
-shorter than a window keep all words; a null id sorts before all others; rows that share
-an id count as one document (equal rows give equal results); empty tables give no rows.
+shorter than a window keep all words; a null id sorts before all others; rows of one id with
+different texts are documents of their own, in the order of a hash of their texts; equal rows give
+equal results; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -238,21 +243,59 @@ def _apply(depth: int, digest: bool):
     return run
 
 
+def _number(rows):
+    """Adds the partition and the place in it to sorted rows."""
+    part, at = TaskContext.get().partitionId(), 0
+    for b in C.batches(rows):
+        n = b.num_rows
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * n, pa.int32()), pa.array(np.arange(at, at + n))], [*b.schema.names, "part", "place"])
+        at += n
+
+
+def numbered(d: DataFrame) -> DataFrame:
+    """(id, text_hash, number) of the distinct rows: numbers in the order of ids and text hashes, without sorting in one task."""
+    spark = d.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = d.select(F.coalesce("doc_id", F.lit(C.NO_ID)).alias("id"), C.row_key("text").alias("text_hash")).distinct()
+    laid = pairs.repartitionByRange(n, "id", "text_hash").sortWithinPartitions("id", "text_hash")
+    laid = C.stored(laid.mapInArrow(_number, "id long, text_hash long, part int, place long"), "repeats-numbers")
+    sizes = sorted((r["part"], r["count"]) for r in laid.groupBy("part").count().collect())  # a row for each range
+    starts, total = [], 0
+    for part, size in sizes:
+        starts.append((part, total))
+        total += size
+    starts = F.broadcast(spark.createDataFrame(starts, "part int, start long"))
+    return laid.join(starts, "part").select("id", "text_hash", (F.col("start") + F.col("place")).alias("number"))
+
+
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans): the words left, joined by one space, and the maximal removed spans of word positions.
 
     With ``digest`` the kept text is replaced by its SHA-256, so that it need not leave the task.
     """
     d = C.id_text(docs, id_col, text_col)
+    hashed = d.select("doc_id", C.row_key("text").alias("h"))
+    numbers = None
+    if hashed.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").limit(1).count():
+        numbers = C.stored(numbered(d), "repeats-keys")
+        keyed = d.withColumn("id", F.coalesce("doc_id", F.lit(C.NO_ID))).withColumn("text_hash", C.row_key("text"))
+        d = keyed.join(numbers.hint("shuffle_hash"), ["id", "text_hash"]).select(F.col("number").alias("doc_id"), "text")
     n = X.groups(d)
     labels = X.labels(n)
     flags = d.mapInArrow(_ship(n, depth, labels), SHIP_SQL).repartition(n, "bucket").mapInArrow(_resolve(labels), MEET_SQL)
     meet = flags.unionByName(d.mapInArrow(_texts(labels), MEET_SQL)).repartition(n, "part").sortWithinPartitions("part", "kind")
     got = meet.mapInArrow(_apply(depth, digest), "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<start:long,end:long>>")
+    if numbers is not None:
+        back = numbers.select(F.col("number").alias("doc_id"), F.when(F.col("id") != C.NO_ID, F.col("id")).alias("own"))
+        got = got.join(back.hint("shuffle_hash"), "doc_id").select(F.col("own").alias("doc_id"), "n_words", "n_removed", "kept", "spans")
     return got.withColumn("kept", F.col("kept").cast("string"))
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every row of ``documents``.
+
+    Null text has no words; null ids stay null and come first; rows of one id are judged one by one; an empty table gives no rows.
+    """
     got = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
     return got.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.llm import common, decontam, langid, neardup
+from tessera.llm import common, decontam, langid, neardup, substring
 
 
 def table(spark, rows):
@@ -149,3 +149,20 @@ def test_items_found_by_blocks_alone(spark):
     got = decontam.contaminated(table(spark, [(k, t) for k, t in items[:5]]), bench_rows(spark, items))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, k) for k in range(5)}
     assert got.agg(F.max("distance")).first()[0] <= decontam.RADIUS
+
+
+def test_repeats_of_ids_with_several_texts(spark):
+    """An id with a repeated and a unique text loses words of the first alone; so do null ids."""
+    a, b, c = prose(1, 30), prose(2, 30), prose(3, 30)
+    for one in (5, None):
+        rows = [(one, b), (one, a), (7, a), (8, c + " " + b), (9, prose(4, 5)), (one, a)]
+        got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(table(spark, rows)).collect())
+        key = one or 0
+        assert got == sorted([(key, 30, 0, a), (key, 30, 0, a), (key, 30, 0, b), (7, 30, 30, ""), (8, 60, 30, c), (9, 5, 0, prose(4, 5))])
+
+
+def test_numbers_follow_ids_over_ranges(spark):
+    rows = [(k % 40 or None, f"text {k % 80}") for k in range(200)]
+    got = substring.numbered(table(spark, rows)).collect()
+    by = sorted((r.number, r.id, r.text_hash) for r in got)
+    assert [n for n, _, _ in by] == list(range(80)) and [x[1:] for x in by] == sorted(x[1:] for x in by)
