@@ -64,31 +64,44 @@ def _scan(rows):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _found_type)], ["blob", "found"])
 
 
-def scan_incremental(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
-    """(path, blob, found) for each row of ``versions`` (path, text); only unseen (blob, rule version) pairs are scanned.
+FOUND = f"blob binary, found {FINDING}"
+
+
+def _blobs(versions: DataFrame) -> DataFrame:
+    rows = versions.select("path", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("blob", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+
+
+def scan(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> None:
+    """Scans the blobs of ``versions`` (path, text) whose pair with the rule version is not in the ledger, and adds them to it.
 
     ``ledger`` is the table's folder; it is made by the first scan. A scan that fails part-way leaves the ledger as it was.
     """
-    spark = versions.sparkSession
-    rows = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    schema = f"blob binary, found {FINDING}"
-    at = f"{ledger}/rule_version={rule_version}"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    exists = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-    seen = spark.read.schema(schema).parquet(at) if exists else spark.createDataFrame([], schema)
-
-    # one row key for each unseen blob: the smallest hash of (path, blob) suffices to name a row, copies of a row are dropped below
-    keyed = rows.withColumn("row", F.xxhash64("path", "blob"))
+    spark, at = versions.sparkSession, f"{ledger}/rule_version={rule_version}"
+    # a row of each unseen blob: the smallest hash of (path, blob) names it, copies of a row are dropped below
+    keyed = _blobs(versions).withColumn("row", F.xxhash64("path", "blob"))
     first = keyed.groupBy("blob").agg(F.min("row").alias("row"))
-    if exists:
-        first = first.join(seen.select("blob"), "blob", "left_anti")
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        first = first.join(spark.read.schema(FOUND).parquet(at).select("blob"), "blob", "left_anti")
     unseen = keyed.join(first.select("row", F.col("blob").alias("first_blob")).hint("shuffle_hash"), "row", "left_semi").select("blob", "text")
-    fresh = unseen.mapInArrow(_scan, schema)
+    fresh = unseen.mapInArrow(_scan, FOUND)
     # repeated rows of one path may have scanned a blob twice: findings are equal, one is kept
     C.stored(fresh.groupBy("blob").agg(F.first("found").alias("found")), "ledger", at, C.files(versions))
-    # scans at the same time may both have added a blob: again one is kept
-    known = spark.read.schema(schema).parquet(at).groupBy("blob").agg(F.first("found").alias("found"))
-    return rows.select("path", "blob").join(known.hint("merge"), "blob")
+
+
+def findings(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """(path, blob, found) for each row of ``versions`` whose blob the ledger holds under the rule version."""
+    known = versions.sparkSession.read.schema(FOUND).parquet(f"{ledger}/rule_version={rule_version}")
+    # scans at the same time may both have added a blob: one is kept
+    known = known.groupBy("blob").agg(F.first("found").alias("found"))
+    return _blobs(versions).select("path", "blob").join(known.hint("merge"), "blob")
+
+
+def scan_incremental(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Scans what is unseen, then gives the findings of all rows."""
+    scan(versions, ledger, rule_version)
+    return findings(versions, ledger, rule_version)
 
 
 def digest(found, kinds: list[str]):
@@ -100,14 +113,16 @@ def digest(found, kinds: list[str]):
 def op4_secret_ledger(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and blob of every row of ``documents``, by a ledger filled in two deliveries.
 
-    First the labelled rows come, then the whole table, of which only the blobs not yet in the ledger are scanned; the
-    result is the ledger's. Null text is empty; null ids stay null; rows repeat as they came; an empty table gives no rows.
+    The deliveries are the rows whose id has a negative hash and all others, as if one came after the other: of the second, only
+    blobs not yet in the ledger are scanned. All findings are the ledger's. Null text is empty; null ids stay null; rows repeat as
+    they came; an empty table gives no rows.
     """
-    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ledger = f"{C.shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
-    versions = lambda docs: C.id_text(docs).withColumnRenamed("doc_id", "path")
-    scan_incremental(versions(table.filter("lang IS NOT NULL")), ledger)
-    got = scan_incremental(versions(table), ledger).withColumnRenamed("path", "doc_id")
+    docs = C.id_text(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("doc_id", "path")
+    negative = F.xxhash64("path") < 0
+    scan(docs.filter(negative), ledger)
+    scan(docs.filter(~negative), ledger)
+    got = findings(docs, ledger).withColumnRenamed("path", "doc_id")
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
     got = got.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)], digest(F.col("found"), KINDS).alias("spans"), F.hex("blob").alias("blob"))
     return got.withColumn("base_sha256", F.sha2(F.col("spans").cast("binary"), 256))
