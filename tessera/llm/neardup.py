@@ -42,7 +42,7 @@ from tessera.llm import common as C
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
 SIMILAR = (75, 100)  #: linked if 100 * intersection >= 75 * union
 CHUNK, CHUNK_SHINGLES = 2000, 2_000_000
-BUCKET, LIKELY = 2000, 56
+BUCKET, LIKELY = 500, 56
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
