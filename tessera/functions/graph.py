@@ -5,17 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own, in local mode alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        base = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="tessera-"))
+    return base.rstrip("/")
+
+
 def shared(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to ``spark.checkpoint.dir`` (one of our own if unset) and reads it back."""
+    """Writes ``df`` to the shared folder and reads it back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tessera-"))
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -22,19 +22,8 @@ RING = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
 
 def filled(mask: np.ndarray) -> np.ndarray:
     """The mask with its holes; a hole is background that no 4-connected way leads out of."""
-    free = np.pad(~mask, 1, constant_values=True)
-    out = np.zeros_like(free)
-    out[0], out[-1], out[:, 0], out[:, -1] = True, True, True, True
-    while True:
-        new = out.copy()
-        new[1:] |= out[:-1]
-        new[:-1] |= out[1:]
-        new[:, 1:] |= out[:, :-1]
-        new[:, :-1] |= out[:, 1:]
-        new &= free
-        if (new == out).all():
-            return ~out[1:-1, 1:-1]
-        out = new
+    lab = label_tile(np.pad(~mask, 1, constant_values=True), diagonal=False)
+    return (lab != lab[0, 0])[1:-1, 1:-1]
 
 
 def outline(mask: np.ndarray) -> list[tuple[int, int, int]]:

@@ -7,7 +7,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.functions.graph import shared
+from tessera.functions.graph import shared, shared_dir
 from tessera.registry import query
 from tessera.sources import rasters as R
 from tessera.sources.fixtures import duck, patches, table, view
@@ -96,12 +96,10 @@ def s04(spark, sf):
 
 def written(df, kind: str, **options):
     """Writes under the shared folder in ``kind`` and reads it back with the schema of ``df``."""
-    import tempfile
     import uuid
 
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    path = f"{base.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
     df.write.options(**options).format(kind).save(path)
     return spark.read.options(**options).schema(df.schema).format(kind).load(path)
 

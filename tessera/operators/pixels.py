@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -12,10 +15,26 @@ from tessera.sources.fixtures import duck, patches, view
 N = S.PS
 
 
-def long(df: DataFrame, column: str, name: str = "v") -> DataFrame:
-    """(pid, y, x, value) of an array column."""
-    e = df.select("pid", F.posexplode(column).alias("i", name))
-    return e.select("pid", F.expr(f"CAST(i DIV {N} AS INT)").alias("y"), F.expr(f"i % {N}").cast("int").alias("x"), name)
+def long(df: DataFrame, column: str, name: str = "v", side: int = N) -> DataFrame:
+    """(pid, y, x, value) of an array column.
+
+    The array goes through an Arrow step first: an explode right above its expression would have the optimiser evaluate it again for each use.
+    """
+    kind = df.schema[column].dataType.elementType.simpleString()
+    return df.select("pid", column).mapInArrow(exploded(side), f"pid {df.schema['pid'].dataType.simpleString()}, y int, x int, {name} {kind}")
+
+
+def exploded(side: int):
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            flat = pc.list_flatten(lists)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), pa.array((place // side).astype(np.int32)), pa.array((place % side).astype(np.int32)), flat], ["pid", "y", "x", "v"])
+
+    return run
 
 
 def _nb(taps, source: str = "fx_gray", value: str = "g") -> str:

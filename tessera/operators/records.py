@@ -70,15 +70,25 @@ def patch_dice(pred: DataFrame, threshold: float = 0.58) -> DataFrame:
 DICE = "dice AS (SELECT pid, CASE WHEN sum(CAST(p > 0.58 AS INT) + CAST(truth AS INT)) > 0 THEN (2 * sum(CAST(p > 0.58 AND truth AS INT)) + CAST(1e-6 AS DOUBLE)) / (sum(CAST(p > 0.58 AS INT) + CAST(truth AS INT)) + CAST(1e-6 AS DOUBLE)) END AS dice FROM fx_pred GROUP BY pid)"
 
 
+def upper_median(df: DataFrame, column: str, bins: int = 4096) -> DataFrame:
+    """One row: the value of rank n // 2 + 1 of values in [0, 1], exactly, without a global sort.
+
+    A histogram of ``bins`` rows tells the bin that holds it; only that bin's distinct values are ranked.
+    """
+    binned = df.select(F.col(column).alias("v"), F.floor(F.col(column) * bins).alias("bin"))
+    counts = binned.groupBy("bin").agg(F.count("*").alias("c"))
+    n = counts.agg((F.expr("sum(c) DIV 2 + 1")).alias("rank"))
+    cum = counts.withColumn("hi", F.sum("c").over(W.orderBy("bin"))).crossJoin(F.broadcast(n))
+    at = cum.filter("hi >= rank").agg(F.min_by(F.struct("bin", (F.col("rank") - F.col("hi") + F.col("c")).alias("rank")), "bin").alias("at")).select("at.bin", "at.rank")
+    inside = binned.join(F.broadcast(at), "bin").groupBy("v", "rank").agg(F.count("*").alias("c"))
+    return inside.withColumn("hi", F.sum("c").over(W.orderBy("v"))).filter("hi >= rank").agg(F.min("v").alias("value"))
+
+
 @query("r06_dice_ranking_summary", duck("pred", f"WITH {DICE}, o AS (SELECT dice, row_number() OVER (ORDER BY dice, pid) AS k, count(*) OVER () AS n FROM dice WHERE dice IS NOT NULL) SELECT round(min(dice), 6) AS worst, round(max(CASE WHEN k = n // 2 + 1 THEN dice END), 6) AS upper_median, round(avg(CASE WHEN k <= 150 THEN dice END), 6) AS top_mean, count(*) AS n FROM o"))
 def r06(spark, sf, top_k: int = 150):
     d = patch_dice(view(spark, sf, "pred")).filter("dice IS NOT NULL").select(F.round("dice", 12).alias("dice"), "pid")
-    # exact order statistics without a global sort: the median rank comes from counts of distinct values
-    n = d.agg(F.count("*").alias("n"))
     top = d.orderBy("dice", "pid").limit(top_k).agg(F.avg("dice").alias("top_mean"))
-    runs = d.groupBy("dice").agg(F.count("*").alias("c"))
-    below = runs.withColumn("hi", F.sum("c").over(W.orderBy("dice")))
-    med = below.crossJoin(F.broadcast(n)).filter("hi >= n DIV 2 + 1").agg(F.min("dice").alias("upper_median"))
+    med = upper_median(d, "dice").withColumnRenamed("value", "upper_median")
     return d.agg(F.min("dice").alias("worst"), F.count("*").alias("n")).crossJoin(med).crossJoin(top).select(F.round("worst", 6).alias("worst"), F.round("upper_median", 6).alias("upper_median"), F.round("top_mean", 6).alias("top_mean"), "n")
 
 
@@ -114,28 +124,36 @@ def r11(spark, sf):
     return view(spark, sf, "record").select("patch_id", coverage_bin(F.col("coverage_pct")).alias("bin"))
 
 
-def merge_rare(binned: DataFrame, least: int = 2) -> DataFrame:
-    """bin -> the nearest bin with enough members (the lower one on a tie). Bins are few by definition."""
+def merge_rare(binned: DataFrame, least: int = 2, share: float = 0.0) -> DataFrame:
+    """bin -> the nearest bin with enough members, in number and as a share of all (the lower one on a tie). Bins are few by definition."""
     n = binned.groupBy("bin").agg(F.count("*").alias("n"))
-    safe = n.filter(F.col("n") >= least).select(F.col("bin").alias("to"))
+    total = n.agg(F.sum("n").alias("all"))
+    safe = n.crossJoin(F.broadcast(total)).filter((F.col("n") >= least) & (F.col("n") >= share * F.col("all"))).select(F.col("bin").alias("to"))
     near = n.join(F.broadcast(safe)).groupBy("bin").agg(F.min(F.struct(F.abs(F.col("bin") - F.col("to")).alias("d"), "to")).alias("m"))
     return near.select("bin", F.col("m.to").alias("stratum"))
 
 
-@query("r12_rare_stratum_merge", duck("record", f"WITH b AS (SELECT {_BIN} AS bin, count(*) AS n FROM fx_record WHERE doc_id % 40 = 0 GROUP BY 1), p AS (SELECT a.bin, s.bin AS t, row_number() OVER (PARTITION BY a.bin ORDER BY abs(a.bin - s.bin), s.bin) AS k FROM b a, b s WHERE s.n >= 4) SELECT bin, t AS stratum FROM p WHERE k = 1"))
+@query("r12_rare_stratum_merge", duck("record", f"WITH b AS (SELECT {_BIN} AS bin, count(*) AS n FROM fx_record GROUP BY 1), p AS (SELECT a.bin, s.bin AS t, row_number() OVER (PARTITION BY a.bin ORDER BY abs(a.bin - s.bin), s.bin) AS k FROM b a, b s WHERE 5 * s.n >= (SELECT sum(n) FROM b)) SELECT bin, t AS stratum FROM p WHERE k = 1"))
 def r12(spark, sf):
-    r = view(spark, sf, "record").filter("doc_id % 40 = 0")  # a small group, so that rare bins occur
-    return merge_rare(r.select(coverage_bin(F.col("coverage_pct")).alias("bin")), 4)
+    """A bin is rare here if it holds less than a fifth of all records, so that rare bins occur at every size."""
+    return merge_rare(view(spark, sf, "record").select(coverage_bin(F.col("coverage_pct")).alias("bin")), share=0.2)
 
 
 def split_records(records: DataFrame, seed: int = SEED) -> DataFrame:
-    """80/10/10 inside each stratum, in order of md5(seed:id); shares are rounded half up, the rest is the test split."""
+    """80/10/10 inside each stratum, in order of md5(seed:id); shares are rounded half up, the rest is the test split.
+
+    Places in the order come from ranges of the hash: 4,096 a stratum, whose counts are summed up, so no stratum is sorted in one task.
+    """
     b = records.withColumn("bin", coverage_bin(F.col("coverage_pct")))
     b = b.join(F.broadcast(merge_rare(b)), "bin")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"))
     b = b.withColumn("h", key)
     n = b.groupBy("stratum").agg(F.count("*").alias("n"))
-    b = b.join(F.broadcast(n), "stratum").withColumn("k", F.row_number().over(W.partitionBy("stratum").orderBy("h")))
+    b = b.withColumn("range", F.substring("h", 1, 3))
+    counts = b.groupBy("stratum", "range").agg(F.count("*").alias("c"))  # at most 4,096 rows a stratum
+    before = counts.select("stratum", "range", (F.sum("c").over(W.partitionBy("stratum").orderBy("range")) - F.col("c")).alias("before"))
+    b = b.join(F.broadcast(n), "stratum").join(F.broadcast(before), ["stratum", "range"])
+    b = b.withColumn("k", F.col("before") + F.row_number().over(W.partitionBy("stratum", "range").orderBy("h"))).drop("range", "before")
     train, val = "(8 * n + 5) DIV 10", "(9 * n + 5) DIV 10"
     return b.withColumn("split", F.expr(f"CASE WHEN k <= {train} THEN 'train' WHEN k <= {val} THEN 'val' ELSE 'test' END")).drop("h", "n", "k", "bin")
 
@@ -310,8 +328,8 @@ def r36(spark, sf):
     return r.agg(F.count("*").alias("total"), F.count_if(F.col("mask_source") == "corrected").alias("corrected"), F.count_if(~F.col("files_exist")).alias("missing"))
 
 
-@query("r37_edit_selection", duck("record corrected", "SELECT doc_id, patch_id FROM fx_record WHERE contains(patch_id, 'src2') AND doc_id NOT IN (SELECT doc_id FROM fx_corrected) ORDER BY doc_id LIMIT 30"))
-def r37(spark, sf, mosaic: str | None = "src2", worst: int = 0, unannotated: bool = True, cap: int | None = 30):
+@query("r37_edit_selection", duck("record corrected", "SELECT doc_id, patch_id FROM fx_record WHERE contains(patch_id, 'src2') AND doc_id NOT IN (SELECT doc_id FROM fx_corrected)"))
+def r37(spark, sf, mosaic: str | None = "src2", worst: int = 0, unannotated: bool = True, cap: int | None = None):
     """Mosaic before worst-N (0 is none) before all; then the unannotated filter; then the cap, in record order."""
     r = view(spark, sf, "record")
     if mosaic:

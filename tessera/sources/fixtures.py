@@ -14,7 +14,7 @@ _VIEWS = {
     "pred": "SELECT a.pid, a.label, a.y, a.x, a.g > 160 AND a.label <> 0 AS truth, (9 * a.g + s.s9) / CAST(4590 AS DOUBLE) * (CASE WHEN a.label <= 1 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END) AS p FROM fx_gray a JOIN (SELECT t.pid, t.y, t.x, sum(n.g) AS s9 FROM (SELECT q.pid, q.y, q.x, abs(7 - abs(7 - abs(q.y + o.dy))) AS ny, abs(7 - abs(7 - abs(q.x + o.dx))) AS nx FROM fx_gray q CROSS JOIN ({OFFSETS}) o) t JOIN fx_gray n ON n.pid = t.pid AND n.y = t.ny AND n.x = t.nx GROUP BY t.pid, t.y, t.x) s ON s.pid = a.pid AND s.y = a.y AND s.x = a.x",
     "record": "SELECT doc_id, source AS mosaic_id, concat(source, '_patch_', lpad(CAST(doc_id AS STRING), 6, '0')) AS patch_id, CAST(100 * r * r * r AS DOUBLE) / 991026973 AS coverage_pct, doc_id % 17 <> 0 AS files_exist FROM (SELECT doc_id, source, (n_chars * 7919 + doc_id * 104729) % 997 AS r FROM documents) t",
     "corrected": "SELECT doc_id, doc_id * 401 AS mtime FROM labels WHERE quality = 1",
-    "event": "SELECT event_id, concat('ann', CAST(user_id % 7 AS STRING)) AS annotator, event_id * 37 % (SELECT count(*) FROM documents) AS doc_id, ts, event_type AS action FROM events WHERE event_id % 4 = 0",
+    "event": "SELECT event_id, concat('ann', CAST(user_id % 7 AS STRING)) AS annotator, event_id * 37 % (SELECT count(*) FROM documents) DIV 2 * 2 AS doc_id, ts, event_type AS action FROM events",
     "bundle": "SELECT conv_id AS bundle_id, turn, (conv_id * 31 + turn * 7) % 100 AS doc_id, concat('ann', CAST(conv_id % 5 AS STRING)) AS annotator, conv_id * 997 + turn * 61 AS entry_minute, conv_id % 3 <> 0 AS has_list, (conv_id + turn) % 2 = 0 AS in_list, CASE turn % 3 WHEN 0 THEN 'untouched' WHEN 1 THEN 'corrected' ELSE 'proxy_label' END AS mask_source FROM conversations",
     "geo": "SELECT c_custkey AS mosaic, c_custkey % 4 AS kind, CAST((c_custkey * 37) % 221 - 110 AS DOUBLE) AS ty, CAST((c_custkey * 53) % 441 - 220 AS DOUBLE) AS tx, CAST(1 + c_custkey % 7 AS DOUBLE) / 100000000 AS sx, CAST(1 + c_custkey % 5 AS DOUBLE) / 100000000 AS sy, c_nationkey % 3 AS crs_code FROM customer",
     "history": "SELECT user_id % 10 AS run_id, CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) - 1 AS BIGINT) AS epoch, value / 500 AS val_dice FROM events",
@@ -36,7 +36,7 @@ def _order(names: list[str]) -> list[str]:
 
 def duck(views: str, body: str) -> str:
     """DuckDB text: the named views as common table expressions, then ``body``."""
-    parts = [f"fx_{n} AS (" + _VIEWS[n].format(**_DUCK).replace(" DIV ", " // ").replace("STRING", "VARCHAR") + ")" for n in _order(views.split())]
+    parts = [f"fx_{n} AS MATERIALIZED (" + _VIEWS[n].format(**_DUCK).replace(" DIV ", " // ").replace("STRING", "VARCHAR") + ")" for n in _order(views.split())]
     extra = body.strip()
     if extra.startswith("WITH RECURSIVE "):
         return "WITH RECURSIVE " + ", ".join([*parts, extra[15:]])
