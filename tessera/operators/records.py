@@ -139,14 +139,14 @@ def r12(spark, sf):
     return merge_rare(view(spark, sf, "record").select(coverage_bin(F.col("coverage_pct")).alias("bin")), share=0.2)
 
 
-def split_records(records: DataFrame, seed: int = SEED) -> DataFrame:
+def split_records(records: DataFrame, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
     """80/10/10 inside each stratum, in order of md5(seed:id); shares are rounded half up, the rest is the test split.
 
     Places in the order come from ranges of the hash: 4,096 a stratum, whose counts are summed up, so no stratum is sorted in one task.
     """
     b = records.withColumn("bin", coverage_bin(F.col("coverage_pct")))
     b = b.join(F.broadcast(merge_rare(b)), "bin")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
     b = b.withColumn("h", key)
     n = b.groupBy("stratum").agg(F.count("*").alias("n"))
     b = b.withColumn("range", F.substring("h", 1, 3))
