@@ -1,18 +1,21 @@
-"""Exact repeated passages of words: suffixes partitioned by prefix, sorted group by group.
+"""Exact repeated passages of words: suffix trees partitioned by prefixes of variable length.
 
-Every suffix of a document's words matters down to a depth of ``depth`` words: two places
-share an internal node at least that deep exactly if their windows of ``depth`` words are
-equal. A suffix travels as the hash of those words; leading bits of the hash form
-the group's prefix, as long as it takes for the group to fit in memory. Inside a
-group, sorting brings the leaves below each deep node together; all but the earliest
-leaf (smallest id, then smallest start) are repeats, and adjacent repeats join to maximal spans.
+Every suffix of a document's words matters down to a depth of ``depth`` words: two places share an internal
+node at least that deep exactly if their first ``depth`` words are equal.
 
-Hot passages: a task sends only the earliest leaf of a node that its batch holds, so a
-passage shared by a third of all documents arrives once per batch. Texts go to the last
-stage by id, compressed, and meet the flags of their own document only.
+1. Pruning. A window of ``depth`` words holds an anchor, the run of ANCHOR words with the least hash. Where an
+   anchor's run occurs once in the corpus, no suffix that holds it in its first ``depth`` words can lie below a
+   deep node. Anchors meet by hash; all other suffixes, in long stretches, stay, with the words of their stretches.
+2. Prefixes. All suffixes that stay are counted by the hash of their first word; where more than a part of a
+   task's share have one, by that of their first two, and so on. A suffix's group is its shortest prefix
+   that few enough share, at last its whole ``depth`` words, so groups fit in memory and equal suffixes share one.
+3. Trees. A task gets the words of its groups' suffixes (a dictionary and indexes), sorts them by their words, and
+   takes the common prefixes of neighbours: each run of neighbours that share ``depth`` words or more is a deep
+   internal node. All its leaves but the earliest (smallest id, then smallest start) are repeats; adjacent repeats
+   of a document join to maximal spans. Words are compared themselves here, not hashes.
 
-Hashes have 64 bits; the groups' leading bits are part of them. Two different windows
-of a corpus of n windows are confused with a probability of about n^2 / 2^65.
+Hot passages: of equal suffixes in a batch only the earliest is sent, the others are repeats already; of equal
+anchors one is sent. Texts go to the first and last stage by id, compressed, and meet the flags of their own document only.
 
 Documents are told apart by their ids. Where an id has several texts (nulls count as one id), the
 distinct rows are numbered in order first, over ranges of rows, and go by their numbers.
@@ -37,9 +40,14 @@ from pyspark.sql import functions as F
 from tessera.llm import common as C
 from tessera.llm import exchange as X
 
-DEPTH = 20
+DEPTH, ANCHOR = 20, 8
+LENGTHS = (1, 2, 3, 5, 8, 13)  #: words of the prefixes that are tried before all ``depth``
+GROUP = 400_000  #: suffixes behind one task
+CELLS = 8  #: hash cells a task's share, by which prefixes are counted
 SHIP = {"bucket": pa.int32(), "n": pa.int32(), "keys": pa.binary(), "ids": pa.binary(), "counts": pa.binary(), "steps": pa.binary()}
 SHIP_SQL = "bucket int, n int, keys binary, ids binary, counts binary, steps binary"
+SUFFIX = {"bucket": pa.int32(), "n": pa.int32(), "words": pa.binary(), "index": pa.binary(), "ids": pa.binary(), "counts": pa.binary(), "steps": pa.binary()}
+SUFFIX_SQL = "bucket int, n int, words binary, index binary, ids binary, counts binary, steps binary"
 MEET = {"part": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
 MEET_SQL = "part int, kind int, blob binary"
 _FEW = 4 << 20  #: bytes of text in a batch
@@ -62,27 +70,42 @@ def _unplace(n: int, ids: bytes, counts: bytes, steps: bytes) -> tuple[np.ndarra
     return np.repeat(docs, counts), total - np.repeat(before, counts)
 
 
-def _ship(n_groups: int, depth: int, labels: np.ndarray):
+def anchors(h: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ANCHOR words, and for each window of ``depth`` words the place of its least one (the first of equal ones)."""
+    k = min(ANCHOR, depth)
+    keys = C.windows(h, k)
+    n = len(h) - depth + 1
+    if n < 1:
+        return keys, np.zeros(0, np.int64)
+    return keys, np.lib.stride_tricks.sliding_window_view(keys, depth - k + 1).argmin(axis=1) + np.arange(n)
+
+
+def _heads(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the keys and leaves equal ones as they were, and where in it each different key begins."""
+    by = np.argsort(keys, kind="stable")
+    return by, np.r_[True, keys[by][1:] != keys[by][:-1]]
+
+
+def _anchored(n_groups: int, depth: int, labels: np.ndarray):
+    """The anchors of every text: one of each batch's equal ones goes out by its hash, those that occur twice here are flagged."""
+
     def run(rows):
         known = C.WordHash()
         for b in C.cut(rows, 20_000, _FEW):
             ids, raw = C.ids(b.column(0)), C.texts(b.column(1))
-            order = np.argsort(ids, kind="stable")
-            found = [C.windows(known.of(raw[k].split()), depth) for k in order]
-            ids = ids[order]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            found = []
+            for text in raw:
+                keys, best = anchors(known.of(text.split()), depth)
+                used = np.unique(best)
+                found.append((keys[used], used))
+            sizes = np.fromiter((len(f[0]) for f in found), np.int64, len(found))
             if not sizes.sum():
                 continue
-            keys = np.concatenate(found)
+            keys, pos = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             at = np.repeat(np.arange(len(found)), sizes)
-            pos = np.arange(len(keys)) - np.repeat(sizes.cumsum() - sizes, sizes)
-            by = np.argsort(keys, kind="stable")
-            k = keys[by]
-            head = np.r_[True, k[1:] != k[:-1]]
-            lead = by[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
-            later = (ids[at[by]] != ids[at[lead]]) | (pos[by] != pos[lead])
-            repeat = np.zeros(len(keys), bool)
-            repeat[by] = later
+            by, head = _heads(keys)
+            first = np.flatnonzero(head)
+            several = np.repeat(np.diff(np.r_[first, len(by)]) > 1, np.diff(np.r_[first, len(by)]))
             out = {c: [] for c in SHIP}
 
             def add(label, sel, with_keys):
@@ -90,19 +113,193 @@ def _ship(n_groups: int, depth: int, labels: np.ndarray):
                 for c, v in packed.items():
                     out[c].append(v)
 
-            sent = np.flatnonzero(~repeat)
+            sent = np.sort(by[head])
             to = X.bucket(keys[sent], n_groups)
             sort = np.argsort(to, kind="stable")
             for value, lo, hi in X.slices(to[sort]):
                 add(int(labels[value]), sent[sort[lo:hi]], True)
-            here = np.flatnonzero(repeat)
-            if len(here):  # already known as repeats: they only pass through
+            here = np.sort(by[several])
+            if len(here):
                 add(int(labels[int(keys[0]) % n_groups]), here, False)
             yield X.rows_of(out, SHIP)
 
     return run
 
 
+def _shared(labels: np.ndarray):
+    """Flags for the anchors that came from two batches or more; those flagged before pass through."""
+
+    def run(rows):
+        keys, ids, pos = [], [], []
+        for b in C.batches(rows):
+            for _, n, k, i, c, s in zip(*(col.to_pylist() for col in b.columns)):
+                docs, at = _unplace(n, i, c, s)
+                if k is None:
+                    yield _flags(docs, at, labels)
+                else:
+                    keys.append(np.frombuffer(k, np.uint64))
+                    ids.append(docs)
+                    pos.append(at)
+        if not keys:
+            return
+        by, head = _heads(np.concatenate(keys))
+        hit = by[~head | np.r_[~head[1:], False]]
+        ids, pos = np.concatenate(ids)[hit], np.concatenate(pos)[hit]
+        for lo in range(0, len(hit), 2_000_000):
+            yield _flags(ids[lo : lo + 2_000_000], pos[lo : lo + 2_000_000], labels)
+
+    return run
+
+
+STRETCH = {"id": pa.int64(), "start": pa.int64(), "suffixes": pa.int64(), "text": pa.binary()}
+STRETCH_SQL = "id long, start long, suffixes long, text binary"
+
+
+def _stretches(depth: int):
+    """Texts with their flagged anchors: the stretches of suffixes that stay, with their words."""
+
+    def run(rows):
+        known = C.WordHash()
+        for doc, text, flagged in _met(rows):
+            if not len(flagged):
+                continue
+            words = text.split()
+            _, best = anchors(known.of(words), depth)
+            shared = np.zeros(len(words) + 1, bool)
+            shared[flagged[flagged < len(words)]] = True
+            edges = np.flatnonzero(np.diff(np.r_[False, shared[best], False])).reshape(-1, 2).tolist()
+            if edges:
+                yield X.rows_of({"id": [doc] * len(edges), "start": [a for a, _ in edges], "suffixes": [b - a for a, b in edges], "text": [b" ".join(words[a : b - 1 + depth]) for a, b in edges]}, STRETCH)
+
+    return run
+
+
+def _levels(depth: int) -> list[int]:
+    return [k for k in LENGTHS if k < depth]
+
+
+def _count_prefixes(depth: int, cells: int):
+    def run(rows):
+        known, sums = C.WordHash(), {}
+        for b in C.cut(rows, 20_000, _FEW):
+            hashed = [known.of(t.split()) for t in b.column(0).to_pylist()]
+            for k, length in enumerate(_levels(depth)):
+                cell = X.bucket(np.concatenate([C.windows(h, length)[: len(h) - depth + 1] for h in hashed]), cells)
+                got = np.unique(cell, return_counts=True)
+                sums[k] = got if k not in sums else _added(*sums[k], *got)
+        for k, (cell, n) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(cell), pa.int32()), pa.array(cell, pa.int64()), pa.array(n, pa.int64())], ["level", "cell", "n"])
+
+    return run
+
+
+def _added(a, n, b, m):
+    keys, of = np.unique(np.r_[a, b], return_inverse=True)
+    return keys, np.bincount(of, np.r_[n, m], len(keys)).astype(np.int64)
+
+
+def _suffixes(n_groups: int, depth: int, labels: np.ndarray, cells: int, heavy: list[np.ndarray]):
+    """The words of every suffix that stays, by its prefix group; of a batch's equal suffixes only the earliest."""
+
+    def run(rows):
+        known, zip_ = C.WordHash(), zstandard.ZstdCompressor(level=3)
+        for b in C.cut(rows, 20_000, _FEW):
+            ids, starts, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_pylist()
+            order = np.lexsort((starts, ids))
+            words = [texts[k].split() for k in order]
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            flat = [w for ws in words for w in ws]
+            h = known.of(flat)
+            _, spot, code = np.unique(h, return_index=True, return_inverse=True)
+            n = size - depth + 1
+            at = np.repeat(np.arange(len(words)), n)
+            inner = np.arange(len(at)) - np.repeat(n.cumsum() - n, n)
+            begin = (size.cumsum() - size)[at] + inner
+            pos, ids, at_id = inner + starts[order][at], ids[order], at
+            # a document may have several stretches: number documents, not stretches
+            names, doc = np.unique(ids, return_inverse=True)
+            at_id = doc[at]
+            key = C.windows(h, depth)[begin]
+            by, head = _heads(key)
+            lead = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
+            rows_of = lambda sel: code[begin[sel][:, None] + np.arange(depth)]  # noqa: B023, E731
+            again = np.zeros(len(key), bool)
+            later = np.flatnonzero(~head)
+            for lo in range(0, len(later), 200_000):  # equal hashes are compared by their words
+                some = later[lo : lo + 200_000]
+                again[by[some]] = (rows_of(by[some]) == rows_of(lead[some])).all(axis=1)
+            group, level = key.copy(), np.full(len(key), len(heavy))
+            for k in reversed(range(len(heavy))):
+                prefix = C.windows(h, _levels(depth)[k])[begin]
+                light = ~np.isin(X.bucket(prefix, cells), heavy[k])
+                group[light], level[light] = prefix[light], k
+            with np.errstate(over="ignore"):
+                to = X.bucket(C.mix(group + level.astype(np.uint64) * C.BASE), n_groups)
+            out = {c: [] for c in SUFFIX}
+
+            def add(label, sel, own):
+                packed = _places(at_id[sel], pos[sel], names) | {"bucket": label, "n": len(sel), "words": None, "index": None} | own
+                for c, v in packed.items():
+                    out[c].append(v)
+
+            # equal rows give one suffix twice: it is neither sent again nor a repeat of itself
+            itself = np.zeros(len(key), bool)
+            itself[by] = ~head & (at_id[by] == at_id[lead]) & (pos[by] == pos[lead])
+            sent = np.flatnonzero(~again)
+            sort = np.argsort(to[sent], kind="stable")
+            for value, lo, hi in X.slices(to[sent][sort]):
+                sel = sent[sort[lo:hi]]
+                used, index = np.unique(rows_of(sel), return_inverse=True)
+                index = index.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+                add(int(labels[value]), sel, {"words": zip_.compress(b"\n".join([flat[spot[k]] for k in used])), "index": zip_.compress(index.tobytes())})
+            here = np.flatnonzero(again & ~itself)
+            if len(here):
+                add(int(labels[int(to[0])]), here, {})
+            yield X.rows_of(out, SUFFIX)
+
+    return run
+
+
+def deep_nodes(words: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes (rows of word numbers) in the order of their words, ids and starts, and how many words each shares with the one before."""
+    pairs = words.astype(np.int64)
+    pairs = pairs if pairs.shape[1] % 2 == 0 else np.pad(pairs, ((0, 0), (0, 1)))
+    columns = (pairs[:, ::2] << 32 | pairs[:, 1::2]).T
+    order = np.lexsort((pos, ids, *columns[::-1]))
+    equal = words[order[1:]] == words[order[:-1]]
+    shared = np.where(equal.all(axis=1), words.shape[1], equal.argmin(axis=1))
+    return order, np.r_[0, shared] if len(order) else shared
+
+
+def _trees(labels: np.ndarray, depth: int):
+    """The deep internal nodes of the groups' suffix trees: flags for all their leaves but the earliest."""
+
+    def run(rows):
+        numbers, words, ids, pos = {}, [], [], []
+        unzip = zstandard.ZstdDecompressor().decompress
+        for b in C.batches(rows):
+            for _, n, w, index, i, c, s in zip(*(col.to_pylist() for col in b.columns)):
+                docs, at = _unplace(n, i, c, s)
+                if w is None:
+                    yield _flags(docs, at, labels)
+                    continue
+                local = np.array([numbers.setdefault(x, len(numbers)) for x in unzip(w).split(b"\n")], np.int32)
+                words.append(local[np.frombuffer(unzip(index), np.uint16 if len(local) <= 1 << 16 else np.uint32)].reshape(n, depth))
+                ids.append(docs)
+                pos.append(at)
+        if not words:
+            return
+        numbers.clear()
+        words, ids, pos = np.concatenate(words), np.concatenate(ids), np.concatenate(pos)
+        order, shared = deep_nodes(words, ids, pos)
+        lead = order[np.maximum.accumulate(np.where(shared < depth, np.arange(len(order)), 0))]
+        hit = order[(shared >= depth) & ((ids[order] != ids[lead]) | (pos[order] != pos[lead]))]
+        if len(hit):
+            yield _flags(ids[hit], pos[hit], labels)
+
+    return run
+
+
 def _flags(ids: np.ndarray, pos: np.ndarray, labels: np.ndarray):
     """Rows that take repeated starts to their documents."""
     order = np.lexsort((pos, ids))
@@ -128,40 +325,6 @@ def _unflag(blob: bytes):
     return _unplace(n, blob[24:a], blob[a : a + size], blob[a + size :])
 
 
-def _resolve(labels: np.ndarray):
-    def run(rows):
-        keys, ids, pos = [], [], []
-        for b in C.batches(rows):
-            for _, n, k, i, c, s in zip(*(col.to_pylist() for col in b.columns)):
-                docs, at = _unplace(n, i, c, s)
-                if k is None:
-                    yield _flags(docs, at, labels)
-                else:
-                    keys.append(np.frombuffer(k, np.uint64))
-                    ids.append(docs)
-                    pos.append(at.astype(np.int32))
-        if not keys:
-            return
-        keys, ids, pos = np.concatenate(keys), np.concatenate(ids), np.concatenate(pos)
-        by = np.argsort(keys, kind="stable")
-        k = keys[by]
-        same = np.r_[False, k[1:] == k[:-1]]
-        member = same | np.r_[same[1:], False]  # only nodes of two leaves or more are looked at further
-        by, k = by[member], k[member]
-        del keys
-        order = np.lexsort((pos[by], ids[by], k))
-        by, k = by[order], k[order]
-        if not len(k):
-            return
-        head = np.r_[True, k[1:] != k[:-1]]
-        lead = by[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
-        hit = by[(ids[by] != ids[lead]) | (pos[by] != pos[lead])]
-        for lo in range(0, len(hit), 2_000_000):
-            yield _flags(ids[hit[lo : lo + 2_000_000]], pos[hit[lo : lo + 2_000_000]].astype(np.int64), labels)
-
-    return run
-
-
 def _texts(labels: np.ndarray):
     def run(rows):
         zip_ = zstandard.ZstdCompressor(level=3)
@@ -191,6 +354,29 @@ def _untext(blob: bytes):
         at += size
 
 
+def _met(rows):
+    """(doc, text, flagged places) of rows by part, flags before texts."""
+    part, flags, all_ids, all_pos = None, None, [], []
+    for b in C.batches(rows):
+        for p, kind, blob in zip(*(col.to_pylist() for col in b.columns)):
+            if p != part:
+                part, flags, all_ids, all_pos = p, None, [], []
+            if kind == 0:
+                ids, pos = _unflag(blob)
+                all_ids.append(ids)
+                all_pos.append(pos)
+                continue
+            if flags is None:
+                ids = np.concatenate(all_ids) if all_ids else np.zeros(0, np.int64)
+                pos = np.concatenate(all_pos) if all_pos else ids
+                sort = np.argsort(ids, kind="stable")
+                pos, all_ids, all_pos = pos[sort], [], []
+                flags = {v: (lo, hi) for v, lo, hi in X.slices(ids[sort])}
+            for doc, text in _untext(blob):
+                lo, hi = flags.get(doc, (0, 0))
+                yield doc, text, pos[lo:hi]
+
+
 def covered(starts: np.ndarray, n: int, depth: int) -> np.ndarray:
     """Which of n words lie in a window of ``depth`` words at one of the starts."""
     edge = np.zeros(n + depth + 1, np.int32)
@@ -204,41 +390,27 @@ _out = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64(
 
 def _apply(depth: int, digest: bool):
     def run(rows):
-        part, flags, all_ids, all_pos = None, None, [], []
-        for b in C.batches(rows):
-            out = {k: [] for k, _ in _out}
-            for p, kind, blob in zip(*(col.to_pylist() for col in b.columns)):
-                if p != part:
-                    part, flags, all_ids, all_pos = p, None, [], []
-                if kind == 0:
-                    ids, pos = _unflag(blob)
-                    all_ids.append(ids)
-                    all_pos.append(pos)
-                    continue
-                if flags is None:
-                    ids = np.concatenate(all_ids) if all_ids else np.zeros(0, np.int64)
-                    pos = np.concatenate(all_pos) if all_pos else ids
-                    sort = np.argsort(ids, kind="stable")
-                    pos, all_ids, all_pos = pos[sort], [], []
-                    flags = {v: (lo, hi) for v, lo, hi in X.slices(ids[sort])}
-                for doc, text in _untext(blob):
-                    words = text.split()
-                    lo, hi = flags.get(doc, (0, 0))
-                    starts = pos[lo:hi]
-                    starts = starts[starts + depth <= len(words)]
-                    gone, spans = 0, []
-                    if len(starts):
-                        out_of = covered(starts, len(words), depth)
-                        gone = int(out_of.sum())
-                        edges = np.flatnonzero(np.diff(np.r_[False, out_of, False]))
-                        spans = [{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()]
-                        words = [w for w, x in zip(words, out_of.tolist()) if not x]
-                    kept = b" ".join(words)
-                    row = (None if doc == C.NO_ID else doc, len(words) + gone, gone, hashlib.sha256(kept).hexdigest().encode() if digest else kept, spans)
-                    for k, v in zip(out, row):
-                        out[k].append(v)
-            if out["doc_id"]:
+        out, held = {k: [] for k, _ in _out}, 0
+        for doc, text, starts in _met(rows):
+            words = text.split()
+            starts = starts[starts + depth <= len(words)]
+            gone, spans = 0, []
+            if len(starts):
+                out_of = covered(starts, len(words), depth)
+                gone = int(out_of.sum())
+                edges = np.flatnonzero(np.diff(np.r_[False, out_of, False]))
+                spans = [{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()]
+                words = [w for w, x in zip(words, out_of.tolist()) if not x]
+            kept = b" ".join(words)
+            row = (None if doc == C.NO_ID else doc, len(words) + gone, gone, hashlib.sha256(kept).hexdigest().encode() if digest else kept, spans)
+            for k, v in zip(out, row):
+                out[k].append(v)
+            held += len(row[3])
+            if held > _FEW or len(out["doc_id"]) >= 5000:
                 yield X.rows_of(out, dict(_out))
+                out, held = {k: [] for k, _ in _out}, 0
+        if out["doc_id"]:
+            yield X.rows_of(out, dict(_out))
 
     return run
 
@@ -282,9 +454,21 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
         d = keyed.join(numbers.hint("shuffle_hash"), ["id", "text_hash"]).select(F.col("number").alias("doc_id"), "text")
     n = X.groups(d)
     labels = X.labels(n)
-    flags = d.mapInArrow(_ship(n, depth, labels), SHIP_SQL).repartition(n, "bucket").mapInArrow(_resolve(labels), MEET_SQL)
-    meet = flags.unionByName(d.mapInArrow(_texts(labels), MEET_SQL)).repartition(n, "part").sortWithinPartitions("part", "kind")
-    got = meet.mapInArrow(_apply(depth, digest), "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<start:long,end:long>>")
+    most = C.files(d)
+    meet = lambda flags: flags.unionByName(d.mapInArrow(_texts(labels), MEET_SQL)).repartition(n, "part").sortWithinPartitions("part", "kind")
+    flags = d.mapInArrow(_anchored(n, depth, labels), SHIP_SQL).repartition(n, "bucket").mapInArrow(_shared(labels), MEET_SQL)
+    stay = C.stored(meet(flags).mapInArrow(_stretches(depth), STRETCH_SQL), "repeats-stretches", most=most)
+    suffixes = stay.agg(F.sum("suffixes")).first()[0] or 0
+    tasks = max(1, -(-suffixes // GROUP))
+    cells = CELLS * max(512, tasks)
+    counts = stay.select("text").mapInArrow(_count_prefixes(depth, cells), "level int, cell long, n long").groupBy("level", "cell").agg(F.sum("n").alias("n"))
+    # at most suffixes / (GROUP / 4) cells of a level
+    heavy: list[list[int]] = [[] for _ in _levels(depth)]
+    for r in counts.filter(F.col("n") > GROUP // 4).select("level", "cell").collect():
+        heavy[r["level"]].append(r["cell"])
+    shipped = stay.mapInArrow(_suffixes(tasks, depth, X.labels(tasks), cells, [np.array(sorted(x), np.int64) for x in heavy]), SUFFIX_SQL)
+    flags = C.stored(shipped.repartition(tasks, "bucket").mapInArrow(_trees(labels, depth), MEET_SQL), "repeats-flags", most=most)
+    got = meet(flags).mapInArrow(_apply(depth, digest), "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<start:long,end:long>>")
     if numbers is not None:
         back = numbers.select(F.col("number").alias("doc_id"), F.when(F.col("id") != C.NO_ID, F.col("id")).alias("own"))
         got = got.join(back.hint("shuffle_hash"), "doc_id").select(F.col("own").alias("doc_id"), "n_words", "n_removed", "kept", "spans")

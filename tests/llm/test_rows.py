@@ -166,3 +166,61 @@ def test_numbers_follow_ids_over_ranges(spark):
     got = substring.numbered(table(spark, rows)).collect()
     by = sorted((r.number, r.id, r.text_hash) for r in got)
     assert [n for n, _, _ in by] == list(range(80)) and [x[1:] for x in by] == sorted(x[1:] for x in by)
+
+
+def brute_repeats(rows, depth=20):
+    """Words left of every document (unique ids), each window looked up among all earlier ones."""
+    seen, out = {}, {}
+    for doc, text in sorted(rows):
+        w = text.split()
+        for k in range(len(w) - depth + 1):
+            seen.setdefault(tuple(w[k : k + depth]), (doc, k))
+    for doc, text in rows:
+        w, gone = text.split(), set()
+        for k in range(len(w) - depth + 1):
+            if seen[tuple(w[k : k + depth])] != (doc, k):
+                gone |= set(range(k, k + depth))
+        out[doc] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    return out
+
+
+def test_repeats_of_every_kind_against_brute_force(spark, monkeypatch):
+    """Periodic texts, passages shared by most, near copies, repeats within a document; groups so small that prefixes are lengthened."""
+    rng = random.Random(9)
+    hot, line = prose(100, 60), prose(101, 12)
+    rows = [(k, " ".join([prose(k, rng.randint(0, 40)), hot if k % 3 else line, prose(500 + k, rng.randint(0, 30)), line])) for k in range(60)]
+    rows += [(60, "a b " * 60), (61, "a b " * 30 + "c"), (62, "z " * 100), (63, prose(7, 25) + " " + prose(7, 25)), (64, rows[3][1] + " tail"), (65, ""), (66, " ".join(prose(3, 50).split()[5:30]))]
+    want = brute_repeats(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for group in (substring.GROUP, 60):
+        monkeypatch.setattr(substring, "GROUP", group)
+        got = {r.doc_id: r.kept for r in substring.remove_repeats(df.repartition(5)).collect()}
+        assert got == want
+
+
+def test_prefixes_grow_until_groups_fit():
+    """Suffixes of one prefix go to one task while few share it; where many do, longer prefixes deal them out, equal ones together."""
+    texts = [b"the same three words then " + prose(k, 30).encode() for k in range(40)] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array([0] * 80), pa.array([16] * 80), pa.array(texts, pa.binary())], ["id", "start", "suffixes", "text"])
+    labels, cells = np.arange(16, dtype=np.int32), 512
+    known = common.WordHash()
+    first = [int(substring.X.bucket(common.windows(known.of(texts[0].split()), k)[:1], cells)[0]) for k in (1, 2, 3, 5)]
+
+    def tasks_of_start_0(heavy):
+        out = []
+        for rows in substring._suffixes(16, 20, labels, cells, [np.array(x, np.int64) for x in heavy])(iter([batch])):
+            for r in rows.to_pylist():
+                ids, pos = substring._unplace(r["n"], r["ids"], r["counts"], r["steps"])
+                if r["words"] is not None:
+                    out += [r["bucket"]] * int((pos == 0).sum())
+        return out
+
+    assert len(set(tasks_of_start_0([[]] * 6))) == 1
+    spread = tasks_of_start_0([[first[0]], [first[1]], [first[2]], [first[3]], [], []])
+    assert len(spread) == 40 and len(set(spread)) > 4
+
+
+def test_deep_nodes():
+    words = np.array([[1, 2, 3], [1, 2, 4], [1, 2, 3], [0, 9, 9], [1, 2, 3]])
+    order, shared = substring.deep_nodes(words, np.array([5, 1, 2, 3, 2]), np.array([0, 0, 7, 0, 3]))
+    assert order.tolist() == [3, 4, 2, 0, 1] and shared.tolist() == [0, 0, 3, 3, 2]
