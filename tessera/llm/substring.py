@@ -454,7 +454,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
         d = keyed.join(numbers.hint("shuffle_hash"), ["id", "text_hash"]).select(F.col("number").alias("doc_id"), "text")
     n = X.groups(d)
     labels = X.labels(n)
-    most = C.files(d)
+    most = C.files(d, 32 << 20)  # a small table
     meet = lambda flags: flags.unionByName(d.mapInArrow(_texts(labels), MEET_SQL)).repartition(n, "part").sortWithinPartitions("part", "kind")
     flags = d.mapInArrow(_anchored(n, depth, labels), SHIP_SQL).repartition(n, "bucket").mapInArrow(_shared(labels), MEET_SQL)
     stay = C.stored(meet(flags).mapInArrow(_stretches(depth), STRETCH_SQL), "repeats-stretches", most=most)
@@ -467,7 +467,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
     for r in counts.filter(F.col("n") > GROUP // 4).select("level", "cell").collect():
         heavy[r["level"]].append(r["cell"])
     shipped = stay.mapInArrow(_suffixes(tasks, depth, X.labels(tasks), cells, [np.array(sorted(x), np.int64) for x in heavy]), SUFFIX_SQL)
-    flags = C.stored(shipped.repartition(tasks, "bucket").mapInArrow(_trees(labels, depth), MEET_SQL), "repeats-flags", most=most)
+    flags = shipped.repartition(tasks, "bucket").mapInArrow(_trees(labels, depth), MEET_SQL)
     got = meet(flags).mapInArrow(_apply(depth, digest), "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<start:long,end:long>>")
     if numbers is not None:
         back = numbers.select(F.col("number").alias("doc_id"), F.when(F.col("id") != C.NO_ID, F.col("id")).alias("own"))
