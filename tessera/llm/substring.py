@@ -6,6 +6,7 @@ node at least that deep exactly if their first ``depth`` words are equal.
 1. Pruning. A window of ``depth`` words holds an anchor, the run of ANCHOR words with the least hash. Where an
    anchor's run occurs once in the corpus, no suffix that holds it in its first ``depth`` words can lie below a
    deep node. Anchors meet by hash; all other suffixes, in long stretches, stay, with the words of their stretches.
+   Stretches with the same least anchor, as copies have, are laid side by side; where too many have one they are dealt out.
 2. Prefixes. All suffixes that stay are counted by the hash of their first word; where more than a part of a
    task's share have one, by that of their first two, and so on. A suffix's group is its shortest prefix
    that few enough share, at last its whole ``depth`` words, so groups fit in memory and equal suffixes share one.
@@ -42,7 +43,7 @@ from tessera.llm import exchange as X
 
 DEPTH, ANCHOR = 20, 8
 LENGTHS = (1, 2, 3, 5, 8, 13)  #: words of the prefixes that are tried before all ``depth``
-GROUP = 400_000  #: suffixes behind one task
+GROUP = 600_000  #: suffixes behind one task
 CELLS = 8  #: hash cells a task's share, by which prefixes are counted
 SHIP = {"bucket": pa.int32(), "n": pa.int32(), "keys": pa.binary(), "ids": pa.binary(), "counts": pa.binary(), "steps": pa.binary()}
 SHIP_SQL = "bucket int, n int, keys binary, ids binary, counts binary, steps binary"
@@ -80,6 +81,19 @@ def anchors(h: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.lib.stride_tricks.sliding_window_view(keys, depth - k + 1).argmin(axis=1) + np.arange(n)
 
 
+def _laid(words: list[list[bytes]], known: C.WordHash, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts that have any window, one text after the other, where each text begins, and all window starts.
+
+    Texts without a window begin where the next one does, so they hold no place.
+    """
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    size = np.where(n >= depth, n, 0)
+    begin = size.cumsum() - size
+    h = known.of([w for ws in words if len(ws) >= depth for w in ws])
+    starts = np.maximum(n - depth + 1, 0)
+    return h, begin, np.repeat(begin, starts) + np.arange(starts.sum()) - np.repeat(starts.cumsum() - starts, starts)
+
+
 def _heads(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts the keys and leaves equal ones as they were, and where in it each different key begins."""
     by = np.argsort(keys, kind="stable")
@@ -92,17 +106,15 @@ def _anchored(n_groups: int, depth: int, labels: np.ndarray):
     def run(rows):
         known = C.WordHash()
         for b in C.cut(rows, 20_000, _FEW):
-            ids, raw = C.ids(b.column(0)), C.texts(b.column(1))
-            found = []
-            for text in raw:
-                keys, best = anchors(known.of(text.split()), depth)
-                used = np.unique(best)
-                found.append((keys[used], used))
-            sizes = np.fromiter((len(f[0]) for f in found), np.int64, len(found))
-            if not sizes.sum():
+            ids, words = C.ids(b.column(0)), [t.split() for t in C.texts(b.column(1))]
+            h, begin, start = _laid(words, known, depth)
+            if not len(start):
                 continue
-            keys, pos = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            at = np.repeat(np.arange(len(found)), sizes)
+            # windows over all words of the batch; those that cross texts are not among the starts
+            runs, best = anchors(h, depth)
+            used = np.unique(best[start])
+            at = np.searchsorted(begin, used, "right") - 1
+            keys, pos = runs[used], used - begin[at]
             by, head = _heads(keys)
             first = np.flatnonzero(head)
             several = np.repeat(np.diff(np.r_[first, len(by)]) > 1, np.diff(np.r_[first, len(by)]))
@@ -151,8 +163,8 @@ def _shared(labels: np.ndarray):
     return run
 
 
-STRETCH = {"id": pa.int64(), "start": pa.int64(), "suffixes": pa.int64(), "text": pa.binary()}
-STRETCH_SQL = "id long, start long, suffixes long, text binary"
+STRETCH = {"id": pa.int64(), "start": pa.int64(), "suffixes": pa.int64(), "text": pa.binary(), "key": pa.int64()}
+STRETCH_SQL = "id long, start long, suffixes long, text binary, key long"
 
 
 def _stretches(depth: int):
@@ -164,12 +176,13 @@ def _stretches(depth: int):
             if not len(flagged):
                 continue
             words = text.split()
-            _, best = anchors(known.of(words), depth)
+            keys, best = anchors(known.of(words), depth)
             shared = np.zeros(len(words) + 1, bool)
             shared[flagged[flagged < len(words)]] = True
             edges = np.flatnonzero(np.diff(np.r_[False, shared[best], False])).reshape(-1, 2).tolist()
             if edges:
-                yield X.rows_of({"id": [doc] * len(edges), "start": [a for a, _ in edges], "suffixes": [b - a for a, b in edges], "text": [b" ".join(words[a : b - 1 + depth]) for a, b in edges]}, STRETCH)
+                least = [int(keys[best[a:b]].min().view(np.int64)) for a, b in edges]
+                yield X.rows_of({"id": [doc] * len(edges), "start": [a for a, _ in edges], "suffixes": [b - a for a, b in edges], "text": [b" ".join(words[a : b - 1 + depth]) for a, b in edges], "key": least}, STRETCH)
 
     return run
 
@@ -182,10 +195,9 @@ def _count_prefixes(depth: int, cells: int):
     def run(rows):
         known, sums = C.WordHash(), {}
         for b in C.cut(rows, 20_000, _FEW):
-            hashed = [known.of(t.split()) for t in b.column(0).to_pylist()]
+            h, _, start = _laid([t.split() for t in b.column(0).to_pylist()], known, depth)
             for k, length in enumerate(_levels(depth)):
-                cell = X.bucket(np.concatenate([C.windows(h, length)[: len(h) - depth + 1] for h in hashed]), cells)
-                got = np.unique(cell, return_counts=True)
+                got = np.unique(X.bucket(C.windows(h, length)[start], cells), return_counts=True)
                 sums[k] = got if k not in sums else _added(*sums[k], *got)
         for k, (cell, n) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(cell), pa.int32()), pa.array(cell, pa.int64()), pa.array(n, pa.int64())], ["level", "cell", "n"])
@@ -203,7 +215,7 @@ def _suffixes(n_groups: int, depth: int, labels: np.ndarray, cells: int, heavy:
 
     def run(rows):
         known, zip_ = C.WordHash(), zstandard.ZstdCompressor(level=3)
-        for b in C.cut(rows, 20_000, _FEW):
+        for b in C.cut(rows, 20_000, 2 * _FEW):
             ids, starts, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_pylist()
             order = np.lexsort((starts, ids))
             words = [texts[k].split() for k in order]
@@ -262,9 +274,14 @@ def _suffixes(n_groups: int, depth: int, labels: np.ndarray, cells: int, heavy:
 
 def deep_nodes(words: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes (rows of word numbers) in the order of their words, ids and starts, and how many words each shares with the one before."""
-    pairs = words.astype(np.int64)
-    pairs = pairs if pairs.shape[1] % 2 == 0 else np.pad(pairs, ((0, 0), (0, 1)))
-    columns = (pairs[:, ::2] << 32 | pairs[:, 1::2]).T
+    # several numbers side by side in one integer, as many as fit
+    bits = max(1, int(words.max(initial=0)).bit_length())
+    several, columns = 62 // bits, []
+    for k in range(0, words.shape[1], several):
+        column = np.zeros(len(words), np.int64)
+        for j in range(k, min(k + several, words.shape[1])):
+            column = column << bits | words[:, j]
+        columns.append(column)
     order = np.lexsort((pos, ids, *columns[::-1]))
     equal = words[order[1:]] == words[order[:-1]]
     shared = np.where(equal.all(axis=1), words.shape[1], equal.argmin(axis=1))
@@ -466,7 +483,11 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
     heavy: list[list[int]] = [[] for _ in _levels(depth)]
     for r in counts.filter(F.col("n") > GROUP // 4).select("level", "cell").collect():
         heavy[r["level"]].append(r["cell"])
-    shipped = stay.mapInArrow(_suffixes(tasks, depth, X.labels(tasks), cells, [np.array(sorted(x), np.int64) for x in heavy]), SUFFIX_SQL)
+    sizes = stay.groupBy("key").agg(F.ceil(F.sum("suffixes") / (GROUP // 2)).cast("int").alias("deals")).filter("deals > 1")
+    salt = F.xxhash64("id", "start")
+    laid = C.looked_up(stay, sizes, "key", salt, "left").withColumn("deal", F.pmod(salt, F.coalesce("deals", F.lit(1))))
+    laid = laid.repartition(max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key", "deal").sortWithinPartitions("key", "id", "start")
+    shipped = laid.select("id", "start", "suffixes", "text").mapInArrow(_suffixes(tasks, depth, X.labels(tasks), cells, [np.array(sorted(x), np.int64) for x in heavy]), SUFFIX_SQL)
     flags = shipped.repartition(tasks, "bucket").mapInArrow(_trees(labels, depth), MEET_SQL)
     got = meet(flags).mapInArrow(_apply(depth, digest), "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<start:long,end:long>>")
     if numbers is not None:
