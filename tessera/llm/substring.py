@@ -43,7 +43,7 @@ from tessera.llm import exchange as X
 
 DEPTH, ANCHOR = 20, 8
 LENGTHS = (1, 2, 3, 5, 8, 13)  #: words of the prefixes that are tried before all ``depth``
-GROUP = 600_000  #: suffixes behind one task
+GROUP = 1_000_000  #: suffixes behind one task
 CELLS = 8  #: hash cells a task's share, by which prefixes are counted
 SHIP = {"bucket": pa.int32(), "n": pa.int32(), "keys": pa.binary(), "ids": pa.binary(), "counts": pa.binary(), "steps": pa.binary()}
 SHIP_SQL = "bucket int, n int, keys binary, ids binary, counts binary, steps binary"
@@ -75,10 +75,21 @@ def anchors(h: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ANCHOR words, and for each window of ``depth`` words the place of its least one (the first of equal ones)."""
     k = min(ANCHOR, depth)
     keys = C.windows(h, k)
-    n = len(h) - depth + 1
+    n, span = len(h) - depth + 1, depth - k + 1
     if n < 1:
         return keys, np.zeros(0, np.int64)
-    return keys, np.lib.stride_tricks.sliding_window_view(keys, depth - k + 1).argmin(axis=1) + np.arange(n)
+    if len(keys) >= 1 << PLACE_BITS:
+        return keys, np.lib.stride_tricks.sliding_window_view(keys >> np.uint64(PLACE_BITS), span).argmin(axis=1) + np.arange(n)
+    # the hash's leading bits and the place in one number: its least value in a window tells the place, the first of equal ones
+    low = keys >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(keys), dtype=np.uint64)
+    size = 1
+    while 2 * size <= span:
+        low, size = np.minimum(low[: len(low) - size], low[size:]), 2 * size
+    low = np.minimum(low[:n], low[span - size : span - size + n])
+    return keys, (low & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+
+
+PLACE_BITS = 26
 
 
 def _laid(words: list[list[bytes]], known: C.WordHash, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +182,7 @@ def _stretches(depth: int):
     """Texts with their flagged anchors: the stretches of suffixes that stay, with their words."""
 
     def run(rows):
-        known = C.WordHash()
+        known, out, held = C.WordHash(), {k: [] for k in STRETCH}, 0
         for doc, text, flagged in _met(rows):
             if not len(flagged):
                 continue
@@ -180,9 +191,16 @@ def _stretches(depth: int):
             shared = np.zeros(len(words) + 1, bool)
             shared[flagged[flagged < len(words)]] = True
             edges = np.flatnonzero(np.diff(np.r_[False, shared[best], False])).reshape(-1, 2).tolist()
-            if edges:
-                least = [int(keys[best[a:b]].min().view(np.int64)) for a, b in edges]
-                yield X.rows_of({"id": [doc] * len(edges), "start": [a for a, _ in edges], "suffixes": [b - a for a, b in edges], "text": [b" ".join(words[a : b - 1 + depth]) for a, b in edges], "key": least}, STRETCH)
+            for a, b in edges:
+                stretch = b" ".join(words[a : b - 1 + depth])
+                for k, v in zip(STRETCH, (doc, a, b - a, stretch, int(keys[best[a:b]].min().view(np.int64)))):
+                    out[k].append(v)
+                held += len(stretch)
+            if held > _FEW:
+                yield X.rows_of(out, STRETCH)
+                out, held = {k: [] for k in STRETCH}, 0
+        if held:
+            yield X.rows_of(out, STRETCH)
 
     return run
 
@@ -210,12 +228,25 @@ def _added(a, n, b, m):
     return keys, np.bincount(of, np.r_[n, m], len(keys)).astype(np.int64)
 
 
+def _whole(rows, most_bytes: int):
+    """Batches joined up to a size: a dictionary is sent for each, so few and large ones are cheap."""
+    held, size = [], 0
+    for b in C.batches(rows):
+        held.append(b)
+        size += b.nbytes
+        if size >= most_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _suffixes(n_groups: int, depth: int, labels: np.ndarray, cells: int, heavy: list[np.ndarray]):
     """The words of every suffix that stays, by its prefix group; of a batch's equal suffixes only the earliest."""
 
     def run(rows):
         known, zip_ = C.WordHash(), zstandard.ZstdCompressor(level=3)
-        for b in C.cut(rows, 20_000, 2 * _FEW):
+        for b in C.cut(_whole(rows, 4 * _FEW), 1 << 20, 4 * _FEW):
             ids, starts, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_pylist()
             order = np.lexsort((starts, ids))
             words = [texts[k].split() for k in order]
@@ -261,9 +292,14 @@ def _suffixes(n_groups: int, depth: int, labels: np.ndarray, cells: int, heavy:
             sort = np.argsort(to[sent], kind="stable")
             for value, lo, hi in X.slices(to[sent][sort]):
                 sel = sent[sort[lo:hi]]
-                used, index = np.unique(rows_of(sel), return_inverse=True)
-                index = index.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
-                add(int(labels[value]), sel, {"words": zip_.compress(b"\n".join([flat[spot[k]] for k in used])), "index": zip_.compress(index.tobytes())})
+                index = rows_of(sel)
+                mark = np.zeros(len(spot), bool)
+                mark[index] = True
+                used = np.flatnonzero(mark)
+                local = np.zeros(len(spot), np.uint16 if len(used) <= 1 << 16 else np.uint32)
+                local[used] = np.arange(len(used))
+                index = local[index]
+                add(int(labels[value]), sel, {"words": zip_.compress(b"\n".join([flat[k] for k in spot[used].tolist()])), "index": zip_.compress(index.tobytes())})
             here = np.flatnonzero(again & ~itself)
             if len(here):
                 add(int(labels[int(to[0])]), here, {})
@@ -486,7 +522,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
     sizes = stay.groupBy("key").agg(F.ceil(F.sum("suffixes") / (GROUP // 2)).cast("int").alias("deals")).filter("deals > 1")
     salt = F.xxhash64("id", "start")
     laid = C.looked_up(stay, sizes, "key", salt, "left").withColumn("deal", F.pmod(salt, F.coalesce("deals", F.lit(1))))
-    laid = laid.repartition(max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key", "deal").sortWithinPartitions("key", "id", "start")
+    laid = laid.repartition(max(8, tasks // 2), "key", "deal").sortWithinPartitions("key", "id", "start")
     shipped = laid.select("id", "start", "suffixes", "text").mapInArrow(_suffixes(tasks, depth, X.labels(tasks), cells, [np.array(sorted(x), np.int64) for x in heavy]), SUFFIX_SQL)
     flags = shipped.repartition(tasks, "bucket").mapInArrow(_trees(labels, depth), MEET_SQL)
     got = meet(flags).mapInArrow(_apply(depth, digest), "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<start:long,end:long>>")

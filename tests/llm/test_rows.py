@@ -224,3 +224,13 @@ def test_deep_nodes():
     words = np.array([[1, 2, 3], [1, 2, 4], [1, 2, 3], [0, 9, 9], [1, 2, 3]])
     order, shared = substring.deep_nodes(words, np.array([5, 1, 2, 3, 2]), np.array([0, 0, 7, 0, 3]))
     assert order.tolist() == [3, 4, 2, 0, 1] and shared.tolist() == [0, 0, 3, 3, 2]
+
+
+def test_anchors_are_the_least_runs_of_windows(monkeypatch):
+    h = np.random.default_rng(1).integers(0, 50, 4000).astype(np.uint64) * common.BASE
+    keys, best = substring.anchors(h, 20)
+    lead = keys >> np.uint64(substring.PLACE_BITS)
+    assert best.tolist() == [k + int(np.argmin(lead[k : k + 13])) for k in range(3981)]
+    monkeypatch.setattr(substring, "PLACE_BITS", 11)  # too many places to share a number with the hash
+    _, again = substring.anchors(h, 20)
+    assert (np.diff(again) >= 0).all() and again.tolist() == [k + int(np.argmin((keys >> np.uint64(11))[k : k + 13])) for k in range(3981)]
