@@ -43,7 +43,7 @@ from tessera.llm import exchange as X
 
 DEPTH, ANCHOR = 20, 8
 LENGTHS = (1, 2, 3, 5, 8, 13)  #: words of the prefixes that are tried before all ``depth``
-GROUP = 1_000_000  #: suffixes behind one task
+GROUP = 800_000  #: suffixes behind one task
 CELLS = 8  #: hash cells a task's share, by which prefixes are counted
 SHIP = {"bucket": pa.int32(), "n": pa.int32(), "keys": pa.binary(), "ids": pa.binary(), "counts": pa.binary(), "steps": pa.binary()}
 SHIP_SQL = "bucket int, n int, keys binary, ids binary, counts binary, steps binary"
@@ -246,7 +246,7 @@ def _suffixes(n_groups: int, depth: int, labels: np.ndarray, cells: int, heavy:
 
     def run(rows):
         known, zip_ = C.WordHash(), zstandard.ZstdCompressor(level=3)
-        for b in C.cut(_whole(rows, 4 * _FEW), 1 << 20, 4 * _FEW):
+        for b in C.cut(_whole(rows, 2 * _FEW), 1 << 20, 2 * _FEW):
             ids, starts, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_pylist()
             order = np.lexsort((starts, ids))
             words = [texts[k].split() for k in order]
