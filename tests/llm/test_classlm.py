@@ -89,3 +89,63 @@ def test_placing_by_the_gain_of_the_likelihood():
         both = np.r_[q, r].astype(int)
         at = np.flatnonzero(both)
         assert classlm.Placing(whole).of(np.array([0]), at, both[at])[0] == int(np.argmax(gains))
+
+
+def test_scores_against_plain_loops(spark):
+    """Every text's score from the words' classes alone: transition and emission probabilities counted by hand."""
+    import random
+
+    import numpy as np
+    import xxhash
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(words[min(119, int(rng.expovariate(0.06)))] for _ in range(rng.randint(0, 60)))) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in classlm.score(docs).collect()}
+    fitted = classlm.fit(docs)
+    frequent, of = fitted["frequent"].value
+    model, k = fitted["model"], len(fitted["model"].classes)
+    table = {}
+    for r in fitted["table"].collect():
+        table |= dict(zip(np.frombuffer(r["keys"], np.uint64).tolist(), np.frombuffer(r["classes"], np.uint16).tolist()))
+
+    def cls(word):
+        key = xxhash.xxh3_64_intdigest(word.encode())
+        if word == "":
+            return k - 1
+        at = int(frequent.of(np.array([key], np.uint64))[0])
+        return int(of[at]) if at < frequent.size else table.get(key, k - 2)
+
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    texts = {i: [*t.split(), ""] for i, t in rows}
+    count, after = Counter(), Counter()
+    for i, ws in texts.items():
+        if fold(i):
+            count.update(ws)
+            cs = [cls(w) for w in ws]
+            after.update(zip([k - 1, *cs[:-1]], cs))
+    into, out, total = Counter(), Counter(), sum(after.values())
+    for (a, b), n in after.items():
+        out[a] += n
+        into[b] += n
+    mass, size = Counter(), Counter()
+    for w, n in count.items():
+        mass[cls(w)] += n
+        size[cls(w)] += 1
+
+    def step(a, b):
+        share = (into[b] + 1) / (total + k)
+        return math.log10((after[a, b] + classlm.INTERPOLATE * share) / (out[a] + classlm.INTERPOLATE))
+
+    def emit(w):
+        c = cls(w)
+        if w == "":
+            return 0.0  # the end is its whole class
+        return math.log10((count[w] + 1) / (mass[c] + size[c] + 1))
+
+    for i, ws in texts.items():
+        cs = [cls(w) for w in ws]
+        want = sum(step(a, b) + emit(w) for a, b, w in zip([k - 1, *cs[:-1]], cs, ws))
+        assert math.isclose(got[i], want, rel_tol=1e-6, abs_tol=1e-6), i
+    assert model.n_words == len(count)
