@@ -587,4 +587,9 @@ def _signed(key: int) -> int:
 
 
 def op8_class_lm(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row of ``documents``.
+
+    Null text is the end token alone; null ids stay null and count as empty text in the fold; rows repeat as they came; an
+    empty table gives no rows.
+    """
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -121,7 +121,10 @@ def fingerprint_wav(media: DataFrame) -> DataFrame:
 
 
 def op1_media(spark, sf_dir: str) -> DataFrame:
-    """Contract query: digests of the stored form, of what is read back, and the fingerprint."""
+    """Digests of the stored form of every row of ``documents``, of what is read back, and the fingerprint.
+
+    Null text is a payload of 64 zero bytes; null ids stay null; rows repeat as they came; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = fingerprint_wav(store_wav(docs))
     return got.select(
