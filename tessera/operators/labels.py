@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import shapes
+from tessera.functions import raster, shapes
 from tessera.functions import stencil as S
 from tessera.operators.enhance import duck_blur, duck_filled, filled, unit
 from tessera.operators.pixels import LAP, long
@@ -145,8 +147,21 @@ def l07(spark, sf):
 def cleaned(p: DataFrame, c: Settings = BASE, close: int = 2, open_: int = 1) -> DataFrame:
     """Adds ``mask``: scores at or over the threshold, closed, then opened (0 and 1)."""
     p = thresholded(p, c).withColumn("raw", F.expr(S.bound("zip_with(q.s, q.px, (s, g) -> CASE WHEN s >= q.t AND g > 10 THEN 1 ELSE 0 END)", s="score", px="px", t="thr")))
-    p = p.withColumn("cl", F.expr(S.extreme(S.extreme("raw", S.ellipse(close), "greatest"), S.ellipse(close), "least")))
-    return p.withColumn("mask", F.expr(S.extreme(S.extreme("cl", S.ellipse(open_), "least"), S.ellipse(open_), "greatest")))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema.fields), "mask array<int>"])
+    return p.mapInArrow(_cleanup(2 * close + 1, 2 * open_ + 1), schema)
+
+
+def _cleanup(close: int, open_: int, side: int = S.PS):
+    """Appends ``mask``, the column ``raw`` closed and then opened; a null stays null."""
+
+    def run(batches):
+        for b in batches:
+            masks = []
+            for raw in b.column(b.schema.get_field_index("raw")).to_pylist():
+                masks.append(None if raw is None else raster.opened(raster.closed(np.array(raw).reshape(-1, side), close), open_).astype(int).reshape(-1).tolist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(masks, pa.list_(pa.int32()))], [*b.schema.names, "mask"])
+
+    return run
 
 
 _CLEAN = f"{_TR}, b0 AS (SELECT sc.pid, y, x, CASE WHEN v >= thr AND gray > 10 THEN 1 ELSE 0 END AS g FROM sc JOIN tr ON tr.pid = sc.pid), {duck_extreme('m1', 'b0', 2, 'max')}, {duck_extreme('m2', 'm1', 2, 'min')}, {duck_extreme('m3', 'm2', 1, 'min')}, {duck_extreme('m4', 'm3', 1, 'max')}"
