@@ -1,7 +1,7 @@
 """Raster and archive formats in plain NumPy, struct, zlib and zipfile, as readers of binary columns.
 
-Strip TIFF (plain or deflate, 8 or 16 bits, either byte order) and PNG (8 or 16 bits, gray to RGBA, not
-interlaced). What the decoders cannot read gives a null image and the reason in ``error``, never a failed job.
+TIFF (strips or tiles; plain, LZW or deflate; horizontal differences; channels interleaved or in planes; 8 or 16
+bits, either byte order) and PNG (8 or 16 bits, gray to RGBA, not interlaced). What the decoders cannot read gives a null image and the reason in ``error``, never a failed job.
 """
 
 from __future__ import annotations
@@ -69,15 +69,60 @@ def encode_tiff(px: np.ndarray, order: str = "<", deflate: bool = False, extra:
     return {"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, at) + body + b"\0" * (len(body) % 2) + struct.pack(order + "H", len(tags)) + entries + b"\0\0\0\0" + later
 
 
+def unpack_lzw(data: bytes) -> bytes:
+    """Variable-length codes of 9 to 12 bits, the highest bit first; code 256 clears the table, 257 ends."""
+    fresh = [bytes([k]) for k in range(256)] + [b"", b""]
+    table, width, before, out, held, bits = fresh[:], 9, b"", [], 0, 0
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, before = fresh[:], 9, b""
+            continue
+        if code > len(table) or code == len(table) and not before:
+            raise ValueError("LZW code beyond the table")
+        entry = table[code] if code < len(table) else before + before[:1]
+        if before:
+            table.append(before + entry[:1])
+            # codes grow one entry before the table needs it
+            width = min(12, max(width, (len(table) + 1).bit_length()))
+        before = entry
+        out.append(entry)
+    return b"".join(out)
+
+
+UNPACK = {1: bytes, 5: unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress}
+
+
 def decode_tiff(data: bytes) -> np.ndarray:
+    """Strips or tiles, channels interleaved or in planes, plain, LZW or deflate, with or without horizontal differences."""
     tags, order = tiff_tags(data), "<" if data[:2] == b"II" else ">"
-    w, h, c = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
-    bits, packing = tags.get(258, (8,))[0], tags.get(259, (1,))[0]
-    if bits not in (8, 16) or packing not in (1, 8, 32946) or tags.get(317, (1,))[0] != 1 or tags.get(284, (1,))[0] != 1 or 273 not in tags:
-        raise ValueError(f"TIFF layout not supported: {bits} bits, compression {packing}")
-    parts = [data[s : s + n] for s, n in zip(tags[273], tags[279])]
-    raw = b"".join(zlib.decompress(p) if packing != 1 else p for p in parts)
-    return np.frombuffer(raw, f"{order}u{bits // 8}", h * w * c).reshape(h, w, c)
+    first = lambda tag, default: tags.get(tag, (default,))[0]
+    w, h, c = first(256, 0), first(257, 0), first(277, 1)
+    bits, packing, predictor, planar = first(258, 8), first(259, 1), first(317, 1), first(284, 1)
+    tiled = 324 in tags
+    if bits not in (8, 16) or packing not in UNPACK or predictor not in (1, 2) or planar not in (1, 2) or not (tiled or 273 in tags):
+        raise ValueError(f"TIFF layout not supported: {bits} bits, compression {packing}, predictor {predictor}")
+    bw, bh = (first(322, 0), first(323, 0)) if tiled else (w, min(h, first(278, h)))
+    starts, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    if min(w, h, c, bw, bh) < 1:
+        raise ValueError("TIFF of no pixels")
+    planes, deep, across, down = (c, 1, -(-w // bw), -(-h // bh)) if planar == 2 else (1, c, -(-w // bw), -(-h // bh))
+    if len(starts) != planes * across * down:
+        raise ValueError(f"TIFF of {len(starts)} blocks, not {planes * across * down}")
+    blocks = []
+    for k, (at, n) in enumerate(zip(starts, sizes)):
+        rows = bh if tiled else min(bh, h - k % down * bh)
+        block = np.frombuffer(UNPACK[packing](data[at : at + n]), f"{order}u{bits // 8}", rows * bw * deep).astype(f"u{bits // 8}").reshape(rows, bw, deep)
+        blocks.append(np.cumsum(block, axis=1, dtype=block.dtype) if predictor == 2 else block)
+    per = across * down
+    whole = [np.concatenate([np.concatenate(blocks[p * per + y * across : p * per + (y + 1) * across], axis=1) for y in range(down)]) for p in range(planes)]
+    return np.concatenate(whole, axis=2)[:h, :w]
 
 
 # ---- PNG
