@@ -133,7 +133,10 @@ def unsharp(p: DataFrame, sigma: float = 1.0, strength: float = 0.5) -> DataFram
     return p.withColumn("a", F.expr(S.bound(f"transform(sequence(0, size(q.px) - 1), i -> {value})", px="px", b="bg", e="edge", t="thr")))
 
 
-@query("f07_unsharp_mask", duck("gray", f"WITH {DUCK_EDGE}, {duck_blur('bl', 1.0, 'fx_gray')}, th AS (SELECT q.pid, coalesce(median(ed.g) FILTER (q.g > 8), 1) AS thr FROM fx_gray q JOIN ed USING (pid, y, x) GROUP BY q.pid) SELECT q.pid, q.y, q.x, {byte('q.g + 0.5 * (q.g - bl.g) * ' + unit('ed.g / (thr * 2 + 1e-6)'))} AS v FROM fx_gray q JOIN ed USING (pid, y, x) JOIN bl USING (pid, y, x) JOIN th ON th.pid = q.pid"))
+_UNSHARP = f"WITH {DUCK_EDGE}, {duck_blur('bl', 1.0, 'fx_gray')}, th AS (SELECT q.pid, coalesce(median(ed.g) FILTER (q.g > 8), 1) AS thr FROM fx_gray q JOIN ed USING (pid, y, x) GROUP BY q.pid) SELECT q.pid, q.y, q.x, {byte('q.g + 0.5 * (q.g - bl.g) * ' + unit('ed.g / (thr * 2 + 1e-6)'))} AS v FROM fx_gray q JOIN ed USING (pid, y, x) JOIN bl USING (pid, y, x) JOIN th ON th.pid = q.pid"
+
+
+@query("f07_unsharp_mask", duck("gray", _UNSHARP))
 def f07(spark, sf):
     return long(unsharp(patches(spark, sf)), "a")
 
@@ -150,9 +153,17 @@ def run_chain(p: DataFrame, steps: list[str]) -> DataFrame:
     return p.withColumn("skipped", F.array(*map(F.lit, skipped)) if skipped else F.expr("CAST(array() AS ARRAY<STRING>)"))
 
 
-@query("f08_filter_chain")
+_CHAINED = (
+    f"WITH s1 AS MATERIALIZED (SELECT pid, y, x, v AS g FROM ({_RETINEX}) t), s2 AS MATERIALIZED (SELECT pid, y, x, v AS g FROM ({_FADE.replace('fx_gray', 's1')}) t), "
+    f"s3 AS MATERIALIZED (SELECT pid, y, x, v FROM ({_UNSHARP.replace('fx_gray', 's2')}) t) SELECT pid, y, x, v, 'no_such_step' AS skipped FROM s3"
+)
+
+
+@query("f08_filter_chain", duck("gray", _CHAINED))
 def f08(spark, sf):
-    return run_chain(patches(spark, sf), ["multi_scale_retinex", "sediment_fade", "no_such_step", "unsharp_mask"])
+    """The pixels after a chain of three filters, and the names of the steps that were passed over."""
+    c = run_chain(patches(spark, sf), ["multi_scale_retinex", "sediment_fade", "no_such_step", "unsharp_mask"])
+    return long(c.withColumn("skipped", F.concat_ws(",", "skipped")), "px", keep=("skipped",))
 
 
 @query("f15_engineered_channels", duck("gray", f"WITH {DUCK_EDGE}, {duck_blur('bl', 2.0, 'fx_gray')} SELECT q.pid, q.y, q.x, q.g AS c0, {byte('ed.g')} AS c1, {byte('(bl.g - q.g) / (bl.g + 1e-6) * 255')} AS c2 FROM fx_gray q JOIN ed USING (pid, y, x) JOIN bl USING (pid, y, x)"))

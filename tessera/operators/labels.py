@@ -249,7 +249,18 @@ def l16(spark, sf):
     return p.mapInArrow(shapes.split_rows(S.PS, 1.0, 12), "pid bigint, n_before int, n_after int, mask array<int>")
 
 
-@query("f03_clahe")
+# A tile has 16 pixels and a limit of one a value, so what is cut is 16 less the values seen; it is spread from 0 in even steps.
+_CLAHE = (
+    "WITH se AS (SELECT DISTINCT pid, y // 4 AS j, x // 4 AS i, g FROM fx_gray), re AS (SELECT pid, j, i, 16 - count(*) AS rest FROM se GROUP BY pid, j, i), "
+    "co AS (SELECT q.pid, q.y, q.x, q.g, least(1, greatest(0, floor(q.y / 4.0::DOUBLE - 0.5) + a)) AS j, least(1, greatest(0, floor(q.x / 4.0::DOUBLE - 0.5) + b)) AS i, "
+    "abs(1 - a - (q.y / 4.0::DOUBLE - 0.5 - floor(q.y / 4.0::DOUBLE - 0.5))) * abs(1 - b - (q.x / 4.0::DOUBLE - 0.5 - floor(q.x / 4.0::DOUBLE - 0.5))) AS w FROM fx_gray q, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(a, b)), "
+    "cu AS (SELECT co.pid, y, x, co.g, co.j, co.i, any_value(co.w) AS w, count(*) FILTER (se.g <= co.g) AS seen FROM (SELECT pid, y, x, g, j, i, sum(w) AS w FROM co GROUP BY ALL) co JOIN se ON se.pid = co.pid AND se.j = co.j AND se.i = co.i GROUP BY ALL), "
+    "va AS (SELECT cu.pid, y, x, g, round_even(sum(w * round_even((seen + CASE WHEN rest > 0 THEN least(rest, g // greatest(1, 256 // greatest(rest, 1)) + 1) ELSE 0 END) * 15.9375::DOUBLE, 0)), 0) AS v FROM cu JOIN re ON re.pid = cu.pid AND re.j = cu.j AND re.i = cu.i GROUP BY cu.pid, y, x, g) "
+    "SELECT pid, y, x, CAST(least(255, greatest(0, round_even(v * 0.5 + g * 0.5, 0))) AS INTEGER) AS v FROM va"
+)
+
+
+@query("f03_clahe", duck("gray", _CLAHE))
 def f03(spark, sf):
     """Contrast-limited equalisation over a 2x2 grid of tiles, blended half and half."""
     return long(patches(spark, sf).select("pid", "px").mapInArrow(shapes.clahe_rows(S.PS, 2, 2.0, 0.5), "pid bigint, a array<int>"), "a")

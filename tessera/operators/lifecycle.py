@@ -99,7 +99,10 @@ def a12(spark, sf):
     return tuned(patches(spark, sf))
 
 
-@query("a13_params_document")
+_DOC = ", ".join(f"'{',' if k else '{'}\"{c}\":', CAST({c} AS VARCHAR)" for k, c in enumerate(("block_size", "c_offset", "open_k", "close_k", "min_area")))
+
+
+@query("a13_params_document", duck("gray", _TUNED.replace(" SELECT pid, CASE WHEN block", ", tu AS (SELECT pid, CASE WHEN block") + f") SELECT pid, concat({_DOC}, '}}') AS doc FROM tu"))
 def a13(spark, sf):
     """The parameters as a JSON document."""
     t = tuned(patches(spark, sf))

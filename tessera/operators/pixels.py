@@ -15,13 +15,14 @@ from tessera.sources.fixtures import duck, patches, view
 N = S.PS
 
 
-def long(df: DataFrame, column: str, name: str = "v", side: int = N) -> DataFrame:
-    """(pid, y, x, value) of an array column.
+def long(df: DataFrame, column: str, name: str = "v", side: int = N, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(pid, y, x, value) of an array column, with the columns of ``keep`` beside them.
 
     The array goes through an Arrow step first: an explode right above its expression would have the optimiser evaluate it again for each use.
     """
-    kind = df.schema[column].dataType.elementType.simpleString()
-    return df.select("pid", column).mapInArrow(exploded(side), f"pid {df.schema['pid'].dataType.simpleString()}, y int, x int, {name} {kind}")
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    schema = [f"pid {kind('pid')}", "y int", "x int", f"{name} {df.schema[column].dataType.elementType.simpleString()}", *(f"{c} {kind(c)}" for c in keep)]
+    return df.select("pid", column, *keep).mapInArrow(exploded(side), ", ".join(schema))
 
 
 def exploded(side: int):
@@ -32,7 +33,8 @@ def exploded(side: int):
             of = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             flat = pc.list_flatten(lists)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), pa.array((place // side).astype(np.int32)), pa.array((place % side).astype(np.int32)), flat], ["pid", "y", "x", "v"])
+            of, more = pa.array(of), range(2, b.num_columns)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array((place // side).astype(np.int32)), pa.array((place % side).astype(np.int32)), flat, *(b.column(k).take(of) for k in more)], ["pid", "y", "x", "v", *(b.schema.names[k] for k in more)])
 
     return run
 
