@@ -30,9 +30,9 @@ def padded(img: np.ndarray, r: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=64)
-def blur_matrix(n: int, sigma: float) -> np.ndarray:
-    """n x n matrix of a Gaussian over four sigmas each way; the mirrored taps are folded into it."""
-    r = max(1, round(4 * sigma))
+def blur_matrix(n: int, sigma: float, radius: int | None = None) -> np.ndarray:
+    """n x n matrix of a Gaussian over four sigmas (or ``radius`` pixels) each way; the mirrored taps are folded into it."""
+    r = max(1, round(4 * sigma)) if radius is None else radius
     k = np.arange(-r, r + 1)
     taps = np.exp(-(k**2) / (2 * sigma * sigma))
     out = np.zeros((n, n))
@@ -40,9 +40,9 @@ def blur_matrix(n: int, sigma: float) -> np.ndarray:
     return out
 
 
-def blur(img: np.ndarray, sigma: float) -> np.ndarray:
+def blur(img: np.ndarray, sigma: float, radius: int | None = None) -> np.ndarray:
     """Separable Gaussian as two matrix products, whatever sigma is."""
-    return blur_matrix(img.shape[0], float(sigma)) @ img.astype(float) @ blur_matrix(img.shape[1], float(sigma)).T
+    return blur_matrix(img.shape[0], float(sigma), radius) @ img.astype(float) @ blur_matrix(img.shape[1], float(sigma), radius).T
 
 
 def stencil(img: np.ndarray, taps) -> np.ndarray:

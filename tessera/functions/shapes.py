@@ -13,8 +13,8 @@ import pyarrow as pa
 
 from tessera.functions.kernels import label_tile
 
-REGION = "pid bigint, region int, area double, n_inside bigint, solidity double, eccentricity double, circularity double, n_points int, mean_score double, mean_gray double, mean_bg double, thr double, inside array<int>"
-_REGION = pa.schema([("pid", pa.int64()), ("region", pa.int32()), *[(c, pa.float64()) for c in ("area",)], ("n_inside", pa.int64()), *[(c, pa.float64()) for c in ("solidity", "eccentricity", "circularity")], ("n_points", pa.int32()), *[(c, pa.float64()) for c in ("mean_score", "mean_gray", "mean_bg", "thr")], ("inside", pa.list_(pa.int32()))])
+REGION = "pid bigint, region int, area double, n_inside bigint, solidity double, eccentricity double, circularity double, n_points int, mean_score double, mean_gray double, mean_bg double, thr double, inside array<int>, n_valid int, size int"
+_REGION = pa.schema([("pid", pa.int64()), ("region", pa.int32()), *[(c, pa.float64()) for c in ("area",)], ("n_inside", pa.int64()), *[(c, pa.float64()) for c in ("solidity", "eccentricity", "circularity")], ("n_points", pa.int32()), *[(c, pa.float64()) for c in ("mean_score", "mean_gray", "mean_bg", "thr")], ("inside", pa.list_(pa.int32())), ("n_valid", pa.int32()), ("size", pa.int32())])
 
 #: the eight neighbours clockwise from east, y downward
 RING = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
@@ -87,21 +87,26 @@ def shape(mask: np.ndarray) -> dict[str, float]:
     return {"area": area, "solidity": area / whole if whole else 0.0, "eccentricity": ecc, "circularity": 4 * math.pi * area / length**2 if length else 0.0, "n_points": corners}
 
 
-def region_rows(side: int):
-    """mapInArrow over (pid, mask, score, px, bg, thr): one row per outer region, named by its first place."""
+def region_rows(side: int, outer: bool = False):
+    """mapInArrow over (pid, mask, score, px, bg, thr, n_valid): one row per outer region, named by its first place.
+
+    With ``outer`` also one row, of a null region, for each patch that has none.
+    """
 
     def run(batches):
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                if r["mask"] is None:
-                    continue
-                lab = label_tile(filled(np.array(r["mask"], bool).reshape(-1, side)))
+                of = {"pid": r["pid"], "thr": r["thr"], "n_valid": r["n_valid"], "size": None if r["px"] is None else len(r["px"])}
+                lab = label_tile(filled(np.array(r["mask"], bool).reshape(-1, side))) if r["mask"] else np.zeros((0, side), int)
                 flat = lab.reshape(-1)
-                for name in np.unique(flat[flat >= 0]):
+                names = np.unique(flat[flat >= 0])
+                if outer and not len(names):
+                    rows.append(of)
+                for name in names:
                     at = np.flatnonzero(flat == name)
                     mean = lambda k: float(np.array(r[k], float)[at].mean())  # noqa: B023, E731
-                    rows.append({"pid": r["pid"], "region": int(name), "n_inside": len(at), **shape(lab == name), "mean_score": mean("score"), "mean_gray": mean("px"), "mean_bg": mean("bg"), "thr": r["thr"], "inside": at.tolist()})
+                    rows.append(of | {"region": int(name), "n_inside": len(at), **shape(lab == name), "mean_score": mean("score"), "mean_gray": mean("px"), "mean_bg": mean("bg"), "inside": at.tolist()})
             yield pa.RecordBatch.from_pylist(rows, _REGION)
 
     return run

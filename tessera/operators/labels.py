@@ -1,7 +1,7 @@
 """Proxy-label features, threshold, clean-up and the cascade of region tests.
 
-Features and thresholds are array expressions within a patch's row. Regions are traced by a kernel per patch
-(bounded by the patch size); the cascade that accepts or rejects them is a DataFrame expression.
+Features, clean-up and regions are NumPy kernels per patch (bounded by the patch size); thresholds and the cascade
+that accepts or rejects regions are DataFrame expressions within a patch's row.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import raster, shapes
 from tessera.functions import stencil as S
-from tessera.operators.enhance import duck_blur, duck_filled, filled, unit
+from tessera.operators.enhance import duck_blur, duck_filled, unit
 from tessera.operators.pixels import LAP, long
 from tessera.registry import query
 from tessera.sources.fixtures import duck, patches
@@ -52,13 +52,32 @@ BASE = Settings()
 
 # ---- features
 
-def tophat(p: DataFrame, c: Settings = BASE) -> DataFrame:
-    """Column ``th``: greatest closing minus gray over the radii, damped where the texture is grainy."""
-    closings = [S.extreme(S.extreme("px", S.ellipse(r), "greatest"), S.ellipse(r), "least") for r in c.radii]
-    fine = S.bound("zip_with(q.px, q.f, (g, f) -> abs(g - f))", px="px", f=S.blur("px", c.texture_sigma))
-    top = "greatest(" + ", ".join(f"q.c{k}[i]" for k in range(len(closings))) + ")" if len(closings) > 1 else "q.c0[i]"
-    weight = unit(f"1 - q.t[i] / {c.texture_limit}D")
-    return p.withColumn("th", F.expr(S.bound(f"transform(sequence(0, size(q.px) - 1), i -> ({top} - q.px[i]) * {weight})", px="px", t=S.blur(fine, 2 * c.texture_sigma), **{f"c{k}": e for k, e in enumerate(closings)})))
+def _features(c: Settings, side: int):
+    """Appends ``th``, ``bg``, ``score`` and ``noise`` of each patch; a null or empty patch stays as it is, without noise."""
+    blur = lambda img, sigma: raster.blur(img, sigma, len(S.gauss(sigma)) // 2)
+
+    def of(px):
+        if not px:
+            return px, px, px, 0.0
+        g = np.array(px, float).reshape(-1, side)
+        ok = g > 10
+        best = np.max([raster.closed(g, 2 * r + 1) for r in c.radii], axis=0) - g
+        th = best * np.clip(1 - blur(np.abs(g - blur(g, c.texture_sigma)), 2 * c.texture_sigma) / c.texture_limit, 0, 1)
+        if not ok.any():
+            return th.reshape(-1).tolist(), [None] * g.size, [0.0] * g.size, 0.0
+        bg = blur(np.where(ok, g, g[ok].mean()), c.background_sigma)
+        top = np.maximum(bg, 1)
+        score = np.where(ok, np.round(th * np.clip((top - g) / top, 0, 1), 6), 0)
+        noise = 1.4826 * float(np.median(np.abs(raster.stencil(g, S.LAPLACE))[ok]))
+        return th.reshape(-1).tolist(), bg.reshape(-1).tolist(), score.reshape(-1).tolist(), noise
+
+    def run(batches):
+        for b in batches:
+            rows = [of(px) for px in b.column(b.schema.get_field_index("px")).to_pylist()]
+            new = [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.list_(pa.float64())] * 3 + [pa.float64()])]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "th", "bg", "score", "noise"])
+
+    return run
 
 
 def _ball(r: int) -> str:
@@ -75,7 +94,7 @@ _TH += f", {duck_blur('fine', BASE.texture_sigma, 'fx_gray')}, df AS (SELECT q.p
 
 @query("l01_tophat_textured", duck("gray", f"WITH {_TH} SELECT pid, y, x, round(v, 5) AS v FROM th"))
 def l01(spark, sf):
-    return long(tophat(patches(spark, sf)), "th").withColumn("v", F.round("v", 5))
+    return long(scored(patches(spark, sf)), "th").withColumn("v", F.round("v", 5))
 
 
 PAIRS = ((0.5, 1.0), (1.0, 2.0))
@@ -101,13 +120,14 @@ def l04(spark, sf):
 
 # ---- score and threshold
 
-def scored(p: DataFrame, c: Settings = BASE) -> DataFrame:
-    """Columns ``score`` (top-hat times local contrast, six places, 0 on border pixels), ``bg`` and ``noise``."""
-    p = tophat(p, c).withColumn("bg", F.expr(S.blur(filled(10), c.background_sigma)))
-    lcr = unit("(greatest(q.bg[i], 1D) - q.px[i]) / greatest(q.bg[i], 1D)")
-    p = p.withColumn("score", F.expr(S.bound(f"transform(sequence(0, size(q.px) - 1), i -> CASE WHEN q.px[i] > 10 THEN round(q.th[i] * {lcr}, 6) ELSE 0D END)", px="px", th="th", bg="bg")))
-    lap = S.bound("transform(filter(zip_with(q.px, q.l, (g, l) -> named_struct('g', g, 'l', abs(l))), s -> s.g > 10), s -> s.l)", px="px", l=S.weighted("px", S.LAPLACE))
-    return p.withColumn("noise", F.expr(f"coalesce(1.4826D * {S.quantile(lap, 0.5)}, 0D)"))
+def scored(p: DataFrame, c: Settings = BASE, side: int = S.PS) -> DataFrame:
+    """Adds ``th``, the greatest closing minus gray over the radii, damped where the texture is grainy; ``score``, that times local contrast (six places, 0 on border pixels); ``bg`` and ``noise``."""
+    return p.mapInArrow(_features(c, side), appended(p, "th array<double>, bg array<double>, score array<double>, noise double"))
+
+
+def appended(p: DataFrame, columns: str) -> str:
+    """The schema of ``p`` with further columns."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema.fields), columns])
 
 
 _SC = f"{_TH}, {duck_filled(10)}, {duck_blur('bl', BASE.background_sigma, 'fi')}, sc AS (SELECT q.pid, q.y, q.x, q.g AS gray, CASE WHEN q.g > 10 THEN round(th.v * {unit('(greatest(bl.g, 1) - q.g) / greatest(bl.g, 1)')}, 6) ELSE 0 END AS v FROM fx_gray q JOIN th USING (pid, y, x) JOIN bl USING (pid, y, x))"
@@ -147,18 +167,17 @@ def l07(spark, sf):
 def cleaned(p: DataFrame, c: Settings = BASE, close: int = 2, open_: int = 1) -> DataFrame:
     """Adds ``mask``: scores at or over the threshold, closed, then opened (0 and 1)."""
     p = thresholded(p, c).withColumn("raw", F.expr(S.bound("zip_with(q.s, q.px, (s, g) -> CASE WHEN s >= q.t AND g > 10 THEN 1 ELSE 0 END)", s="score", px="px", t="thr")))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema.fields), "mask array<int>"])
-    return p.mapInArrow(_cleanup(2 * close + 1, 2 * open_ + 1), schema)
+    return p.mapInArrow(_cleanup(2 * close + 1, 2 * open_ + 1), appended(p, "mask array<int>"))
 
 
 def _cleanup(close: int, open_: int, side: int = S.PS):
-    """Appends ``mask``, the column ``raw`` closed and then opened; a null stays null."""
+    """Appends ``mask``, the column ``raw`` closed and then opened; a null or empty one stays."""
 
     def run(batches):
         for b in batches:
             masks = []
             for raw in b.column(b.schema.get_field_index("raw")).to_pylist():
-                masks.append(None if raw is None else raster.opened(raster.closed(np.array(raw).reshape(-1, side), close), open_).astype(int).reshape(-1).tolist())
+                masks.append(raw if not raw else raster.opened(raster.closed(np.array(raw).reshape(-1, side), close), open_).astype(int).reshape(-1).tolist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(masks, pa.list_(pa.int32()))], [*b.schema.names, "mask"])
 
     return run
@@ -182,9 +201,12 @@ def l17(spark, sf):
 
 # ---- regions
 
-def regions(p: DataFrame, side: int = S.PS) -> DataFrame:
-    """One row per outer region of ``mask`` with its shape features, mean score and mean contrast; holes count as inside."""
-    return p.select("pid", "mask", "score", "px", "bg", "thr").mapInArrow(shapes.region_rows(side), shapes.REGION)
+def regions(p: DataFrame, side: int = S.PS, outer: bool = False) -> DataFrame:
+    """One row per outer region of ``mask`` with its shape features, mean score and mean contrast; holes count as inside.
+
+    With ``outer`` a patch without regions has a row, too, with a null region.
+    """
+    return p.select("pid", "mask", "score", "px", "bg", "thr", "n_valid").mapInArrow(shapes.region_rows(side, outer), shapes.REGION)
 
 
 def cascade(r: DataFrame, c: Settings = BASE) -> DataFrame:
@@ -205,7 +227,7 @@ def cascade(r: DataFrame, c: Settings = BASE) -> DataFrame:
 
 @query("l10_l11_region_features")
 def l11(spark, sf):
-    return regions(cleaned(patches(spark, sf))).drop("inside")
+    return regions(cleaned(patches(spark, sf))).drop("inside", "n_valid", "size")
 
 
 _FEATURES = "SELECT doc_id, CAST(n_chars % 60 AS DOUBLE) AS area, CAST(doc_id % 11 AS DOUBLE) AS mean_score, CAST(4 AS DOUBLE) AS thr, CAST(doc_id % 13 AS DOUBLE) / 12 AS solidity, CAST(doc_id % 17 AS DOUBLE) / 16 AS eccentricity, CAST(doc_id % 19 AS DOUBLE) / 18 AS circularity, CAST(doc_id % 50 AS DOUBLE) AS mean_bg, CAST(doc_id % 47 AS DOUBLE) AS mean_gray FROM {docs}"
@@ -223,18 +245,19 @@ def proxy_label(p: DataFrame, c: Settings = BASE) -> DataFrame:
 
     A patch with too few valid pixels or without regions has no candidates.
     """
-    m = cleaned(p, c)
-    v = cascade(regions(m), c).groupBy("pid", "verdict").agg(F.count("*").alias("n"), F.sum("n_inside").alias("px"))
+    kept = F.col("verdict") == "kept"
+    v = cascade(regions(cleaned(p, c), outer=True), c).groupBy("pid", F.when(F.col("region").isNotNull(), F.col("verdict")).alias("verdict"))
+    v = v.agg(F.count("region").alias("n"), F.sum("n_inside").alias("px"), *[F.first(k).alias(k) for k in ("n_valid", "thr", "size")])
     v = v.groupBy("pid").agg(
         F.sum("n").alias("candidates"),
-        F.sum(F.when(F.col("verdict") == "kept", F.col("n")).otherwise(0)).alias("kept"),
-        F.sum(F.when(F.col("verdict") == "kept", F.col("px")).otherwise(0)).alias("kept_px"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("verdict") != "kept", F.struct("verdict", "n"))))).alias("rejected"),
+        F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("kept"),
+        F.sum(F.when(kept, F.col("px")).otherwise(0)).alias("kept_px"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(~kept, F.struct("verdict", "n"))))).alias("rejected"),
+        *[F.first(k).alias(k) for k in ("n_valid", "thr", "size")],
     )
     few = F.col("n_valid") < c.least_valid
-    zero = lambda k: F.when(few, 0).otherwise(F.coalesce(k, F.lit(0)))
-    out = m.select("pid", "n_valid", "thr", F.size("px").alias("size")).join(v, "pid", "left")
-    return out.select("pid", zero("candidates").alias("candidates"), zero("kept").alias("kept"), (100.0 * zero("kept_px") / F.col("size")).alias("coverage_pct"), F.when(few, 0.0).otherwise(F.col("thr")).alias("threshold"), F.coalesce("rejected", F.expr("CAST(map() AS MAP<STRING, BIGINT>)")).alias("rejected"))
+    zero = lambda k: F.when(few, 0).otherwise(F.col(k))
+    return v.select("pid", zero("candidates").alias("candidates"), zero("kept").alias("kept"), (100.0 * zero("kept_px") / F.nullif("size", F.lit(0))).alias("coverage_pct"), F.when(few, 0.0).otherwise(F.col("thr")).alias("threshold"), "rejected")
 
 
 @query("l14_l15_proxy_label")
