@@ -17,26 +17,25 @@ from tessera.llm import common as C
 GROUP_BYTES = 16 << 20  #: text behind one destination: what one task holds in memory follows from it
 
 
-def _murmur(k: int) -> int:
-    """Spark's hash() of an int."""
-    m, rot = 0xFFFFFFFF, lambda x, r: (x << r | x >> (32 - r)) & 0xFFFFFFFF
-    h = 42 ^ rot(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
-    h = (rot(h, 13) * 5 + 0xE6546B64 & m) ^ 4
-    h = (h ^ h >> 16) * 0x85EBCA6B & m
-    h = (h ^ h >> 13) * 0xC2B2AE35 & m
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
+def _murmur(k: np.ndarray) -> np.ndarray:
+    """Spark's hash() of ints."""
+    rot = lambda x, r: x << np.uint32(r) | x >> np.uint32(32 - r)
+    h = np.uint32(42) ^ rot(k.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = rot(h, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).view(np.int32)
 
 
 def labels(n: int) -> np.ndarray:
-    """n ints, the k-th of which Spark's hash partitioning sends to partition k of n."""
-    out, left, k = np.zeros(n, np.int32), n, 0
-    filled = np.zeros(n, bool)
-    while left:
-        p = _murmur(k) % n
-        if not filled[p]:
-            filled[p], out[p], left = True, k, left - 1
-        k += 1
+    """n ints, the k-th of which Spark's hash partitioning sends to partition k of n: the least such, found in stretches of 2 n."""
+    out, start, step = np.full(n, -1, np.int32), 0, max(1024, 2 * n)
+    while (out < 0).any():
+        tried = np.arange(start, start + step)
+        at, first = np.unique(_murmur(tried).astype(np.int64) % n, return_index=True)
+        new = out[at] < 0
+        out[at[new]] = tried[first[new]]
+        start += step
     return out
 
 
