@@ -17,14 +17,16 @@ from tessera.llm import common as C
 GROUP_BYTES = 16 << 20  #: text behind one destination: what one task holds in memory follows from it
 
 
-def _murmur(k: np.ndarray) -> np.ndarray:
-    """Spark's hash() of ints."""
+def _murmur(k):
+    """Spark's hash() of an int or an array of ints."""
+    k = np.asarray(k)
     rot = lambda x, r: x << np.uint32(r) | x >> np.uint32(32 - r)
-    h = np.uint32(42) ^ rot(k.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = np.uint32(42) ^ rot(np.atleast_1d(k).astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
     h = rot(h, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
     h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
     h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
-    return (h ^ h >> np.uint32(16)).view(np.int32)
+    h = (h ^ h >> np.uint32(16)).view(np.int32)
+    return h if k.ndim else int(h[0])
 
 
 def labels(n: int) -> np.ndarray:
