@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import classlm, decontam, langid, media, neardup, packing, pii, secrets, substring, warc
+from tessera.llm import classlm, decontam, langid, media, neardup, packing, periodic, pii, secrets, spelling, substring, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -19,8 +19,18 @@ def queries() -> dict[str, Callable]:
         "op8_class_lm": classlm.op8_class_lm,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_minhash_neardup": neardup.op10_minhash_neardup,
+        "op12_periodic_runs": periodic.op12_periodic_runs,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.OP3_SQL, "op4_secret_ledger": secrets.OP4_SQL, "op5_warc": warc.OP5_SQL, "op7_substring_dedup": substring.OP7_SQL, "op10_minhash_neardup": neardup.OP10_SQL}
+    return {
+        "op3_decontamination": decontam.OP3_SQL,
+        "op4_secret_ledger": secrets.OP4_SQL,
+        "op5_warc": warc.OP5_SQL,
+        "op7_substring_dedup": substring.OP7_SQL,
+        "op10_minhash_neardup": neardup.OP10_SQL,
+        "op12_periodic_runs": periodic.OP12_SQL,
+        "op13_spelling_variants": spelling.OP13_SQL,
+    }
