@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.llm import classlm, decontam, langid, media, neardup, packing, periodic, pii, secrets, spelling, substring, warc
+from tessera.llm import classlm, decontam, langid, media, neardup, ngramjoin, packing, periodic, pii, secrets, spelling, substring, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable]:
         "op8_class_lm": classlm.op8_class_lm,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_minhash_neardup": neardup.op10_minhash_neardup,
+        "op11_ngram_join": ngramjoin.op11_ngram_join,
         "op12_periodic_runs": periodic.op12_periodic_runs,
         "op13_spelling_variants": spelling.op13_spelling_variants,
     }
@@ -31,6 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": warc.OP5_SQL,
         "op7_substring_dedup": substring.OP7_SQL,
         "op10_minhash_neardup": neardup.OP10_SQL,
+        "op11_ngram_join": ngramjoin.OP11_SQL,
         "op12_periodic_runs": periodic.OP12_SQL,
         "op13_spelling_variants": spelling.OP13_SQL,
     }
