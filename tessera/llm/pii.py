@@ -150,36 +150,80 @@ def _scan(docs: DataFrame) -> DataFrame:
     return d.select("row", "doc_id", _said(F.col("text")).alias("said"), _tokens(F.col("text")).alias("tokens"))
 
 
-def _patterns(left: bool, right: bool) -> Column:
-    """The patterns of a token's row that lie on the given sides: array<string>."""
+def _patterns() -> Column:
+    """The patterns of a row with the words around it and ``same``, whether they surround one token: array<string>."""
     c = F.col
     both = lambda a, b: (c(a) != "") & (c(b) != "")
-    out = []
-    if left:
-        out.append(F.when(both("l2", "l1"), F.concat(c("l2"), F.lit(" "), c("l1"), F.lit(" _"))))
-    if right:
-        out.append(F.when(both("r1", "r2"), F.concat(F.lit("_ "), c("r1"), F.lit(" "), c("r2"))))
-    if left and right:
-        out.append(F.when(both("l1", "r1"), F.concat(c("l1"), F.lit(" _ "), c("r1"))))
-    return F.transform(F.array_compact(F.array(*out)), lambda p: F.regexp_replace(F.lower(p), "[0-9]", "0"))
+    left = F.when(both("l2", "l1"), F.concat(c("l2"), F.lit(" "), c("l1"), F.lit(" _")))
+    right = F.when(both("r1", "r2"), F.concat(F.lit("_ "), c("r1"), F.lit(" "), c("r2")))
+    around = F.when(c("same") & both("l1", "r1"), F.concat(c("l1"), F.lit(" _ "), c("r1")))
+    return F.transform(F.array_compact(F.array(left, right, around)), lambda p: F.regexp_replace(F.lower(p), "[0-9]", "0"))
+
+
+def _reached(marks: Column, places: Column, equal: bool) -> Column:
+    """For each of ``places`` how many of ``marks`` lie before it (or on it, if ``equal``): both are sorted together once."""
+    event = lambda at, side, k: F.struct(at.cast("int").alias("at"), F.lit(side).alias("side"), k.cast("int").alias("k"))
+    events = F.array_sort(F.concat(F.transform(marks, lambda x: event(x, 0 if equal else 1, F.lit(-1))), F.transform(places, lambda x, i: event(x, 1 if equal else 0, i))))
+
+    def counted(e: Column) -> Column:
+        seen = running(F.transform(e, lambda x: (x["k"] < 0).cast("int")), lambda a, b: a + b)
+        found = F.filter(F.zip_with(e, seen, lambda x, n: F.struct(x["k"].alias("k"), n.alias("n"))), lambda x: x["k"] >= 0)
+        return F.transform(F.array_sort(found), lambda x: x["n"])
+
+    return let(events, counted)
+
+
+def _seeds() -> Column:
+    """Base spans with the words before the token they start in and after the token they end in."""
+    said, tokens = F.col("said"), F.col("tokens")
+    begins = F.transform(tokens, lambda t: t["start"])
+
+    def one(first: Column, last: Column):
+        def of(s: Column, i: Column) -> Column:
+            a, b = F.get(first, i) - 1, F.get(last, i) - 1
+            ta, tb = F.get(tokens, a), F.get(tokens, b)
+            word = lambda t, name, ok: F.when(ok, t[name]).otherwise("").alias(name)
+            starts, ends = (a >= 0) & (s["start"] < ta["end"]), (b >= 0) & (s["end"] <= tb["end"])
+            return F.struct(s["m"].alias("instance"), s["start"].alias("start"), s["end"].alias("end"), word(ta, "l2", starts), word(ta, "l1", starts), word(tb, "r1", ends), word(tb, "r2", ends), ((a == b) & starts & ends).alias("same"))
+
+        return of
+
+    first = _reached(begins, F.transform(said, lambda s: s["start"]), True)
+    last = _reached(begins, F.transform(said, lambda s: s["end"]), False)
+    return let(F.struct(first.alias("a"), last.alias("b")), lambda p: F.transform(said, one(p["a"], p["b"])))
+
+
+def _others() -> Column:
+    """The cores of tokens that meet no base span, with the words around them."""
+    said = F.col("said")
+
+    def core(t: Column) -> Column:
+        m = F.regexp_extract(t["m"], _CORE, 0)
+        start = t["start"] + F.instr(t["m"], m) - 1
+        return F.struct(m.alias("instance"), start.alias("start"), (start + F.length(m)).alias("end"), *[t[w].alias(w) for w in ("l2", "l1", "r1", "r2")], F.lit(True).alias("same"))
+
+    cores = F.filter(F.transform("tokens", core), lambda t: t["instance"].rlike("[0-9@]"))
+
+    def free(c: Column) -> Column:
+        before = _reached(F.transform(said, lambda s: s["start"]), F.transform(c, lambda t: t["end"]), False)
+        farthest = running(F.transform(said, lambda s: s["end"]), F.greatest)
+        meets = lambda p, t, i: F.coalesce(F.get(p["far"], F.get(p["n"], i) - 1) > t["start"], F.lit(False))
+        return let(F.struct(before.alias("n"), farthest.alias("far")), lambda p: F.filter(c, lambda t, i: ~meets(p, t, i)))
+
+    return let(cores, free)
 
 
 def _candidates(scanned: DataFrame) -> DataFrame:
-    """row, pattern, instance, start, end, seed of the base spans and of the other tokens that look like identifiers."""
-    t = scanned.select("row", "said", F.explode("tokens").alias("t")).select("row", "said", "t.*")
-    # every base span starts in a token: its first word, or the whole of it, holds a digit or an @; it ends in one, too
-    starts = lambda s: (s["start"] >= F.col("start")) & (s["start"] < F.col("end"))
-    ends = lambda s: (s["end"] > F.col("start")) & (s["end"] <= F.col("end"))
-    seeds = None
-    for sides, fits in (((True, True), lambda s: starts(s) & ends(s)), ((True, False), lambda s: starts(s) & ~ends(s)), ((False, True), lambda s: ends(s) & ~starts(s))):
-        some = t.select("row", F.explode(F.filter("said", fits)).alias("s"), _patterns(*sides).alias("patterns"))
-        seeds = some if seeds is None else seeds.unionByName(some)
-    seeds = seeds.select("row", F.explode("patterns").alias("pattern"), F.col("s.m").alias("instance"), "s.start", "s.end", F.lit(True).alias("seed"))
-    t = t.withColumn("patterns", _patterns(True, True)).withColumn("instance", F.regexp_extract("m", _CORE, 0))
-    t = t.filter((F.length("instance") >= 6) & (F.contains("instance", F.lit("@")) | (_n_digits(F.col("instance")) >= 4)))
-    t = t.withColumn("start", F.col("start") + F.expr("instr(m, instance)") - 1).withColumn("end", F.col("start") + F.length("instance"))
-    others = t.filter(~F.exists("said", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
-    return seeds.unionByName(others.select("row", F.explode("patterns").alias("pattern"), "instance", "start", "end", F.lit(False).alias("seed")))
+    """row, pattern, instance, start, end, seed of the base spans and of the other tokens with a digit or an @.
+
+    Spans and tokens of a text meet inside its row, both sorted; what is exploded carries nothing but itself.
+    """
+    out = None
+    for found, seed in ((_seeds(), True), (_others(), False)):
+        some = scanned.select("row", F.explode(found).alias("t")).select("row", "t.*")
+        some = some.select("row", F.explode(_patterns()).alias("pattern"), "instance", "start", "end", F.lit(seed).alias("seed"))
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 def bootstrap(candidates: DataFrame, most: int | None = None, support: int = SUPPORT, confident: float = CONFIDENT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
