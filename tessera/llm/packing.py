@@ -13,7 +13,6 @@ rows are packed as often as they come; empty tables give no rows.
 
 from __future__ import annotations
 
-import base64
 import zlib
 
 import numpy as np
@@ -70,24 +69,42 @@ class Bins:
 _encoders: dict[str, object] = {}
 
 
+def _letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 itself, all others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 def encoder(path: str):
-    """The tokenizer file's vocabulary and merges in the faster of the two engines that read it.
+    """The ids of a text by the tokenizer file, by the faster of two engines that read its vocabulary.
 
-    The file is a byte-level BPE whose ids follow its merge order, so ids serve as ranks;
-    special tokens are matched in texts as the file asks for.
+    The file is a byte-level BPE whose ids follow its merge order, so ids serve as ranks; special tokens are matched
+    in texts as the file asks for. Texts that the faster engine refuses (very long runs of one kind of character) go
+    to the engine that the file is written for.
     """
     if path not in _encoders:
         import json
 
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        with open(path.replace(".json", ".tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        byte = _letters()
+        ranks = {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
+        fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        whole = Tokenizer.from_file(path)
+
+        def encode(text: str) -> list[int]:
+            try:
+                return fast.encode(text, allowed_special="all")
+            except ValueError:
+                return whole.encode(text, add_special_tokens=False).ids
+
+        _encoders[path] = encode
     return _encoders[path]
 
 
@@ -104,14 +121,14 @@ def _pack(path: str, capacity: int, most: int, end_id: int):
     """Pieces of the task's documents, then a row (piece OPEN) for each bin left open."""
 
     def run(rows):
-        encode, bins = encoder(path).encode, Bins(capacity, most)
+        encode, bins = encoder(path), Bins(capacity, most)
         base = TaskContext.get().partitionId() << 40
         kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
         made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], COLUMNS)
         for b in C.cut(rows, 1000, 8 << 20):
             out: list[list] = [[] for _ in COLUMNS]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = encode(text, allowed_special="all") if text else []
+                got = encode(text) if text else []
                 got.append(end_id)
                 raw = np.array(got, "<u4")
                 for k, (start, length) in enumerate(pieces(len(got), capacity)):
