@@ -39,6 +39,7 @@ SHINGLE = 5
 SIMILARITY = 0.75
 RADIUS, BLOCKS = 23, 8
 BROADCAST_ROWS = 500_000  #: 8 to 40 bytes each
+STARTS = 64  #: starts whose windows are built in one row
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -106,10 +107,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     by_row = starts.groupBy("row").agg(F.collect_list(F.struct("k", "w", "starts")).alias("sizes"))
     side = F.broadcast(by_row) if n <= BROADCAST_ROWS else by_row.hint("shuffle_hash")
     at = d.select("row", "doc_id", "text").join(side, "row").select("row", "doc_id", words(F.col("text")).alias("ws"), F.explode("sizes").alias("i"))
-    at = at.select("row", "doc_id", "ws", F.col("i.k").alias("k"), F.col("i.w").alias("w"), F.explode("i.starts").alias("start"))
-    end = "least(start + w, size(ws) - k + 1) - 1"
-    cases = "CASE k " + " ".join(f"WHEN {k} THEN {_run('ws', 'start', end, k)}" for k in sizes) + " END"
-    windows = C.stored(at.select("row", "doc_id", "k", "w", "start", F.expr(cases).alias("window")).distinct().withColumn("simhash", F.expr(_simhash("window"))), "decontam-windows", most=most)
+    # the starts of a text in stretches with the words they need, so that no row carries a whole text through an explode
+    lists = f"transform(sequence(0, cast((size(i.starts) - 1) / {STARTS} as int)), j -> slice(i.starts, {STARTS} * j + 1, {STARTS}))"
+    needed = "slice(ws, ss[0] + 1, element_at(ss, -1) - ss[0] + i.w + i.k - 1)"
+    at = at.select("row", "doc_id", "i.k", "i.w", F.explode(F.expr(f"transform({lists}, ss -> struct(ss AS ss, {needed} AS ws))")).alias("c"))
+    end = "least(s - c.ss[0] + w, size(c.ws) - k + 1) - 1"
+    cases = "CASE k " + " ".join(f"WHEN {k} THEN {_run('c.ws', 's - c.ss[0]', end, k)}" for k in sizes) + " END"
+    at = at.select("row", "doc_id", "k", "w", F.explode(F.expr(f"transform(c.ss, s -> struct(s AS start, {cases} AS window))")).alias("x"))
+    # equal windows of a text count as the first of them
+    windows = at.groupBy("row", "doc_id", "k", "w", "x.window").agg(F.min("x.start").alias("start")).withColumn("simhash", F.expr(_simhash("window")))
+    windows = C.stored(windows, "decontam-windows", most=most)
 
     # multi-index: blocks of the windows meet the blocks of all items of their size and all neighbours within two bits
     bits = "shiftrightunsigned(simhash, 8 * b) & 255L"
