@@ -7,26 +7,32 @@ own writers, so ``out`` may be in any store all executors share. A flow whose re
 from __future__ import annotations
 
 import json
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import engine as E
-from tessera.operators.geo import pixel_sizes
+from tessera.operators.geo import METRES_PER_DEGREE, pixel_sizes
 from tessera.operators.records import import_actions, split_records, with_mask_source
 from tessera.settings import Settings
 from tessera.sources import rasters as R
+from tessera.sources import windows as V
 
 def patch_id():
     """image_yyyyyy_xxxxxx"""
     return F.concat("image_id", F.format_string("_%06d_%06d", "y", "x"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def there(spark: SparkSession, path: str) -> bool:
     """Whether a table was written whole."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return _exists(spark, f"{path}/_SUCCESS")
 
 
 def kept(df: DataFrame, path: str, *partitions: str) -> DataFrame:
@@ -35,46 +41,128 @@ def kept(df: DataFrame, path: str, *partitions: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _blocks(spark: SparkSession, folder: str) -> DataFrame:
-    named = E.blocks(R.read_rasters(R.find_rasters(spark, folder)))
-    return named.withColumn("image_id", F.regexp_replace("image_id", r"^.*/|\.[^.]*$", ""))
+def _name(path: str):
+    """File name without folders and extension."""
+    return F.regexp_replace(path, r"^.*/|\.[^.]*$", "")
+
+
+def name_of(path: str) -> str:
+    return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+
+
+def _blocks(spark: SparkSession, *paths: str) -> DataFrame:
+    return V.read_blocks(spark, *paths).withColumn("image_id", _name("image_id"))
+
+
+JOURNAL = "image_id string, stamp string, path string, patches long, kept long, coverage_pct double, settings string, at timestamp"
+
+
+def journal(spark: SparkSession, out: str) -> DataFrame:
+    """The last entry of each image: what is listed here is complete."""
+    path = f"{out}/journal"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], JOURNAL)
+    j = spark.read.schema(JOURNAL).parquet(path)
+    return j.groupBy("image_id").agg(F.max_by(F.struct(*[c for c in j.columns if c != "image_id"]), "at").alias("j")).select("image_id", "j.*")
 
 
 def manifest(spark: SparkSession, out: str) -> dict:
-    """The run's manifest document, or the default one if there is none."""
-    path = f"{out}/manifest"
-    return json.loads(spark.read.text(path).first()[0]) if there(spark, path) else {"images": {}, "settings": None}
+    """The run's manifest document, or the default one if there is none: an entry for each complete image."""
+    rows = journal(spark, out).sort("image_id").collect()  # a document for people: a line an image
+    return {"images": {r.image_id: {"patches": r.patches, "kept": r.kept, "coverage_pct": r.coverage_pct} for r in rows}, "settings": rows[-1].settings if rows else None}
+
+
+def complete(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """The rows of a table under ``out`` that belong to the last complete state of their image."""
+    rows = spark.read.parquet(f"{out}/{table}")
+    return rows.join(journal(spark, out).select("image_id", "stamp"), ["image_id", "stamp"], "left_semi").drop("stamp", "image")
+
 
+def _put(df: DataFrame, stamps: DataFrame, path: str) -> DataFrame:
+    """Replaces the partitions of the images in ``df``, and no others; rows carry their image's stamp."""
+    stamped = df.join(F.broadcast(stamps), "image_id").withColumn("image", F.col("image_id"))  # at most MOSAICS rows
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("image").parquet(path)
+    images = [r.image_id for r in stamps.collect()]
+    return df.sparkSession.read.schema(stamped.schema).parquet(path).filter(F.col("image").isin(images)).join(F.broadcast(stamps), ["image_id", "stamp"], "left_semi").select(df.columns)
 
-def preprocess(spark: SparkSession, folder: str, out: str, s: Settings = Settings(), force: bool = False) -> DataFrame:
+
+MOSAICS = 64  #: images that are worked on, and become complete, together
+
+
+def preprocess(spark: SparkSession, folder: str, out: str, s: Settings = Settings(), force: bool = False, mosaics: int = MOSAICS) -> DataFrame:
     """Rasters of ``folder`` to ``out/patches`` (valid patches, enhanced, with proxy masks), ``out/gates``, ``out/masks``,
-    ``out/enhanced`` (whole images, raw pixels where no patch lies) and ``out/manifest``; returns the patches."""
-    if there(spark, f"{out}/patches") and not force:
-        return spark.read.parquet(f"{out}/patches")
-    raw = kept(_blocks(spark, folder), f"{out}/raw")
-    gated = kept(E.gate(E.cut(raw, s.tiling), s.tiling), f"{out}/gated")
-    kept(gated.groupBy("image_id", "reason").agg(F.count("*").alias("n")).repartition(1), f"{out}/gates")
+    ``out/enhanced`` (whole images, raw pixels where no patch lies) and ``out/mosaics`` (one file each of mask, overlay and enhanced
+    image); returns the patches of all complete images.
+
+    Tables are partitioned by image. The journal gets an image's line when all else is written: a rerun works on images that have
+    none, whose file or whose settings have changed (all with ``force``), so a run may stop anywhere. What a stopped
+    run left is replaced, and not read before.
+    """
+    found = {name_of(p): (p, f"{size}:{time}:{zlib.crc32(repr(s).encode())}") for p, size, time in V.rasters_of(folder)}
+    known = {} if force else {r.image_id: r.stamp for r in journal(spark, out).select("image_id", "stamp").toLocalIterator()}
+    todo = sorted((name, path, stamp) for name, (path, stamp) in found.items() if known.get(name) != stamp)
+    for k in range(0, len(todo), mosaics):
+        _preprocess(spark, todo[k : k + mosaics], out, s)
+    if not _exists(spark, f"{out}/patches"):
+        raise FileNotFoundError(f"no patches under {out} and no rasters in {folder}")
+    return complete(spark, out, "patches")
+
+
+def _preprocess(spark: SparkSession, images: list[tuple[str, str, str]], out: str, s: Settings) -> None:
+    stamps = spark.createDataFrame([(name, stamp) for name, _, stamp in images], "image_id string, stamp string")
+    put = lambda df, table: _put(df, stamps, f"{out}/{table}")
+    raw = put(_blocks(spark, *[path for _, path, _ in images]), "raw")
+    gated = put(E.gate(E.cut(raw, s.tiling), s.tiling), "gated")
+    put(gated.groupBy("image_id", "reason").agg(F.count("*").alias("n")), "gates")
     tuned = E.tune(gated.filter("reason = 'valid'"), s.tuning)
-    done = E.proxy_labels(E.enhance(tuned, s.filters), s.labels).withColumn("patch_id", patch_id())
-    done = kept(done, f"{out}/patches")
+    done = put(E.proxy_labels(E.enhance(tuned, s.filters), s.labels).withColumn("patch_id", patch_id()), "patches")
     side = 4 * s.tiling.size
     whole = E.put_together(done, "px", side)
     # raw pixels of the same blocks fill what no patch covers
-    base = E.put_together(raw, "px", side).select("image_id", "y", "x", F.col("px").alias("raw"))
-    blend = lambda r: {"px": _under(r["px"], r["raw"], r["cover"])}
-    seen = base.join(whole, ["image_id", "y", "x"], "left").filter("px IS NOT NULL")
-    kept(E.each(seen.select("image_id", "image_h", "image_w", "y", "x", "h", "w", "bands", "px", "raw", "cover"), blend, px="binary").drop("raw", "cover"), f"{out}/enhanced")
+    base = E.put_together(raw, "px", side).select("image_id", "image_h", "image_w", "y", "x", "h", "w", "bands", F.col("px").alias("raw"))
     masks = E.put_together(done.select("image_id", "image_h", "image_w", "y", "x", "h", "w", "bands", "mask"), "mask", side)
-    kept(E.each(masks.drop("cover"), lambda r: {"px": bytes(255 if v > 127 else 0 for v in r["px"])}, px="binary"), f"{out}/masks")
+    masks = put(E.each(masks.drop("cover"), lambda r: {"px": _bright(r["px"])}, px="binary"), "masks")
+    at = ["image_id", "y", "x"]
+    seen = base.join(whole.select(*at, "px", "cover"), at, "left").join(masks.select(*at, F.col("px").alias("mask")), at, "left")
+    blend = lambda r: {"px": _under(r["px"], r["raw"], r["cover"])}
+    full = put(E.each(seen.drop("mask").withColumn("px", F.coalesce("px", "raw")), blend, px="binary").drop("raw", "cover"), "enhanced")
+    mark = lambda r: {"px": E.overlay(E.image(r), E.image(r, "mask", "u1")).tobytes() if r["mask"] else r["px"]}
+    marked = E.each(seen.drop("px", "cover").withColumnRenamed("raw", "px"), mark, px="binary").drop("mask")
+    for suffix, df in (("_mask", _masked(seen.drop("px", "raw", "cover"))), ("_overlay", _rgb(marked)), ("_enhanced", _rgb(full))):
+        V.write_mosaics(df, f"{out}/mosaics", suffix, aligned=True)
     sums = done.groupBy("image_id").agg(F.count("*").alias("patches"), F.sum("kept").alias("kept"), F.avg("coverage_pct").alias("coverage_pct"))
-    doc = sums.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("image_id", F.struct("patches", "kept", "coverage_pct")))).alias("images"), F.lit(repr(s)).alias("settings"))).alias("value"))
-    doc.write.mode("overwrite").text(f"{out}/manifest")  # a line an image
-    return done
+    paths = spark.createDataFrame([(name, stamp, path) for name, path, stamp in images], "image_id string, stamp string, path string")
+    # files that can't be read, or not as a whole, get no line and are tried again
+    read = raw.groupBy("image_id", "image_h", "image_w").agg(F.sum(F.col("h").cast("long") * F.col("w")).alias("n")).filter("n = CAST(image_h AS BIGINT) * image_w")
+    lines = paths.join(read, "image_id", "left_semi").join(sums, "image_id", "left").fillna(0, ["patches", "kept"])
+    lines = lines.withColumn("settings", F.lit(repr(s))).withColumn("at", F.current_timestamp())
+    lines.select("image_id", "stamp", "path", "patches", "kept", "coverage_pct", "settings", "at").coalesce(1).write.mode("append").parquet(f"{out}/journal")
+
+
+def _bright(px: bytes) -> bytes:
+    import numpy as np
+
+    return ((np.frombuffer(px, "u1") > 127) * np.uint8(255)).tobytes()
+
+
+def _masked(blocks: DataFrame) -> DataFrame:
+    """Blocks with their mask as pixels, zeros where there is none."""
+    some = blocks.withColumn("px", F.coalesce("mask", F.lit(b""))).drop("mask")
+    return E.each(some, lambda r: {"px": r["px"] or bytes(r["h"] * r["w"]), "bands": 1}, px="binary", bands="int")
+
+
+def _rgb(blocks: DataFrame) -> DataFrame:
+    """Blocks with their channels reversed, as files have them."""
+    import numpy as np
+
+    return E.each(blocks, lambda r: {"px": np.ascontiguousarray(E.image(r)[..., ::-1]).tobytes()}, px="binary")
 
 
 def _under(px: bytes, raw: bytes, cover: bytes) -> bytes:
     import numpy as np
 
+    if cover is None:
+        return raw
     a, b, c = (np.frombuffer(x, "u1") for x in (px, raw, cover))
     n = len(a) // len(c)
     return np.where(np.repeat(c, n) > 0, a, b).tobytes()
@@ -82,7 +170,7 @@ def _under(px: bytes, raw: bytes, cover: bytes) -> bytes:
 
 def split(spark: SparkSession, out: str, s: Settings = Settings()) -> DataFrame:
     """(patch_id, stratum, split) of the patches by coverage, and channel statistics of the training ones, under ``out``."""
-    patches = spark.read.parquet(f"{out}/patches")
+    patches = complete(spark, out, "patches")
     got = kept(split_records(patches.select("patch_id", "coverage_pct"), s.seed, "patch_id").select("patch_id", "stratum", "split"), f"{out}/split")
     train = patches.join(got.filter("split = 'train'").select("patch_id"), "patch_id", "left_semi")
     kept(channel_stats(train), f"{out}/channels")
@@ -105,7 +193,7 @@ def channel_stats(patches: DataFrame) -> DataFrame:
 def evaluate(spark: SparkSession, out: str, s: Settings = Settings(), scorer=E.default_scorer, corrected: DataFrame | None = None) -> DataFrame:
     """Scores all patches against their masks (``corrected``: patch_id, mask; these go first): ``out/metrics`` as JSON lines,
     ``out/summary``, ``out/predictions``; returns the metrics."""
-    patches = spark.read.parquet(f"{out}/patches")
+    patches = complete(spark, out, "patches")
     if corrected is not None:
         better = corrected.select("patch_id", F.col("mask").alias("better"))
         patches = patches.join(better, "patch_id", "left").withColumn("is_corrected", F.col("better").isNotNull()).withColumn("mask", F.coalesce("better", "mask")).drop("better")
@@ -158,7 +246,7 @@ def export(patches: DataFrame, annotator: str, per_bundle: int = 50) -> DataFram
 def import_bundles(bundles: DataFrame, corrected: DataFrame, strategy: str = "newest") -> DataFrame:
     """(patch_id, mask): the corrected masks after merging archives (path, content, entry_minute) into those held (patch_id, mask, mtime).
 
-    ``newest`` takes the later of two, ``skip`` what is held, ``overwrite`` what comes in; of several in one delivery the latest.
+    ``newest`` takes the later of two (what comes in, if both are of one time), ``skip`` what is held, ``overwrite`` what comes in; of several in one delivery the latest.
     """
     if strategy not in ("newest", "skip", "overwrite"):
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -173,9 +261,10 @@ def import_bundles(bundles: DataFrame, corrected: DataFrame, strategy: str = "ne
 
     last = last.select("patch_id", "new.mask", "new.entry_minute")
     last = last.mapInArrow(decoded, last.schema)
-    both = corrected.select("patch_id", F.col("mask").alias("old"), "mtime").join(last, "patch_id", "full")
-    take = {"newest": F.col("mtime").isNull() | (F.col("entry_minute") > F.col("mtime")), "skip": F.col("old").isNull(), "overwrite": F.lit(True)}[strategy]
-    return both.select("patch_id", F.when(F.col("mask").isNotNull() & take, F.col("mask")).otherwise(F.col("old")).alias("mask"))
+    entries = last.select(F.col("patch_id").alias("doc_id"), "entry_minute", F.lit(False).alias("has_list"), F.lit(False).alias("in_list"), F.lit("corrected").alias("mask_source"))
+    actions = import_actions(entries, corrected.select(F.col("patch_id").alias("doc_id"), "mtime"), strategy).select(F.col("doc_id").alias("patch_id"), "action")
+    both = corrected.select("patch_id", F.col("mask").alias("old")).join(last, "patch_id", "full").join(actions, "patch_id", "left")
+    return both.select("patch_id", F.when(F.col("action").isin("imported", "conflict"), F.col("mask")).otherwise(F.col("old")).alias("mask"))
 
 
 def status(patches: DataFrame, corrected: DataFrame) -> DataFrame:
@@ -185,36 +274,66 @@ def status(patches: DataFrame, corrected: DataFrame) -> DataFrame:
 
 
 def predict(spark: SparkSession, folder: str, out: str, s: Settings = Settings(), scorer=E.default_scorer, threshold: float | None = None) -> DataFrame:
-    """Masks and metrics of the rasters of ``folder``: ``out/masks``, ``out/overlays``, and per image ``out/metrics`` (JSON),
-    ``out/reports`` (text, a folder an image) and ``out/summary``; returns the metrics."""
+    """Masks and metrics of the rasters of ``folder``: ``out/masks``, one mask and one overlay file a mosaic under ``out/mosaics``, and per
+    image ``out/metrics`` (JSON, with the geo object and its corners), ``out/reports`` (text, a folder an image) and ``out/summary``; returns the metrics."""
     limit, s = s.measures.threshold if threshold is None else threshold, s.predictor()
-    files = R.find_rasters(spark, folder)
     raw = kept(_blocks(spark, folder), f"{out}/raw")
     valid = E.gate(E.cut(raw, s.tiling), s.tiling).filter("reason = 'valid'").select(*E.KEY, "h", "w", "bands", "px")
-    prob = E.put_together(E.predict(valid, scorer), "prob", 4 * s.tiling.size, "f4", s.measures.sigma_scale)
+    side = 4 * s.tiling.size
+    prob = E.put_together(E.predict(valid, scorer), "prob", side, "f4", s.measures.sigma_scale)
 
     def binary(r: dict) -> dict:
         import numpy as np
 
-        return {"px": ((np.frombuffer(r["px"], "f4") >= limit) * np.uint8(255)).tobytes()}
+        return {"px": ((np.frombuffer(r["px"], "f4") > limit) * np.uint8(255)).tobytes()}
 
     masks = kept(E.each(prob.drop("cover"), binary, px="binary"), f"{out}/masks")
-    over = E.put_together(raw, "px", 4 * s.tiling.size).drop("cover").join(masks.select("image_id", "y", "x", F.col("px").alias("mask")), ["image_id", "y", "x"], "left")
-    kept(E.pictures(over.select(*E.KEY, "h", "w", "bands", "px", "mask")), f"{out}/overlays")
-    sizes = pixel_sizes(R.read_tags(files), s.measures.meters_per_pixel).withColumn("image_id", F.regexp_replace("path", r"^.*/|\.[^.]*$", "")).select("image_id", "meters_per_pixel")
-    names = raw.select("image_id").distinct().join(sizes, "image_id", "left").fillna(s.measures.meters_per_pixel, ["meters_per_pixel"])
-    got = kept(E.coverage(raw, masks, s.measures, names), f"{out}/table")
-    got.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{out}/metrics")
-    report(got).write.mode("overwrite").partitionBy("image_id").text(f"{out}/reports")
+    at = ["image_id", "y", "x"]
+    over = E.put_together(raw, "px", side).drop("cover").join(masks.select(*at, F.col("px").alias("mask")), at, "left")
+    outline = lambda r: {"px": E.overlay(E.image(r), E.image(r, "mask", "u1"), OUTLINE, contour=True).tobytes() if r["mask"] else r["px"]}
+    V.write_mosaics(_masked(over.drop("px")), f"{out}/mosaics", "_mask", aligned=True)
+    V.write_mosaics(_rgb(E.each(over, outline, px="binary").drop("mask")), f"{out}/mosaics", "_overlay", aligned=True)
+    shapes = raw.groupBy("image_id").agg(F.max("image_h").alias("height"), F.max("image_w").alias("width"))
+    files = V.list_rasters(spark, folder).withColumn("image_id", _name("path"))
+    sizes = pixel_sizes(V.read_directories(files), s.measures.meters_per_pixel).withColumn("image_id", _name("path")).drop("path")
+    geo = kept(shapes.join(sizes, "image_id", "left").fillna(s.measures.meters_per_pixel, ["meters_per_pixel"]).fillna("fallback", ["source"]), f"{out}/geo")
+    got = kept(E.coverage(raw, masks, s.measures, geo.select("image_id", "meters_per_pixel")), f"{out}/table")
+    names = files.select("image_id", F.element_at(F.split("path", "/"), -1).alias("mosaic"))
+    told = got.join(geo.select("image_id", geo_object().alias("geo")), "image_id", "left").join(names, "image_id", "left").withColumn("threshold", F.lit(float(limit)))
+    told = kept(told, f"{out}/told")
+    told.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{out}/metrics")
+    report(told).write.mode("overwrite").partitionBy("image_id").text(f"{out}/reports")
     got.agg(F.count("*").alias("images"), F.sum("nodule_count").alias("nodules"), F.round(F.avg("coverage_pct"), 4).alias("mean_coverage_pct")).write.mode("overwrite").json(f"{out}/summary")
     return got
 
 
+OUTLINE = (255, 255, 0)  #: cyan, in the order of channels that images have here
+CORNERS = {"top_left": (0, 0), "top_right": (0, 1), "bottom_left": (1, 0), "bottom_right": (1, 1)}
+
+
+def geo_object():
+    """The geo object of a row with height, width, meters_per_pixel, source, lat, lon and crs_code: position, system and the corners of a north-up image."""
+    c = F.col
+    system = F.when(c("source") == "fallback", F.lit(None)).when(c("crs_code") == 1, "projected").otherwise("geographic")
+    down, right = c("height") * c("meters_per_pixel"), c("width") * c("meters_per_pixel")
+    east = METRES_PER_DEGREE * F.cos(F.radians("lat"))
+    known = c("lat").isNotNull() & c("lon").isNotNull() & (c("meters_per_pixel") > 0) & ((system != "geographic") | system.isNull() | (east > 0))
+    # degrees, or the units of a projected system
+    south, along = F.when(system == "geographic", down / METRES_PER_DEGREE).otherwise(down), F.when(system == "geographic", right / east).otherwise(right)
+    corner = lambda y, x: F.struct(F.when(known, c("lat") - y * south).alias("latitude"), F.when(known, c("lon") + x * along).alias("longitude"))
+    corners = F.struct(*[corner(y, x).alias(name) for name, (y, x) in CORNERS.items()])
+    return F.struct(c("meters_per_pixel"), c("source").alias("mpp_source"), c("lat").alias("latitude"), c("lon").alias("longitude"), system.alias("crs_type"), corners.alias("corners"))
+
+
 def report(metrics: DataFrame) -> DataFrame:
     """(image_id, value): the text report of each image."""
     line = lambda label, form, c: F.coalesce(F.format_string(f"{label:<22}{form}", c), F.lit(f"{label:<22}n/a"))
     c = F.col
-    lines = [F.concat(F.lit("Image: "), "image_id"), line("coverage (%%)", "%.4f", c("coverage_pct")), line("components", "%d", c("nodule_count")), line("foreground pixels", "%d", c("nodule_pixels")), line("seafloor pixels", "%d", c("seafloor_pixels"))]
+    lines = [F.concat(F.lit("Image: "), "image_id")]
+    if "geo" in metrics.columns:
+        at = lambda name: F.when(c(f"geo.corners.{name}.latitude").isNull(), F.lit(f"  {name:<20}n/a")).otherwise(F.format_string(f"  {name:<20}%.6f, %.6f", c(f"geo.corners.{name}.latitude"), c(f"geo.corners.{name}.longitude")))
+        lines += [F.format_string("Threshold: %.3f", c("threshold")), F.format_string("metres per pixel: %.6f (%s)", c("geo.meters_per_pixel"), c("geo.mpp_source")), F.concat(F.lit("reference system: "), F.coalesce(c("geo.crs_type"), F.lit("n/a"))), F.lit("corners (lat, lon):"), *map(at, CORNERS)]
+    lines += [line("coverage (%%)", "%.4f", c("coverage_pct")), line("components", "%d", c("nodule_count")), line("foreground pixels", "%d", c("nodule_pixels")), line("seafloor pixels", "%d", c("seafloor_pixels"))]
     for label, name in (("seafloor area (m2)", "seafloor_area_m2"), ("foreground area (m2)", "nodule_area_m2"), ("components per m2", "nodule_density_per_m2"), ("pixels per m2", "nodule_px_density_per_m2")):
         lines.append(F.when(c(name).isNull(), F.lit(f"{label:<22}n/a")).otherwise(F.format_string(f"{label:<22}%.4f", c(name))))
     return metrics.select("image_id", F.concat_ws("\n", *lines).alias("value"))

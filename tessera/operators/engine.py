@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 
 from tessera.functions import raster as K
 from tessera.functions.graph import components as graph_components
+from tessera.functions.graph import shared
 from tessera.functions.kernels import label_tile
 from tessera.functions.shapes import distances, filled, shape
 from tessera.operators.pixels import grid_positions
@@ -444,12 +445,37 @@ def components(masks: DataFrame, column: str = "px") -> DataFrame:
     return parts.groupBy("image_id", "component").agg(F.sum("area").alias("area"), F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.max("y1").alias("y1"), F.max("x1").alias("x1"))
 
 
+def seafloor_masks(raw: DataFrame, masks: DataFrame, side: int = 1024) -> DataFrame:
+    """Masks cut to the pixels that are not black in ``raw``, in blocks of ``side``, with ``sea``, the number of these pixels.
+
+    Both come in blocks of any layout and meet by (image, place); pixels without a mask are 0, those without an image not seafloor.
+    """
+    places = lambda h, w: (range(0, h, side), range(0, w, side), side, side)
+    plain = lambda r: {"px": ((K.gray_of(image(r)) > K.BORDER_GRAY) * np.uint8(1)).tobytes(), "bands": 1}
+    floor = each(raw.select(*KEY, "h", "w", "bands", "px"), plain, px="binary", bands="int")
+    given = each(masks.select(*KEY, "h", "w", "bands", "px"), lambda r: {"px": ((np.frombuffer(r["px"], "u1") > 0) * np.uint8(2)).tobytes()}, px="binary")
+    parts = floor.unionByName(given).mapInArrow(_fragments(places, "px", 1), _FRAGMENT)
+
+    def meet(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        r = rows[0]
+        h, w = min(side, r["image_h"] - r["ty"]), min(side, r["image_w"] - r["tx"])
+        bits = np.zeros((h, w), np.uint8)
+        for f in rows:
+            bits[f["y"] - f["ty"] :, f["x"] - f["tx"] :][: f["h"], : f["w"]] |= np.frombuffer(f["px"], "u1").reshape(f["h"], f["w"])
+        got = {"image_id": r["image_id"], "image_h": r["image_h"], "image_w": r["image_w"], "y": r["ty"], "x": r["tx"], "h": h, "w": w, "bands": 1, "px": ((bits == 3) * np.uint8(255)).tobytes(), "sea": int((bits & 1).sum())}
+        return pa.Table.from_pylist([got], _block.append(pa.field("sea", pa.int64())))
+
+    return parts.groupBy("image_id", "ty", "tx").applyInArrow(meet, BLOCK + ", sea long")
+
+
 def coverage(raw: DataFrame, masks: DataFrame, m: Measures = Measures(), pixel_sizes: DataFrame | None = None) -> DataFrame:
-    """Coverage, counts, areas and densities of each image; fields in metres are null without a positive pixel size.
+    """Coverage, counts, areas and densities of each image over its seafloor; fields in metres are null without a positive pixel size.
 
     ``pixel_sizes`` has (image_id, meters_per_pixel); without it all images have the settings' size.
     """
-    floor = each(raw, lambda r: {"sea": int((K.gray_of(image(r)) > K.BORDER_GRAY).sum())}, sea="long").groupBy("image_id").agg(F.sum("sea").alias("seafloor_pixels"))
+    masks = shared(seafloor_masks(raw, masks))
+    floor = masks.groupBy("image_id").agg(F.sum("sea").alias("seafloor_pixels"))
     some = components(masks).filter(F.col("area") >= m.least_pixels).groupBy("image_id").agg(F.count("*").alias("nodule_count"), F.sum("area").alias("nodule_pixels"))
     out = floor.join(some, "image_id", "left").fillna(0, ["nodule_count", "nodule_pixels"])
     out = out.join(pixel_sizes, "image_id", "left") if pixel_sizes is not None else out.withColumn("meters_per_pixel", F.lit(m.meters_per_pixel))

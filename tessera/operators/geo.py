@@ -31,7 +31,7 @@ PIXEL_SCALE, TIE_POINT, TRANSFORMATION, KEY_DIRECTORY, MODEL_TYPE = 33550, 33922
 
 
 def pixel_sizes(tags: DataFrame, fallback: float = FALLBACK_MPP) -> DataFrame:
-    """(path, meters_per_pixel, source, lat, lon) of files by their tags (path, tag, values): the tags as a row of ``located``."""
+    """(path, meters_per_pixel, source, lat, lon, crs_code) of files by their tags (path, tag, values): the tags as a row of ``located``."""
     of = lambda tag: F.max_by(F.when(F.col("tag") == tag, F.col("values")), F.when(F.col("tag") == tag, 1))
     t = tags.groupBy("path").agg(of(PIXEL_SCALE).alias("scale"), of(TIE_POINT).alias("tie"), of(TRANSFORMATION).alias("matrix"), of(KEY_DIRECTORY).alias("keys"))
     at = lambda c, k: F.abs(F.get(c, F.lit(k)))
@@ -48,7 +48,7 @@ def pixel_sizes(tags: DataFrame, fallback: float = FALLBACK_MPP) -> DataFrame:
         F.when(code.isin(1, 2), code).otherwise(0).alias("crs_code"),
     )
     mpp = F.when((F.col("source") != "fallback") & (F.col("mpp") > 0), F.col("mpp")).otherwise(fallback)
-    return located(row).select("path", mpp.alias("meters_per_pixel"), "source", "lat", "lon")
+    return located(row).select("path", mpp.alias("meters_per_pixel"), "source", "lat", "lon", "crs_code")
 
 
 _LOC = "WITH a AS (SELECT *, CASE WHEN kind <> 3 AND ty >= -90 AND ty <= 90 THEN ty END AS lat, CASE WHEN kind <> 3 AND tx >= -180 AND tx <= 180 THEN tx END AS lon, crs_code IN (0, 2) AS geographic, CASE kind WHEN 0 THEN 'transformation' WHEN 2 THEN 'transformation' WHEN 1 THEN 'scale' ELSE 'fallback' END AS source FROM fx_geo), l AS (SELECT *, CASE WHEN kind = 3 THEN CAST(0.005 AS DOUBLE) WHEN geographic THEN (sx * 111320 * cos(radians(coalesce(lat, 0))) + sy * 111320) / 2 ELSE (sx + sy) / 2 END AS mpp FROM a)"

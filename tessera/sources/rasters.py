@@ -156,18 +156,21 @@ def decode_png(data: bytes) -> np.ndarray:
     lines = np.frombuffer(zlib.decompress(b"".join(packed)), "u1").reshape(h, 1 + w * step)
     out = np.zeros((h + 1, w * step), "u1")
     for y in range(h):
-        kind, line, up = lines[y, 0], lines[y, 1:], out[y]
-        if kind == 0:
-            out[y + 1] = line
-        elif kind == 1:
-            out[y + 1] = np.cumsum(line.reshape(-1, step), axis=0, dtype="u1").reshape(-1)
-        elif kind == 2:
-            out[y + 1] = line + up
-        else:
-            out[y + 1] = _predicted(line.tolist(), up.tolist(), step, int(kind))
+        out[y + 1] = undone_line(int(lines[y, 0]), lines[y, 1:], out[y], step)
     return out[1:].copy().view(">u2" if bits == 16 else "u1").reshape(h, w, -1)
 
 
+def undone_line(kind: int, line: np.ndarray, up: np.ndarray, step: int) -> np.ndarray:
+    """The bytes of a line from its predictor, its differences and the line above."""
+    if kind == 0:
+        return line
+    if kind == 1:
+        return np.cumsum(line.reshape(-1, step), axis=0, dtype="u1").reshape(-1)
+    if kind == 2:
+        return line + up
+    return np.array(_predicted(line.tolist(), up.tolist(), step, kind), "u1")
+
+
 def _predicted(line: list[int], up: list[int], step: int, kind: int) -> list[int]:
     """Lines of the average (3) and Paeth (4) predictors."""
     row: list[int] = []
