@@ -57,9 +57,10 @@ def each(df: DataFrame, kernel, **new: str) -> DataFrame:
 # ---- blocks and patches
 
 def blocks(rasters: DataFrame) -> DataFrame:
-    """One block for each decoded raster (path, height, width, pixels); those that could not be read are left out."""
+    """One block for each decoded raster (path, height, width, pixels), its channels reversed to blue first; those that could not be read are left out."""
     r = rasters.filter("pixels IS NOT NULL")
-    return r.select(F.col("path").alias("image_id"), F.col("height").alias("image_h"), F.col("width").alias("image_w"), F.lit(0).alias("y"), F.lit(0).alias("x"), F.col("height").alias("h"), F.col("width").alias("w"), F.lit(3).alias("bands"), F.col("pixels").alias("px"))
+    named = r.select(F.col("path").alias("image_id"), F.col("height").alias("image_h"), F.col("width").alias("image_w"), F.lit(0).alias("y"), F.lit(0).alias("x"), F.col("height").alias("h"), F.col("width").alias("w"), F.lit(3).alias("bands"), F.col("pixels").alias("px"))
+    return each(named, lambda b: {"px": np.ascontiguousarray(image(b)[..., ::-1]).tobytes()}, px="binary")
 
 
 def _fragments(places, column: str, item: int):

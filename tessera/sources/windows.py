@@ -332,7 +332,7 @@ def read_windows(spark: SparkSession, *paths: str, **options) -> DataFrame:
 
 
 def read_blocks(spark: SparkSession, *paths: str, **options) -> DataFrame:
-    """The windows as the engine's blocks: three byte channels, values of an image beyond 255 scaled by its greatest."""
+    """The windows as the engine's blocks: three byte channels, blue first, values of an image beyond 255 scaled by its greatest."""
     windows = read_windows(spark, *paths, **options).filter("px IS NOT NULL")
     tops = shared(read_windows(spark, *paths, deep="true", **options).filter("top > 255").groupBy("path").agg(F.max("top").alias("most")))
     few = tops.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
@@ -344,7 +344,7 @@ def read_blocks(spark: SparkSession, *paths: str, **options) -> DataFrame:
             for k in range(b.num_rows):
                 (r,) = b.slice(k, 1).to_pylist()
                 px = np.frombuffer(r["px"], f"u{r['bits'] // 8}").reshape(r["h"], r["w"], r["bands"])
-                px = np.repeat(px, 3, axis=2) if r["bands"] == 1 else px
+                px = np.repeat(px, 3, axis=2) if r["bands"] == 1 else px[..., ::-1]
                 px = (px.astype(float) / r["most"] * 255).astype("u1") if r["most"] else px.astype("u1")
                 yield pa.RecordBatch.from_pylist([{**{f: r[f] for f in ("image_h", "image_w", "y", "x", "h", "w")}, "image_id": r["path"], "bands": 3, "px": px.tobytes()}], pa.schema(fields))
 

@@ -14,6 +14,7 @@ from tessera.operators import engine as E
 from tessera.operators.geo import pixel_sizes
 from tessera.settings import Augmentation, Filters, Labels, Measures, Settings, Tiling, Tuning
 from tessera.sources import rasters as R
+from tessera.sources import windows as V
 
 rng = np.random.default_rng(7)
 
@@ -304,8 +305,8 @@ def test_prediction_flow(spark, folder, tmp_path):
     assert {x["image_id"] for x in lines} == {"one", "two"}
     text = "\n".join(r.value for r in spark.read.text(f"{out}/reports/image_id=one").collect())
     assert "Image: one" in text and "components per m2" in text
-    over = spark.read.parquet(f"{out}/overlays").collect()
-    assert all(R.decode_png(bytes(r.content)).shape[2] == 3 for r in over)
+    over = V.read_blocks(spark, f"{out}/mosaics/one_overlay.tif", f"{out}/mosaics/two_overlay.tif").collect()
+    assert {r.image_id.rsplit("/", 1)[-1]: r.image_w for r in over} == {"one_overlay.tif": 150, "two_overlay.tif": 130}
     assert api.predict(spark, folder, out, SMALL, threshold=1.1).agg(F.sum("nodule_count")).first()[0] == 0
 
 
