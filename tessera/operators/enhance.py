@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import stencil as S
 from tessera.operators.pixels import LAP, _nb, long
 from tessera.registry import query
-from tessera.sources.fixtures import duck, patches
+from tessera.sources.fixtures import duck, patches, settled
 
 FEW = 10
 
@@ -136,7 +136,7 @@ def unsharp(p: DataFrame, sigma: float = 1.0, strength: float = 0.5) -> DataFram
 _UNSHARP = f"WITH {DUCK_EDGE}, {duck_blur('bl', 1.0, 'fx_gray')}, th AS (SELECT q.pid, coalesce(median(ed.g) FILTER (q.g > 8), 1) AS thr FROM fx_gray q JOIN ed USING (pid, y, x) GROUP BY q.pid) SELECT q.pid, q.y, q.x, {byte('q.g + 0.5 * (q.g - bl.g) * ' + unit('ed.g / (thr * 2 + 1e-6)'))} AS v FROM fx_gray q JOIN ed USING (pid, y, x) JOIN bl USING (pid, y, x) JOIN th ON th.pid = q.pid"
 
 
-@query("f07_unsharp_mask", duck("gray", _UNSHARP))
+@query("f07_unsharp_mask", settled(duck("gray", _UNSHARP)))
 def f07(spark, sf):
     return long(unsharp(patches(spark, sf)), "a")
 
@@ -166,7 +166,7 @@ def f08(spark, sf):
     return long(c.withColumn("skipped", F.concat_ws(",", "skipped")), "px", keep=("skipped",))
 
 
-@query("f15_engineered_channels", duck("gray", f"WITH {DUCK_EDGE}, {duck_blur('bl', 2.0, 'fx_gray')} SELECT q.pid, q.y, q.x, q.g AS c0, {byte('ed.g')} AS c1, {byte('(bl.g - q.g) / (bl.g + 1e-6) * 255')} AS c2 FROM fx_gray q JOIN ed USING (pid, y, x) JOIN bl USING (pid, y, x)"))
+@query("f15_engineered_channels", settled(duck("gray", f"WITH {DUCK_EDGE}, {duck_blur('bl', 2.0, 'fx_gray')} SELECT q.pid, q.y, q.x, q.g AS c0, {byte('ed.g')} AS c1, {byte('(bl.g - q.g) / (bl.g + 1e-6) * 255')} AS c2 FROM fx_gray q JOIN ed USING (pid, y, x) JOIN bl USING (pid, y, x)")))
 def f15(spark, sf):
     return engineered(patches(spark, sf), "engineered")
 

@@ -18,7 +18,7 @@ from tessera.functions import stencil as S
 from tessera.operators.enhance import duck_blur, duck_filled, unit
 from tessera.operators.pixels import LAP, long
 from tessera.registry import query
-from tessera.sources.fixtures import duck, patches
+from tessera.sources.fixtures import duck, patches, settled
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,7 @@ _TH = ", ".join(f"{duck_extreme(f'di{r}', 'fx_gray', r, 'max')}, {duck_extreme(f
 _TH += f", {duck_blur('fine', BASE.texture_sigma, 'fx_gray')}, df AS (SELECT q.pid, q.y, q.x, abs(q.g - fine.g) AS g FROM fx_gray q JOIN fine USING (pid, y, x)), {duck_blur('tx', 2 * BASE.texture_sigma, 'df')}, th AS (SELECT q.pid, q.y, q.x, (greatest({', '.join(f'cl{r}.g' for r in BASE.radii)}) - q.g) * {unit(f'1 - tx.g / {BASE.texture_limit}')} AS v FROM fx_gray q JOIN tx USING (pid, y, x) {' '.join(f'JOIN cl{r} USING (pid, y, x)' for r in BASE.radii)})"
 
 
-@query("l01_tophat_textured", duck("gray", f"WITH {_TH} SELECT pid, y, x, round(v, 5) AS v FROM th"))
+@query("l01_tophat_textured", settled(duck("gray", f"WITH {_TH} SELECT pid, y, x, round(v, 5) AS v FROM th")))
 def l01(spark, sf):
     return long(scored(patches(spark, sf)), "th").withColumn("v", F.round("v", 5))
 
@@ -109,7 +109,7 @@ def l03(spark, sf, pairs=PAIRS):
     return long(patches(spark, sf).withColumn("a", F.expr(e)), "a").withColumn("v", F.round("v", 5))
 
 
-@query("l04_smoothness", duck("gray", f"WITH sq AS (SELECT pid, y, x, g * g AS g FROM fx_gray), {duck_blur('mf', 0.5, 'fx_gray')}, {duck_blur('qf', 0.5, 'sq')}, {duck_blur('mc', 2.0, 'fx_gray')}, {duck_blur('qc', 2.0, 'sq')} SELECT q.pid, q.y, q.x, round(CASE WHEN q.g > 10 THEN {unit('1 - greatest(0, qf.g - mf.g * mf.g) / (greatest(0, qc.g - mc.g * mc.g) + 1e-4)')} ELSE 0 END, 5) AS v FROM fx_gray q JOIN mf USING (pid, y, x) JOIN qf USING (pid, y, x) JOIN mc USING (pid, y, x) JOIN qc USING (pid, y, x)"))
+@query("l04_smoothness", settled(duck("gray", f"WITH sq AS (SELECT pid, y, x, g * g AS g FROM fx_gray), {duck_blur('mf', 0.5, 'fx_gray')}, {duck_blur('qf', 0.5, 'sq')}, {duck_blur('mc', 2.0, 'fx_gray')}, {duck_blur('qc', 2.0, 'sq')} SELECT q.pid, q.y, q.x, round(CASE WHEN q.g > 10 THEN {unit('1 - greatest(0, qf.g - mf.g * mf.g) / (greatest(0, qc.g - mc.g * mc.g) + 1e-4)')} ELSE 0 END, 5) AS v FROM fx_gray q JOIN mf USING (pid, y, x) JOIN qf USING (pid, y, x) JOIN mc USING (pid, y, x) JOIN qc USING (pid, y, x)")))
 def l04(spark, sf):
     """One minus fine over coarse variance; 0 on border pixels."""
     sq = S.let("px", "transform(q, g -> g * g)")

@@ -11,7 +11,7 @@ from tessera.operators.enhance import FEW, duck_blur, duck_filled, filled
 from tessera.operators.metrics import _AREAS, _CC, mosaic_components, stats
 from tessera.operators.pixels import _DIAG, _TILED, a14, diagnostics, tiled
 from tessera.registry import oracle_sql, query
-from tessera.sources.fixtures import duck, patches, view
+from tessera.sources.fixtures import duck, patches, settled, view
 
 
 def plateau(history: DataFrame, start: float = 1e-4, factor: float = 0.5, patience: int = 7, least: float = 1e-7, better: float = 1e-4) -> DataFrame:
@@ -41,7 +41,7 @@ def k04(spark, sf):
     return plateau(view(spark, sf, "history")).withColumn("lr", F.round("lr", 12))
 
 
-@query("s16_training_item", duck("pred gray corrected", "SELECT p.pid, p.y, p.x, q.g, CASE WHEN c.doc_id IS NOT NULL THEN q.g > 100 ELSE p.truth END AS mask, CASE WHEN c.doc_id IS NOT NULL THEN 'corrected' ELSE 'proxy' END AS source FROM fx_pred p JOIN fx_gray q USING (pid, y, x) LEFT JOIN fx_corrected c ON c.doc_id = p.pid"))
+@query("s16_training_item", settled(duck("pred gray corrected", "SELECT p.pid, p.y, p.x, q.g, CASE WHEN c.doc_id IS NOT NULL THEN q.g > 100 ELSE p.truth END AS mask, CASE WHEN c.doc_id IS NOT NULL THEN 'corrected' ELSE 'proxy' END AS source FROM fx_pred p JOIN fx_gray q USING (pid, y, x) LEFT JOIN fx_corrected c ON c.doc_id = p.pid")))
 def s16(spark, sf):
     """Image and mask of each patch; a corrected mask (here: over 100) goes before the proxy mask."""
     c = view(spark, sf, "corrected").select(F.col("doc_id").alias("pid"), F.lit(True).alias("has"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import stencil as S
 from tessera.registry import query
-from tessera.sources.fixtures import duck, patches, view
+from tessera.sources.fixtures import duck, patches, settled, view
 
 N = S.PS
 
@@ -126,12 +126,12 @@ def reassembled(mosaic: DataFrame) -> DataFrame:
 _RE = _GATE_1 + ", r AS (SELECT m.mosaic_id, m.my, m.mx, m.g, z.v FROM fx_mosaic m LEFT JOIN (SELECT t.mosaic_id, t.my, t.mx, avg(t.g) AS v FROM t JOIN q ON q.mosaic_id = t.mosaic_id AND q.ty = t.ty AND q.tx = t.tx AND q.reason = 'valid' GROUP BY ALL) z ON z.mosaic_id = m.mosaic_id AND z.my = m.my AND z.mx = m.mx)"
 
 
-@query("t10_reassemble", duck("mosaic", _RE + " SELECT mosaic_id, my, mx, round(coalesce(v, 0), 6) AS v FROM r"))
+@query("t10_reassemble", settled(duck("mosaic", _RE + " SELECT mosaic_id, my, mx, round(coalesce(v, 0), 6) AS v FROM r")))
 def t10(spark, sf):
     return reassembled(view(spark, sf, "mosaic")).select("mosaic_id", "my", "mx", F.round(F.coalesce("v", F.lit(0.0)), 6).alias("v"))
 
 
-@query("t11_binarise_mask", duck("mosaic", _RE + " SELECT mosaic_id, my, mx, CASE WHEN v > 127 THEN 255 ELSE 0 END AS mask FROM r"))
+@query("t11_binarise_mask", settled(duck("mosaic", _RE + " SELECT mosaic_id, my, mx, CASE WHEN v > 127 THEN 255 ELSE 0 END AS mask FROM r")))
 def t11(spark, sf):
     return reassembled(view(spark, sf, "mosaic")).select("mosaic_id", "my", "mx", F.when(F.col("v") > 127, 255).otherwise(0).alias("mask"))
 
@@ -316,13 +316,13 @@ def a14(spark, sf):
 _LCR = f"{_blur_sql(1.0)}"
 
 
-@query("l02_local_contrast_ratio", duck("gray", f"WITH {_LCR} SELECT b2.pid, b2.y, b2.x, round(CASE WHEN q.g > 10 THEN greatest(0, least(1, (bg - q.g) / greatest(bg, 1))) ELSE 0 END, 4) AS v FROM b2 JOIN fx_gray q USING (pid, y, x)"))
+@query("l02_local_contrast_ratio", settled(duck("gray", f"WITH {_LCR} SELECT b2.pid, b2.y, b2.x, round(CASE WHEN q.g > 10 THEN greatest(0, least(1, (bg - q.g) / greatest(bg, 1))) ELSE 0 END, 4) AS v FROM b2 JOIN fx_gray q USING (pid, y, x)")))
 def l02(spark, sf):
     p = patches(spark, sf).withColumn("bg", F.expr(S.blur("px", 1.0)))
     return long(p.withColumn("a", F.expr("zip_with(px, bg, (g, b) -> round(CASE WHEN g > 10 THEN greatest(0D, least(1D, (b - g) / greatest(b, 1D))) ELSE 0D END, 4))")), "a")
 
 
-@query("l01_tophat", duck("gray", "WITH d AS (SELECT q.pid, q.y, q.x, max(n.g) AS g FROM fx_gray q JOIN fx_gray n ON n.pid = q.pid AND abs(n.y - q.y) + abs(n.x - q.x) <= 1 GROUP BY ALL), c AS (SELECT q.pid, q.y, q.x, min(n.g) AS g FROM d q JOIN d n ON n.pid = q.pid AND abs(n.y - q.y) + abs(n.x - q.x) <= 1 GROUP BY ALL) SELECT q.pid, q.y, q.x, c.g - q.g AS v FROM fx_gray q JOIN c USING (pid, y, x)"))
+@query("l01_tophat", settled(duck("gray", "WITH d AS (SELECT q.pid, q.y, q.x, max(n.g) AS g FROM fx_gray q JOIN fx_gray n ON n.pid = q.pid AND abs(n.y - q.y) + abs(n.x - q.x) <= 1 GROUP BY ALL), c AS (SELECT q.pid, q.y, q.x, min(n.g) AS g FROM d q JOIN d n ON n.pid = q.pid AND abs(n.y - q.y) + abs(n.x - q.x) <= 1 GROUP BY ALL) SELECT q.pid, q.y, q.x, c.g - q.g AS v FROM fx_gray q JOIN c USING (pid, y, x)")))
 def l01(spark, sf):
     return long(closed(patches(spark, sf)).withColumn("a", F.expr("zip_with(a, px, (c, g) -> c - g)")), "a")
 
