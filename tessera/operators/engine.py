@@ -507,35 +507,30 @@ def objects(patches: DataFrame, a: Augmentation = Augmentation(), least: int = 4
     return o.select(F.xxhash64(*KEY).alias("donor"), F.posexplode("objects").alias("n", "o")).select("donor", "n", "o.px", "o.mask", "o.h", "o.w")
 
 
-SLOTS = 1024  #: objects and patches are matched by one of so many hash values an epoch
-
-
 def augment(patches: DataFrame, a: Augmentation = Augmentation(), epoch: int = 0, seed: int = 42) -> DataFrame:
     """One random view of each patch (px, mask): objects of other patches pasted in, then the image-wide changes.
 
-    All chances follow from seed, epoch and the patch's key, so a lost task makes the same views again. A patch meets the
-    few objects of its hash slot: at most ``paste_most`` a slot and epoch are kept, the smallest hashes, by a partial aggregate.
+    All chances follow from seed, epoch and the patch's key, so a lost task makes the same views again. Objects are numbered
+    once; a patch draws its numbers, each object being as likely as any other, and meets them by an equi-join.
     """
-    slot = lambda *c: F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), *c), F.lit(SLOTS)).cast("int")
-    few = objects(patches, a).withColumn("slot", slot("donor", "n")).withColumn("key", F.xxhash64(F.lit(epoch), "donor", "n"))
-    for k in range(a.paste_most):  # the k-th smallest key of each slot, without a list of all
-        best = few.groupBy("slot").agg(F.min_by(F.struct("key", "px", "mask", "h", "w"), "key").alias(f"o{k}"))
-        chosen = best if k == 0 else chosen.join(best, "slot", "left")
-        few = few.join(F.broadcast(best.select("slot", F.col(f"o{k}.key").alias("taken"))), "slot").filter("key > taken").drop("taken")
-    slots = chosen.select("slot", F.array_compact(F.array(*[f"o{k}" for k in range(a.paste_most)])).alias("offers"))
-    p = patches.withColumn("slot", slot(*KEY)).join(F.broadcast(slots), "slot", "left")  # at most SLOTS rows
+    from tessera.operators.sampling import draw_key, numbered, offers
+
+    every = shared(numbered(objects(patches, a), draw_key(seed, "objects", F.col("donor"), F.col("n"))))
+    drawn = offers(patches.select(*KEY), F.concat_ws(":", *KEY), every.count(), a.paste_most, a.paste, seed, epoch)
+    met = drawn.join(every.select("number", F.struct("px", "mask", "h", "w").alias("o")), "number")
+    few = met.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("k", "o"))).alias("offers"))  # at most paste_most each
+    p = patches.join(few.select(*KEY, F.transform("offers", lambda x: x["o"]).alias("offers")), KEY, "left")
 
     def kernel(r: dict) -> dict:
         rng = np.random.default_rng([seed, epoch, hash_of(r)])
         px, mask = image(r), image(r, "mask", "u1")
-        if r["offers"] and rng.random() < a.paste:
-            n = int(rng.integers(1, len(r["offers"]) + 1))
-            pieces = [(np.frombuffer(o["px"], "u1").reshape(o["h"], o["w"], -1), np.frombuffer(o["mask"], "u1").reshape(o["h"], o["w"])) for o in r["offers"][:n]]
+        if r["offers"]:
+            pieces = [(np.frombuffer(o["px"], "u1").reshape(o["h"], o["w"], -1), np.frombuffer(o["mask"], "u1").reshape(o["h"], o["w"])) for o in r["offers"]]
             px, mask = K.pasted(px, mask, pieces, rng)
         px, mask = K.augmented(px, mask, rng, a)
         return {"px": px.tobytes(), "mask": mask.tobytes()}
 
-    return each(p, kernel).drop("slot", "offers")
+    return each(p, kernel).drop("offers")
 
 
 def hash_of(r: dict) -> int:

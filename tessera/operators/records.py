@@ -171,7 +171,10 @@ def r10(spark, sf, split: str = "val"):
     return split_records(view(spark, sf, "record")).filter(F.col("split") == split).select("patch_id")
 
 
-@query("r14_sampler_weights", duck("record", f"SELECT patch_id, 1 + {_BIN} / CAST(4 AS DOUBLE) * 4 AS weight FROM fx_record"))
+DRAW_WEIGHT = f"(1 + {_BIN} / CAST(4 AS DOUBLE) * 4)"
+
+
+@query("r14_sampler_weights", duck("record", f"SELECT patch_id, {DRAW_WEIGHT} AS weight FROM fx_record"))
 def r14(spark, sf, multiplier: float = 5.0):
     if multiplier < 1:
         raise ValueError("multiplier must be at least 1")
