@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import engine as E
+from tessera.operators import training as T
 from tessera.operators.geo import METRES_PER_DEGREE, pixel_sizes
-from tessera.operators.records import import_actions, split_records, with_mask_source
+from tessera.operators.records import coverage_bin, import_actions, split_records, with_mask_source
 from tessera.settings import Settings
 from tessera.sources import rasters as R
 from tessera.sources import windows as V
@@ -177,6 +178,27 @@ def split(spark: SparkSession, out: str, s: Settings = Settings()) -> DataFrame:
     return got
 
 
+def train(spark: SparkSession, out: str, s: Settings = Settings(), t: T.Training = T.Training(), multiplier: float = 5.0, augmented: bool = True, corrected: DataFrame | None = None) -> DataFrame:
+    """Trains the pixel model on the split's training patches, drawn by their coverage, and judges it by the validation ones.
+
+    ``corrected`` (patch_id, mask) goes before the proxy masks. Checkpoints are under ``out/training``, the best model is promoted; a stopped
+    run goes on after its last epoch. Returns the history; ``out/test`` has the test patches' loss and Dice as JSON.
+    """
+    patches = complete(spark, out, "patches").select("patch_id", *E.KEY, "h", "w", "bands", "px", "mask", "coverage_pct")
+    if corrected is not None:
+        better = corrected.select("patch_id", F.col("mask").alias("better"))
+        patches = patches.join(better, "patch_id", "left").withColumn("mask", F.coalesce("better", "mask")).drop("better")
+    parts = spark.read.parquet(f"{out}/split").select("patch_id", "split")
+    of = lambda name: patches.join(parts.filter(F.col("split") == name).select("patch_id"), "patch_id", "left_semi")
+    weight = 1 + coverage_bin(F.col("coverage_pct")) / F.lit(4.0) * (multiplier - 1)
+    views = (lambda p, epoch: E.augment(p, s.augmentation, epoch, s.seed)) if augmented else None
+    history = T.fit(of("train"), of("val"), f"{out}/training", t, weight, views)
+    model = T.load_model(spark, f"{out}/training")
+    n, loss, _ = T.gradient_sums(of("test"), model, t)
+    spark.createDataFrame([(n, loss, T.sweep(of("test"), model)[1])], "patches long, test_loss double, test_dice double").write.mode("overwrite").json(f"{out}/test")
+    return history
+
+
 def channel_stats(patches: DataFrame) -> DataFrame:
     """(channel, mean, std) of all pixels as shares, from integer sums; a table of three rows."""
 
@@ -273,9 +295,14 @@ def status(patches: DataFrame, corrected: DataFrame) -> DataFrame:
     return patches.select("patch_id").join(c, "patch_id", "left").agg(F.count("*").alias("total"), F.count("done").alias("corrected"), (F.count("*") - F.count("done")).alias("left"), F.round(100 * F.count("done") / F.greatest(F.count("*"), F.lit(1)), 2).alias("done_pct"))
 
 
-def predict(spark: SparkSession, folder: str, out: str, s: Settings = Settings(), scorer=E.default_scorer, threshold: float | None = None) -> DataFrame:
+def predict(spark: SparkSession, folder: str, out: str, s: Settings = Settings(), scorer=E.default_scorer, threshold: float | None = None, model: T.Model | None = None) -> DataFrame:
     """Masks and metrics of the rasters of ``folder``: ``out/masks``, one mask and one overlay file a mosaic under ``out/mosaics``, and per
-    image ``out/metrics`` (JSON, with the geo object and its corners), ``out/reports`` (text, a folder an image) and ``out/summary``; returns the metrics."""
+    image ``out/metrics`` (JSON, with the geo object and its corners), ``out/reports`` (text, a folder an image) and ``out/summary``; returns the metrics.
+
+    A trained ``model`` scores by itself, with its own threshold unless one is given.
+    """
+    if model is not None:
+        scorer, threshold = model.scorer(), model.threshold if threshold is None else threshold
     limit, s = s.measures.threshold if threshold is None else threshold, s.predictor()
     raw = kept(_blocks(spark, folder), f"{out}/raw")
     valid = E.gate(E.cut(raw, s.tiling), s.tiling).filter("reason = 'valid'").select(*E.KEY, "h", "w", "bands", "px")
@@ -339,4 +366,4 @@ def report(metrics: DataFrame) -> DataFrame:
     return metrics.select("image_id", F.concat_ws("\n", *lines).alias("value"))
 
 
-__all__ = ["audit", "channel_stats", "evaluate", "export", "import_actions", "import_bundles", "load_metrics", "manifest", "predict", "preprocess", "report", "split", "status", "with_mask_source"]
+__all__ = ["audit", "channel_stats", "evaluate", "export", "import_actions", "import_bundles", "load_metrics", "manifest", "predict", "preprocess", "report", "split", "status", "train", "with_mask_source"]

@@ -68,11 +68,43 @@ def hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return sides
 
 
+def fitted_ellipse(points: np.ndarray) -> tuple[float, float] | None:
+    """Long and short half axis of the conic of least squares among ellipses, by the reduced eigenproblem of the direct fit.
+
+    Points are centred and scaled first. None for fewer than five different points, points on a line, or a conic without real axes.
+    """
+    p = np.unique(np.asarray(points, float), axis=0)
+    if len(p) < 5:
+        return None
+    p = p - p.mean(axis=0)
+    size = np.abs(p).max()
+    x, y = p[:, 1] / size, p[:, 0] / size
+    square, line = np.stack([x * x, x * y, y * y], axis=1), np.stack([x, y, np.ones(len(x))], axis=1)
+    cross, plain = square.T @ line, line.T @ line
+    if abs(np.linalg.det(plain)) < 1e-9:
+        return None
+    back = -np.linalg.solve(plain, cross.T)
+    m = square.T @ square + cross @ back
+    # the constraint 4 a c - b^2 = 1 that only ellipses meet
+    _, v = np.linalg.eig(np.stack([m[2] / 2, -m[1], m[0] / 2]))
+    v = np.real(v)
+    good = np.flatnonzero(4 * v[0] * v[2] - v[1] ** 2 > 1e-12)
+    if not len(good):
+        return None
+    a, b, c = v[:, good[0]]
+    d, e, f = back @ v[:, good[0]]
+    q = np.array([[a, b / 2], [b / 2, c]])
+    centre = np.linalg.solve(2 * q, -np.array([d, e]))
+    level = -(f + (d * centre[0] + e * centre[1]) / 2)
+    half = level / np.linalg.eigvalsh(q)
+    return (size * math.sqrt(half.max()), size * math.sqrt(half.min())) if half.min() > 0 else None
+
+
 def shape(mask: np.ndarray) -> dict[str, float]:
     """Area, solidity, eccentricity, circularity and number of corners of one region without holes.
 
     Area and length are those of the polygon through the centres of the border pixels, so a single pixel has area 0.
-    Eccentricity is that of the ellipse with the region's second moments; 0 for fewer than five corners.
+    Eccentricity is that of the ellipse fitted to the corners; 0 for fewer than five, or where no ellipse fits them.
     """
     path = outline(mask)
     at = [(y, x) for y, x, _ in path] or [tuple(map(int, p)) for p in np.argwhere(mask)]
@@ -80,10 +112,9 @@ def shape(mask: np.ndarray) -> dict[str, float]:
     length = sum(math.sqrt(2) if d % 2 else 1.0 for _, _, d in path)
     whole = polygon_area(hull(at))
     corners = sum(d != path[k - 1][2] for k, (_, _, d) in enumerate(path)) or 1
-    ecc = 0.0
-    if corners >= 5:
-        low, high = np.linalg.eigvalsh(np.cov(np.argwhere(mask).T.astype(float), bias=True) + np.eye(2) / 12)
-        ecc = math.sqrt(max(0.0, 1 - low / high))
+    bends = [(y, x) for k, (y, x, d) in enumerate(path) if d != path[k - 1][2]]
+    axes = fitted_ellipse(np.array(bends)) if corners >= 5 else None
+    ecc = math.sqrt(max(0.0, 1 - (axes[1] / axes[0]) ** 2)) if axes else 0.0
     return {"area": area, "solidity": area / whole if whole else 0.0, "eccentricity": ecc, "circularity": 4 * math.pi * area / length**2 if length else 0.0, "n_points": corners}
 
 
@@ -121,49 +152,70 @@ def distances(mask: np.ndarray) -> np.ndarray:
     return np.sqrt(np.stack([(down[y][None, :] + across).min(axis=1) for y in range(h)]))
 
 
-def split(mask: np.ndarray, least_distance: float, least_area: int) -> np.ndarray:
-    """Cuts each large 8-connected component along the valleys between the peaks of its distance map.
+def watershed(image: np.ndarray, markers: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Floods ``inside`` from the markers (0 and more; -1: none): the label of each pixel, -1 on the lines where floods meet.
 
-    Components under ``least_area`` pixels, thinner than ``least_distance`` or with one peak stay whole. Pixels
-    are taken in falling distance (ties by place); one that touches two different parts becomes a cut.
+    A pixel waits at the height of the step to it, the greatest difference of a channel, from the pixel that reached it; the lowest step goes
+    first, of equal ones the one that waits longest. It takes the label of its 4-neighbours, or is a line if they have several.
+    """
+    px = image.reshape(*image.shape[:2], -1).astype(int)
+    label, (h, w) = markers.copy(), markers.shape
+    seen, heap, n = markers >= 0, [], 0
+    sides = ((0, -1), (0, 1), (-1, 0), (1, 0))
+
+    def reach(y: int, x: int) -> None:
+        nonlocal n
+        for dy, dx in sides:
+            v, u = y + dy, x + dx
+            if 0 <= v < h and 0 <= u < w and inside[v, u] and not seen[v, u]:
+                seen[v, u] = True
+                heapq.heappush(heap, (int(np.abs(px[v, u] - px[y, x]).max()), n, v, u))
+                n += 1
+
+    for y, x in np.argwhere(markers >= 0).tolist():
+        reach(y, x)
+    while heap:
+        _, _, y, x = heapq.heappop(heap)
+        names = {int(label[y + dy, x + dx]) for dy, dx in sides if 0 <= y + dy < h and 0 <= x + dx < w} - {-1}
+        if len(names) == 1:
+            label[y, x] = names.pop()
+            reach(y, x)
+    return label
+
+
+def split(mask: np.ndarray, image: np.ndarray, least_distance: float, least_area: int | None = None, window: int | None = None, floor: float = 2.0) -> np.ndarray:
+    """Cuts each large 8-connected component along the lines of ``watershed`` over the image, from the peaks of its distance map.
+
+    A component stays whole under ``least_area`` (four times the area of a single object of the least distance, 50 pixels at least), if
+    it is thinner than the least distance, or has one peak. Peaks are the greatest within ``window`` pixels (the least
+    distance, 3 at least) and above ``floor`` and three tenths of the greatest distance.
     """
+    least_area = 4 * max(50, int(math.pi * least_distance**2)) if least_area is None else least_area
+    r = max(math.ceil(least_distance), 3) if window is None else window
     out, lab = mask.copy(), label_tile(mask)
     for name in np.unique(lab[lab >= 0]):
         one = lab == name
         if one.sum() < least_area:
             continue
-        dist = distances(one)
-        top = dist[one].max()
+        ys, xs = np.nonzero(one)
+        box = slice(max(0, int(ys.min()) - 1), int(ys.max()) + 2), slice(max(0, int(xs.min()) - 1), int(xs.max()) + 2)
+        part = one[box]
+        dist = distances(part)
+        top = dist[part].max()
         if not np.isfinite(top) or top < least_distance:
             continue
-        r = max(1, math.ceil(least_distance))
-        pad = np.pad(dist, r, constant_values=0.0)
-        near = np.max([pad[dy : dy + dist.shape[0], dx : dx + dist.shape[1]] for dy in range(2 * r + 1) for dx in range(2 * r + 1)], axis=0)
-        part = label_tile(one & (dist == near) & (dist > max(least_distance, 0.3 * top)))
-        if len(np.unique(part[part >= 0])) < 2:
+        pad = np.pad(np.where(part, dist, 0), r)
+        rows = np.max([pad[k : k + part.shape[0]] for k in range(2 * r + 1)], axis=0)
+        near = np.max([rows[:, k : k + part.shape[1]] for k in range(2 * r + 1)], axis=0)
+        peaks = label_tile(part & (dist == near) & (dist > max(floor, 0.3 * top)))
+        if len(np.unique(peaks[peaks >= 0])) < 2:
             continue
-        heap = [(-dist[y, x], y, x) for y, x in np.argwhere(part >= 0).tolist()]
-        heapq.heapify(heap)
-        seen = part >= 0
-        while heap:
-            _, y, x = heapq.heappop(heap)
-            around = [(y + dy, x + dx) for dy, dx in RING if 0 <= y + dy < one.shape[0] and 0 <= x + dx < one.shape[1] and one[y + dy, x + dx]]
-            if part[y, x] < 0:
-                names = {int(part[q]) for q in around if part[q] >= 0}
-                if len(names) > 1:
-                    out[y, x] = False
-                    continue
-                part[y, x] = names.pop()
-            for q in around:
-                if not seen[q]:
-                    seen[q] = True
-                    heapq.heappush(heap, (-dist[q], *q))
-        out[one & (part < 0)] = False
+        out[box] &= ~(part & (watershed(image[box], peaks, part) < 0))
     return out
 
 
 def split_rows(side: int, least_distance: float, least_area: int):
-    """mapInArrow over (pid, mask, px): components before and after the split, and the mask."""
+    """mapInArrow over (pid, mask, px): components before and after the split of the mask by the pixels, and the mask."""
 
     def run(batches):
         for b in batches:
@@ -172,7 +224,7 @@ def split_rows(side: int, least_distance: float, least_area: int):
                 if r["mask"] is None:
                     continue
                 m = np.array(r["mask"], bool).reshape(-1, side)
-                s = split(m, least_distance, least_area)
+                s = split(m, np.array(r["px"]).reshape(-1, side), least_distance, least_area, max(1, math.ceil(least_distance)), least_distance)
                 n = [len(np.unique(k[k >= 0])) for k in (label_tile(m), label_tile(s))]
                 rows.append({"pid": r["pid"], "n_before": n[0], "n_after": n[1], "mask": s.astype(int).reshape(-1).tolist()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("pid", pa.int64()), ("n_before", pa.int32()), ("n_after", pa.int32()), ("mask", pa.list_(pa.int32()))]))

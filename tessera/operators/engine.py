@@ -24,7 +24,7 @@ from tessera.functions import raster as K
 from tessera.functions.graph import components as graph_components
 from tessera.functions.graph import shared
 from tessera.functions.kernels import label_tile
-from tessera.functions.shapes import distances, filled, shape
+from tessera.functions.shapes import distances, filled, shape, split
 from tessera.operators.pixels import grid_positions
 from tessera.settings import Augmentation, Filters, Labels, Measures, Tiling, Tuning
 
@@ -297,6 +297,7 @@ def score(patches: DataFrame, s: Labels = Labels()) -> DataFrame:
         value = np.where(ok, K.top_hat(gray, s.radii, s.texture_sigma, s.texture_most) * ratio, 0)
         limit = _limit(value[ok], tuned.noise, s)
         mask = K.opened(K.closed((value >= limit) & ok, int(tuned.close_side)), int(tuned.open_side)) > 0
+        mask = split(mask, image(r), s.split_distance) if s.split_distance else mask
         lab = label_tile(filled(mask))
         return {"score": value.astype("f4").tobytes(), "threshold": limit, "n_valid": n, "regions": list(_regions(lab, value, gray, around))}
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.graph import shared_dir
 from tessera.operators import engine as E
-from tessera.operators.metrics import _AREAS, _CC, _EDGE, BRIGHT
+from tessera.operators.metrics import _AREAS, _CC, _EDGE, _M04, BRIGHT
 from tessera.operators.pixels import _RE, _TILED
 from tessera.operators.records import DICE
 from tessera.registry import query
 from tessera.settings import Measures, Tiling
+from tessera.sources import windows as V
 from tessera.sources.fixtures import duck, patches, view
 
 T = Tiling(size=16, overlap=4)
@@ -35,9 +39,9 @@ def _bytes(df: DataFrame, **kinds: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def mosaic_blocks(spark, sf: str) -> DataFrame:
-    """The fixture mosaics, 80 x 80, in the 8 x 8 blocks they are stored in; one gray channel."""
-    p = patches(spark, sf).selectExpr("CAST(pid DIV 100 AS STRING) AS image_id", "80 AS image_h", "80 AS image_w", "CAST((pid % 100) DIV 10 * 8 AS INT) AS y", "CAST(pid % 10 * 8 AS INT) AS x", "8 AS h", "8 AS w", "1 AS bands", "CASE WHEN pid % 10 = 0 THEN transform(px, g -> 0) ELSE px END AS px")
+def mosaic_blocks(spark, sf: str, border: bool = True) -> DataFrame:
+    """The fixture mosaics, 80 x 80, in the 8 x 8 blocks they are stored in; one gray channel, the first column of blocks black if ``border``."""
+    p = patches(spark, sf).selectExpr("CAST(pid DIV 100 AS STRING) AS image_id", "80 AS image_h", "80 AS image_w", "CAST((pid % 100) DIV 10 * 8 AS INT) AS y", "CAST(pid % 10 * 8 AS INT) AS x", "8 AS h", "8 AS w", "1 AS bands", "CASE WHEN pid % 10 = 0 THEN transform(px, g -> 0) ELSE px END AS px" if border else "px")
     return _bytes(p, px="u1")
 
 
@@ -72,6 +76,30 @@ def m01_blocks(spark, sf):
     return got.select(_long("image_id").alias("mosaic_id"), "area", "y0", "y1", "x0", "x1")
 
 
+@query("m04_coverage_of_blocks", duck("mosaic", _M04 + " SELECT mosaic_id, CASE WHEN sea > 0 THEN round(100.0 * px / sea, 4) ELSE 0 END AS coverage_pct, n AS nodule_count, px AS nodule_pixels, sea AS seafloor_pixels FROM j"))
+def m04_blocks(spark, sf):
+    """Coverage by masks that reach beyond the seafloor: what lies on the black border does not count."""
+    colour = E.each(mosaic_blocks(spark, sf), lambda r: {"px": np.repeat(np.frombuffer(r["px"], "u1"), 3).tobytes(), "bands": 3}, px="binary", bands="int")
+    masks = E.each(mosaic_blocks(spark, sf, border=False), lambda r: {"px": ((np.frombuffer(r["px"], "u1") > BRIGHT) * np.uint8(255)).tobytes()}, px="binary")
+    return E.coverage(colour, masks).select(_long("image_id").alias("mosaic_id"), "coverage_pct", "nodule_count", "nodule_pixels", "seafloor_pixels")
+
+
+@query("w05_mosaic_files", duck("mosaic", "SELECT mosaic_id, CAST(80 AS INT) AS height, CAST(80 AS INT) AS width, CAST(sum(g) AS BIGINT) AS total, CAST(sum(g * (my * 80 + mx)) AS BIGINT) AS placed FROM fx_mosaic GROUP BY mosaic_id"))
+def w05_files(spark, sf):
+    """Each mosaic as one tiled file, read back by windows of a few rows: the sum of all pixels, and that by their places."""
+    at = f"{shared_dir(spark)}/mosaics-{uuid.uuid4().hex}"
+    V.write_mosaics(mosaic_blocks(spark, sf), at, tile=16)
+
+    def kernel(r: dict) -> dict:
+        px = np.frombuffer(r["px"], "u1").reshape(r["h"], r["w"]).astype("i8")
+        place = (np.arange(r["h"])[:, None] + r["y"]) * r["image_w"] + np.arange(r["w"]) + r["x"]
+        return {"total": int(px.sum()), "placed": int((px * place).sum())}
+
+    sums = E.each(V.read_windows(spark, at, windowBytes=2000), kernel, total="bigint", placed="bigint")
+    sums = sums.groupBy("path").agg(F.max("image_h").alias("height"), F.max("image_w").alias("width"), F.sum("total").alias("total"), F.sum("placed").alias("placed"))
+    return sums.select(F.regexp_extract("path", r"([0-9]+)[.]tif$", 1).cast("bigint").alias("mosaic_id"), "height", "width", "total", "placed")
+
+
 @query("m09_all_patch_metrics", duck("pred", f"WITH {DICE}, {_EDGE}, s AS (SELECT pid, avg(sqrt(d2)) AS asd, avg(CAST(d2 <= 4 AS INT)) AS nsd FROM ds GROUP BY pid) SELECT dice.pid, round(dice, 6) AS dice, round(asd, 6) AS asd, round(nsd, 6) AS nsd FROM dice LEFT JOIN s ON s.pid = dice.pid"))
 def m09_metrics(spark, sf):
     """Dice, surface distance and surface Dice of every patch in one pass over its row."""

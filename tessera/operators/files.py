@@ -130,10 +130,10 @@ def w01(spark, sf):
     return R.pixels(R.read_rasters(shared(R.encode_patches(m, 8)))).select(F.col("path").cast("bigint").alias("pid"), "y", "x", "g")
 
 
-@query("w08_composite_layout", "SELECT n, i, (i % 4) * 388 + 4 AS x0, (i // 4) * 416 + 4 AS y0, 4 * 388 + 4 AS canvas_w, ((n + 3) // 4) * 416 + 4 AS canvas_h FROM (SELECT n, unnest(range(n)) AS i FROM (SELECT unnest(range(1, 13)) AS n) a) t")
+@query("w08_composite_layout", "SELECT n, i, (i % 4) * 388 + 4 AS x0, (i // 4) * 416 + 4 AS y0, 4 * 388 + 4 AS canvas_w, ((n + 3) // 4) * 416 + 4 AS canvas_h FROM (SELECT n, unnest(range(n)) AS i FROM (SELECT DISTINCT n_chars % 12 + 1 AS n FROM documents) a) t")
 def w08(spark, sf, thumb: int = 384, cols: int = 4, gap: int = 4, label: int = 28):
-    """Places of the n images of a summary sheet and the size of the sheet."""
-    t = spark.range(1, 13).select(F.col("id").alias("n"), F.explode(F.expr("sequence(0L, id - 1)")).alias("i"))
+    """Places of the n images of a summary sheet and the size of the sheet, for the sheets the documents ask for."""
+    t = table(spark, sf, "documents").select((F.col("n_chars") % 12 + 1).alias("n")).distinct().select("n", F.explode(F.expr("sequence(0L, n - 1)")).alias("i"))
     w, h = thumb + gap, thumb + label + gap
     return t.selectExpr("n", "i", f"i % {cols} * {w} + {gap} AS x0", f"(i DIV {cols}) * {h} + {gap} AS y0", f"CAST({cols * w + gap} AS INT) AS canvas_w", f"((n + {cols - 1}) DIV {cols}) * {h} + {gap} AS canvas_h")
 

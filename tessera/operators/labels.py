@@ -267,7 +267,7 @@ def l15(spark, sf):
 
 @query("l16_watershed_split")
 def l16(spark, sf):
-    """Splits wide components of bright pixels (over 90) at the saddles between their inner peaks."""
+    """Splits wide components of bright pixels (over 90) along the watersheds of the pixels between their inner peaks."""
     p = patches(spark, sf).select("pid", F.expr("transform(px, g -> CASE WHEN g > 90 THEN 1 ELSE 0 END)").alias("mask"), "px")
     return p.mapInArrow(shapes.split_rows(S.PS, 1.0, 12), "pid bigint, n_before int, n_after int, mask array<int>")
 

@@ -11,7 +11,7 @@ from tessera.operators.enhance import FEW, duck_blur, duck_filled, filled
 from tessera.operators.metrics import _AREAS, _CC, mosaic_components, stats
 from tessera.operators.pixels import _DIAG, _TILED, a14, diagnostics, tiled
 from tessera.registry import oracle_sql, query
-from tessera.sources.fixtures import duck, patches, settled, view
+from tessera.sources.fixtures import duck, patches, settled, table, view
 
 
 def plateau(history: DataFrame, start: float = 1e-4, factor: float = 0.5, patience: int = 7, least: float = 1e-7, better: float = 1e-4) -> DataFrame:
@@ -130,11 +130,11 @@ def r19(spark, sf, most: int = 3):
     return c.select("mosaic_id", "area", F.col("y0").cast("bigint").alias("y0"), F.col("x0").cast("bigint").alias("x0"))
 
 
-CONFIG = '{"architecture": "Unet", "in_channels": 3, "classes": 1, "input_mode": "engineered", "patch_size": 256, "overlap": 128, "threshold": 0.5}'
+_CONFIG = "concat('{{\"architecture\": \"Unet\", \"in_channels\": 3, ', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '\"input_mode\": \"engineered\", ' END, '\"patch_size\": ', CAST(64 * (1 + c_custkey % 4) AS {0}), ', \"overlap\": ', CAST(16 * (c_custkey % 9) AS {0}), CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat(', \"threshold\": 0.', CAST(3 + c_custkey % 5 AS {0})) END, '}}')"
 
 
-@query("s12_model_config", "SELECT 'engineered' AS input_mode, CAST(256 AS INTEGER) AS patch_size, CAST(128 AS INTEGER) AS overlap, CAST(0.5 AS DOUBLE) AS threshold")
+@query("s12_model_config", f"WITH d AS (SELECT c_custkey AS model, CAST({_CONFIG.format('VARCHAR')} AS JSON) AS c FROM customer) SELECT model, c ->> 'input_mode' AS input_mode, CAST(c ->> 'patch_size' AS INTEGER) AS patch_size, CAST(c ->> 'overlap' AS INTEGER) AS overlap, CAST(c ->> 'threshold' AS DOUBLE) AS threshold FROM d")
 def s12(spark, sf):
-    """Fields of a model's JSON sidecar; absent ones are null."""
-    doc = spark.range(1).select(F.from_json(F.lit(CONFIG), "input_mode string, patch_size int, overlap int, threshold double").alias("c"))
-    return doc.select("c.*")
+    """Fields of models' JSON sidecars, a document for each customer; absent ones are null."""
+    doc = table(spark, sf, "customer").select(F.col("c_custkey").alias("model"), F.from_json(F.expr(_CONFIG.format("STRING")), "input_mode string, patch_size int, overlap int, threshold double").alias("c"))
+    return doc.select("model", "c.*")

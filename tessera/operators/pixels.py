@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import stencil as S
 from tessera.registry import query
-from tessera.sources.fixtures import duck, patches, settled, view
+from tessera.sources.fixtures import duck, patches, settled, table, view
 
 N = S.PS
 
@@ -54,9 +54,9 @@ def grid_positions(length: int, patch: int, stride: int) -> list[int]:
     return out if out[-1] + patch >= length else [*out, length - patch]
 
 
-@query("t01_grid_positions", "SELECT len, unnest(CASE WHEN len <= 16 THEN [0] ELSE list_sort(list_distinct(list_concat(range(0, len - 15, 12), [len - 16]))) END) AS start FROM (SELECT unnest(range(1, 120)) AS len) t")
+@query("t01_grid_positions", "SELECT len, unnest(CASE WHEN len <= 16 THEN [0] ELSE list_sort(list_distinct(list_concat(range(0, len - 15, 12), [len - 16]))) END) AS start FROM (SELECT DISTINCT n_chars % 600 + 1 AS len FROM documents) t")
 def t01(spark, sf):
-    lengths = spark.range(1, 120).select(F.col("id").alias("len"))
+    lengths = table(spark, sf, "documents").select((F.col("n_chars") % 600 + 1).alias("len")).distinct()
     starts = "CASE WHEN len <= 16 THEN array(0L) ELSE array_sort(array_union(sequence(0L, len - 16, 12L), array(len - 16))) END"
     return lengths.select("len", F.explode(F.expr(starts)).alias("start"))
 
@@ -144,10 +144,11 @@ def t12(spark, sf):
 _IMP = "greatest(CAST(1e-3 AS DOUBLE), exp(-(({y} - 7.5) * ({y} - 7.5) + ({x} - 7.5) * ({x} - 7.5)) / (2 * 2.0 * 2.0)) / exp(-(0.25 + 0.25) / (2 * 2.0 * 2.0)))"
 
 
-@query("t13_importance_map", "SELECT y, x, round(" + _IMP.format(y="y", x="x") + ", 6) AS w FROM (SELECT unnest(range(16)) AS y) a, (SELECT unnest(range(16)) AS x) b")
+@query("t13_importance_map", duck("mosaic", "SELECT mosaic_id, my, mx, round(" + _IMP.format(y="my", x="mx") + ", 6) AS w, round(g * " + _IMP.format(y="my", x="mx") + ", 6) AS weighted FROM fx_mosaic WHERE my < 16 AND mx < 16"))
 def t13(spark, sf):
-    g = spark.range(16).select(F.col("id").alias("y"), F.explode(F.expr("sequence(0L, 15L)")).alias("x"))
-    return g.select("y", "x", F.round(F.expr(_IMP.format(y="y", x="x")), 6).alias("w"))
+    """The weights of a tile's pixels, and each mosaic's first tile by them."""
+    w = F.expr(_IMP.format(y="my", x="mx"))
+    return view(spark, sf, "mosaic").filter("my < 16 AND mx < 16").select("mosaic_id", "my", "mx", F.round(w, 6).alias("w"), F.round(F.col("g") * w, 6).alias("weighted"))
 
 
 @query("t14_weighted_overlap_add", duck("mosaic", _GATE_1 + ", o AS (SELECT t.mosaic_id, t.my, t.mx, sum(t.g / 255.0 * w) AS a, sum(w) AS b FROM (SELECT *, " + _IMP.format(y="(my - ty)", x="(mx - tx)") + " AS w FROM t) t JOIN q ON q.mosaic_id = t.mosaic_id AND q.ty = t.ty AND q.tx = t.tx AND q.reason = 'valid' GROUP BY ALL) SELECT mosaic_id, my, mx, round(least(1, greatest(0, CASE WHEN b > 1e-6 THEN a / b ELSE 0 END)), 6) AS p FROM o"))

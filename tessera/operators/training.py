@@ -172,7 +172,7 @@ def gradient_sums(patches: DataFrame, model: Model, t: Training) -> tuple[int, f
         return np.r_[1, loss, g]
 
     s = summed(patches, kernel, 2 + len(model.theta))
-    return int(s[0]), s[1] / max(1, s[0]), s[2:] / max(1, s[0])
+    return int(s[0]), float(s[1] / max(1, s[0])), s[2:] / max(1, s[0])
 
 
 def sweep(patches: DataFrame, model: Model) -> tuple[np.ndarray, float]:

@@ -67,6 +67,7 @@ class Labels:
     dense_share: float = 0.01
     least_contrast: float = 0.02
     bypass: float = 2.0
+    split_distance: int = 0  #: least radius of the objects that large regions are split into; 0 splits none
 
 
 @dataclass(frozen=True)

@@ -224,6 +224,15 @@ def test_agreement_against_loops(spark):
     assert got[1].dice < 1e-6 and got[1].asd is None and got[2].dice is None
 
 
+def test_regions_are_split_by_the_image(spark):
+    px = np.full((128, 128, 3), 170, np.uint8)
+    y, x = np.mgrid[:128, :128]
+    px[((y - 60) ** 2 + (x - 52) ** 2 <= 121) | ((y - 60) ** 2 + (x - 72) ** 2 <= 121)] = 60
+    p = E.tune(stored(spark, [("a", px)]), search=False)
+    count = lambda d: E.score(p, Labels(radii=(8, 12, 16), background_sigma=20.0, split_distance=d)).select(F.size("regions")).first()[0]
+    assert (count(0), count(6)) == (1, 2)
+
+
 def test_augmentation_is_repeatable_and_pastes(spark):
     p = E.proxy_labels(labelled(spark, (1, 2, 3)), Labels(radii=(2, 4, 8), background_sigma=20.0)).select(*E.KEY, "h", "w", "bands", "px", "mask", "coverage_pct").cache()
     still = Augmentation(flip=0, turn=0, affine=0, elastic=0, light=0, blur=0, noise=0, paste=1.0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import api
 from tessera.operators import engine as E
+from tessera.operators import training as T
 from tessera.settings import Measures, Tiling
 from tessera.sources import rasters as R
 from tessera.sources import windows as V
@@ -146,3 +147,22 @@ def test_predictions_have_files_and_corners(spark, tmp_path):
     a = np.frombuffer(over.px, "u1").reshape(130, 100, 3)
     assert ((a == (0, 255, 255)).all(axis=2)).any()
     assert api.complete is not None and spark.read.parquet(f"{out}/geo").select(F.count("*")).first()[0] == 3
+
+
+def test_training_flow_and_prediction_by_the_model(spark, tmp_path):
+    at = tmp_path / "in"
+    at.mkdir()
+    for k in range(3):
+        (at / f"m{k}.tif").write_bytes(R.encode_tiff(scene(200, 200, k, dots=20)[..., ::-1]))
+    out = str(tmp_path / "out")
+    api.preprocess(spark, str(at), out, SMALL)
+    api.split(spark, out, SMALL)
+    h = api.train(spark, out, SMALL, T.Training(epochs=3, batch=16, hidden=3, rate=0.05), augmented=False).collect()
+    assert [r.epoch for r in h] == [0, 1, 2] and h[2].loss < h[0].loss
+    test = json.loads(spark.read.text(f"{out}/test").first()[0])
+    assert test["patches"] > 0 and 0 <= test["test_dice"] <= 1
+    model = T.load_model(spark, f"{out}/training")
+    got = api.predict(spark, str(at), str(tmp_path / "p"), SMALL, model=model)
+    assert got.count() == 3
+    doc = json.loads(spark.read.text(f"{tmp_path}/p/metrics").first()[0])
+    assert doc["threshold"] == pytest.approx(model.threshold)

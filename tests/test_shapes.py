@@ -71,9 +71,10 @@ def test_split_two_discs():
     y, x = np.mgrid[:20, :34]
     m = ((y - 10) ** 2 + (x - 9) ** 2 <= 60) | ((y - 10) ** 2 + (x - 23) ** 2 <= 60)
     assert len(np.unique(shapes.label_tile(m))) == 2
-    cut = shapes.split(m, 3.0, 50)
-    assert len(np.unique(shapes.label_tile(cut))) == 3 and m.sum() - cut.sum() < 20
-    assert (shapes.split(m, 3.0, 10_000) == m).all()
+    flat = np.zeros((20, 34), np.uint8)
+    cut = shapes.split(m, flat, 3.0, 50)
+    assert len(np.unique(shapes.label_tile(cut, diagonal=False))) == 3 and 0 < m.sum() - cut.sum() < 30
+    assert (shapes.split(m, flat, 3.0, 10_000) == m).all()
 
 
 @settings(max_examples=20, deadline=None)
@@ -103,3 +104,73 @@ def test_array_statistics(spark):
         a = rows[r.k - 1][1]
         want = (np.mean(a), np.std(a), np.percentile(a, 75)) if a else (None, None, None)
         assert (r.m, r.s, r.q) == (pytest.approx(want) if a else want)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.floats(2, 40), st.floats(0.2, 1.0), st.floats(0, math.pi), st.floats(-30, 30), st.integers(5, 40))
+def test_ellipses_are_found_again(long, share, turn, at, n):
+    a = np.linspace(0, 2 * math.pi, n, endpoint=False) + 0.1
+    p = np.stack([long * np.cos(a), long * share * np.sin(a)], axis=1) @ np.array([[math.cos(turn), math.sin(turn)], [-math.sin(turn), math.cos(turn)]]) + at
+    got = shapes.fitted_ellipse(p)
+    assert got == pytest.approx((long, long * share), rel=1e-3)
+
+
+def test_what_no_ellipse_fits():
+    assert shapes.fitted_ellipse(np.array([[k, 2 * k] for k in range(9)])) is None
+    assert shapes.fitted_ellipse(np.array([[0, 0], [0, 1], [1, 0], [1, 1]] * 3)) is None
+
+
+def test_fit_is_the_least_among_ellipses_nearby():
+    rng = np.random.default_rng(2)
+    a = rng.random(30) * 2 * math.pi
+    p = np.stack([9 * np.cos(a), 5 * np.sin(a)], axis=1) + rng.normal(0, 0.2, (30, 2))
+    long, short = shapes.fitted_ellipse(p)
+    assert (long, short) == (pytest.approx(9, abs=0.4), pytest.approx(5, abs=0.4))
+
+
+def slow_watershed(image, markers, inside):
+    """One pixel after another: the lowest step, then the earliest reached."""
+    label, h, w = markers.copy(), *markers.shape
+    waits, n = {}, 0
+
+    def reach(y, x):
+        nonlocal n
+        for v, u in ((y, x - 1), (y, x + 1), (y - 1, x), (y + 1, x)):
+            if 0 <= v < h and 0 <= u < w and inside[v, u] and markers[v, u] < 0 and (v, u) not in done and (v, u) not in waits:
+                waits[v, u] = (max(abs(int(a) - int(b)) for a, b in zip(image[v, u], image[y, x])), n)
+                n += 1
+
+    done = set()
+    for y, x in np.argwhere(markers >= 0).tolist():
+        reach(y, x)
+    while waits:
+        p = min(waits, key=waits.get)
+        del waits[p]
+        done.add(p)
+        names = {int(label[q]) for q in ((p[0], p[1] - 1), (p[0], p[1] + 1), (p[0] - 1, p[1]), (p[0] + 1, p[1])) if 0 <= q[0] < h and 0 <= q[1] < w and label[q] >= 0}
+        if len(names) == 1:
+            label[p] = names.pop()
+            reach(*p)
+    return label
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**31), st.sampled_from([2, 12, 256]))
+def test_watershed(seed, values):
+    rng = np.random.default_rng(seed)
+    image, inside = rng.integers(0, values, (11, 13, 3)).astype(np.uint8), rng.random((11, 13)) < 0.85
+    markers = np.where(inside & (rng.random((11, 13)) < 0.05), rng.integers(0, 4, (11, 13)), -1)
+    assert (shapes.watershed(image, markers, inside) == slow_watershed(image, markers, inside)).all()
+
+
+def test_split_follows_the_image():
+    # two discs that touch, and a dark line between them beside the waist: the cut is where the image has it
+    y, x = np.mgrid[:40, :80]
+    m = ((y - 20) ** 2 + (x - 25) ** 2 <= 240) | ((y - 20) ** 2 + (x - 52) ** 2 <= 240)
+    image = np.full((40, 80, 3), 120, np.uint8)
+    image[:, 42:] = 160
+    cut = shapes.split(m, image, 5)
+    lab = shapes.label_tile(cut, diagonal=False)
+    assert len(np.unique(lab[lab >= 0])) == 2 and 0 < (m & ~cut).sum() < 60
+    assert set(np.nonzero(m & ~cut)[1]) <= {40, 41, 42, 43}
+    assert (shapes.split(m, image, 20) == m).all() and (shapes.split(m & (x < 38), image, 5) == (m & (x < 38))).all()
