@@ -4,9 +4,8 @@ Known words score by their per-language log frequency; an unseen word falls back
 character n-grams, from the longest down to single characters.
 
 The model is fitted on a bounded sample of labelled rows: at most PER_LANGUAGE documents
-of each label, chosen by a hash of the id. All words and n-grams that the sample holds at
-least LEAST times, over all languages, are known with their counts in every language; rarer
-words are what the backoff is for. The model's size follows the sample alone, so it can be
+of each label, chosen by a hash of the id. All words and n-grams that the sample holds are
+known with their counts in every language. The model's size follows the sample alone, so it can be
 sent to every executor. Prediction covers every whole text and reads nothing but the text.
 
 Defined cases: null text, or text without letters: ``und`` with score 0; no labelled
@@ -29,7 +28,7 @@ from pyspark.sql import Window as W
 
 from tessera.llm import common as C
 
-PER_LANGUAGE, LEAST, ORDER = 1500, 2, 5
+PER_LANGUAGE, ORDER = 1500, 5
 FOLDS, HELD_OUT = 4, 2
 UND = "und"
 
@@ -105,7 +104,7 @@ class Model:
         return self.tables[0][row] if row is not None else self.tables[1][self.backoff(w)].sum(axis=0)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, least: int = LEAST, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits on rows with a label whose fold is not held out, at most ``per_language`` of each label."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     d = d.filter(F.col("lang").isNotNull() & (C.fold(F.col("doc_id"), FOLDS) != HELD_OUT)).withColumn("h", F.xxhash64("doc_id"))
@@ -117,9 +116,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, least: int = LEAST, o
     some = some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= per_language)
     counted = some.select("lang", "text").mapInArrow(_count(order), "kind int, lang string, item string, n long").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n")).persist()  # bounded by the sample; lost blocks are counted again
     totals = {(r["kind"], r["lang"]): r["n"] for r in counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
-    often = counted.groupBy("kind", "item").agg(F.sum("n").alias("all")).filter(F.col("all") >= least).select("kind", "item")
     # the sample bounds this table
-    table = counted.join(often, ["kind", "item"], "left_semi").orderBy("kind", "item", "lang").select("kind", "lang", "item", "n").toArrow()
+    table = counted.orderBy("kind", "item", "lang").select("kind", "lang", "item", "n").toArrow()
     counted.unpersist()
     return Model(table, totals, order)
 
@@ -214,5 +212,6 @@ def _keep(shared, least):
 
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` (all columns as they are) whose text has letters and whose predicted language is at least ``least_score`` likely."""
+    C.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
     return docs.mapInArrow(_keep(shared, least_score), docs.schema)

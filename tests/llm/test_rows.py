@@ -1,6 +1,8 @@
 """Ids with several texts, several null ids, uneven lengths: every row is judged by its own text."""
 
 import random
+import zlib
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
@@ -234,3 +236,46 @@ def test_anchors_are_the_least_runs_of_windows(monkeypatch):
     monkeypatch.setattr(substring, "PLACE_BITS", 11)  # too many places to share a number with the hash
     _, again = substring.anchors(h, 20)
     assert (np.diff(again) >= 0).all() and again.tolist() == [k + int(np.argmin((keys >> np.uint64(11))[k : k + 13])) for k in range(3981)]
+
+
+def test_language_scores_by_plain_loops(spark):
+    """Every score of every document, from the sample's counts by the stated rule."""
+    import math
+    import re
+
+    rng = random.Random(9)
+    bases = {"aa": ["kala", "mino", "teru", "sopa", "luna"], "bb": ["krat", "blim", "stong", "fred", "gulp"], "cc": ["xiao", "zhou", "qing", "wuji", "hena"]}
+    rows = [(k, " ".join(rng.choice(bases[lang]) + rng.choice(["", "s", "en", "o" * rng.randint(1, 3)]) for _ in range(rng.randint(1, 30))), lang) for k, lang in enumerate(list(bases) * 40)]
+    rows += [(200, "Kalamino, sToNg7fred über", None), (201, "12 34", None), (202, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    words, grams = {lang: Counter() for lang in bases}, {lang: Counter() for lang in bases}
+    cut = lambda w: [w[k : k + n] for w in [f"^{w}$"] for k in range(len(w)) for n in range(1, min(5, len(w) - k) + 1)]
+    for i, text, lang in rows:
+        if lang and fold(i) != 2:
+            for w in re.findall(r"[^\W\d_]+", text.lower()):
+                words[lang][w] += 1
+                grams[lang].update(cut(w))
+    known, pieces = set().union(*words.values()), set().union(*grams.values())
+    log = lambda table, lang, x, n: math.log((table[lang][x] + 0.5) / (sum(table[lang].values()) + 0.5 * (n + 1)))
+
+    def evidence(w, lang):
+        if w in known:
+            return log(words, lang, w, len(known))
+        total, b = 0.0, f"^{w}$"
+        for k in range(len(b)):
+            g = next((b[k : k + n] for n in range(5, 0, -1) if k + n <= len(b) and b[k : k + n] in pieces), None)
+            total += log(grams, lang, g, len(pieces)) / len(g) if g else 0.0
+        return total
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    for i, text, _ in rows:
+        found = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not found:
+            assert got[i] == ("und", 0.0)
+            continue
+        s = {lang: sum(evidence(w, lang) for w in found) for lang in sorted(bases)}
+        best = max(s, key=s.get)
+        want = 1 / sum(math.exp(v - s[best]) for v in s.values())
+        assert abs(got[i][1] - want) < 1e-3 and (got[i][0] == best or want < 0.51), (i, got[i], s)
