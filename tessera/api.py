@@ -249,6 +249,69 @@ def audit(spark: SparkSession, out: str, s: Settings = Settings(), top_k: int |
     return queue
 
 
+def audit_labels(spark: SparkSession, out: str, s: Settings = Settings(), scorer=E.default_scorer, top_k: int | None = None, low: float | None = None, high: float | None = None, corrected: DataFrame | None = None) -> DataFrame:
+    """Proxy masks that a confident model contradicts, the worst first: (patch_id, fp_frac, fn_frac, dice_disagreement, combined_score, missed_pixels).
+
+    Patches of ``corrected`` (patch_id) are passed over. Without ``low`` and ``high`` they follow from a first pass: the mean probability off
+    and on the masks. Scores and predicted masks of all patches are under ``out/label_scores``, the queue under ``out/label_queue``.
+    """
+    patches = complete(spark, out, "patches").select("patch_id", *E.KEY, "h", "w", "bands", "px", "mask")
+    patches = patches.join(corrected.select("patch_id"), "patch_id", "left_anti") if corrected is not None else patches
+    prob = kept(E.predict(patches, scorer).withColumn("px", F.lit(b"")), f"{out}/label_probabilities")
+    if low is None or high is None:
+        sums = E.confident(prob).agg(*[F.sum(c).alias(c) for c in ("p0", "n0", "p1", "n1")]).first()
+        off, on = (sums.p0 or 0.0) / max(1, sums.n0 or 0), (sums.p1 or 0.0) / max(1, sums.n1 or 0)
+        low, high = min(0.5, max(1e-3, off)), min(1 - 1e-3, max(0.5, on))
+    scored = kept(E.confident(prob, low, high).drop("px", "prob", "p0", "n0", "p1", "n1"), f"{out}/label_scores")
+    queue = scored.select("patch_id", "fp_frac", "fn_frac", "dice_disagreement", "combined_score", "missed_pixels").orderBy(F.desc("fp_frac"), "patch_id").limit(top_k or s.audit_size)
+    return kept(queue, f"{out}/label_queue")  # a report of top_k rows
+
+
+def edit_selection(patches: DataFrame, corrected: DataFrame, image: str | None = None, worst: int = 0, metrics: DataFrame | None = None, unannotated: bool = False, most: int | None = None) -> DataFrame:
+    """The patches to edit: those of an image before the ``worst`` by Dice (of ``metrics``) before all; then those without a corrected mask; then the first ``most`` by id."""
+    if image:
+        chosen = patches.filter(F.col("image_id").contains(image))
+    elif worst:
+        if metrics is None:
+            raise ValueError("the worst patches need metrics")
+        few = metrics.filter("dice IS NOT NULL").orderBy("dice", "patch_id").limit(worst).select("patch_id")
+        chosen = patches.join(F.broadcast(few), "patch_id", "left_semi")
+    else:
+        chosen = patches
+    chosen = chosen.join(corrected.select("patch_id"), "patch_id", "left_anti") if unannotated else chosen
+    return chosen.orderBy("patch_id").limit(most) if most else chosen
+
+
+def inspect(bundles: DataFrame) -> DataFrame:
+    """(path, patches, corrected, annotators): what archives (path, content) hold, by their patches' metadata; one without patches gives no row."""
+    told = R.open_bundles(bundles).select("path", F.get_json_object("metadata", "$.annotator").alias("annotator"), (F.get_json_object("metadata", "$.mask_source") == "corrected").alias("corrected"))
+    return told.groupBy("path").agg(F.count("*").alias("patches"), F.count_if("corrected").alias("corrected"), F.array_sort(F.collect_set("annotator")).alias("annotators"))
+
+
+def repack(bundles: DataFrame, corrected: DataFrame, annotator: str) -> DataFrame:
+    """(path, content, patches, corrected): each archive again, with the masks of ``corrected`` (patch_id, mask) for its patches; all others stay as they were.
+
+    The new archive is named for its annotator; its patches say whether their mask is corrected.
+    """
+    both = R.open_bundles(bundles).join(corrected.select("patch_id", F.col("mask").alias("better")), "patch_id", "left")
+
+    def pack(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        entries, n, rows = [], 0, sorted(table.to_pylist(), key=lambda r: r["patch_id"])
+        for r in rows:
+            at, mask = f"patches/{r['patch_id']}", r["mask"]
+            if r["better"] is not None:
+                mask = R.encode_png(np.frombuffer(r["better"], "u1").reshape(R.decode_png(mask).shape[:2]))
+            n += r["better"] is not None
+            meta = {**(json.loads(r["metadata"]) if r["metadata"] else {}), "annotator": annotator, "mask_source": "corrected" if r["better"] is not None else "untouched"}
+            entries += [(f"{at}/image.png", r["image"]), (f"{at}/mask.png", mask), (f"{at}/metadata.json", json.dumps(meta).encode())]
+        stem = rows[0]["path"].rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        return pa.table({"path": [f"{stem}_corrected_by_{annotator}.zip"], "content": pa.array([R.pack_bundle(entries)], pa.binary()), "patches": pa.array([len(rows)], pa.int64()), "corrected": pa.array([n], pa.int64())})
+
+    return both.groupBy("path").applyInArrow(pack, "path string, content binary, patches long, corrected long")
+
+
 def export(patches: DataFrame, annotator: str, per_bundle: int = 50) -> DataFrame:
     """(path, content): archives of at most about ``per_bundle`` patches with image, mask and metadata; dealt by a hash of the id."""
     n = F.broadcast(patches.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / per_bundle)).alias("bundles")))
@@ -366,4 +429,4 @@ def report(metrics: DataFrame) -> DataFrame:
     return metrics.select("image_id", F.concat_ws("\n", *lines).alias("value"))
 
 
-__all__ = ["audit", "channel_stats", "evaluate", "export", "import_actions", "import_bundles", "load_metrics", "manifest", "predict", "preprocess", "report", "split", "status", "train", "with_mask_source"]
+__all__ = ["audit", "audit_labels", "channel_stats", "complete", "edit_selection", "evaluate", "export", "import_actions", "import_bundles", "inspect", "journal", "load_metrics", "manifest", "predict", "preprocess", "repack", "report", "split", "status", "train", "with_mask_source"]

@@ -414,6 +414,23 @@ def agreement(scored: DataFrame, m: Measures = Measures()) -> DataFrame:
     return each(scored, kernel, dice="double", asd="double", nsd="double", pred="binary")
 
 
+def confident(scored: DataFrame, low: float = 0.45, high: float = 0.55) -> DataFrame:
+    """Adds what a confident prob and the mask disagree in: mean_prob, fp_frac (mask where prob is below ``low``), fn_frac (no mask where it
+    is above ``high``), dice_disagreement, combined_score, missed_pixels, the sums and counts that thresholds follow from, and pred (0 or 255)."""
+
+    def kernel(r: dict) -> dict:
+        p, y = image(r, "prob", "f4").astype(float), image(r, "mask", "u1") > 0
+        n, hard = p.size, p > 0.5
+        fp, fn = int((y & (p < low)).sum()), int((~y & (p > high)).sum())
+        tiny = y.mean() < 0.001 and hard.mean() < 0.001
+        dis = 0.0 if tiny else 1 - (2 * int((y & hard).sum()) + 1e-6) / (int(y.sum()) + int(hard.sum()) + 1e-6)
+        out = {"mean_prob": float(p.mean()), "fp_frac": fp / n, "fn_frac": fn / n, "dice_disagreement": dis, "combined_score": 0.6 * fp / n + 0.3 * fn / n + 0.1 * dis, "missed_pixels": fn}
+        return {**out, "p0": float(p[~y].sum()), "n0": int((~y).sum()), "p1": float(p[y].sum()), "n1": int(y.sum()), "pred": (hard * np.uint8(255)).tobytes()}
+
+    doubles = ("mean_prob", "fp_frac", "fn_frac", "dice_disagreement", "combined_score", "p0", "p1")
+    return each(scored, kernel, **dict.fromkeys(doubles, "double"), missed_pixels="bigint", n0="bigint", n1="bigint", pred="binary")
+
+
 def components(masks: DataFrame, column: str = "px") -> DataFrame:
     """(image_id, component, area, y0, x0, y1, x1) of the 8-connected foreground of blocks, joined across their borders.
 

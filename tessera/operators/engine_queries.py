@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.graph import shared_dir
 from tessera.operators import engine as E
-from tessera.operators.metrics import _AREAS, _CC, _EDGE, _M04, BRIGHT
+from tessera.operators.metrics import _AREAS, _CC, _DIS, _EDGE, _M04, BRIGHT, _conf
 from tessera.operators.pixels import _RE, _TILED
 from tessera.operators.records import DICE
 from tessera.registry import query
@@ -100,11 +100,23 @@ def w05_files(spark, sf):
     return sums.select(F.regexp_extract("path", r"([0-9]+)[.]tif$", 1).cast("bigint").alias("mosaic_id"), "height", "width", "total", "placed")
 
 
-@query("m09_all_patch_metrics", duck("pred", f"WITH {DICE}, {_EDGE}, s AS (SELECT pid, avg(sqrt(d2)) AS asd, avg(CAST(d2 <= 4 AS INT)) AS nsd FROM ds GROUP BY pid) SELECT dice.pid, round(dice, 6) AS dice, round(asd, 6) AS asd, round(nsd, 6) AS nsd FROM dice LEFT JOIN s ON s.pid = dice.pid"))
-def m09_metrics(spark, sf):
-    """Dice, surface distance and surface Dice of every patch in one pass over its row."""
+def predicted(spark, sf: str) -> DataFrame:
+    """The fixture's patches with probabilities and masks, as the engine has them."""
     at = F.struct("y", "x")
     p = view(spark, sf, "pred").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("p").alias("p"), F.col("truth").cast("int").alias("t")))).alias("v"))
     p = p.select("pid", F.lit("a").alias("image_id"), *[F.lit(n).alias(c) for c, n in (("image_h", 8), ("image_w", 8), ("y", 0), ("x", 0), ("h", 8), ("w", 8), ("bands", 1))], F.lit(b"").alias("px"), F.expr("transform(v, e -> e.p)").alias("prob"), F.expr("transform(v, e -> 255 * e.t)").alias("mask"))
-    got = E.agreement(_bytes(p, prob="f4", mask="u1"), Measures(threshold=0.58))
+    return _bytes(p, prob="f4", mask="u1")
+
+
+@query("m09_all_patch_metrics", duck("pred", f"WITH {DICE}, {_EDGE}, s AS (SELECT pid, avg(sqrt(d2)) AS asd, avg(CAST(d2 <= 4 AS INT)) AS nsd FROM ds GROUP BY pid) SELECT dice.pid, round(dice, 6) AS dice, round(asd, 6) AS asd, round(nsd, 6) AS nsd FROM dice LEFT JOIN s ON s.pid = dice.pid"))
+def m09_metrics(spark, sf):
+    """Dice, surface distance and surface Dice of every patch in one pass over its row."""
+    got = E.agreement(predicted(spark, sf), Measures(threshold=0.58))
     return got.select("pid", *[F.round(c, 6).alias(c) for c in ("dice", "asd", "nsd")])
+
+
+@query("m20_single_pass", duck("pred", f"WITH s AS (SELECT * REPLACE (CAST(CAST(p AS FLOAT) AS DOUBLE) AS p) FROM fx_pred), a AS ({_conf('0.45', '0.55', 's')}) SELECT pid, round(mean_prob, 6) AS mean_prob, round(fp / n, 9) AS fp_frac, round(fn / n, 9) AS fn_frac, round({_DIS}, 9) AS dice_disagreement, round(0.6 * fp / n + 0.3 * fn / n + 0.1 * ({_DIS}), 9) AS combined_score, fn AS missed_pixels, np AS pred_pixels FROM a"))
+def m20_pass(spark, sf):
+    """One pass over all patches: confident disagreement and the predicted mask, of probabilities stored as floats."""
+    got = E.each(E.confident(predicted(spark, sf)), lambda r: {"pred_pixels": sum(1 for v in r["pred"] if v)}, pred_pixels="bigint")
+    return got.select("pid", F.round("mean_prob", 6).alias("mean_prob"), *[F.round(c, 9).alias(c) for c in ("fp_frac", "fn_frac", "dice_disagreement", "combined_score")], "missed_pixels", "pred_pixels")

@@ -303,15 +303,18 @@ def a06(spark, sf):
     return long(p.withColumn("a", F.expr("zip_with(transform(m, s -> CAST(floor(s / 25.0 + 0.5) AS BIGINT)), transform(q, s -> CAST(floor(s / 25.0 + 0.5) AS BIGINT)), (m, q) -> pmod(q - (m * m) % 256, 256))")), "a")
 
 
-@query("a14_channel_stats", duck("color", "SELECT 'b' AS channel, round(avg(b / 255.0), 4) AS mean, round(stddev_pop(b / 255.0), 4) AS std FROM fx_color UNION ALL SELECT 'gr', round(avg(gr / 255.0), 4), round(stddev_pop(gr / 255.0), 4) FROM fx_color UNION ALL SELECT 'r', round(avg(r / 255.0), 4), round(stddev_pop(r / 255.0), 4) FROM fx_color"))
-def a14(spark, sf):
-    """From integer sums, so that the order of addition does not matter."""
-    c = view(spark, sf, "color")
+def channel_stats(c: DataFrame) -> DataFrame:
+    """(channel, mean, std) of pixels (b, gr, r) as shares, from integer sums, so that the order of addition does not matter."""
     s = c.agg(F.count("*").alias("n"), *[F.sum(k).alias(f"s_{k}") for k in ("b", "gr", "r")], *[F.sum(F.col(k) * F.col(k)).alias(f"q_{k}") for k in ("b", "gr", "r")])
     s = s.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("channel"), F.col(f"s_{k}").alias("s"), F.col(f"q_{k}").alias("q")) for k in ("b", "gr", "r")])).alias("e")).select("n", "e.*")
     return s.select("channel", F.round(F.col("s") / F.col("n") / 255, 4).alias("mean"), F.round(F.sqrt(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2.0))) / 255, 4).alias("std"))
 
 
+@query("a14_channel_stats", duck("color", "SELECT 'b' AS channel, round(avg(b / 255.0), 4) AS mean, round(stddev_pop(b / 255.0), 4) AS std FROM fx_color UNION ALL SELECT 'gr', round(avg(gr / 255.0), 4), round(stddev_pop(gr / 255.0), 4) FROM fx_color UNION ALL SELECT 'r', round(avg(r / 255.0), 4), round(stddev_pop(r / 255.0), 4) FROM fx_color"))
+def a14(spark, sf):
+    return channel_stats(view(spark, sf, "color"))
+
+
 # ---- features
 
 _LCR = f"{_blur_sql(1.0)}"

@@ -14,6 +14,7 @@ from tessera.operators import training as T
 from tessera.settings import Measures, Tiling
 from tessera.sources import rasters as R
 from tessera.sources import windows as V
+from tessera.operators import lifecycle
 from tests.test_engine import SMALL, scene
 
 
@@ -166,3 +167,60 @@ def test_training_flow_and_prediction_by_the_model(spark, tmp_path):
     assert got.count() == 3
     doc = json.loads(spark.read.text(f"{tmp_path}/p/metrics").first()[0])
     assert doc["threshold"] == pytest.approx(model.threshold)
+
+
+def test_label_audit_and_edit_selection(spark, folder, tmp_path):
+    out = str(tmp_path / "out")
+    patches = api.preprocess(spark, str(folder), out, SMALL)
+    everything = lambda batch: [np.full(p.shape[:2], 0.9) for p in batch]
+    queue = api.audit_labels(spark, out, SMALL, everything, top_k=5, low=0.4, high=0.6).collect()
+    # a model that finds all pixels contradicts no mask where it has one, and all where it has none
+    assert len(queue) == 5 and all(r.fp_frac == 0 and r.fn_frac > 0.5 and r.missed_pixels > 0 for r in queue)
+    assert [r.patch_id for r in queue] == sorted(r.patch_id for r in queue)
+    scores = spark.read.parquet(f"{out}/label_scores")
+    assert scores.count() == patches.count() and all(set(bytes(r.pred)) == {255} for r in scores.select("pred").collect())
+    nothing = api.audit_labels(spark, out, SMALL, lambda batch: [np.zeros(p.shape[:2]) for p in batch], low=0.4, high=0.6).collect()
+    assert nothing[0].fp_frac == max(r.fp_frac for r in nothing) > 0 and nothing[0].fn_frac == 0
+    # thresholds that follow from the scores themselves lie between the means off and on the masks
+    assert all(r.fn_frac == 0 for r in api.audit_labels(spark, out, SMALL, everything, top_k=5).collect())
+    held = patches.select("patch_id", "mask").orderBy("patch_id").limit(3)
+    assert api.audit_labels(spark, out, SMALL, everything, top_k=999, corrected=held).count() == patches.count() - 3
+    ids = sorted(r.patch_id for r in patches.collect())
+    chosen = lambda **how: sorted(r.patch_id for r in api.edit_selection(patches, held, **how).collect())
+    assert chosen() == ids and chosen(unannotated=True) == ids[3:] and chosen(unannotated=True, most=4) == ids[3:7]
+    assert chosen(image="002") == [i for i in ids if i.startswith("002")]
+    m = api.evaluate(spark, out, SMALL)
+    worst = sorted((r.dice, r.patch_id) for r in m.collect() if r.dice is not None)[:4]
+    assert chosen(worst=4, metrics=m) == sorted(i for _, i in worst)
+    with pytest.raises(ValueError):
+        chosen(worst=4)
+
+
+def test_archives_are_inspected_and_repacked(spark):
+    png = lambda v: R.encode_png(np.full((8, 8), v, np.uint8))
+    entries = [(f"patches/{i}/{k}.png", png(0)) for i in ("a", "b") for k in ("image", "mask")] + [("patches/a/metadata.json", b'{"annotator": "eva", "mask_source": "corrected"}')]
+    bundles = spark.createDataFrame([("x/one.zip", bytearray(R.pack_bundle(entries))), ("x/two.zip", bytearray(b"no archive"))], "path string, content binary")
+    assert [tuple(r) for r in api.inspect(bundles).collect()] == [("x/one.zip", 2, 1, ["eva"])]
+    better = spark.createDataFrame([("b", bytearray(b"\xff" * 64)), ("c", bytearray(64))], "patch_id string, mask binary")
+    got = api.repack(bundles, better, "ann").collect()
+    assert [(r.path, r.patches, r.corrected) for r in got] == [("one_corrected_by_ann.zip", 2, 1)]
+    again = {r.patch_id: r for r in R.open_bundles(spark.createDataFrame([(r.path, r.content) for r in got], "path string, content binary")).collect()}
+    assert bytes(again["a"].mask) == png(0) and (R.decode_png(bytes(again["b"].mask)) == 255).all()
+    assert json.loads(again["b"].metadata) == {"annotator": "ann", "mask_source": "corrected"} and json.loads(again["a"].metadata)["mask_source"] == "untouched"
+
+
+def test_statistics_are_stored_by_what_they_are_of(spark, tmp_path):
+    at, calls = str(tmp_path), []
+    rows = spark.createDataFrame([(k, k % 3, k) for k in range(40)], "id int, ch int, v int")
+
+    def compute(df):
+        calls.append(1)
+        return df.groupBy(F.col("ch").cast("string").alias("channel")).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+
+    get = lambda df: lifecycle.norm_stats(df, compute, at).collect()
+    first, again = get(rows), get(rows.repartition(7).orderBy(F.desc("v")))
+    assert len(calls) == 1 and {r.source for r in first} == {"computed"} and {r.source for r in again} == {"cache"}
+    assert sorted((r.channel, r.mean, r.std) for r in first) == sorted((r.channel, r.mean, r.std) for r in again)
+    changed = rows.withColumn("v", F.when(F.col("id") == 5, 99).otherwise(F.col("v")))
+    assert {r.source for r in get(changed)} == {"computed"} and len(calls) == 2 and {r.source for r in get(rows)} == {"cache"}
+    assert [(r.channel, r.mean, r.source) for r in get(rows.filter("false"))] == [("r", 0.485, "plain"), ("g", 0.456, "plain"), ("b", 0.406, "plain")]
