@@ -6,6 +6,9 @@ scanned under that rule version, with its findings. A scan takes the distinct bl
 the batch, drops those in the ledger, scans the rest, appends them, and joins findings
 back to all paths of the batch.
 
+Of the ledger a delivery of at most BROADCAST_ROWS distinct blobs (counted) reads the addresses
+alone and shuffles only those it shares; a larger one meets the ledger by address in a shuffle.
+
 Hot blobs: distinct blobs come from a pre-aggregated ``min`` per address; texts are
 then fetched by row key, which is unique, so no task gathers the copies of a blob. The
 join back to paths is an equi-join whose hot keys adaptive execution splits.
@@ -72,6 +75,12 @@ def _blobs(versions: DataFrame) -> DataFrame:
     return rows.withColumn("blob", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
 
 
+def _held(ledger_rows: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The ledger's rows of the distinct ``blobs``. Few of these (counted) are sent to where the ledger lies, which is not shuffled then."""
+    few = blobs.limit(C.BROADCAST_ROWS + 1).count() <= C.BROADCAST_ROWS
+    return ledger_rows.join(F.broadcast(blobs) if few else blobs.hint("merge"), "blob", "left_semi")
+
+
 def scan(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> None:
     """Scans the blobs of ``versions`` (path, text) whose pair with the rule version is not in the ledger, and adds them to it.
 
@@ -83,7 +92,8 @@ def scan(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) ->
     first = keyed.groupBy("blob").agg(F.min("row").alias("row"))
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        first = first.join(spark.read.schema(FOUND).parquet(at).select("blob"), "blob", "left_anti")
+        first = C.stored(first, "delivery", most=C.files(versions))
+        first = first.join(_held(spark.read.schema(FOUND).parquet(at).select("blob"), first.select("blob")), "blob", "left_anti")
     unseen = keyed.join(first.select("row", F.col("blob").alias("first_blob")).hint("shuffle_hash"), "row", "left_semi").select("blob", "text")
     fresh = unseen.mapInArrow(_scan, FOUND)
     # repeated rows of one path may have scanned a blob twice: findings are equal, one is kept
@@ -93,9 +103,10 @@ def scan(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) ->
 def findings(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
     """(path, blob, found) for each row of ``versions`` whose blob the ledger holds under the rule version."""
     known = versions.sparkSession.read.schema(FOUND).parquet(f"{ledger}/rule_version={rule_version}")
+    rows = C.stored(_blobs(versions).select("path", "blob"), "addresses", most=C.files(versions))
     # scans at the same time may both have added a blob: one is kept
-    known = known.groupBy("blob").agg(F.first("found").alias("found"))
-    return _blobs(versions).select("path", "blob").join(known.hint("merge"), "blob")
+    known = _held(known, rows.select("blob").distinct()).groupBy("blob").agg(F.first("found").alias("found"))
+    return rows.join(known.hint("merge"), "blob")
 
 
 def scan_incremental(versions: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:

@@ -11,7 +11,7 @@ numbered in key order; a sparse directory (level two) holds the first and last k
 characters, of each stretch of neighbouring blocks. Stretches are as long as it takes for the
 directory to have at most DIRECTORY_ROWS entries, so it can be sent to every task. A lookup searches
 the directory by bisection, opens the blocks of the stretches found, searches these by their first keys,
-and reads byte ranges of archives. ``captures`` does so for a table of keys, ``lookup`` for one url.
+and reads byte ranges of archives. ``captures`` does so for a table of keys, ``records_of`` and ``lookup`` for one url.
 
 Defined cases: null html is an empty payload; a null or odd url keeps a key of its own
 text; null page ids are responses; repeated rows (same id, same payload) are all
@@ -25,6 +25,7 @@ import gzip
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -177,25 +178,6 @@ class Directory:
         return self.places[bisect.bisect_left(self.lasts, key) : bisect.bisect_right(self.firsts, key)]
 
 
-def lookup(spark: SparkSession, root: str, url: str) -> list[dict]:
-    """Records captured for a url: directory, then blocks, then byte ranges, read by one job."""
-    key, index = url_key(url), spark.read.schema(BLOCKS).parquet(f"{root}/index")
-    directory = Directory(index)
-    places = directory.find(key)
-    if not places:
-        return []
-    inside = F.lit(False)
-    for part in {p for p, _ in places}:
-        seqs = [s * directory.blocks for p, s in places if p == part]
-        inside |= (F.col("part") == part) & F.col("seq").between(min(seqs), max(seqs) + directory.blocks - 1)
-    blocks = index.filter(inside & (F.col("first") <= key) & (F.col("last") >= key)).select("block").collect()
-    found = sorted(e[:3] for r in blocks for e in entries_of(r["block"]) if e[4] == key)
-    ranges = spark.createDataFrame(found, "archive string, offset int, length int")
-    archives = spark.read.schema(ARCHIVES).parquet(f"{root}/archives").filter(F.col("archive").isin(sorted({e[0] for e in found}))).select("archive", "content")
-    got = archives.join(F.broadcast(ranges), "archive").select("archive", "offset", F.expr("substring(content, offset + 1, length)").alias("m")).collect()
-    return [parse(gzip.decompress(r["m"])) for r in sorted(got, key=lambda r: (r["archive"], r["offset"]))]
-
-
 def _keys(rows):
     for b in C.batches(rows):
         yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], ["key"])
@@ -247,15 +229,18 @@ def _open(rows):
 _fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
 
 
-def _ranges(rows):
-    for b in C.batches(rows):
-        for content, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            got = [parse(gzip.decompress(content[p["offset"] : p["offset"] + p["length"]])) for p in places]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in _fields], [k for k, _ in _fields])
+def _ranges(fields):
+    def run(rows):
+        for b in C.batches(rows):
+            for content, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got = [parse(gzip.decompress(content[p["offset"] : p["offset"] + p["length"]])) for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in fields], [k for k, _ in fields])
 
+    return run
 
-def captures(spark: SparkSession, root: str, keys: DataFrame, directory_rows: int = DIRECTORY_ROWS) -> DataFrame:
-    """All captures of the distinct ``keys`` (one column): page_id, payload_bytes, payload_digest, record_type, refers_to."""
+
+def captures(spark: SparkSession, root: str, keys: DataFrame, directory_rows: int = DIRECTORY_ROWS, payload: bool = False) -> DataFrame:
+    """All captures of the distinct ``keys`` (one column): page_id, payload_bytes, payload_digest, record_type, refers_to; ``payload`` (null for a revisit) if asked for."""
     index = spark.read.schema(BLOCKS).parquet(f"{root}/index")
     directory = Directory(index, directory_rows)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -268,7 +253,19 @@ def captures(spark: SparkSession, root: str, keys: DataFrame, directory_rows: in
     places = places.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
     archives = spark.read.schema(ARCHIVES).parquet(f"{root}/archives").select("archive", "content")
     joined = archives.join(places.hint("shuffle_hash"), "archive").select("content", "places")
-    return joined.mapInArrow(_ranges, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    return joined.mapInArrow(_ranges([*_fields, ("payload", pa.binary())] if payload else _fields), schema + ", payload binary" if payload else schema)
+
+
+def records_of(spark: SparkSession, root: str, url: str | None) -> Iterator[dict]:
+    """Records captured for a url, one partition's at a time: a key may have any number of captures."""
+    key = spark.createDataFrame([(url,)], "url string")
+    return (r.asDict() for r in captures(spark, root, keys_of(key), payload=True).toLocalIterator())
+
+
+def lookup(spark: SparkSession, root: str, url: str | None) -> list[dict]:
+    """``records_of`` as a list, for urls of few captures."""
+    return list(records_of(spark, root, url))
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
