@@ -6,7 +6,7 @@ that accepts or rejects regions are DataFrame expressions within a patch's row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -265,6 +265,63 @@ def l15(spark, sf):
     return proxy_label(patches(spark, sf))
 
 
+# ---- regions in SQL: what no way of 4-neighbours from the border reaches is inside; shapes come from the 2 x 2 squares of pixels that regions touch
+
+_RING = "(VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1), (5, -1, -1), (6, -1, 0), (7, -1, 1))"
+#: the clockwise steps of an outline across a square, by the pixels of it that a region holds (1, 2: upper, 4, 8: lower): start in the square, direction
+_STEPS = "(VALUES (12, 1, 0, 0), (3, 0, 1, 4), (5, 0, 0, 2), (10, 1, 1, 6), (14, 1, 0, 7), (13, 0, 0, 1), (11, 1, 1, 5), (7, 0, 1, 3), (9, 0, 0, 1), (9, 1, 1, 5), (6, 0, 1, 3), (6, 1, 0, 7))"
+_SAME = "{b}.pid = {a}.pid AND {b}.region = {a}.region"
+_FE = (
+    f"{_CLEAN}, ma AS MATERIALIZED (SELECT pid, y, x, g FROM m4), bk AS MATERIALIZED (SELECT pid, y, x FROM ma WHERE g = 0), "
+    "ou(pid, y, x) AS (SELECT pid, y, x FROM bk WHERE y IN (0, 7) OR x IN (0, 7) UNION SELECT bk.pid, bk.y, bk.x FROM ou JOIN bk ON bk.pid = ou.pid AND abs(bk.y - ou.y) + abs(bk.x - ou.x) = 1), "
+    "ins AS MATERIALIZED (SELECT pid, y * 8 + x AS n, y, x FROM ma ANTI JOIN ou USING (pid, y, x)), "
+    "rl(pid, n, o) AS (SELECT pid, n, n FROM ins UNION SELECT i.pid, i.n, r.o FROM rl r JOIN ins i ON i.pid = r.pid AND abs(i.y - r.n // 8) <= 1 AND abs(i.x - r.n % 8) <= 1 WHERE r.o < i.n), "
+    "rg AS MATERIALIZED (SELECT pid, n // 8 AS y, n % 8 AS x, min(o) AS region FROM rl GROUP BY pid, n), "
+    "ce AS (SELECT pid, region, y - dy AS cy, x - dx AS cx, sum(CASE WHEN dy = 0 THEN 1 ELSE 4 END * (1 + dx)) AS b FROM rg, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(dy, dx) GROUP BY ALL), "
+    "ar AS (SELECT pid, region, sum(CASE WHEN b = 15 THEN 1.0 WHEN b IN (7, 11, 13, 14) THEN 0.5 ELSE 0 END)::DOUBLE AS area FROM ce GROUP BY ALL), "
+    f"sp AS MATERIALIZED (SELECT ce.pid, region, cy + dy AS y, cx + dx AS x, d FROM ce JOIN {_STEPS} v(b, dy, dx, d) ON v.b = ce.b), "
+    f"nx AS (SELECT sp.pid, sp.region, sp.y, sp.x, sp.d, min((o.d - sp.d + 11) % 8) AS turn FROM sp JOIN {_RING} s(d, dy, dx) ON s.d = sp.d CROSS JOIN {_RING} o(d, dy, dx) JOIN rg ON {_SAME.format(a='sp', b='rg')} AND rg.y = sp.y + s.dy + o.dy AND rg.x = sp.x + s.dx + o.dx GROUP BY ALL), "
+    "le AS (SELECT pid, region, count(*) FILTER (d % 2 = 0) + count(*) FILTER (d % 2 = 1) * sqrt(2) AS length, count(*) FILTER (turn <> 3) AS bends FROM nx GROUP BY ALL), "
+    "pt AS MATERIALIZED (SELECT pid, region, y, min(x) AS x FROM rg GROUP BY ALL UNION SELECT pid, region, y, max(x) FROM rg GROUP BY pid, region, y), "
+    f"hu AS (SELECT p.pid, p.region, p.y * q.x - p.x * q.y AS c FROM pt p JOIN pt q ON {_SAME.format(a='p', b='q')} AND (q.y <> p.y OR q.x <> p.x) JOIN pt r ON {_SAME.format(a='p', b='r')} GROUP BY p.pid, p.region, p.y, p.x, q.y, q.x HAVING bool_and((q.y - p.y) * (r.x - p.x) > (q.x - p.x) * (r.y - p.y) OR ((q.y - p.y) * (r.x - p.x) = (q.x - p.x) * (r.y - p.y) AND (r.y - p.y) * (r.y - q.y) + (r.x - p.x) * (r.x - q.x) <= 0))), "
+    "wh AS (SELECT pid, region, abs(sum(c)) / 2 AS whole FROM hu GROUP BY ALL), "
+    "mn AS (SELECT rg.pid, rg.region, count(*) AS n_inside, avg(sc.v) AS mean_score, avg(sc.gray) AS mean_gray, avg(bl.g) AS mean_bg FROM rg JOIN sc USING (pid, y, x) JOIN bl USING (pid, y, x) GROUP BY ALL), "
+    "fe AS MATERIALIZED (SELECT mn.*, tr.thr, ar.area, CASE WHEN whole > 0 THEN area / whole ELSE 0 END AS solidity, 0.0 AS eccentricity, CASE WHEN length > 0 THEN 4 * pi() * area / (length * length) ELSE 0 END AS circularity, greatest(coalesce(bends, 0), 1) AS n_points FROM mn JOIN ar USING (pid, region) JOIN tr ON tr.pid = mn.pid LEFT JOIN le ON le.pid = mn.pid AND le.region = mn.region LEFT JOIN wh ON wh.pid = mn.pid AND wh.region = mn.region)"
+)
+ROUND = replace(BASE, eccentricity=1.0)  #: no region is too long for it, so that SQL, which fits no ellipse, decides alike
+_SHAPE = ("area", "solidity", "circularity", "mean_gray", "mean_bg")
+# scores have six places, so their sums do, while means would lie halfway between two values at times
+_ROUNDED = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _SHAPE) + ", round(CAST(mean_score * n_inside AS DOUBLE), 6) AS sum_score"
+_REAL = _VERDICT.replace(f"eccentricity > {BASE.eccentricity}", f"eccentricity > {ROUND.eccentricity}")
+
+
+@query("l10_outline_features", duck("gray", f"WITH RECURSIVE {_FE} SELECT pid, CAST(region AS INTEGER) AS region, n_inside, CAST(n_points AS INTEGER) AS n_points, {_ROUNDED} FROM fe"))
+def l10(spark, sf):
+    """Area, outline, hull and means of every region of the cleaned masks."""
+    return regions(cleaned(patches(spark, sf))).select("pid", "region", "n_inside", "n_points", *[F.round(c, 6).alias(c) for c in _SHAPE], F.round(F.col("mean_score") * F.col("n_inside"), 6).alias("sum_score"))
+
+
+@query("l13_region_verdicts", duck("gray", f"WITH RECURSIVE {_FE} SELECT pid, CAST(region AS INTEGER) AS region, round(CAST(CASE WHEN mean_bg > 1 THEN (mean_bg - mean_gray) / mean_bg END AS DOUBLE), 6) AS contrast, {_REAL} AS verdict FROM fe"))
+def l13(spark, sf):
+    """The cascade, local contrast included, over the regions of the cleaned masks."""
+    r = cascade(regions(cleaned(patches(spark, sf), ROUND)), ROUND)
+    return r.select("pid", "region", F.round(F.when(F.col("mean_bg") > 1, (F.col("mean_bg") - F.col("mean_gray")) / F.col("mean_bg")), 6).alias("contrast"), "verdict")
+
+
+_STATS = (
+    f"{_FE}, vc AS (SELECT pid, {_REAL} AS verdict, count(*) AS n, sum(n_inside) AS px FROM fe GROUP BY ALL), nv AS (SELECT pid, count(*) FILTER (gray > 10) < {BASE.least_valid} AS few, count(*) AS size FROM sc GROUP BY pid), "
+    "la AS (SELECT nv.pid, any_value(few) AS few, any_value(size) AS size, coalesce(sum(n), 0) AS n, coalesce(sum(n) FILTER (verdict = 'kept'), 0) AS k, coalesce(sum(px) FILTER (verdict = 'kept'), 0) AS px, coalesce(string_agg(verdict || ':' || n, ',' ORDER BY verdict) FILTER (verdict <> 'kept'), '') AS rejected FROM nv LEFT JOIN vc ON vc.pid = nv.pid GROUP BY nv.pid) "
+    "SELECT la.pid, CAST(CASE WHEN few THEN 0 ELSE n END AS BIGINT) AS candidates, CAST(CASE WHEN few THEN 0 ELSE k END AS BIGINT) AS kept, round(100.0::DOUBLE * CASE WHEN few THEN 0 ELSE px END / size, 6) AS coverage_pct, round(CASE WHEN few THEN 0 ELSE thr END, 7) AS threshold, rejected FROM la JOIN tr ON tr.pid = la.pid"
+)
+
+
+@query("l14_label_statistics", duck("gray", f"WITH RECURSIVE {_STATS}"))
+def l14(spark, sf):
+    """The proxy label of every patch: candidates, kept regions, coverage, threshold, and rejections as ``reason:count``."""
+    rejected = F.concat_ws(",", F.transform(F.map_entries("rejected"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))))
+    return proxy_label(patches(spark, sf), ROUND).select("pid", "candidates", "kept", F.round("coverage_pct", 6).alias("coverage_pct"), F.round("threshold", 7).alias("threshold"), rejected.alias("rejected"))
+
+
 @query("l16_watershed_split")
 def l16(spark, sf):
     """Splits wide components of bright pixels (over 90) along the watersheds of the pixels between their inner peaks."""
