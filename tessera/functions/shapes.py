@@ -152,6 +152,30 @@ def distances(mask: np.ndarray) -> np.ndarray:
     return np.sqrt(np.stack([(down[y][None, :] + across).min(axis=1) for y in range(h)]))
 
 
+def edge(mask: np.ndarray) -> np.ndarray:
+    """Mask pixels with a 4-neighbour outside the mask or the patch."""
+    pad = np.pad(mask, 1)
+    return mask & ~(pad[:-2, 1:-1] & pad[2:, 1:-1] & pad[1:-1, :-2] & pad[1:-1, 2:])
+
+
+def boundary_rows(batches):
+    """mapInArrow over (pid, a, b), lists of the (y, x) of two masks' pixels: pid and squared distance d2 of each boundary pixel to the other mask.
+
+    A distance map of the patch gives all distances of a mask at once; patches with an empty mask have no rows.
+    """
+    for b in batches:
+        for pid, one, two in zip(*(c.to_pylist() for c in b.columns)):
+            at = [np.array([(p["y"], p["x"]) for p in m], int).reshape(-1, 2) for m in (one or [], two or [])]
+            if not (len(at[0]) and len(at[1])):
+                continue
+            low = np.concatenate(at).min(axis=0)
+            masks = [np.zeros(np.concatenate(at).max(axis=0) - low + 1, bool) for _ in at]
+            for m, places in zip(masks, at):
+                m[tuple((places - low).T)] = True
+            d2 = np.concatenate([np.rint(distances(~t)[edge(f)] ** 2) for f, t in (masks, masks[::-1])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([pid] * len(d2), pa.int64()), pa.array(d2)], ["pid", "d2"])
+
+
 def watershed(image: np.ndarray, markers: np.ndarray, inside: np.ndarray) -> np.ndarray:
     """Floods ``inside`` from the markers (0 and more; -1: none): the label of each pixel, -1 on the lines where floods meet.
 

@@ -21,10 +21,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tessera.functions import raster as K
+from tessera.functions.cascade import first_failure
 from tessera.functions.graph import components as graph_components
 from tessera.functions.graph import shared
 from tessera.functions.kernels import label_tile
-from tessera.functions.shapes import distances, filled, shape, split
+from tessera.functions.shapes import distances, edge, filled, shape, split
 from tessera.operators.pixels import grid_positions
 from tessera.settings import Augmentation, Filters, Labels, Measures, Tiling, Tuning
 
@@ -330,21 +331,12 @@ def _regions(lab: np.ndarray, value, gray, around):
         yield {"region": int(at[0]), "n_inside": len(at), **{k: got[k] for k in ("area", "solidity", "eccentricity", "circularity")}, "mean_score": mean(value), "mean_gray": mean(gray), "mean_bg": mean(around), "starts": at[first].tolist(), "lengths": np.diff(np.r_[first, len(at)]).tolist()}
 
 
+SHAPE_AREA = 20  #: smaller regions have no shape to test
+
+
 def verdict(r: Column, tuned: str = "tuned", threshold: str = "threshold", s: Labels = Labels()) -> Column:
     """Why a region is rejected, by the first test that fails in order, else ``kept``."""
-    t = lambda name: F.col(f"{tuned}.{name}")
-    sure = r["mean_score"] >= s.bypass * F.col(threshold)
-    shaped = ~sure & (r["area"] >= 20)
-    weak = (r["mean_bg"] > 1) & ((r["mean_bg"] - r["mean_gray"]) / r["mean_bg"] < s.least_contrast)
-    return (
-        F.when(r["area"] > t("area_max"), "area_too_large")
-        .when(r["area"] < F.when(sure, 1.0).otherwise(t("area_min")), "area_too_small")
-        .when(shaped & (r["solidity"] < t("min_solidity")), "low_solidity")
-        .when(shaped & (r["eccentricity"] > t("max_eccentricity")), "eccentricity")
-        .when(shaped & (r["circularity"] < t("min_circularity")), "low_circularity")
-        .when(weak, "weak_local_contrast")
-        .otherwise("kept")
-    )
+    return first_failure(lambda name: r[name], lambda name: F.col(f"{tuned}.{name}"), r["mean_score"] >= s.bypass * F.col(threshold), SHAPE_AREA, s.least_contrast)
 
 
 def proxy_labels(patches: DataFrame, s: Labels = Labels()) -> DataFrame:
@@ -393,12 +385,6 @@ def predict(patches: DataFrame, scorer=default_scorer, batch: int = BATCH) -> Da
     return patches.mapInArrow(run, schema)
 
 
-def _edge(mask: np.ndarray) -> np.ndarray:
-    """Mask pixels with a 4-neighbour outside the mask or the patch."""
-    pad = np.pad(mask, 1)
-    return mask & ~(pad[:-2, 1:-1] & pad[2:, 1:-1] & pad[1:-1, :-2] & pad[1:-1, 2:])
-
-
 def agreement(scored: DataFrame, m: Measures = Measures()) -> DataFrame:
     """Adds dice (null if both masks are empty), asd and nsd (null if either is) of prob against mask, and pred (0 or 255)."""
 
@@ -407,7 +393,7 @@ def agreement(scored: DataFrame, m: Measures = Measures()) -> DataFrame:
         total = int(p.sum() + y.sum())
         out = {"dice": (2 * float((p & y).sum()) + 1e-6) / (total + 1e-6) if total else None, "asd": None, "nsd": None, "pred": (p * np.uint8(255)).tobytes()}
         if p.any() and y.any():
-            d = np.concatenate([distances(~b)[_edge(a)] for a, b in ((p, y), (y, p))])
+            d = np.concatenate([distances(~b)[edge(a)] for a, b in ((p, y), (y, p))])
             out["asd"], out["nsd"] = float(d.mean()), float((d <= m.tolerance).mean())
         return out
 
@@ -559,7 +545,7 @@ def overlay(bgr: np.ndarray, mask: np.ndarray, colour=(0, 255, 0), alpha: float
     """The image with the mask (or only its contour) in a colour."""
     inside = mask > 0
     if contour:
-        return np.where(_edge(inside)[..., None], np.array(colour, np.uint8), bgr)
+        return np.where(edge(inside)[..., None], np.array(colour, np.uint8), bgr)
     return np.where(inside[..., None], K.byte(np.floor((1 - alpha) * bgr + alpha * np.array(colour) + 0.5)), bgr)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import raster, shapes
 from tessera.functions import stencil as S
+from tessera.functions.cascade import first_failure
 from tessera.operators.enhance import duck_blur, duck_filled, unit
 from tessera.operators.pixels import LAP, long
 from tessera.registry import query
@@ -211,17 +212,8 @@ def regions(p: DataFrame, side: int = S.PS, outer: bool = False) -> DataFrame:
 
 def cascade(r: DataFrame, c: Settings = BASE) -> DataFrame:
     """Adds ``verdict``: the first test that a region fails, or ``kept``. Strong regions skip the shape tests."""
-    strong = F.col("mean_score") >= c.bypass * F.col("thr")
-    shaped = ~((F.col("area") < c.shape_area) | strong)
-    verdict = (
-        F.when(F.col("area") > c.most_area, "area_too_large")
-        .when(F.col("area") < F.when(strong, 1.0).otherwise(c.least_area), "area_too_small")
-        .when(shaped & (F.col("solidity") < c.solidity), "low_solidity")
-        .when(shaped & (F.col("eccentricity") > c.eccentricity), "eccentricity")
-        .when(shaped & (F.col("circularity") < c.circularity), "low_circularity")
-        .when((F.col("mean_bg") > 1) & ((F.col("mean_bg") - F.col("mean_gray")) / F.nullif("mean_bg", F.lit(0.0)) < c.least_contrast), "weak_local_contrast")
-        .otherwise("kept")
-    )
+    limits = {"area_max": c.most_area, "area_min": c.least_area, "min_solidity": c.solidity, "max_eccentricity": c.eccentricity, "min_circularity": c.circularity}
+    verdict = first_failure(F.col, lambda name: F.lit(limits[name]), F.col("mean_score") >= c.bypass * F.col("thr"), c.shape_area, c.least_contrast)
     return r.withColumn("verdict", verdict)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.graph import components
 from tessera.functions.kernels import label_rows
+from tessera.functions.shapes import boundary_rows
 from tessera.operators.records import DICE, patch_dice
 from tessera.registry import query
 from tessera.sources.fixtures import duck, patches, view
@@ -84,13 +85,11 @@ def m06(spark, sf):
 def boundary_distances(pred: DataFrame, threshold: float = 0.58) -> DataFrame:
     """(pid, d2): squared distance from each boundary pixel of one mask to the nearest pixel of the other, both ways; patches with both masks only.
 
-    Everything of a patch travels in one row: masks are short arrays, so no pixel is joined with another.
+    A patch's pixels meet in one row, whose distance maps a kernel computes.
     """
     at = F.struct("y", "x")
-    p = pred.groupBy("pid").agg(F.collect_list(F.when(F.col("p") > threshold, at)).alias("a"), F.collect_list(F.when(F.col("truth"), at)).alias("b")).filter("size(a) > 0 AND size(b) > 0")
-    edge = lambda m: f"filter({m}, q -> size(filter({m}, r -> abs(r.y - q.y) + abs(r.x - q.x) = 1)) < 4)"
-    near = lambda f, t: f"transform({edge(f)}, q -> array_min(transform({t}, r -> (r.y - q.y) * (r.y - q.y) + (r.x - q.x) * (r.x - q.x))))"
-    return p.select("pid", F.explode(F.expr(f"concat({near('a', 'b')}, {near('b', 'a')})")).alias("d2"))
+    p = pred.groupBy(F.col("pid").cast("bigint").alias("pid")).agg(F.collect_list(F.when(F.col("p") > threshold, at)).alias("a"), F.collect_list(F.when(F.col("truth"), at)).alias("b"))
+    return p.filter("size(a) > 0 AND size(b) > 0").mapInArrow(boundary_rows, "pid bigint, d2 int")
 
 
 _EDGE = "pa AS (SELECT pid, y, x FROM fx_pred WHERE p > 0.58), pb AS (SELECT pid, y, x FROM fx_pred WHERE truth), ea AS (SELECT * FROM pa q WHERE (SELECT count(*) FROM pa n WHERE n.pid = q.pid AND abs(n.y - q.y) + abs(n.x - q.x) = 1) < 4), eb AS (SELECT * FROM pb q WHERE (SELECT count(*) FROM pb n WHERE n.pid = q.pid AND abs(n.y - q.y) + abs(n.x - q.x) = 1) < 4), ds AS (SELECT q.pid, q.y, q.x, 0 AS w, min((n.y - q.y) * (n.y - q.y) + (n.x - q.x) * (n.x - q.x)) AS d2 FROM ea q JOIN pb n ON n.pid = q.pid GROUP BY ALL UNION ALL SELECT q.pid, q.y, q.x, 1, min((n.y - q.y) * (n.y - q.y) + (n.x - q.x) * (n.x - q.x)) FROM eb q JOIN pa n ON n.pid = q.pid GROUP BY ALL)"

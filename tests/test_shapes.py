@@ -174,3 +174,23 @@ def test_split_follows_the_image():
     assert len(np.unique(lab[lab >= 0])) == 2 and 0 < (m & ~cut).sum() < 60
     assert set(np.nonzero(m & ~cut)[1]) <= {40, 41, 42, 43}
     assert (shapes.split(m, image, 20) == m).all() and (shapes.split(m & (x < 38), image, 5) == (m & (x < 38))).all()
+
+
+def test_boundary_distances_of_larger_masks():
+    """Against all pairs of pixels, on masks that touch no common border."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    rows = [[[{"y": int(y), "x": int(x)} for y, x in np.argwhere(rng.random((40, 30)) < share)] for share in shares] for shares in ((0.3, 0.02), (0.9, 0.5), (0.01, 0.01))]
+    batch = pa.RecordBatch.from_pylist([{"pid": k, "a": a, "b": b} for k, (a, b) in enumerate(rows)] + [{"pid": 9, "a": [], "b": rows[0][1]}, {"pid": 10, "a": None, "b": None}])
+    got = {}
+    for b in shapes.boundary_rows(iter([batch])):
+        got.setdefault(b.column(0)[0].as_py(), []).extend(b.column(1).to_pylist())
+    assert sorted(got) == [0, 1, 2]
+    for k, masks in enumerate(rows):
+        sets, want = [{(p["y"], p["x"]) for p in m} for m in masks], []
+        for one, two in (sets, sets[::-1]):
+            for y, x in one:
+                if any(q not in one for q in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1))):
+                    want.append(min((y - v) ** 2 + (x - u) ** 2 for v, u in two))
+        assert sorted(got[k]) == sorted(want)
