@@ -93,23 +93,26 @@ def _fragments(places, column: str, item: int):
 _FRAGMENT = "image_id string, image_h int, image_w int, ty int, tx int, y int, x int, h int, w int, bands int, px binary"
 
 
-def _filled_patch(size: int):
+def _filled_patch(size: int, cover: bool):
+    schema = _block.append(pa.field("cover", pa.binary())) if cover else _block
+
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         r = rows[0]
-        out = np.zeros((size, size, r["bands"]), np.uint8)
+        out, lies = np.zeros((size, size, r["bands"]), np.uint8), np.zeros((size, size), np.uint8)
         for f in rows:
-            out[f["y"] - f["ty"] : f["y"] - f["ty"] + f["h"], f["x"] - f["tx"] : f["x"] - f["tx"] + f["w"]] = image(f)
+            at = slice(f["y"] - f["ty"], f["y"] - f["ty"] + f["h"]), slice(f["x"] - f["tx"], f["x"] - f["tx"] + f["w"])
+            out[at], lies[at] = image(f), 1
         got = {"image_id": r["image_id"], "image_h": r["image_h"], "image_w": r["image_w"], "y": r["ty"], "x": r["tx"], "h": size, "w": size, "bands": r["bands"], "px": out.tobytes()}
-        return pa.Table.from_pylist([got], _block)
+        return pa.Table.from_pylist([got | {"cover": lies.tobytes()} if cover else got], schema)
 
     return run
 
 
-def cut(stored: DataFrame, t: Tiling = Tiling()) -> DataFrame:
-    """Patches of all blocks, in row-major places; what lies outside the image is zero."""
+def cut(stored: DataFrame, t: Tiling = Tiling(), cover: bool = False) -> DataFrame:
+    """Patches of all blocks, in row-major places; what lies outside the image or in no block is zero. ``cover`` adds a column of that name, 1 where a block lies."""
     places = lambda h, w: (grid_positions(h, t.size, t.stride), grid_positions(w, t.size, t.stride), t.size, t.size)
-    return stored.mapInArrow(_fragments(places, "px", 1), _FRAGMENT).groupBy("image_id", "ty", "tx").applyInArrow(_filled_patch(t.size), BLOCK)
+    return stored.mapInArrow(_fragments(places, "px", 1), _FRAGMENT).groupBy("image_id", "ty", "tx").applyInArrow(_filled_patch(t.size, cover), BLOCK + ", cover binary" * cover)
 
 
 def gate(patches: DataFrame, t: Tiling = Tiling()) -> DataFrame:
@@ -130,8 +133,9 @@ def put_together(patches: DataFrame, column: str, side: int = 1024, kind: str =
     """Blocks of at most ``side`` pixels with the mean of the patches that cover each pixel, 0 where none does.
 
     ``kind`` is u1 (cut to bytes) or f4. With ``sigma_scale`` patches weigh most in their middle, by a Gaussian of that
-    share of their size, at least a thousandth. Adds ``cover``, 1 where a patch lies.
+    share of their size, at least a thousandth. Where patches have a ``cover``, pixels outside it do not count. Adds ``cover``, 1 where a patch lies.
     """
+    covers = "cover" in patches.columns
     item = np.dtype(kind).itemsize
 
     def places(h: int, w: int):
@@ -152,6 +156,8 @@ def put_together(patches: DataFrame, column: str, side: int = 1024, kind: str =
                     continue
                 v = np.frombuffer(r[column], kind).reshape(r["h"], r["w"], -1).astype("f4")
                 k = np.clip(np.outer(weight(r["h"]), weight(r["w"])), 1e-3, 1)[..., None].astype("f4")
+                if covers and r["cover"] is not None:
+                    k = k * image(r, "cover")[..., None]
                 rows.append({**{f: r[f] for f in ("image_id", "image_h", "image_w", "y", "x", "h", "w")}, "bands": v.shape[2], "px": np.concatenate([v * k, k], axis=2).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, _block)
 
@@ -176,7 +182,7 @@ def put_together(patches: DataFrame, column: str, side: int = 1024, kind: str =
         got = {"image_id": r["image_id"], "image_h": r["image_h"], "image_w": r["image_w"], "y": r["ty"], "x": r["tx"], "h": h, "w": w, "bands": r["bands"], "px": data.tobytes(), "cover": (weight_[..., 0] > 1e-6).astype("u1").tobytes()}
         return pa.Table.from_pylist([got], _block.append(pa.field("cover", pa.binary())))
 
-    laid = patches.select("image_id", "image_h", "image_w", "y", "x", "h", "w", "bands", *([column] if column != "px" else ["px"]))
+    laid = patches.select("image_id", "image_h", "image_w", "y", "x", "h", "w", "bands", *(["cover"] if covers else []), column)
     return laid.mapInArrow(spread, _FRAGMENT).groupBy("image_id", "ty", "tx").applyInArrow(total, BLOCK + ", cover binary")
 
 
