@@ -17,7 +17,7 @@ from tessera.operators.records import DICE
 from tessera.registry import query
 from tessera.settings import Measures, Tiling
 from tessera.sources import windows as V
-from tessera.sources.fixtures import duck, patches, view
+from tessera.sources.fixtures import duck, patches, predictions
 
 T = Tiling(size=16, overlap=4)
 
@@ -102,9 +102,8 @@ def w05_files(spark, sf):
 
 def predicted(spark, sf: str) -> DataFrame:
     """The fixture's patches with probabilities and masks, as the engine has them."""
-    at = F.struct("y", "x")
-    p = view(spark, sf, "pred").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("p").alias("p"), F.col("truth").cast("int").alias("t")))).alias("v"))
-    p = p.select("pid", F.lit("a").alias("image_id"), *[F.lit(n).alias(c) for c, n in (("image_h", 8), ("image_w", 8), ("y", 0), ("x", 0), ("h", 8), ("w", 8), ("bands", 1))], F.lit(b"").alias("px"), F.expr("transform(v, e -> e.p)").alias("prob"), F.expr("transform(v, e -> 255 * e.t)").alias("mask"))
+    p = predictions(spark, sf)
+    p = p.select("pid", F.lit("a").alias("image_id"), *[F.lit(n).alias(c) for c, n in (("image_h", 8), ("image_w", 8), ("y", 0), ("x", 0), ("h", 8), ("w", 8), ("bands", 1))], F.lit(b"").alias("px"), F.expr("transform(v, e -> e.p)").alias("prob"), F.expr("transform(v, e -> 255 * CAST(e.truth AS INT))").alias("mask"))
     return _bytes(p, prob="f4", mask="u1")
 
 

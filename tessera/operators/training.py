@@ -30,7 +30,7 @@ from tessera.functions.graph import shared
 from tessera.operators.engine import KEY, image
 from tessera.operators.sampling import epoch_batches, weighted_batches
 from tessera.registry import query
-from tessera.sources.fixtures import duck, view
+from tessera.sources.fixtures import duck, predictions
 
 THRESHOLDS = np.linspace(0.3, 0.7, 41)
 SMOOTH = 1.0
@@ -332,9 +332,7 @@ _SLOPE, _SHIFT = 1.5, -0.25
 @query("k02_gradient_sums", duck("pred", f"WITH z AS (SELECT pid, (p - 0.5) / 0.25 AS x, CAST(truth AS INT) AS y, {_SLOPE} * ((p - 0.5) / 0.25) + ({_SHIFT}) AS z FROM fx_pred), q AS (SELECT *, 1 / (1 + exp(-z)) AS s FROM z), i AS (SELECT pid, 2 * sum(s * y) + 1 AS a, sum(s + y) + 1 AS b, avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) AS e FROM q GROUP BY pid), d AS (SELECT q.pid, x, 0.5 * (s - y) / 64 - 0.5 * (2 * y * b - a) / (b * b) * s * (1 - s) AS dz FROM q JOIN i USING (pid)), g AS (SELECT pid, sum(dz * x) AS gw, sum(dz) AS gb FROM d GROUP BY pid) SELECT count(*) AS patches, round(avg(0.5 * e + 0.5 * (1 - a / b)), 6) AS loss, round(avg(gw), 6) AS slope, round(avg(gb), 6) AS shift FROM i JOIN g USING (pid)"))
 def k02_gradients(spark, sf):
     """One step's loss and gradient over all patches: a linear model of one feature, the fixture's own probability."""
-    at = F.struct("y", "x")
-    p = view(spark, sf, "pred").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col("p").alias("p"), F.col("truth").cast("int").alias("t")))).alias("v"))
-    p = p.select(F.transform("v", lambda e: e["p"]).alias("px"), F.transform("v", lambda e: e["t"]).alias("mask"))
+    p = predictions(spark, sf).select(F.transform("v", lambda e: e["p"]).alias("px"), F.transform("v", lambda e: e["truth"].cast("int")).alias("mask"))
     model, t = Model(np.array([_SLOPE, _SHIFT]), 0, np.array([0.5]), np.array([0.25])), Training()
 
     def run(batches):

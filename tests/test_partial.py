@@ -37,3 +37,23 @@ def same(spark, at: str, name: str) -> int:
 @pytest.mark.parametrize("name", ["t02_patches_from_blocks", "t10_blocks_from_patches", "m04_coverage_of_blocks", "m01_components_of_blocks"])
 def test_missing_blocks_count_nowhere(spark, partial, name):
     assert same(spark, partial, name)
+
+
+PREDICTED = ["k02_gradient_sums", "m06_patch_dice", "m07_surface_distances", "m08_boundary_metrics", "m09_all_patch_metrics", "m18_sigmoid_predict", "m20_single_pass"]
+
+
+@pytest.mark.parametrize("name", PREDICTED)
+def test_predictions_of_short_and_null_embeddings(spark, tmp_path, name):
+    t = pq.read_table(f"{SF_SMALL}/embeddings.parquet").slice(0, 60).to_pylist()
+    t[3]["embedding"], t[4]["embedding"], t[5]["embedding"][7] = t[3]["embedding"][:50], None, None
+    spark.createDataFrame([(r["vec_id"], r["embedding"], r["label"]) for r in t], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "some"))
+    next((tmp_path / "some").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    pq.write_table(pq.read_table(f"{SF_SMALL}/labels.parquet"), tmp_path / "labels.parquet")
+    assert same(spark, str(tmp_path), name)
+
+
+def test_predictions_join_nothing(spark, partial):
+    """A patch's neighbours are in its row: no join, and the stored rows are dealt out once."""
+    for name in (*PREDICTED, "m13_worst_patches", "m17_losses"):
+        plan = registry.queries()[name](spark, partial)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "collect_list" not in plan and "RepartitionByExpression [vec_id" in plan
