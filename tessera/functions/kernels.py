@@ -6,6 +6,17 @@ import numpy as np
 import pyarrow as pa
 
 
+PIECE, PIECE_BYTES = 512, 16 << 20
+
+
+def pieces(batches, rows: int = PIECE, size: int = PIECE_BYTES):
+    """Slices of batches, by rows and roughly by bytes: Python objects are made of one slice at a time, not of all rows of a batch."""
+    for b in batches:
+        n = max(1, min(rows, size * b.num_rows // max(1, b.nbytes)))
+        for k in range(0, b.num_rows, n):
+            yield b.slice(k, n)
+
+
 def label_tile(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
     """Labels of a mask's 8-connected (or 4-connected) regions: each is named by its smallest place; -1 is background.
 

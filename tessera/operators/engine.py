@@ -24,7 +24,7 @@ from tessera.functions import raster as K
 from tessera.functions.cascade import first_failure
 from tessera.functions.graph import components as graph_components
 from tessera.functions.graph import shared
-from tessera.functions.kernels import label_tile
+from tessera.functions.kernels import label_tile, pieces
 from tessera.functions.shapes import distances, edge, filled, shape, split
 from tessera.operators.pixels import grid_positions
 from tessera.settings import Augmentation, Filters, Labels, Measures, Tiling, Tuning
@@ -48,7 +48,7 @@ def each(df: DataFrame, kernel, **new: str) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = [{**r, **got} for r in b.to_pylist() if r["px"] is not None and (got := kernel(r)) is not None]
             yield pa.RecordBatch.from_pylist(rows, arrow)
 

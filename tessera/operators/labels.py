@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import raster, shapes
 from tessera.functions import stencil as S
 from tessera.functions.cascade import first_failure
+from tessera.functions.kernels import pieces
 from tessera.operators.enhance import duck_blur, duck_filled, unit
 from tessera.operators.pixels import LAP, long
 from tessera.registry import query
@@ -73,7 +74,7 @@ def _features(c: Settings, side: int):
         return th.reshape(-1).tolist(), bg.reshape(-1).tolist(), score.reshape(-1).tolist(), noise
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = [of(px) for px in b.column(b.schema.get_field_index("px")).to_pylist()]
             new = [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.list_(pa.float64())] * 3 + [pa.float64()])]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "th", "bg", "score", "noise"])
@@ -175,7 +176,7 @@ def _cleanup(close: int, open_: int, side: int = S.PS):
     """Appends ``mask``, the column ``raw`` closed and then opened; a null or empty one stays."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             masks = []
             for raw in b.column(b.schema.get_field_index("raw")).to_pylist():
                 masks.append(raw if not raw else raster.opened(raster.closed(np.array(raw).reshape(-1, side), close), open_).astype(int).reshape(-1).tolist())

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import raster as K
 from tessera.functions.graph import shared
+from tessera.functions.kernels import pieces
 from tessera.operators.engine import KEY, image
 from tessera.operators.sampling import epoch_batches, weighted_batches
 from tessera.registry import query
@@ -337,7 +338,7 @@ def k02_gradients(spark, sf):
 
     def run(batches):
         total = np.zeros(4)
-        for b in batches:
+        for b in pieces(batches):
             for px, mask in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 loss, g = patch_loss(model, np.array(px)[:, None], np.array(mask, float), t)
                 total += np.r_[1, loss, g]

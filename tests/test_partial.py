@@ -57,3 +57,22 @@ def test_predictions_join_nothing(spark, partial):
     for name in (*PREDICTED, "m13_worst_patches", "m17_losses"):
         plan = registry.queries()[name](spark, partial)._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "collect_list" not in plan and "RepartitionByExpression [vec_id" in plan
+
+
+def test_kernels_take_a_batch_in_pieces():
+    """A batch has 10,000 rows; kernels hold the Python objects of a few hundred at a time, in whatever slices they come."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.functions import kernels, shapes
+    from tessera.operators import labels
+
+    px = np.random.default_rng(3).integers(0, 256, (1100, 64)).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1100), pa.int64()), pa.array(list(px))], ["pid", "px"])
+    scored = list(labels._features(labels.BASE, 8)(iter([batch])))
+    assert sum(b.num_rows for b in scored) == 1100 and max(b.num_rows for b in scored) <= kernels.PIECE
+    assert [r["px"] for b in scored for r in b.to_pylist()] == px.tolist()
+    one = pa.concat_batches(scored).append_column("mask", pa.array((px > 150).astype(np.int32).tolist())).append_column("thr", pa.array([4.0] * 1100)).append_column("n_valid", pa.array([64] * 1100, pa.int32()))
+    found = [b.to_pylist() for b in shapes.region_rows(8, True)(iter([one]))]
+    assert max(len({r["pid"] for r in b}) for b in found) <= kernels.PIECE
+    assert [r for b in found for r in b] == [r for k in range(1100) for b in shapes.region_rows(8, True)(iter([one.slice(k, 1)])) for r in b.to_pylist()]
