@@ -66,11 +66,24 @@ def _count(order: int):
 
 
 class Model:
-    """Log probabilities: a row for each known word and n-gram, a column for each language."""
+    """Log probabilities: a row for each known word and n-gram, a column for each language.
+
+    The counts stay an Arrow table until words, n-grams or tables are first asked for. So the driver, which only sends
+    the model on, never builds them, and a worker builds them once.
+    """
 
     def __init__(self, counts: pa.Table, totals: dict[tuple[int, str], int], order: int):
         """``counts``: kind (0 word, 1 n-gram), lang, item, n; one row each."""
         self.order, self.langs = order, sorted({lang for _, lang in totals})
+        self.counts, self.totals = counts, totals
+
+    def __getattr__(self, name: str):
+        if name not in ("words", "chars", "tables") or "counts" not in self.__dict__:
+            raise AttributeError(name)
+        self._build(self.__dict__.pop("counts"), self.totals)
+        return self.__dict__[name]
+
+    def _build(self, counts: pa.Table, totals: dict[tuple[int, str], int]) -> None:
         at = {lang: k for k, lang in enumerate(self.langs)}
         self.words, self.chars = ({}, {})  #: row of each known word, of each known n-gram
         self.tables = []

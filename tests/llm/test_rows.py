@@ -279,3 +279,19 @@ def test_language_scores_by_plain_loops(spark):
         best = max(s, key=s.get)
         want = 1 / sum(math.exp(v - s[best]) for v in s.values())
         assert abs(got[i][1] - want) < 1e-3 and (got[i][0] == best or want < 0.51), (i, got[i], s)
+
+
+def test_language_model_is_built_where_it_is_used(spark):
+    """The driver sends the model's counts on without building its dictionaries; built or not, it predicts alike."""
+    import pickle
+
+    from tessera.llm import langid
+
+    docs = spark.createDataFrame([(k, "the house and the sea" if k % 2 else "das Haus und die See", "en" if k % 2 else "de") for k in range(60)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    first = sorted(map(tuple, langid.predict(docs, model).collect()))
+    assert "words" not in vars(model) and "tables" not in vars(model)
+    again = pickle.loads(pickle.dumps(model))
+    assert "the" in again.words and len(again.tables) == 2 and "counts" not in vars(again)
+    assert sorted(map(tuple, langid.predict(docs, pickle.loads(pickle.dumps(again))).collect())) == first
+    assert {r[1] for r in first} == {"de", "en"}
