@@ -41,6 +41,11 @@ def image(row: dict, column: str = "px", kind: str = "u1") -> np.ndarray:
     return a.reshape(row["h"], row["w"], -1) if kind == "u1" and column == "px" else a.reshape(row["h"], row["w"])
 
 
+def known(row: dict) -> np.ndarray:
+    """Where the row's mask is known: everywhere, unless bytes ``known`` say otherwise."""
+    return image(row, "known") > 0 if row.get("known") is not None else np.ones((row["h"], row["w"]), bool)
+
+
 def each(df: DataFrame, kernel, **new: str) -> DataFrame:
     """Adds (or replaces) columns by a kernel of one row: a dict to a dict, or None to drop it."""
     added = {k: v for k, v in new.items() if k not in df.columns}
@@ -413,11 +418,12 @@ def confident(scored: DataFrame, low: float = 0.45, high: float = 0.55) -> DataF
     def kernel(r: dict) -> dict:
         p, y = image(r, "prob", "f4").astype(float), image(r, "mask", "u1") > 0
         n, hard = p.size, p > 0.5
-        fp, fn = int((y & (p < low)).sum()), int((~y & (p > high)).sum())
+        off = known(r) & ~y
+        fp, fn = int((y & (p < low)).sum()), int((off & (p > high)).sum())
         tiny = y.mean() < 0.001 and hard.mean() < 0.001
         dis = 0.0 if tiny else 1 - (2 * int((y & hard).sum()) + 1e-6) / (int(y.sum()) + int(hard.sum()) + 1e-6)
         out = {"mean_prob": float(p.mean()), "fp_frac": fp / n, "fn_frac": fn / n, "dice_disagreement": dis, "combined_score": 0.6 * fp / n + 0.3 * fn / n + 0.1 * dis, "missed_pixels": fn}
-        return {**out, "p0": float(p[~y].sum()), "n0": int((~y).sum()), "p1": float(p[y].sum()), "n1": int(y.sum()), "pred": (hard * np.uint8(255)).tobytes()}
+        return {**out, "p0": float(p[off].sum()), "n0": int(off.sum()), "p1": float(p[y].sum()), "n1": int(y.sum()), "pred": (hard * np.uint8(255)).tobytes()}
 
     doubles = ("mean_prob", "fp_frac", "fn_frac", "dice_disagreement", "combined_score", "p0", "p1")
     return each(scored, kernel, **dict.fromkeys(doubles, "double"), missed_pixels="bigint", n0="bigint", n1="bigint", pred="binary")

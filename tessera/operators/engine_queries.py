@@ -103,8 +103,8 @@ def w05_files(spark, sf):
 def predicted(spark, sf: str) -> DataFrame:
     """The fixture's patches with probabilities and masks, as the engine has them."""
     p = predictions(spark, sf)
-    p = p.select("pid", F.lit("a").alias("image_id"), *[F.lit(n).alias(c) for c, n in (("image_h", 8), ("image_w", 8), ("y", 0), ("x", 0), ("h", 8), ("w", 8), ("bands", 1))], F.lit(b"").alias("px"), F.expr("transform(v, e -> e.p)").alias("prob"), F.expr("transform(v, e -> 255 * CAST(e.truth AS INT))").alias("mask"))
-    return _bytes(p, prob="f4", mask="u1")
+    p = p.select("pid", F.lit("a").alias("image_id"), *[F.lit(n).alias(c) for c, n in (("image_h", 8), ("image_w", 8), ("y", 0), ("x", 0), ("h", 8), ("w", 8), ("bands", 1))], F.lit(b"").alias("px"), F.expr("transform(v, e -> e.p)").alias("prob"), F.expr("transform(v, e -> 255 * CAST(coalesce(e.truth, false) AS INT))").alias("mask"), F.expr("transform(v, e -> CAST(e.truth IS NOT NULL AS INT))").alias("known"))
+    return _bytes(p, prob="f4", mask="u1", known="u1")
 
 
 @query("m09_all_patch_metrics", duck("pred", f"WITH {DICE}, {_EDGE}, s AS (SELECT pid, avg(sqrt(d2)) AS asd, avg(CAST(d2 <= 4 AS INT)) AS nsd FROM ds GROUP BY pid) SELECT dice.pid, round(dice, 6) AS dice, round(asd, 6) AS asd, round(nsd, 6) AS nsd FROM dice LEFT JOIN s ON s.pid = dice.pid"))
