@@ -397,11 +397,11 @@ def predict(patches: DataFrame, scorer=default_scorer, batch: int = BATCH) -> Da
 
 
 def agreement(scored: DataFrame, m: Measures = Measures()) -> DataFrame:
-    """Adds dice (null if both masks are empty), asd and nsd (null if either is) of prob against mask, and pred (0 or 255)."""
+    """Adds dice (of known places; null if both masks are empty there), asd and nsd (null if either is) of prob against mask, and pred (0 or 255)."""
 
     def kernel(r: dict) -> dict:
         p, y = image(r, "prob", "f4") >= m.threshold, image(r, "mask", "u1") > 0
-        total = int(p.sum() + y.sum())
+        total = int(p[known(r)].sum() + y.sum())
         out = {"dice": (2 * float((p & y).sum()) + 1e-6) / (total + 1e-6) if total else None, "asd": None, "nsd": None, "pred": (p * np.uint8(255)).tobytes()}
         if p.any() and y.any():
             d = np.concatenate([distances(~b)[edge(a)] for a, b in ((p, y), (y, p))])
